@@ -20,7 +20,7 @@ GEOM = f"struct<kind:string,parts:array<{PART}>>"
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 
 MBR_COLUMNS = ("xmin", "ymin", "xmax", "ymax")
-SYSTEM_COLUMNS = ("geom", *MBR_COLUMNS, "part_id", "zkey")
+SYSTEM_COLUMNS = ("geom", *MBR_COLUMNS, "part_id", "zkey", "n_points", "n_bytes")
 
 KINDS = (
     "Point", "LineString", "LinearRing", "Polygon", "Envelope",

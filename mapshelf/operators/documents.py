@@ -16,10 +16,10 @@ def json_document(body: DataFrame, head: str, tail: str) -> DataFrame:
     Every record but the first is preceded by a comma. ``sort_key`` must be unique.
     """
     spark = body.sparkSession
-    first = body.agg(F.min("sort_key").alias("_first"))
-    lines = body.join(F.broadcast(first)).select(
+    opens = F.col("sort_key") == body.agg(F.min("sort_key")).scalar()
+    lines = body.select(
         F.lit(1).alias("part"), F.col("sort_key").cast("string").alias("sort_key"),
-        F.concat(F.when(F.col("sort_key") == F.col("_first"), F.lit("")).otherwise(F.lit(",")), "line").alias("line"),
+        F.concat(F.when(opens, F.lit("")).otherwise(F.lit(",")), "line").alias("line"),
         F.col("sort_key").alias("_order"))
     frame = spark.createDataFrame([(0, head), (2, tail)], "part int, line string").select(
         "part", F.lit(None).cast("string").alias("sort_key"), "line",
