@@ -60,5 +60,8 @@ def mercator_y(lat: Column) -> Column:
 
 def tile_index(unit: Column, level) -> Column:
     """Tile column or row of a unit-square position; the far edge belongs to the last tile."""
-    n = F.shiftleft(F.lit(1).cast("long"), level) if isinstance(level, Column) else F.lit(1 << level).cast("long")
+    if isinstance(level, Column):
+        n = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+    else:
+        n = F.lit(1 << level).cast("long")
     return F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor(unit * n).cast("long")))

@@ -76,7 +76,9 @@ def build_indexes(features: DataFrame, dataset_dir: str, separate: bool, thresho
     """The data index, and the index for drawing when it is kept apart."""
     build_index(features, f"{dataset_dir}/data_index", overwrite=overwrite, **options)
     if separate:
-        build_index(viz_features(features, threshold), f"{dataset_dir}/viz_index", overwrite=overwrite, **options)
+        counts = ("rows", "total")   # those of the unbroken features do not hold here
+        build_index(viz_features(features, threshold), f"{dataset_dir}/viz_index", overwrite=overwrite,
+                    **{k: v for k, v in options.items() if k not in counts})
 
 
 def break_and_index(features: DataFrame, path: str, method: str = "rsgrove",

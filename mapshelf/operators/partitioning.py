@@ -185,19 +185,21 @@ def build_split_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, parts: int) ->
 
 
 def rsgrove_partition(df: DataFrame, parts: int | None = None, target_size: int = TARGET_BYTES,
-                      balanced: bool = True, weight: Column | None = None, seed: int = 7, **_) -> DataFrame:
+                      balanced: bool = True, weight: Column | None = None, seed: int = 7,
+                      rows: int | None = None, total: int | None = None, **_) -> DataFrame:
     """Split tree over a sample of box centres, balanced by bytes.
 
     The sample and the tree have fixed upper sizes. Partitions stay balanced to the sampling
     error except where many features share one centre, which no cut can part; the writer
-    spreads such partitions over several tasks.
+    spreads such partitions over several tasks. Known ``rows`` and ``total`` bytes save a pass.
     """
     f = G.with_mbr(df)
     w = feature_bytes(f) if weight is None else weight
     cx, cy = _centre()
     slim = f.where(F.col("xmin").isNotNull()).select(
         cx.alias("x"), cy.alias("y"), (w if balanced else F.lit(1)).cast("double").alias("w"))
-    rows, total = slim.agg(F.count("*"), F.sum("w")).first()
+    if rows is None or total is None:
+        rows, total = slim.agg(F.count("*"), F.sum("w")).first()
     if parts is None:
         parts = math.ceil((total or 0) / target_size)
     parts = max(1, min(parts, MAX_PARTS))

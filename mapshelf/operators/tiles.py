@@ -60,7 +60,8 @@ def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame
             z = F.explode(F.array(*[F.lit(v) for v in zs])).alias("z")
             up = F.lit(at) - F.col("z")
             wide = source.select("x", "y", "cnt", z)
-            summed = wide.select("z", F.shiftright("x", up).alias("x"), F.shiftright("y", up).alias("y"), "cnt")
+            summed = wide.select("z", *[
+                F.call_function("shiftright", F.col(c), up).alias(c) for c in ("x", "y")], "cnt")
             step = summed.groupBy("z", "x", "y").agg(F.sum("cnt").alias("cnt"))
             out.append(step)
             source = step.where(F.col("z") == low).select("x", "y", "cnt")

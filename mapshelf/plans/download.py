@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.operators.indexing import indexed_input, read_index, read_master
-from mapshelf.operators.regions import region_lookup, region_query
+from mapshelf.operators.regions import region_query
 from mapshelf.operators.sinks import write_features
 from mapshelf.operators.spatial_filter import in_partitions, indexed_range_query
 
@@ -23,10 +23,10 @@ def select_features(spark: SparkSession, index_path: str, mbr: str | None = None
     indexed = read_index(spark, index_path)
     if region is not None:
         master = read_master(spark, index_path)
-        shape = region_lookup(regions, region)
-        near = master.join(shape.select("geom"), G.intersects_box(
-            F.col("geom"), [F.col(c) for c in G.MBR_COLUMNS])).select("part_id")
-        rows = in_partitions(indexed, near)
+        # The partition boxes are matched with the region like any other features.
+        boxes = master.where(F.col("xmin").isNotNull()).select("part_id", G.box_polygon(
+            *[F.col(c) for c in G.MBR_COLUMNS]).alias("geom"))
+        rows = in_partitions(indexed, region_query(boxes, regions, region, "part_id"))
         found = region_query(rows, regions, region, key or "fid", points=points)
     elif mbr is not None:
         found = indexed_range_query(indexed, read_master(spark, index_path), mbr, points=points)

@@ -60,12 +60,13 @@ def summarize_stage(features: DataFrame) -> dict:
     return summary
 
 
-def index_stage(features: DataFrame, folder: str, run: Run, num_points: int | None, num_features: int | None) -> str:
+def index_stage(features: DataFrame, folder: str, run: Run, row) -> None:
+    """Counts and bytes of the summary are handed on, so the partitioner need not count again."""
     separate = run.separate
     if separate is None:
-        separate = bool(num_features) and (num_points or 0) // num_features >= run.threshold
-    build_indexes(features, folder, separate, run.threshold, run.overwrite, method=run.method)
-    return f"{folder}/data_index"
+        separate = bool(row["num_features"]) and (row["num_points"] or 0) // row["num_features"] >= run.threshold
+    build_indexes(features, folder, separate, run.threshold, run.overwrite, method=run.method,
+                  rows=row["num_features"], total=row["size"])
 
 
 def tile_stage(spark: SparkSession, folder: str, relative: str, size: int | None, points: bool, run: Run):
@@ -107,8 +108,7 @@ def process_dataset(table: C.CatalogTable, dataset_id: str, run: Run) -> str:
             elif stage == "summarized":
                 values = summarize_stage(load_features(spark, folder, options))
             elif stage == "indexed":
-                row = _row(table, dataset_id)
-                index_stage(load_features(spark, folder, options), folder, run, row["num_points"], row["num_features"])
+                index_stage(load_features(spark, folder, options), folder, run, _row(table, dataset_id))
                 values = {"index_path": f"{relative}/data_index"}
             elif stage == "ready":
                 row = _row(table, dataset_id)
@@ -141,6 +141,6 @@ def reindex(table: C.CatalogTable, dataset_id: str, run: Run) -> str:
     relative = row["name"] or row["_id"]
     folder = f"{run.base.rstrip('/')}/{relative}"
     options = {**run.options, **(row["options"] or {})}
-    index_stage(load_features(spark, folder, options), folder, run, row["num_points"], row["num_features"])
+    index_stage(load_features(spark, folder, options), folder, run, row)
     _save(table, dataset_id, status="indexed", index_path=f"{relative}/data_index")
     return "indexed"

@@ -63,13 +63,13 @@ def read_csv_segments(spark: SparkSession, path, columns: str, header: bool = Fa
 GEOLIFE_HEADER = 6
 
 
-def read_geolife(spark: SparkSession, path) -> DataFrame:
+def read_geolife(spark: SparkSession, path, glob: str = "*.plt") -> DataFrame:
     """GPS traces ``*.plt``: six header lines, then lat, lon, reserved, altitude, days, date, time.
 
     A trace file is read as one text, so that header lines are known by their number; a record
     with too few fields or a bad number fails the job.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.plt").text(
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(
         path, wholetext=True)
     lines = files.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "line"))
     rows = lines.where((F.col("n") >= GEOLIFE_HEADER) & (F.col("line") != "")).select(F.split("line", ",").alias("p"))

@@ -133,3 +133,68 @@ REGIONS = """regions AS (
 
 IN_REGION = """(CASE WHEN position % 2 = 0 THEN abs(x - cx) <= 25 AND abs(y - cy) <= 10
                ELSE abs(x - cx) + abs(y - cy) <= 20.005 END)"""
+
+
+STATUSES = ["created", "downloaded", "decompressed", "summarized", "indexed", "ready", "published"]
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    key, n = F.col("doc_id"), F.col("n_chars")
+    return d.select(
+        F.lpad(F.hex(key), 24, "0").alias("_id"), F.concat("source", F.lit("/"), key.cast("string")).alias("name"),
+        F.concat(F.lit("Title "), key.cast("string")).alias("title"),
+        F.col("text").alias("description"), F.lit("csv").alias("format"), F.array("lang", "source").alias("tags"),
+        F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (key % 7 + 1).cast("int")).alias("status"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=key.cast("int"))).alias("modifiedAt"),
+        (n * 1000).alias("size"), n.alias("num_features"),
+        F.when(key % 150 != 0, n * (F.lit(1) + key % 150)).alias("num_points"),
+        F.lit("Point").alias("geometry_type"),
+        F.concat("source", F.lit("/"), key.cast("string"), F.lit("/data_index")).alias("index_path"))
+
+
+CATALOG = """catalog AS (
+  SELECT lpad(printf('%X', doc_id), 24, '0') AS _id, source || '/' || doc_id AS name, 'Title ' || doc_id AS title,
+         text AS description, 'csv' AS format, [lang, source] AS tags, doc_id, lang, source,
+         (['created','downloaded','decompressed','summarized','indexed','ready','published'])[CAST(doc_id % 7 + 1 AS INTEGER)] AS status,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS modifiedAt,
+         n_chars * 1000 AS size, n_chars AS num_features,
+         CASE WHEN doc_id % 150 <> 0 THEN n_chars * (1 + doc_id % 150) END AS num_points,
+         'Point' AS geometry_type, source || '/' || doc_id || '/data_index' AS index_path
+  FROM documents)"""
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One form per page, with links of five kinds and options of several forms."""
+    p = table(spark, sf_dir, "pages")
+    key = F.col("page_id").cast("string")
+    kind = F.col("page_id") % 5
+    link = (
+        F.when(kind == 1, F.concat(F.lit("https://drive.google.com/open?id=ID"), key, F.lit("&usp=sharing")))
+        .when(kind == 2, F.concat(F.lit("https://drive.google.com/file/d/F"), key, F.lit("/view")))
+        .when(kind == 3, F.concat(F.lit("https://www.dropbox.com/s/k"), key, F.lit("/data.zip?dl=0")))
+        .when(kind == 4, F.concat(F.lit("https://onedrive.live.com/edit/file/d/O"), key))
+        .otherwise(F.col("url")))
+    return p.select(
+        "page_id", link.alias("link"),
+        F.concat(F.lit("Page "), key).alias("title"), F.lit("").alias("description"), F.concat(F.lit("p/"), key).alias("name"),
+        F.lit("someone").alias("author"), F.lit("a@example.com").alias("email"), F.col("url").alias("project_homepage"),
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("  "), link, F.lit(" \r\n "), F.col("url"), F.lit("\n")))
+        .otherwise(link).alias("urls"),
+        F.when(kind == 2, F.lit("geojson")).otherwise(F.lit("csv")).alias("format"),
+        F.when(kind == 3, F.lit("wkt")).when(kind == 4, F.lit("other")).otherwise(F.lit("point")).alias("geometry_type"),
+        F.when(kind == 0, F.lit("lon")).otherwise(F.lit("")).alias("x_column"),
+        F.when(kind == 0, F.lit("lat")).alias("y_column"), F.when(F.col("page_id") % 2 == 0, F.lit("3")).alias("wkt_column"),
+        F.when(F.col("page_id") % 4 == 0, F.lit(";")).otherwise(F.lit("")).alias("delimiter"),
+        F.when(F.col("page_id") % 2 == 0, F.lit("on")).alias("skipheader"),
+        F.when(F.col("page_id") % 7 == 0, F.lit("Other")).otherwise(F.lit("CC0")).alias("license"),
+        F.lit("my own").alias("license_other"), F.concat(F.lit("a,b"), key).alias("tags"))
+
+
+SUBMISSIONS = """submissions AS (
+  SELECT page_id, CASE page_id % 5
+           WHEN 1 THEN 'https://drive.google.com/open?id=ID' || page_id || '&usp=sharing'
+           WHEN 2 THEN 'https://drive.google.com/file/d/F' || page_id || '/view'
+           WHEN 3 THEN 'https://www.dropbox.com/s/k' || page_id || '/data.zip?dl=0'
+           WHEN 4 THEN 'https://onedrive.live.com/edit/file/d/O' || page_id
+           ELSE url END AS link, url FROM pages)"""
