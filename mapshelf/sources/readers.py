@@ -22,8 +22,10 @@ def _delimited(spark: SparkSession, path, sep: str, header: bool, glob: str | No
         reader = reader.option("pathGlobFilter", glob)
     if schema:
         reader = reader.schema(schema)
-    return reader.csv(path, sep=sep, header=header, quote='"', escape='"', nullValue=NO_NULL,
-                      emptyValue="", mode="FAILFAST" if schema else "PERMISSIVE")
+    raw = reader.csv(path, sep=sep, header=header, quote='"', escape='"', nullValue=NO_NULL,
+                     emptyValue="", mode="FAILFAST" if schema else "PERMISSIVE")
+    # The parser gives NULL for an empty field without quotes.
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def _column(df: DataFrame, ref: int | str) -> str:

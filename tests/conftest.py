@@ -10,7 +10,8 @@ from mapshelf.session import build_session
 def spark():
     session = build_session(
         "mapshelf-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+           "spark.sql.maxMetadataStringLength": "10000"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

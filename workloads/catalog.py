@@ -69,16 +69,16 @@ def catalog_find_id_then_name(spark, sf):
 
 
 @query("catalog_search", _WITH + """SELECT _id, name FROM catalog
-WHERE contains(lower(name || ' ' || description || ' ' || array_to_string(tags, ',')), 'ent, eau')""")
+WHERE contains(lower(name || ' ' || description || ' ' || array_to_string(tags, ',')), 'license')""")
 def catalog_search(spark, sf):
-    return C.search(D.catalog(spark, sf), " ENT, eau ").select("_id", "name")
+    return C.search(D.catalog(spark, sf), " LICENSE ").select("_id", "name")
 
 
 @query("catalog_search_category", _WITH + """SELECT _id, name FROM catalog
-WHERE contains(lower(name || ' ' || description || ' ' || array_to_string(tags, ',')), 'en')
-  AND (name = 'web' OR starts_with(name, 'web/'))""")
+WHERE contains(lower(name || ' ' || description || ' ' || array_to_string(tags, ',')), 'the')
+  AND (name = 'src7' OR starts_with(name, 'src7/'))""")
 def catalog_search_category(spark, sf):
-    return C.search(D.catalog(spark, sf), "EN", "web").select("_id", "name")
+    return C.search(D.catalog(spark, sf), "THE", "src7").select("_id", "name")
 
 
 @query("catalog_suggest", _WITH + """SELECT _id, name FROM catalog
@@ -151,9 +151,9 @@ def last_modified(spark, sf):
         F.date_format("last_modified", "yyyy-MM-dd HH:mm:ss").alias("last_modified"))
 
 
-@query("changed_since", _WITH + f"""SELECT _id, {_STAMP_SQL} FROM catalog WHERE modifiedAt >= TIMESTAMP '2024-01-01 05:00:00'""")
+@query("changed_since", _WITH + f"""SELECT _id, {_STAMP_SQL} FROM catalog WHERE modifiedAt >= TIMESTAMP '2024-01-01 02:00:00'""")
 def changed_since(spark, sf):
-    return C.changed_since(D.catalog(spark, sf), F.lit("2024-01-01 05:00:00").cast("timestamp")).select("_id", _STAMP)
+    return C.changed_since(D.catalog(spark, sf), F.lit("2024-01-01 02:00:00").cast("timestamp")).select("_id", _STAMP)
 
 
 @query("pending", _WITH + "SELECT _id, status FROM catalog WHERE status = 'created'")

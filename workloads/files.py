@@ -158,7 +158,7 @@ def read_catalog_json(spark, sf):
 
 @query("archive_entries", f"""WITH {D.EVENT_POINTS}, f AS (SELECT event_id // 64 AS fid, string_agg(x || ',' || y || chr(10), '' ORDER BY event_id) AS t
   FROM event_points GROUP BY 1)
-SELECT 'a' || fid // 16 AS folder, 'trips/' || fid || '.csv' AS entry, length(t) AS n_bytes, md5(t) AS digest FROM f""")
+SELECT 'a' || fid // 16 AS folder, 'trips/' || fid || '.csv' AS entry, CAST(length(t) AS INTEGER) AS n_bytes, md5(t) AS digest FROM f""")
 def archive_entries(spark, sf):
     """Zip files of 16 trip texts each, with a folder entry that has to be skipped."""
     path = scratch_path(spark, "zips")
@@ -237,7 +237,7 @@ def read_index(spark, sf):
 @query("read_master", f"""WITH {D.POINTS}, placed AS (
   SELECT *, CAST(floor((y + 90) / 180.0 * 4) * 4 + floor((x + 180) / 360.0 * 4) AS INTEGER) AS part_id FROM points)
 SELECT part_id, count(*) AS record_count, count(*) AS nonempty_count, count(*) AS num_points,
-  sum(16 + length(CAST(fid AS VARCHAR)) + length(o_orderstatus) + length(CAST(o_totalprice AS VARCHAR)) + length(o_orderpriority)) AS data_size,
+  CAST(sum(16 + length(CAST(fid AS VARCHAR)) + length(o_orderstatus) + length(CAST(o_totalprice AS VARCHAR)) + length(o_orderpriority)) AS BIGINT) AS data_size,
   'POLYGON((' || min(x) || ' ' || min(y) || ',' || max(x) || ' ' || min(y) || ',' || max(x) || ' ' || max(y) || ',' || min(x) || ' ' || max(y)
   || ',' || min(x) || ' ' || min(y) || '))' AS boundary FROM placed GROUP BY part_id""")
 def read_master(spark, sf):
@@ -254,7 +254,7 @@ def indexed_range_query(spark, sf):
 
 
 @query("break_and_index", f"""WITH {D.TRIPS}, n AS (SELECT fid, count(*) AS n FROM trip_vertices GROUP BY fid)
-SELECT sum(CASE WHEN n <= 20 THEN 1 ELSE (n - 2) // 19 + 1 END) AS n_pieces, sum(CASE WHEN n <= 20 THEN n ELSE n + (n - 2) // 19 END) AS n_points FROM n""")
+SELECT CAST(sum(CASE WHEN n <= 20 THEN 1 ELSE (n - 2) // 19 + 1 END) AS BIGINT) AS n_pieces, CAST(sum(CASE WHEN n <= 20 THEN n ELSE n + (n - 2) // 19 END) AS BIGINT) AS n_points FROM n""")
 def break_and_index(spark, sf):
     path = scratch_path(spark, "broken")
     I.break_and_index(D.trips(spark, sf), path, threshold=20, parts=8)
@@ -263,7 +263,7 @@ def break_and_index(spark, sf):
 
 @query("build_indexes", f"""WITH {D.TRIPS}, n AS (SELECT fid, count(*) AS n FROM trip_vertices GROUP BY fid)
 SELECT 'data' AS kind, count(*) AS n_records FROM n
-UNION ALL SELECT 'viz', sum(CASE WHEN n <= 20 THEN 1 ELSE (n - 2) // 19 + 1 END) FROM n""")
+UNION ALL SELECT 'viz', CAST(sum(CASE WHEN n <= 20 THEN 1 ELSE (n - 2) // 19 + 1 END) AS BIGINT) FROM n""")
 def build_indexes(spark, sf):
     """Trips have 64 points, above the threshold of 20: a second index for drawing."""
     path = scratch_path(spark, "both")

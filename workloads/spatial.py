@@ -217,7 +217,7 @@ def view_feature_none(spark, sf):
 # ---------------------------------------------------------------- summaries
 
 @query("summary_points", f"""WITH {D.POINTS}
-SELECT sum(16 + length(o_orderstatus) + length(CAST(o_totalprice AS VARCHAR)) + length(o_orderpriority)) AS size,
+SELECT CAST(sum(16 + length(o_orderstatus) + length(CAST(o_totalprice AS VARCHAR)) + length(o_orderpriority)) AS BIGINT) AS size,
        count(*) AS num_features, CAST(NULL AS BIGINT) AS num_points, 'Point' AS geometry_type,
        min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax, true AS no_sides FROM points""")
 def summary_points(spark, sf):
@@ -228,7 +228,7 @@ def summary_points(spark, sf):
 
 
 @query("summary_by_user", f"""WITH {D.EVENT_POINTS}
-SELECT user_id, sum(16 + length(event_type)) AS size, count(*) AS num_features,
+SELECT user_id, CAST(sum(16 + length(event_type)) AS BIGINT) AS size, count(*) AS num_features,
        min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM event_points GROUP BY user_id""")
 def summary_by_user(spark, sf):
     s = A.summarize(D.event_points(spark, sf), by=["user_id"], key="event_id")
@@ -238,7 +238,7 @@ def summary_by_user(spark, sf):
 
 @query("summary_trips", f"""WITH {D.TRIPS}, t AS (
   SELECT fid, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM trip_vertices GROUP BY fid)
-SELECT 16 * sum(n) AS size, count(*) AS num_features, sum(n) AS num_points, 'LineString' AS geometry_type,
+SELECT CAST(16 * sum(n) AS BIGINT) AS size, count(*) AS num_features, CAST(sum(n) AS BIGINT) AS num_points, 'LineString' AS geometry_type,
        round(avg(x1 - x0), 6) AS width, round(avg(y1 - y0), 6) AS height FROM t""")
 def summary_trips(spark, sf):
     s = A.summarize(D.trips(spark, sf), key="fid")
@@ -272,7 +272,7 @@ def _broken_sql(source: str, table: str, t: int) -> str:
     return f"""WITH {source}, sized AS (SELECT *, count(*) OVER (PARTITION BY fid) AS n FROM {table}),
 cut AS (SELECT fid, n, i, x, y, k FROM sized, range(64) c(k)
   WHERE CASE WHEN n <= {t} THEN k = 0 ELSE k <= (n - 2) // ({t} - 1) AND i BETWEEN k * ({t} - 1) AND k * ({t} - 1) + {t} - 1 END)
-SELECT fid, k AS piece, count(*) AS n_points, min_by(x, i) AS first_x, min_by(y, i) AS first_y,
+SELECT fid, CAST(k AS INTEGER) AS piece, count(*) AS n_points, min_by(x, i) AS first_x, min_by(y, i) AS first_y,
        max_by(x, i) AS last_x, max_by(y, i) AS last_y FROM cut GROUP BY fid, k"""
 
 
@@ -295,7 +295,7 @@ def break_lines(spark, sf):
 
 
 @query("break_multipoints", f"""WITH {D.TRIPS}
-SELECT fid, i AS piece, 'Point' AS kind, x, y FROM (SELECT *, count(*) OVER (PARTITION BY fid) AS n FROM trip_vertices)
+SELECT fid, CAST(i AS INTEGER) AS piece, 'Point' AS kind, x, y FROM (SELECT *, count(*) OVER (PARTITION BY fid) AS n FROM trip_vertices)
 WHERE n > 20""")
 def break_multipoints(spark, sf):
     trips = D.trips(spark, sf, "MultiPoint").where(G.num_points(F.col("geom")) > 20)
@@ -367,7 +367,7 @@ def zcurve_partition(spark, sf):
 
 @query("rsgrove_partition", f"""WITH {D.POINTS}
 SELECT count(*) AS n_features, count(DISTINCT fid) AS n_distinct, 32 AS n_parts, true AS balanced,
-       sum(16 + length(o_orderstatus)) AS n_bytes FROM points""")
+       CAST(sum(16 + length(o_orderstatus)) AS BIGINT) AS n_bytes FROM points""")
 def rsgrove_partition(spark, sf):
     """Every feature in one part, and no part above twice the mean weight."""
     p = D.points(spark, sf).select("fid", "o_orderstatus", "geom", *G.MBR_COLUMNS)
