@@ -1,17 +1,22 @@
-"""The geometry column and the functions over it, all plain column expressions.
+"""The geometry column and the functions over it.
 
 A geometry is ``struct<kind, parts: array<struct<kind, rings: array<array<struct<x,y>>>>>>``.
 A point, line or ring has one part with one ring; a polygon has one part whose first ring is
 the shell and whose other rings are holes; multi-geometries and collections have one part per
 member. An empty geometry has no parts and a missing one is NULL.
 
+The functions take SQL expression text (usually column names) and return SQL expression text
+for ``F.expr`` and ``selectExpr``. Text is parsed in one step, where the same expression built
+from column objects costs thousands of calls into the JVM. Geometry arguments must be column or
+lambda names; ``let`` binds anything else.
+
 Array lambdas are interpreted by Spark, so callers test the flat bounding box columns first
 and reach the functions here only for the rows that survive.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERTEX = "struct<x:double,y:double>"
@@ -32,118 +37,127 @@ MULTI_KINDS = ("MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollect
 MAP_BOX = (-180.0, -85.0511287798066, 180.0, 85.0511287798066)
 
 
-def _d(value) -> Column:
-    return value.cast("double") if isinstance(value, Column) else F.lit(float(value))
+def num(value) -> str:
+    """Text stays; a number becomes a double literal."""
+    return value if isinstance(value, str) else f"{float(value)!r}D"
+
+
+def text_list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 # ---------------------------------------------------------------- constructors
 
-def vertex(x, y) -> Column:
-    return F.struct(_d(x).alias("x"), _d(y).alias("y"))
+def vertex(x, y) -> str:
+    return f"named_struct('x', double({num(x)}), 'y', double({num(y)}))"
 
 
-def part(kind, rings: Column) -> Column:
-    kind = kind if isinstance(kind, Column) else F.lit(kind)
-    return F.struct(kind.alias("kind"), rings.alias("rings"))
+def part(kind: str, rings: str) -> str:
+    return f"named_struct('kind', {kind}, 'rings', {rings})"
 
 
-def geometry(kind, parts: Column) -> Column:
-    kind = kind if isinstance(kind, Column) else F.lit(kind)
-    return F.struct(kind.alias("kind"), parts.alias("parts")).cast(GEOM)
+def geometry(kind: str, parts: str) -> str:
+    return f"named_struct('kind', {kind}, 'parts', {parts})"
 
 
-def empty(kind: str) -> Column:
-    return geometry(kind, F.array().cast(f"array<{PART}>"))
+def point(x, y) -> str:
+    return geometry("'Point'", f"array({part(repr('Point'), f'array(array({vertex(x, y)}))')})")
 
 
-def point(x, y) -> Column:
-    return geometry("Point", F.array(part("Point", F.array(F.array(vertex(x, y))))))
+def line(vertices: str, kind: str = "LineString") -> str:
+    return geometry(f"'{kind}'", f"array({part(repr(kind), f'array({vertices})')})")
 
 
-def line(vertices: Column, kind: str = "LineString") -> Column:
-    return geometry(kind, F.array(part(kind, F.array(vertices))))
+def polygon(rings: str) -> str:
+    return geometry("'Polygon'", f"array({part(repr('Polygon'), rings)})")
 
 
-def polygon(rings: Column) -> Column:
-    return geometry("Polygon", F.array(part("Polygon", rings)))
+def multipoint(vertices: str) -> str:
+    return geometry("'MultiPoint'", f"transform({vertices}, _mp -> {part(repr('Point'), 'array(array(_mp))')})")
 
 
-def multipoint(vertices: Column) -> Column:
-    return geometry("MultiPoint", F.transform(vertices, lambda v: part("Point", F.array(F.array(v)))))
+def ring_of(*corners) -> str:
+    """A ring through the given (x, y) corners."""
+    return "array(" + ", ".join(vertex(x, y) for x, y in corners) + ")"
 
 
-def box_polygon(xmin, ymin, xmax, ymax) -> Column:
+def box_polygon(xmin, ymin, xmax, ymax) -> str:
     """A closed ring that starts at the lower left corner and goes counter-clockwise."""
-    return polygon(F.array(F.array(
-        vertex(xmin, ymin), vertex(xmax, ymin), vertex(xmax, ymax),
-        vertex(xmin, ymax), vertex(xmin, ymin))))
+    ring = ring_of((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin))
+    return polygon(f"array({ring})")
 
 
 # ---------------------------------------------------------------- measures
 
-def rings_of(geom: Column) -> Column:
-    return F.flatten(F.transform(geom["parts"], lambda p: p["rings"]))
+def rings_of(geom: str) -> str:
+    return f"flatten(transform({geom}.parts, _rp -> _rp.rings))"
+
 
+def vertices_of(geom: str) -> str:
+    return f"flatten({rings_of(geom)})"
 
-def vertices_of(geom: Column) -> Column:
-    return F.flatten(rings_of(geom))
 
+def _first_vertex(geom: str) -> str:
+    return f"get(get(get({geom}.parts, 0).rings, 0), 0)"
 
-def _first_vertex(geom: Column) -> Column:
-    return F.get(F.get(F.get(geom["parts"], F.lit(0))["rings"], F.lit(0)), F.lit(0))
 
+def ring_points(part_name: str) -> str:
+    return f"aggregate({part_name}.rings, 0, (_na, _nr) -> _na + size(_nr))"
 
-def num_points(geom: Column) -> Column:
+
+def num_points(geom: str) -> str:
     """All vertices, with the closing vertex of rings."""
-    total = F.aggregate(
-        geom["parts"], F.lit(0),
-        lambda acc, p: acc + F.aggregate(p["rings"], F.lit(0), lambda a, r: a + F.size(r)))
-    return F.when(geom["kind"] == "Point", F.size(geom["parts"])).otherwise(total).cast("long")
+    return (f"bigint(case when {geom}.kind = 'Point' then if(get({geom}.parts, 0) is null, 0, 1) "
+            f"when {geom} is not null then aggregate({geom}.parts, 0, (_ng, _np) -> _ng + {ring_points('_np')}) end)")
 
 
-def is_empty(geom: Column) -> Column:
-    return F.when(geom["kind"] == "Point", F.size(geom["parts"]) == 0).otherwise(num_points(geom) == 0)
+def is_empty(geom: str) -> str:
+    return f"({num_points(geom)} = 0)"
 
 
-def _bound(geom: Column, axis: str, pick) -> Column:
+def _bound(geom: str, axis: str, pick: str) -> str:
     # The point branch folds away to the coordinate itself when the geometry is built in the
     # same query, which keeps point data inside generated code.
-    spread = pick(F.transform(vertices_of(geom), lambda v: v[axis]))
-    return F.when(geom["kind"] == "Point", _first_vertex(geom)[axis]).otherwise(spread)
+    return (f"case when {geom}.kind = 'Point' then {_first_vertex(geom)}.{axis} "
+            f"else {pick}(transform({vertices_of(geom)}, _bv -> _bv.{axis})) end")
 
 
-def xmin(geom: Column) -> Column:
-    return _bound(geom, "x", F.array_min)
+def xmin(geom: str) -> str:
+    return _bound(geom, "x", "array_min")
 
 
-def ymin(geom: Column) -> Column:
-    return _bound(geom, "y", F.array_min)
+def ymin(geom: str) -> str:
+    return _bound(geom, "y", "array_min")
 
 
-def xmax(geom: Column) -> Column:
-    return _bound(geom, "x", F.array_max)
+def xmax(geom: str) -> str:
+    return _bound(geom, "x", "array_max")
 
 
-def ymax(geom: Column) -> Column:
-    return _bound(geom, "y", F.array_max)
+def ymax(geom: str) -> str:
+    return _bound(geom, "y", "array_max")
 
 
-def mbr(geom: Column) -> Column:
+def mbr(geom: str) -> str:
     """Closed bounding box; its fields are NULL for a missing or empty geometry."""
-    return F.struct(xmin(geom).alias("xmin"), ymin(geom).alias("ymin"),
-                    xmax(geom).alias("xmax"), ymax(geom).alias("ymax"))
+    return (f"named_struct('xmin', {xmin(geom)}, 'ymin', {ymin(geom)}, "
+            f"'xmax', {xmax(geom)}, 'ymax', {ymax(geom)})")
 
 
-def side_lengths(geom: Column) -> Column:
-    return F.struct((xmax(geom) - xmin(geom)).alias("width"), (ymax(geom) - ymin(geom)).alias("height"))
+def side_lengths(geom: str) -> str:
+    return f"named_struct('width', {xmax(geom)} - {xmin(geom)}, 'height', {ymax(geom)} - {ymin(geom)})"
 
 
 def with_mbr(df: DataFrame, geom: str = "geom") -> DataFrame:
     """Add the four flat bounding box columns unless the table already has them."""
     if all(c in df.columns for c in MBR_COLUMNS):
         return df
-    g = F.col(geom)
-    return df.withColumns({"xmin": xmin(g), "ymin": ymin(g), "xmax": xmax(g), "ymax": ymax(g)})
+    return df.withColumns({c: F.expr(f(geom)) for c, f in zip(MBR_COLUMNS, (xmin, ymin, xmax, ymax))})
 
 
 def attribute_columns(df: DataFrame) -> list[str]:
@@ -152,100 +166,100 @@ def attribute_columns(df: DataFrame) -> list[str]:
 
 # ---------------------------------------------------------------- predicates
 
-def segments_of_rings(rings: Column) -> Column:
+def segments_of_rings(rings: str) -> str:
     """Consecutive vertex pairs; a lone vertex gives one segment of length zero."""
-    def one(ring: Column) -> Column:
-        n = F.size(ring)
-        tail = F.when(n > 1, F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(ring)
-        head = F.slice(ring, F.lit(1), F.greatest(F.size(tail), F.lit(0)))
-        return F.zip_with(head, tail, lambda a, b: F.struct(
-            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    return F.flatten(F.transform(rings, one))
+    pair = "named_struct('x1', _sa.x, 'y1', _sa.y, 'x2', _sb.x, 'y2', _sb.y)"
+    return (f"flatten(transform({rings}, _sr -> zip_with("
+            f"if(size(_sr) > 1, slice(_sr, 1, size(_sr) - 1), _sr), "
+            f"if(size(_sr) > 1, slice(_sr, 2, size(_sr) - 1), _sr), (_sa, _sb) -> {pair})))")
 
 
-def segments(geom: Column) -> Column:
+def segments(geom: str) -> str:
     return segments_of_rings(rings_of(geom))
 
 
-def turn(ax, ay, bx, by, cx, cy) -> Column:
+def turn(ax, ay, bx, by, cx, cy) -> str:
     """Positive when c lies to the left of the directed line from a to b."""
-    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+
+
+def _turn_of(s: str, x: str, y: str) -> str:
+    return turn(f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2", x, y)
 
 
-def segments_touch(s: Column, t: Column) -> Column:
+def segments_touch(s: str, t: str) -> str:
     """Closed intersection of two segments, either of which may have length zero.
 
     Two segments meet exactly when their boxes overlap and neither lies strictly on one side
     of the other's line; on a shared line the box test alone decides.
     """
-    boxes = (
-        (F.least(s["x1"], s["x2"]) <= F.greatest(t["x1"], t["x2"]))
-        & (F.least(t["x1"], t["x2"]) <= F.greatest(s["x1"], s["x2"]))
-        & (F.least(s["y1"], s["y2"]) <= F.greatest(t["y1"], t["y2"]))
-        & (F.least(t["y1"], t["y2"]) <= F.greatest(s["y1"], s["y2"])))
+    def overlap(a: str) -> str:
+        return (f"least({s}.{a}1, {s}.{a}2) <= greatest({t}.{a}1, {t}.{a}2) "
+                f"and least({t}.{a}1, {t}.{a}2) <= greatest({s}.{a}1, {s}.{a}2)")
 
-    def straddles(p: Column, q: Column) -> Column:
-        one = F.signum(turn(p["x1"], p["y1"], p["x2"], p["y2"], q["x1"], q["y1"]))
-        two = F.signum(turn(p["x1"], p["y1"], p["x2"], p["y2"], q["x2"], q["y2"]))
-        return one * two <= 0
+    def straddles(p: str, q: str) -> str:
+        return (f"signum({_turn_of(p, f'{q}.x1', f'{q}.y1')}) "
+                f"* signum({_turn_of(p, f'{q}.x2', f'{q}.y2')}) <= 0")
 
-    return boxes & straddles(s, t) & straddles(t, s)
+    return f"({overlap('x')} and {overlap('y')} and {straddles(s, t)} and {straddles(t, s)})"
 
 
-def segment_touches_box(s: Column, bx0, by0, bx1, by1) -> Column:
+def segment_touches_box(s: str, bx0, by0, bx1, by1) -> str:
     """Closed test: the boxes overlap and the box corners are not all strictly on one side."""
-    corners = [turn(s["x1"], s["y1"], s["x2"], s["y2"], cx, cy)
-               for cx in (bx0, bx1) for cy in (by0, by1)]
-    return ((F.least(s["x1"], s["x2"]) <= bx1) & (F.greatest(s["x1"], s["x2"]) >= bx0)
-            & (F.least(s["y1"], s["y2"]) <= by1) & (F.greatest(s["y1"], s["y2"]) >= by0)
-            & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+    bx0, by0, bx1, by1 = num(bx0), num(by0), num(bx1), num(by1)
+    corners = ", ".join(_turn_of(s, cx, cy) for cx in (bx0, bx1) for cy in (by0, by1))
+    return (f"(least({s}.x1, {s}.x2) <= {bx1} and greatest({s}.x1, {s}.x2) >= {bx0} "
+            f"and least({s}.y1, {s}.y2) <= {by1} and greatest({s}.y1, {s}.y2) >= {by0} "
+            f"and least({corners}) <= 0 and greatest({corners}) >= 0)")
 
 
-def crosses_ray(s: Column, x, y) -> Column:
+def crosses_ray(s: str, x: str, y: str) -> str:
     """Does the ray from (x, y) to the right cross the segment? Half open in y."""
-    side = turn(s["x1"], s["y1"], s["x2"], s["y2"], x, y)
-    return (((s["y1"] <= y) & (s["y2"] > y) & (side > 0))
-            | ((s["y2"] <= y) & (s["y1"] > y) & (side < 0)))
+    return (f"(({s}.y1 <= {y} and {s}.y2 > {y} and {_turn_of(s, x, y)} > 0) "
+            f"or ({s}.y2 <= {y} and {s}.y1 > {y} and {_turn_of(s, x, y)} < 0))")
 
 
-def strictly_inside(x, y, edges: Column) -> Column:
+def strictly_inside(x, y, edges: str) -> str:
     """Crossing parity; points on an edge must have been accepted before."""
-    return F.size(F.filter(edges, lambda s: crosses_ray(s, x, y))) % 2 == 1
+    return f"(size(filter({edges}, _si -> {crosses_ray('_si', num(x), num(y))})) % 2 = 1)"
 
 
-def _polygon_parts(geom: Column) -> Column:
-    return F.filter(geom["parts"], lambda p: p["kind"] == "Polygon")
+def polygon_parts(geom: str) -> str:
+    return f"filter({geom}.parts, _pp -> _pp.kind = 'Polygon')"
 
 
-def _some_vertex_inside(outer: Column, inner: Column) -> Column:
+def _some_vertex_inside(outer: str, inner: str) -> str:
     """Is the first vertex of any part of ``inner`` inside a polygon part of ``outer``?"""
-    return F.exists(_polygon_parts(outer), lambda p: F.exists(
-        F.transform(inner["parts"], lambda q: F.get(F.get(q["rings"], F.lit(0)), F.lit(0))),
-        lambda v: strictly_inside(v["x"], v["y"], segments_of_rings(p["rings"]))))
+    inside = strictly_inside("_vi.x", "_vi.y", segments_of_rings("_vp.rings"))
+    return (f"exists({polygon_parts(outer)}, _vp -> exists("
+            f"transform({inner}.parts, _vq -> get(get(_vq.rings, 0), 0)), _vi -> {inside}))")
 
 
-def intersects(a: Column, b: Column) -> Column:
+def intersects(a: str, b: str) -> str:
     """Closed intersection of two geometries; NULL and empty never intersect anything."""
-    touch = F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: segments_touch(s, t)))
-    hit = touch | _some_vertex_inside(a, b) | _some_vertex_inside(b, a)
-    return F.coalesce(hit, F.lit(False))
+    touch = f"exists({segments(a)}, _ia -> exists({segments(b)}, _ib -> {segments_touch('_ia', '_ib')}))"
+    return f"coalesce({touch} or {_some_vertex_inside(a, b)} or {_some_vertex_inside(b, a)}, false)"
 
 
-def boxes_overlap(box, bounds=None) -> Column:
+def boxes_overlap(box, bounds=MBR_COLUMNS) -> str:
     """Closed overlap of the flat bounding box columns (or ``bounds``) with ``box``."""
-    x0, y0, x1, y1 = bounds if bounds is not None else [F.col(c) for c in MBR_COLUMNS]
-    bx0, by0, bx1, by1 = [v if isinstance(v, Column) else F.lit(float(v)) for v in box]
-    return (x0 <= bx1) & (x1 >= bx0) & (y0 <= by1) & (y1 >= by0)
+    x0, y0, x1, y1 = bounds
+    bx0, by0, bx1, by1 = [num(v) for v in box]
+    return f"({x0} <= {bx1} and {x1} >= {bx0} and {y0} <= {by1} and {y1} >= {by0})"
 
 
-def intersects_box(geom: Column, box, bounds=None) -> Column:
+def intersects_box(geom: str, box, bounds=None) -> str:
     """Closed intersection with an axis-aligned box: bounding box first, then the shape."""
-    x0, y0, x1, y1 = bounds if bounds is not None else (xmin(geom), ymin(geom), xmax(geom), ymax(geom))
-    bx0, by0, bx1, by1 = [v if isinstance(v, Column) else F.lit(float(v)) for v in box]
+    x0, y0, x1, y1 = bounds or (xmin(geom), ymin(geom), xmax(geom), ymax(geom))
+    bx0, by0, bx1, by1 = [num(v) for v in box]
     near = boxes_overlap((bx0, by0, bx1, by1), (x0, y0, x1, y1))
-    within = (x0 >= bx0) & (x1 <= bx1) & (y0 >= by0) & (y1 <= by1)
-    edge = F.exists(segments(geom), lambda s: segment_touches_box(s, bx0, by0, bx1, by1))
-    covers = F.exists(_polygon_parts(geom), lambda p: strictly_inside(
-        bx0, by0, segments_of_rings(p["rings"])))
-    shape = F.when((geom["kind"] == "Point") | within, F.lit(True)).otherwise(edge | covers)
-    return F.coalesce(F.when(near, shape), F.lit(False))
+    within = f"({x0} >= {bx0} and {x1} <= {bx1} and {y0} >= {by0} and {y1} <= {by1})"
+    edge = f"exists({segments(geom)}, _eb -> {segment_touches_box('_eb', bx0, by0, bx1, by1)})"
+    covers = f"exists({polygon_parts(geom)}, _cb -> {strictly_inside(bx0, by0, segments_of_rings('_cb.rings'))})"
+    return f"coalesce({near} and ({geom}.kind = 'Point' or {within} or {edge} or {covers}), false)"
+
+
+def kind_code(geom: str) -> str:
+    """Number of the kind in ``KINDS``, from 1; other kinds are 0."""
+    whens = " ".join(f"when '{k}' then {i + 1}" for i, k in enumerate(KINDS))
+    return f"case {geom}.kind {whens} when null then null else if({geom} is null, null, 0) end"

@@ -1,11 +1,8 @@
-"""Geometry to and from text: WKT, GeoJSON and KML, as column expressions."""
+"""Geometry to and from text: WKT, GeoJSON and KML, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from mapshelf.functions.geometry import GEOM, PART
+from mapshelf.functions.geometry import GEOM, PART, let
 
 # WKT keyword, geometry kind, kind of each part.
 WKT_KINDS = [
@@ -28,207 +25,146 @@ _MEMBER = (
     rf"(?:MULTIPOLYGON{_TAG}{_DEEP}"
     rf"|(?:MULTILINESTRING|MULTIPOINT|POLYGON){_TAG}{_NEST}"
     rf"|(?:MULTIPOINT|LINESTRING|LINEARRING|POINT){_TAG}{_FLAT})")
+_NUMBER = r"[-+0-9.E]+"
 
 _COORDS = "array<array<array<array<double>>>>"
+_NO_PARTS = f"cast(array() as array<{PART}>)"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _raw(pattern: str) -> str:
+    """A text literal in which backslashes stand for themselves."""
+    return f"r'{pattern}'"
 
 
-def _kind_map(position: int) -> Column:
-    pairs = []
-    for row in WKT_KINDS:
-        if row[position] is not None:
-            pairs += [F.lit(row[0]), F.lit(row[position])]
-    return F.create_map(*pairs)
+def _pick(word: str, position: int) -> str:
+    whens = " ".join(f"when '{row[0]}' then '{row[position]}'" for row in WKT_KINDS if row[position])
+    return f"case {word} {whens} end"
 
 
-def _parts(coords: Column, kind: Column) -> Column:
+def _parts(coords: str, kind: str) -> str:
     """Four-level coordinate arrays (part, ring, vertex, ordinate) to geometry parts."""
-    return F.transform(coords, lambda p: F.struct(
-        kind.alias("kind"),
-        F.transform(p, lambda r: F.transform(r, lambda v: F.struct(
-            F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))).alias("rings")))
+    return (f"transform({coords}, _cp -> named_struct('kind', {kind}, 'rings', transform(_cp, _cr -> "
+            f"transform(_cr, _cv -> named_struct('x', get(_cv, 0), 'y', get(_cv, 1))))))")
 
 
-def _deepen(kind: Column, body: Column) -> Column:
+def _deepen(kind: str, body: str) -> str:
     """Coordinate JSON of any simple kind to the four-level arrays of ``_parts``."""
-    each = F.from_json(body, "array<array<double>>")
-    lines = F.from_json(body, "array<array<array<double>>>")
     return (
-        F.when(kind.isin("Point"), F.from_json(F.concat(F.lit("[[["), body, F.lit("]]]")), _COORDS))
-        .when(kind.isin("LineString", "LinearRing"),
-              F.from_json(F.concat(F.lit("[["), body, F.lit("]]")), _COORDS))
-        .when(kind == "Polygon", F.from_json(F.concat(F.lit("["), body, F.lit("]")), _COORDS))
-        .when(kind == "MultiPoint", F.transform(each, lambda v: F.array(F.array(v))))
-        .when(kind == "MultiLineString", F.transform(lines, lambda r: F.array(r)))
-        .when(kind == "MultiPolygon", F.from_json(body, _COORDS)))
+        f"case when {kind} = 'Point' then from_json(concat('[[[', {body}, ']]]'), '{_COORDS}') "
+        f"when {kind} in ('LineString', 'LinearRing') then from_json(concat('[[', {body}, ']]'), '{_COORDS}') "
+        f"when {kind} = 'Polygon' then from_json(concat('[', {body}, ']'), '{_COORDS}') "
+        f"when {kind} = 'MultiPoint' then transform(from_json({body}, 'array<array<double>>'), _dv -> array(array(_dv))) "
+        f"when {kind} = 'MultiLineString' then transform(from_json({body}, 'array<array<array<double>>>'), _dr -> array(_dr)) "
+        f"when {kind} = 'MultiPolygon' then from_json({body}, '{_COORDS}') end")
 
 
-def from_wkt(text: Column) -> Column:
+def from_wkt(text: str) -> str:
     """Parse WKT of the seven kinds and one level of collections; blank text gives NULL.
 
     Text that names no known kind, or names one without a readable body, fails the job.
     """
-    upper = F.upper(F.trim(F.regexp_replace(text, r"^\s*SRID=\d+;", "")))
-    number = r"[-+0-9.E]+"
-
-    def member_parts(m: Column) -> Column:
-        word = F.regexp_extract(m, r"^([A-Z]+?)\s*(?:ZM|Z|M)?\s*\(", 1)
-        bare = F.regexp_replace(m, r"^[A-Z\s]+", "")
-        # One bracket per vertex; MULTIPOINT may bracket its points already, and a lone
-        # point keeps one bracket pair less than a list of vertices.
-        flat = F.regexp_replace(bare, r"[()]", "")
-        body = (F.when(word == "POINT", flat)
-                .when(word == "MULTIPOINT", F.concat(F.lit("("), flat, F.lit(")")))
-                .otherwise(bare))
-        coords = F.translate(
-            F.regexp_replace(body, rf"({number})\s+({number})(?:\s+{number})*", "[$1,$2]"), "()", "[]")
-        return let(F.struct(word.alias("word"), F.trim(coords).alias("coords")), lambda v: _parts(
-            _deepen(F.element_at(_kind_map(1), v["word"]), v["coords"]),
-            F.element_at(_kind_map(2), v["word"])))
-
-    def assemble(v: Column) -> Column:
-        return (
-            F.when(v["known"].isNull() | ((F.size(v["members"]) == 0) & ~v["blank"]),
-                   F.raise_error(F.concat(F.lit("Unreadable WKT: "), text)).cast(GEOM))
-            .otherwise(F.struct(
-                v["known"].alias("kind"),
-                F.flatten(F.transform(v["members"], member_parts)).alias("parts")).cast(GEOM)))
-
-    scanned = let(upper, lambda u: F.struct(
-        F.element_at(_kind_map(1), F.regexp_extract(u, r"^([A-Z]+?)(?:ZM|Z|M)?(?:\s|\(|$)", 1)).alias("known"),
-        F.regexp_extract_all(u, F.lit(f"({_MEMBER})"), F.lit(1)).alias("members"),
-        F.contains(u, F.lit("EMPTY")).alias("blank")))
-    return F.when(F.trim(text) != "", let(scanned, assemble))
-
-
-def _xy_list(ring: Column, between: str, join: str) -> Column:
-    return F.array_join(F.transform(ring, lambda v: F.concat(
-        v["x"].cast("string"), F.lit(between), v["y"].cast("string"))), join)
-
-
-def _part_body(p: Column) -> Column:
-    """The bracketed body of one part in WKT."""
-    flat = F.concat(F.lit("("), _xy_list(F.get(p["rings"], F.lit(0)), " ", ","), F.lit(")"))
-    rings = F.concat(F.lit("("), F.array_join(F.transform(p["rings"], lambda r: F.concat(
-        F.lit("("), _xy_list(r, " ", ","), F.lit(")"))), ","), F.lit(")"))
-    return F.when(p["kind"] == "Polygon", rings).otherwise(flat)
-
-
-def to_wkt(geom: Column) -> Column:
+    upper = f"upper(trim(regexp_replace({text}, {_raw(r'^\s*SRID=\d+;')}, '')))"
+    bare = f"regexp_replace(_wm, {_raw(r'^[A-Z\s]+')}, '')"
+    flat = f"regexp_replace({bare}, {_raw('[()]')}, '')"
+    word = f"regexp_extract(_wm, {_raw(r'^([A-Z]+?)\s*(?:ZM|Z|M)?\s*\(')}, 1)"
+    # One bracket per vertex; MULTIPOINT may bracket its points already, and a lone point keeps
+    # one bracket pair less than a list of vertices.
+    body = f"case {word} when 'POINT' then {flat} when 'MULTIPOINT' then concat('(', {flat}, ')') else {bare} end"
+    coords = (f"trim(translate(regexp_replace({body}, "
+              f"{_raw(rf'({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*')}, '[$1,$2]'), '()', '[]'))")
+    member = let(f"named_struct('kind', {_pick(word, 1)}, 'part', {_pick(word, 2)}, 'coords', {coords})", "_wc",
+                 _parts(_deepen("_wc.kind", "_wc.coords"), "_wc.part"))
+    keyword = f"regexp_extract(_wu, {_raw(r'^([A-Z]+?)(?:ZM|Z|M)?(?:\s|\(|$)')}, 1)"
+    scanned = let(upper, "_wu", (
+        f"named_struct('known', {_pick(keyword, 1)}, 'members', regexp_extract_all(_wu, {_raw(f'({_MEMBER})')}, 1), "
+        f"'blank', contains(_wu, 'EMPTY'))"))
+    made = let(scanned, "_ws", (
+        f"case when _ws.known is null or (size(_ws.members) = 0 and not _ws.blank) "
+        f"then cast(raise_error(concat('Unreadable WKT: ', {text})) as {GEOM}) "
+        f"else cast(named_struct('kind', _ws.known, 'parts', "
+        f"flatten(transform(_ws.members, _wm -> {member}))) as {GEOM}) end"))
+    return f"case when trim({text}) <> '' then {made} end"
+
+
+def _xy_list(ring: str, between: str, join: str) -> str:
+    return (f"array_join(transform({ring}, _xv -> concat(string(_xv.x), '{between}', string(_xv.y))), '{join}')")
+
+
+def to_wkt(geom: str) -> str:
     """WKT without blanks around brackets and commas."""
-    return let(geom, _wkt_text)
-
-
-def _wkt_text(geom: Column) -> Column:
-    upper = F.upper(geom["kind"])
-    bodies = F.transform(geom["parts"], _part_body)
-    members = F.transform(geom["parts"], lambda p: F.concat(F.upper(p["kind"]), _part_body(p)))
-    return (
-        F.when(geom.isNull(), F.lit(None).cast("string"))
-        .when(F.size(geom["parts"]) == 0, F.concat(upper, F.lit(" EMPTY")))
-        .when(geom["kind"] == "GeometryCollection",
-              F.concat(upper, F.lit("("), F.array_join(members, ","), F.lit(")")))
-        .when(F.startswith(geom["kind"], F.lit("Multi")),
-              F.concat(upper, F.lit("("), F.array_join(bodies, ","), F.lit(")")))
-        .otherwise(F.concat(upper, F.get(bodies, F.lit(0)))))
-
-
-def from_geojson(geom_json: Column) -> Column:
+    rings = f"concat('(', array_join(transform(_tp.rings, _tr -> concat('(', {_xy_list('_tr', ' ', ',')}, ')')), ','), ')')"
+    flat = f"concat('(', {_xy_list('get(_tp.rings, 0)', ' ', ',')}, ')')"
+    body = f"if(_tp.kind = 'Polygon', {rings}, {flat})"
+    joined = f"concat('(', array_join(transform(_tg.parts, _tp -> {body}), ','), ')')"
+    members = f"concat('(', array_join(transform(_tg.parts, _tp -> concat(upper(_tp.kind), {body})), ','), ')')"
+    return let(geom, "_tg", (
+        f"case when _tg is null then cast(null as string) "
+        f"when size(_tg.parts) = 0 then concat(upper(_tg.kind), ' EMPTY') "
+        f"when _tg.kind = 'GeometryCollection' then concat(upper(_tg.kind), {members}) "
+        f"when startswith(_tg.kind, 'Multi') then concat(upper(_tg.kind), {joined}) "
+        f"else concat(upper(_tg.kind), get(transform(_tg.parts, _tp -> {body}), 0)) end"))
+
+
+def from_geojson(geom_json: str) -> str:
     """Parse a GeoJSON geometry held as JSON text; JSON null gives NULL."""
-    return let(F.from_json(geom_json, "struct<type:string,coordinates:string,geometries:string>"), _read_geojson)
-
-
-def _read_geojson(g: Column) -> Column:
     simple = "struct<type:string,coordinates:string>"
-    members = F.from_json(g["geometries"], f"array<{simple}>")
-
-    def part_kind(kind: Column) -> Column:
-        return F.regexp_replace(kind, "^Multi", "")
-
-    single = _parts(_deepen(g["type"], g["coordinates"]), part_kind(g["type"]))
-    single = F.when(g["coordinates"] == "[]", F.array().cast(f"array<{PART}>")).otherwise(single)
-    many = F.flatten(F.transform(members, lambda m: _parts(
-        _deepen(m["type"], m["coordinates"]), part_kind(m["type"]))))
-    return F.when(g["type"].isNotNull(), F.struct(
-        g["type"].alias("kind"),
-        F.when(g["type"] == "GeometryCollection", many).otherwise(single).alias("parts")).cast(GEOM))
-
-
-def _coords_of(ring: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(ring, lambda v: F.concat(
-        F.lit("["), v["x"].cast("string"), F.lit(","), v["y"].cast("string"), F.lit("]"))), ","), F.lit("]"))
+    g = f"from_json({geom_json}, 'struct<type:string,coordinates:string,geometries:string>')"
+    single = _parts(_deepen("_gj.type", "_gj.coordinates"), "regexp_replace(_gj.type, '^Multi', '')")
+    many = (f"flatten(transform(from_json(_gj.geometries, 'array<{simple}>'), _gm -> "
+            f"{_parts(_deepen('_gm.type', '_gm.coordinates'), 'regexp_replace(_gm.type, ' + repr('^Multi') + ', ' + repr('') + ')')}))")
+    return let(g, "_gj", (
+        f"case when _gj.type is not null then cast(named_struct('kind', _gj.type, 'parts', "
+        f"case when _gj.type = 'GeometryCollection' then {many} "
+        f"when _gj.coordinates = '[]' then {_NO_PARTS} else {single} end) as {GEOM}) end"))
 
 
-def _part_coords(p: Column) -> Column:
-    first = F.get(p["rings"], F.lit(0))
-    lone = F.get(first, F.lit(0))
-    rings = F.concat(F.lit("["), F.array_join(F.transform(p["rings"], _coords_of), ","), F.lit("]"))
-    return (
-        F.when(p["kind"] == "Point", F.concat(
-            F.lit("["), lone["x"].cast("string"), F.lit(","), lone["y"].cast("string"), F.lit("]")))
-        .when(p["kind"] == "Polygon", rings)
-        .otherwise(_coords_of(first)))
-
-
-def to_geojson(geom: Column) -> Column:
+def to_geojson(geom: str) -> str:
     """GeoJSON geometry text; rings become line strings and NULL becomes JSON null."""
-    return let(geom, _geojson_text)
-
-
-def _geojson_text(geom: Column) -> Column:
-    def typed(kind: Column, coords: Column) -> Column:
-        name = F.when(kind == "LinearRing", F.lit("LineString")).otherwise(kind)
-        return F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), coords, F.lit("}"))
-
-    bodies = F.transform(geom["parts"], _part_coords)
-    members = F.transform(geom["parts"], lambda p: typed(p["kind"], _part_coords(p)))
-    return (
-        F.when(geom.isNull(), F.lit("null"))
-        .when(geom["kind"] == "GeometryCollection", F.concat(
-            F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(members, ","), F.lit("]}")))
-        .when(F.size(geom["parts"]) == 0, typed(geom["kind"], F.lit("[]")))
-        .when(F.startswith(geom["kind"], F.lit("Multi")), typed(
-            geom["kind"], F.concat(F.lit("["), F.array_join(bodies, ","), F.lit("]"))))
-        .otherwise(typed(geom["kind"], F.get(bodies, F.lit(0)))))
-
-
-def to_kml(geom: Column) -> Column:
+    def typed(kind: str, coords: str) -> str:
+        name = f"if({kind} = 'LinearRing', 'LineString', {kind})"
+        return f"concat('{{\"type\":\"', {name}, '\",\"coordinates\":', {coords}, '}}')"
+
+    def coords(ring: str) -> str:
+        return (f"concat('[', array_join(transform({ring}, _jv -> "
+                f"concat('[', string(_jv.x), ',', string(_jv.y), ']')), ','), ']')")
+
+    lone = "get(get(_jp.rings, 0), 0)"
+    body = (f"case when _jp.kind = 'Point' then concat('[', string({lone}.x), ',', string({lone}.y), ']') "
+            f"when _jp.kind = 'Polygon' then concat('[', array_join(transform(_jp.rings, _jr -> {coords('_jr')}), ','), ']') "
+            f"else {coords('get(_jp.rings, 0)')} end")
+    bodies = f"transform(_jg.parts, _jp -> {body})"
+    members = f"transform(_jg.parts, _jp -> {typed('_jp.kind', body)})"
+    listed = f"concat('[', array_join({bodies}, ','), ']')"
+    return let(geom, "_jg", (
+        f"case when _jg is null then 'null' "
+        f"when _jg.kind = 'GeometryCollection' then concat('{{\"type\":\"GeometryCollection\",\"geometries\":[', "
+        f"array_join({members}, ','), ']}}') "
+        f"when size(_jg.parts) = 0 then {typed('_jg.kind', repr('[]'))} "
+        f"when startswith(_jg.kind, 'Multi') then {typed('_jg.kind', listed)} "
+        f"else {typed('_jg.kind', f'get({bodies}, 0)')} end"))
+
+
+def to_kml(geom: str) -> str:
     """KML geometry element."""
-    return let(geom, _kml_text)
-
-
-def _kml_text(geom: Column) -> Column:
-    def coords(ring: Column) -> Column:
-        return F.concat(F.lit("<coordinates>"), _xy_list(ring, ",", " "), F.lit("</coordinates>"))
-
-    def element(p: Column) -> Column:
-        first = F.get(p["rings"], F.lit(0))
-        holes = F.slice(p["rings"], F.lit(2), F.greatest(F.size(p["rings"]) - 1, F.lit(0)))
-        inner = F.array_join(F.transform(holes, lambda r: F.concat(
-            F.lit("<innerBoundaryIs><LinearRing>"), coords(r),
-            F.lit("</LinearRing></innerBoundaryIs>"))), "")
-        return (
-            F.when(p["kind"] == "Point", F.concat(F.lit("<Point>"), coords(first), F.lit("</Point>")))
-            .when(p["kind"] == "Polygon", F.concat(
-                F.lit("<Polygon><outerBoundaryIs><LinearRing>"), coords(first),
-                F.lit("</LinearRing></outerBoundaryIs>"), inner, F.lit("</Polygon>")))
-            .when(p["kind"] == "LinearRing", F.concat(
-                F.lit("<LinearRing>"), coords(first), F.lit("</LinearRing>")))
-            .otherwise(F.concat(F.lit("<LineString>"), coords(first), F.lit("</LineString>"))))
-
-    elements = F.transform(geom["parts"], element)
-    return (
-        F.when(F.size(geom["parts"]) == 1, F.get(elements, F.lit(0)))
-        .when(geom.isNotNull(), F.concat(
-            F.lit("<MultiGeometry>"), F.array_join(elements, ""), F.lit("</MultiGeometry>"))))
-
-
-def xml_escape(text: Column) -> Column:
-    out = text
+    def coords(ring: str) -> str:
+        return f"concat('<coordinates>', {_xy_list(ring, ',', ' ')}, '</coordinates>')"
+
+    first = "get(_kp.rings, 0)"
+    inner = (f"array_join(transform(slice(_kp.rings, 2, greatest(size(_kp.rings) - 1, 0)), _kr -> "
+             f"concat('<innerBoundaryIs><LinearRing>', {coords('_kr')}, '</LinearRing></innerBoundaryIs>')), '')")
+    element = (
+        f"case _kp.kind when 'Point' then concat('<Point>', {coords(first)}, '</Point>') "
+        f"when 'Polygon' then concat('<Polygon><outerBoundaryIs><LinearRing>', {coords(first)}, "
+        f"'</LinearRing></outerBoundaryIs>', {inner}, '</Polygon>') "
+        f"when 'LinearRing' then concat('<LinearRing>', {coords(first)}, '</LinearRing>') "
+        f"else concat('<LineString>', {coords(first)}, '</LineString>') end")
+    elements = f"transform(_kg.parts, _kp -> {element})"
+    return let(geom, "_kg", (
+        f"case when size(_kg.parts) = 1 then get({elements}, 0) "
+        f"when _kg is not null then concat('<MultiGeometry>', array_join({elements}, ''), '</MultiGeometry>') end"))
+
+
+def xml_escape(text: str) -> str:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(plain), F.lit(entity))
-    return out
+        text = f"replace({text}, '{plain}', '{entity}')"
+    return text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
@@ -11,17 +11,17 @@ SMALLEST_THRESHOLD = 5
 DEFAULT_THRESHOLD = 100
 
 
-def _chunks(ring: Column, t: int) -> Column:
-    """Runs of ``t`` vertices in which neighbours share one vertex."""
-    last = F.floor((F.size(ring) - 2) / F.lit(t - 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(ring, k * (t - 1) + 1, F.lit(t)))
+def _ring_geometry(kind: str, vertices: str) -> str:
+    return G.geometry(f"'{kind}'", f"array({G.part(repr(kind), f'array({vertices})')})")
 
 
-def _ring_geometry(kind: Column, vertices: Column) -> Column:
-    return G.geometry(kind, F.array(G.part(kind, F.array(vertices))))
+def _chunks(ring: str, t: int) -> str:
+    """Lines of ``t`` vertices in which neighbours share one vertex."""
+    runs = f"sequence(0, int(floor((size({ring}) - 2) / {t - 1})))"
+    return f"transform({runs}, _ch -> {_ring_geometry('LineString', f'slice({ring}, _ch * {t - 1} + 1, {t})')})"
 
 
-def pieces(geom: Column, threshold: int) -> Column:
+def pieces(geom: str, threshold: int) -> str:
     """Array of the geometries that a geometry breaks into, in breadth-first order.
 
     What is within the threshold at one step comes before what had to be broken again: whole
@@ -30,40 +30,29 @@ def pieces(geom: Column, threshold: int) -> Column:
     if threshold < SMALLEST_THRESHOLD:
         raise ValueError(f"Threshold {threshold} is too small. Minimum threshold is {SMALLEST_THRESHOLD}")
     t = threshold
-    none = F.array().cast(f"array<{G.GEOM}>")
-    points = lambda p: F.aggregate(p["rings"], F.lit(0), lambda a, r: a + F.size(r))
-    members = F.filter(geom["parts"], lambda p: points(p) > 0)
-    collection = geom["kind"].isin(*G.MULTI_KINDS)
-    large = F.when(collection, F.filter(members, lambda p: points(p) > t)).otherwise(members)
-
-    def member(p: Column) -> Column:
-        return G.geometry(p["kind"], F.array(p))
-
-    def ring_chunks(r: Column) -> Column:
-        return F.transform(_chunks(r, t), lambda v: _ring_geometry(F.lit("LineString"), v))
-
-    whole = F.when(collection, F.transform(F.filter(members, lambda p: points(p) <= t), member)).otherwise(none)
-    second = F.flatten(F.transform(large, lambda p: F.when(
-        p["kind"] == "Polygon", F.transform(
-            F.filter(p["rings"], lambda r: F.size(r) <= t), lambda r: _ring_geometry(F.lit("LinearRing"), r))
-    ).otherwise(F.flatten(F.transform(p["rings"], ring_chunks)))))
-    third = F.flatten(F.transform(F.filter(large, lambda p: p["kind"] == "Polygon"), lambda p: F.flatten(
-        F.transform(F.filter(p["rings"], lambda r: F.size(r) > t), ring_chunks))))
-    broken = F.concat(whole, second, third)
-    never = geom["kind"].isin("Point", "Envelope")
-    known = geom["kind"].isin(*G.KINDS)
+    size = G.ring_points("_pm")
+    collection = f"{geom}.kind in ({G.text_list(G.MULTI_KINDS)})"
+    # A single line or polygon counts as its own only member, and as too large.
+    large = f"filter({geom}.parts, _pm -> {size} > if({collection}, {t}, 0))"
+    whole = (f"transform(filter({geom}.parts, _pm -> {collection} and {size} between 1 and {t}), "
+             f"_pw -> {G.geometry('_pw.kind', 'array(_pw)')})")
+    rings = f"transform(filter(_ps.rings, _pr -> size(_pr) <= {t}), _pr -> {_ring_geometry('LinearRing', '_pr')})"
+    line = f"flatten(transform(_ps.rings, _pl -> {_chunks('_pl', t)}))"
+    second = f"flatten(transform({large}, _ps -> if(_ps.kind = 'Polygon', {rings}, {line})))"
+    third = (f"flatten(transform(filter({large}, _pt -> _pt.kind = 'Polygon'), _pt -> flatten("
+             f"transform(filter(_pt.rings, _pu -> size(_pu) > {t}), _pu -> {_chunks('_pu', t)}))))")
     n = G.num_points(geom)
-    return (
-        F.when(n == 0, none)
-        .when((n <= t) | never, F.array(geom))
-        .when(known, broken)
-        .otherwise(F.raise_error(F.concat(F.lit("Unexpected geometry type "), geom["kind"])).cast(f"array<{G.GEOM}>")))
+    none = f"cast(array() as array<{G.GEOM}>)"
+    return (f"case when {n} = 0 then {none} "
+            f"when {n} <= {t} or {geom}.kind in ('Point', 'Envelope') then array({geom}) "
+            f"when {geom}.kind in ({G.text_list(G.KINDS)}) then concat({whole}, {second}, {third}) "
+            f"else cast(raise_error(concat('Unexpected geometry type ', {geom}.kind)) as array<{G.GEOM}>) end")
 
 
 def break_geometries(df: DataFrame, threshold: int = DEFAULT_THRESHOLD, position: str | None = None) -> DataFrame:
     """One row per piece; ``position`` names an optional column with the piece number."""
     others = [c for c in df.columns if c not in ("geom", *G.MBR_COLUMNS)]
-    exploded = F.posexplode(pieces(F.col("geom"), threshold)).alias("_pos", "_piece")
+    exploded = F.expr(f"posexplode({pieces('geom', threshold)}) AS (_pos, _piece)")
     out = df.select(*others, exploded)
     extra = [F.col("_pos").alias(position)] if position else []
     return out.select(*others, *extra, F.col("_piece").alias("geom"))

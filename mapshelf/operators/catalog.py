@@ -215,9 +215,10 @@ def resolve_extent(extent: Column, corners: Column | None, name: Column) -> Colu
     return F.when(whole, F.array(*numbers)).when(F.startswith(name, F.lit(HOME_PREFIX)), home)
 
 
-def extent_to_polygon(extent: Column) -> Column:
-    corner = [F.get(extent, F.lit(i)) for i in range(4)]
-    return F.when(F.size(extent) >= 4, G.box_polygon(*corner))
+def extent_to_polygon(extent: str) -> Column:
+    """The rectangle of a named extent column."""
+    box = G.box_polygon(*[f"get({extent}, {i})" for i in range(4)])
+    return F.expr(f"if(size({extent}) >= 4, {box}, null)")
 
 
 # ---------------------------------------------------------------- derived columns

@@ -48,11 +48,12 @@ def save_index(partitioned: DataFrame, path: str) -> None:
     inside each file, so the row group statistics of the box columns are tight.
     """
     f = G.with_mbr(partitioned)
-    f = f.withColumn("n_points", F.coalesce(G.num_points(F.col("geom")), F.lit(0)))
-    f = f.withColumn("n_bytes", feature_bytes(f))
-    z = interleave(world_column((F.col("xmin") + F.col("xmax")) / 2, ZKEY_BITS),
-                   world_row((F.col("ymin") + F.col("ymax")) / 2, ZKEY_BITS), ZKEY_BITS)
-    (f.withColumn("zkey", z).hint("rebalance", "part_id")
+    f = f.selectExpr("*", f"coalesce({G.num_points('geom')}, 0) AS n_points")
+    f = f.selectExpr("*", f"{feature_bytes(f)} AS n_bytes",
+                     f"{world_column('(xmin + xmax) / 2', ZKEY_BITS)} AS _zx",
+                     f"{world_row('(ymin + ymax) / 2', ZKEY_BITS)} AS _zy")
+    f = f.selectExpr("*", f"{interleave('_zx', '_zy', ZKEY_BITS)} AS zkey").drop("_zx", "_zy")
+    (f.hint("rebalance", "part_id")
      .sortWithinPartitions("part_id", "zkey")
      .write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/data"))
     stats = partition_stats(read_index(partitioned.sparkSession, path))

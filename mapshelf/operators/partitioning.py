@@ -32,14 +32,13 @@ Extent = tuple[float, float, float, float]
 WORLD: Extent = (-180.0, -90.0, 180.0, 90.0)
 
 
-def _centre() -> tuple[Column, Column]:
-    return (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+CENTRE = ("((xmin + xmax) / 2)", "((ymin + ymax) / 2)")
 
 
-def _bin(v: Column, low: float, high: float, bins: int) -> Column:
+def _bin(v: str, low: float, high: float, bins: int) -> str:
     span = high - low if high > low else 1.0
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(
-        (v - F.lit(low)) / F.lit(span) * F.lit(float(bins))))).cast("int")
+    return (f"coalesce(int(greatest(0, least({bins - 1}, "
+            f"floor(({v} - {G.num(low)}) / {G.num(span)} * {G.num(bins)})))), 0)")
 
 
 def extent_of(df: DataFrame) -> Extent:
@@ -58,25 +57,24 @@ def grid_partition(df: DataFrame, parts: int = 64, extent: Extent | None = None,
     """Equal cells: ``ceil(sqrt(parts))`` columns and rows."""
     f, side = G.with_mbr(df), math.ceil(math.sqrt(parts))
     x0, y0, x1, y1 = extent or extent_of(f)
-    cx, cy = _centre()
-    part = _bin(cy, y0, y1, side) * side + _bin(cx, x0, x1, side)
-    return f.withColumn("part_id", F.coalesce(part, F.lit(0)))
+    cx, cy = CENTRE
+    part = f"{_bin(cy, y0, y1, side)} * {side} + {_bin(cx, x0, x1, side)}"
+    return f.withColumn("part_id", F.expr(part))
 
 
 def _binned(df: DataFrame, extent: Extent | None) -> DataFrame:
     f = G.with_mbr(df)
     x0, y0, x1, y1 = extent or extent_of(f)
-    cx, cy = _centre()
-    return f.withColumns({"_bx": F.coalesce(_bin(cx, x0, x1, BINS), F.lit(0)),
-                          "_by": F.coalesce(_bin(cy, y0, y1, BINS), F.lit(0))})
+    cx, cy = CENTRE
+    return f.withColumns({"_bx": F.expr(_bin(cx, x0, x1, BINS)), "_by": F.expr(_bin(cy, y0, y1, BINS))})
 
 
 def str_partition(df: DataFrame, parts: int = 64, extent: Extent | None = None,
-                  weight: Column | None = None, **_) -> DataFrame:
+                  weight: str | None = None, **_) -> DataFrame:
     """Sort-tile: slabs of equal weight by x, then tiles of equal weight by y in each slab."""
     side = math.ceil(math.sqrt(parts))
     binned = _binned(df, extent)
-    w = F.lit(1) if weight is None else weight
+    w = F.expr(weight or "1")
     cells = materialize(binned.groupBy("_bx", "_by").agg(F.sum(w).alias("w")), "histogram")
     slabs = cells.groupBy("_bx").agg(F.sum("w").alias("w"))
     slabs = slabs.select("_bx", _slot(W.orderBy("_bx"), "w", side).alias("slab"))
@@ -88,14 +86,14 @@ def str_partition(df: DataFrame, parts: int = 64, extent: Extent | None = None,
 
 
 def zcurve_partition(df: DataFrame, parts: int = 64, extent: Extent | None = None,
-                     weight: Column | None = None, **_) -> DataFrame:
+                     weight: str | None = None, **_) -> DataFrame:
     """Runs of equal weight along the Z-order curve."""
     binned = _binned(df, extent)
-    w = F.lit(1) if weight is None else weight
+    w = F.expr(weight or "1")
     cells = materialize(binned.groupBy("_bx", "_by").agg(F.sum(w).alias("w")), "histogram")
     # Coarse runs of the curve first, so the running total inside them is spread over tasks.
     low = BIN_BITS
-    keyed = cells.withColumn("z", interleave(F.col("_bx"), F.col("_by"), BIN_BITS)).withColumn(
+    keyed = cells.withColumn("z", F.expr(interleave("_bx", "_by", BIN_BITS))).withColumn(
         "run", F.shiftright("z", low))
     runs = keyed.groupBy("run").agg(F.sum("w").alias("rw"))
     runs = runs.select("run", (F.sum("rw").over(W.orderBy("run")) - F.col("rw")).alias("start"),
@@ -185,7 +183,7 @@ def build_split_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, parts: int) ->
 
 
 def rsgrove_partition(df: DataFrame, parts: int | None = None, target_size: int = TARGET_BYTES,
-                      balanced: bool = True, weight: Column | None = None, seed: int = 7,
+                      balanced: bool = True, weight: str | None = None, seed: int = 7,
                       rows: int | None = None, total: int | None = None, **_) -> DataFrame:
     """Split tree over a sample of box centres, balanced by bytes.
 
@@ -194,10 +192,9 @@ def rsgrove_partition(df: DataFrame, parts: int | None = None, target_size: int
     spreads such partitions over several tasks. Known ``rows`` and ``total`` bytes save a pass.
     """
     f = G.with_mbr(df)
-    w = feature_bytes(f) if weight is None else weight
-    cx, cy = _centre()
-    slim = f.where(F.col("xmin").isNotNull()).select(
-        cx.alias("x"), cy.alias("y"), (w if balanced else F.lit(1)).cast("double").alias("w"))
+    w = (weight or feature_bytes(f)) if balanced else "1"
+    cx, cy = CENTRE
+    slim = f.where("xmin is not null").selectExpr(f"{cx} AS x", f"{cy} AS y", f"double({w}) AS w")
     if rows is None or total is None:
         rows, total = slim.agg(F.count("*"), F.sum("w")).first()
     if parts is None:
@@ -215,7 +212,7 @@ def rsgrove_partition(df: DataFrame, parts: int | None = None, target_size: int
         found = tree.locate(x.to_numpy(dtype=float, na_value=0.0), y.to_numpy(dtype=float, na_value=0.0))
         return pd.Series(found, dtype="int32")
 
-    return f.withColumn("part_id", locate(cx, cy))
+    return f.withColumn("part_id", locate(F.expr(cx), F.expr(cy)))
 
 
 PARTITIONERS: dict[str, Callable[..., DataFrame]] = {

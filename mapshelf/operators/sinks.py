@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,20 +27,19 @@ MEDIA_TYPES = {
 }
 
 
-def _text(df: DataFrame, c: str) -> Column:
-    if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(F.col(c))
-    return F.col(c).cast("string")
+def _text(df: DataFrame, c: str) -> str:
+    nested = isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))
+    return f"to_json(`{c}`)" if nested else f"string(`{c}`)"
 
 
 def csv_columns(df: DataFrame, points: bool) -> DataFrame:
     """Geometry as ``x``, ``y`` or ``wkt`` first, then the attributes as text."""
     names = G.attribute_columns(df)
     if points:
-        place = [G.xmin(F.col("geom")).alias("x"), G.ymin(F.col("geom")).alias("y")]
+        place = [f"{G.xmin('geom')} AS x", f"{G.ymin('geom')} AS y"]
     else:
-        place = [to_wkt(F.col("geom")).alias("wkt")]
-    return df.select(*place, *[_text(df, c).alias(c) for c in names])
+        place = [f"{to_wkt('geom')} AS wkt"]
+    return df.select(*[F.expr(p) for p in place], *[F.expr(_text(df, c)).alias(c) for c in names])
 
 
 def write_csv(df: DataFrame, path: str, points: bool, sep: str = ",", header: bool = False,
@@ -57,16 +56,15 @@ def geojson_lines(df: DataFrame) -> DataFrame:
 def json_wkt_lines(df: DataFrame) -> DataFrame:
     """One JSON record per feature with a ``wkt`` field after the attributes."""
     names = G.attribute_columns(df)
-    return df.select(F.to_json(F.struct(*names, to_wkt(F.col("geom")).alias("wkt"))).alias("line"))
+    return df.select(F.to_json(F.struct(*names, F.expr(to_wkt("geom")).alias("wkt"))).alias("line"))
 
 
 def kml_lines(df: DataFrame) -> DataFrame:
     """One Placemark per feature with the attributes as extended data."""
-    data = [F.coalesce(F.concat(F.lit(f'<Data name="{c}"><value>'), xml_escape(_text(df, c)),
-                                F.lit("</value></Data>")), F.lit("")) for c in G.attribute_columns(df)]
-    extended = F.concat(F.lit("<ExtendedData>"), *data, F.lit("</ExtendedData>")) if data else F.lit("")
-    return df.select(F.concat(F.lit("<Placemark>"), extended, F.coalesce(to_kml(F.col("geom")), F.lit("")),
-                              F.lit("</Placemark>")).alias("line"))
+    data = ["coalesce(concat('<Data name=\"" + c + "\"><value>', " + xml_escape(_text(df, c)) + ", '</value></Data>'), '')"
+            for c in G.attribute_columns(df)]
+    extended = ", ".join(["'<ExtendedData>'", *data, "'</ExtendedData>'"]) if data else "''"
+    return df.selectExpr(f"concat('<Placemark>', {extended}, coalesce({to_kml('geom')}, ''), '</Placemark>') AS line")
 
 
 KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'

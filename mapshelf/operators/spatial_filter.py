@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,8 @@ from mapshelf.operators.boxes import Box, query_boxes
 STATIC_PARTS = 2000
 
 
-def _any(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def _any(conditions: list[str]) -> str:
+    return "(" + " or ".join(conditions) + ")"
 
 
 def range_query(features: DataFrame, mbr: str | Box, strict: bool = False, points: bool = False) -> DataFrame:
@@ -31,8 +29,7 @@ def range_query(features: DataFrame, mbr: str | Box, strict: bool = False, point
     near = f.where(_any([G.boxes_overlap(b) for b in boxes]))
     if points:
         return near.select(*features.columns)
-    bounds = [F.col(c) for c in G.MBR_COLUMNS]
-    exact = _any([G.intersects_box(F.col("geom"), b, bounds) for b in boxes])
+    exact = _any([G.intersects_box("geom", b, G.MBR_COLUMNS) for b in boxes])
     return near.where(exact).select(*features.columns)
 
 
@@ -72,7 +69,7 @@ def attributes_json(df: DataFrame, names: list[str] | None = None, extents: bool
 def feature_json(df: DataFrame, names: list[str] | None = None) -> Column:
     """A GeoJSON feature."""
     return F.concat(F.lit('{"type":"Feature","properties":'), attributes_json(df, names),
-                    F.lit(',"geometry":'), to_geojson(F.col("geom")), F.lit("}"))
+                    F.lit(',"geometry":'), F.expr(to_geojson("geom")), F.lit("}"))
 
 
 def view_feature(features: DataFrame, order: list[str], mbr: str | Box | None = None, fmt: str = "json",
@@ -89,13 +86,10 @@ def view_feature(features: DataFrame, order: list[str], mbr: str | Box | None =
     if mbr is None:
         hits = f.withColumn("_box", F.lit(0))
     else:
-        bounds = [F.col(c) for c in G.MBR_COLUMNS]
-        rank = F.lit(None).cast("int")
         boxes = query_boxes(mbr, strict)
-        for i, b in reversed(list(enumerate(boxes))):
-            rank = F.when(G.intersects_box(F.col("geom"), b, bounds), F.lit(i)).otherwise(rank)
+        ranks = " ".join(f"when {G.intersects_box('geom', b, G.MBR_COLUMNS)} then {i}" for i, b in enumerate(boxes))
         near = f.where(_any([G.boxes_overlap(b) for b in boxes]))
-        hits = near.withColumn("_box", rank).where(F.col("_box").isNotNull())
+        hits = near.withColumn("_box", F.expr(f"case {ranks} end")).where(F.col("_box").isNotNull())
     # Top one first, text last: only the chosen record is turned into JSON.
     one = hits.orderBy("_box", *order).limit(1)
     text = attributes_json(one, names, extents) if fmt == "json" else feature_json(one, names)

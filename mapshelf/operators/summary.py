@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,26 +15,22 @@ TYPE_NAMES = {
 }
 
 
-def attribute_bytes(df: DataFrame, key: str | None = None) -> Column:
-    """Text length in bytes of the attributes of a row; NULL counts as zero."""
-    parts = []
+def attribute_bytes(df: DataFrame, key: str | None = None) -> str:
+    """Text length in bytes of the attributes of a row, as SQL text; NULL counts as zero."""
+    total = "0L"
     for c in G.attribute_columns(df):
         if c == key:
             continue
-        col = F.col(c)
-        if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)):
-            col = F.to_json(F.struct(col))
-        parts.append(F.coalesce(F.octet_length(col.cast("string")), F.lit(0)))
-    total = F.lit(0).cast("long")
-    for p in parts:
-        total = total + p
-    return total
+        nested = isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType))
+        text = f"to_json(struct(`{c}`))" if nested else f"string(`{c}`)"
+        total += f" + coalesce(octet_length({text}), 0)"
+    return f"({total})"
 
 
-def feature_bytes(df: DataFrame, key: str | None = None) -> Column:
-    """16 bytes per vertex plus the attribute text."""
-    points = F.col("n_points") if "n_points" in df.columns else G.num_points(F.col("geom"))
-    return F.coalesce(points, F.lit(0)) * 16 + attribute_bytes(df, key)
+def feature_bytes(df: DataFrame, key: str | None = None) -> str:
+    """16 bytes per vertex plus the attribute text, as SQL text."""
+    points = "n_points" if "n_points" in df.columns else G.num_points("geom")
+    return f"(coalesce({points}, 0) * 16 + {attribute_bytes(df, key)})"
 
 
 def summarize(features: DataFrame, by: list[str] | None = None, key: str | None = None) -> DataFrame:
@@ -46,22 +42,21 @@ def summarize(features: DataFrame, by: list[str] | None = None, key: str | None
     by = by or []
     f = G.with_mbr(features)
     keep = [c for c in f.columns if c not in by]
-    shown = f.select(
-        *by, G.num_points(F.col("geom")).alias("_n"), feature_bytes(f.select(*keep), key).alias("_bytes"),
-        F.col("geom")["kind"].alias("_kind"), *G.MBR_COLUMNS)
-    a = shown.groupBy(*by).agg(
-        F.sum("_bytes").alias("size"), F.count("*").alias("num_features"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("points"),
-        F.min("_kind").alias("k0"), F.max("_kind").alias("k1"),
-        F.min("xmin").alias("x0"), F.min("ymin").alias("y0"), F.max("xmax").alias("x1"), F.max("ymax").alias("y1"),
-        F.avg(F.col("xmax") - F.col("xmin")).alias("w"), F.avg(F.col("ymax") - F.col("ymin")).alias("h"))
-    return a.select(
-        *by, F.coalesce("size", F.lit(0)).alias("size"), "num_features",
-        F.when(F.col("points") != F.col("num_features"), F.col("points")).alias("num_points"),
-        F.when(F.col("k0") == F.col("k1"), F.col("k0")).when(
-            F.col("k0").isNotNull(), F.lit("GeometryCollection")).alias("geometry_type"),
-        F.when(F.col("x0").isNotNull(), F.array("x0", "y0", "x1", "y1")).alias("extent"),
-        F.when(F.col("w") + F.col("h") > 0, F.array("w", "h")).alias("avg_sidelength"))
+    shown = f.selectExpr(
+        *by, f"{G.num_points('geom')} AS _n", f"{attribute_bytes(f.select(*keep), key)} AS _text",
+        f"{G.kind_code('geom')} AS _kind", *G.MBR_COLUMNS)
+    # Kinds travel as numbers: text would force the aggregation to sort.
+    a = shown.groupBy(*by).agg(*[F.expr(e) for e in (
+        "count(*) AS num_features", "coalesce(sum(_n), 0) AS points", "coalesce(sum(_text), 0) AS text_bytes",
+        "min(_kind) AS k0", "max(_kind) AS k1", "min(xmin) AS x0", "min(ymin) AS y0", "max(xmax) AS x1",
+        "max(ymax) AS y1", "avg(xmax - xmin) AS w", "avg(ymax - ymin) AS h")])
+    kinds = f"get(array({G.text_list(G.KINDS)}), k0 - 1)"
+    return a.selectExpr(
+        *by, "16 * points + text_bytes AS size", "num_features", "nullif(points, num_features) AS num_points",
+        f"case when k0 = k1 then coalesce({kinds}, 'GeometryCollection') "
+        "when k0 is not null then 'GeometryCollection' end AS geometry_type",
+        "if(x0 is not null, array(x0, y0, x1, y1), null) AS extent",
+        "if(w + h > 0, array(w, h), null) AS avg_sidelength")
 
 
 def attribute_types(features: DataFrame, order: str, by: list[str] | None = None) -> DataFrame:
@@ -86,17 +81,13 @@ def attribute_types(features: DataFrame, order: str, by: list[str] | None = None
 def partition_stats(indexed: DataFrame) -> DataFrame:
     """The manifest: one row per ``part_id``."""
     f = G.with_mbr(indexed)
-    points = F.col("n_points") if "n_points" in f.columns else G.num_points(F.col("geom"))
-    size = F.col("n_bytes") if "n_bytes" in f.columns else feature_bytes(f)
-    shown = f.select("part_id", points.alias("_n"), size.alias("_b"), *G.MBR_COLUMNS)
-    a = shown.groupBy("part_id").agg(
-        F.count("*").alias("record_count"), F.count("xmin").alias("nonempty_count"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("num_points"), F.sum("_b").alias("data_size"),
-        F.sum((F.col("xmin") + F.col("xmax")) / 2).alias("sum_x"),
-        F.sum((F.col("ymin") + F.col("ymax")) / 2).alias("sum_y"),
-        *[f_(F.col(c)).alias(c) for f_, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))])
-    corner = {k: F.col(k).cast("string") for k in G.MBR_COLUMNS}
-    ring = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
-    text = F.concat(F.lit("POLYGON(("), F.concat_ws(",", *[
-        F.concat(corner[x], F.lit(" "), corner[y]) for x, y in ring]), F.lit("))"))
-    return a.withColumn("boundary", F.when(F.col("xmin").isNotNull(), text))
+    points = "n_points" if "n_points" in f.columns else G.num_points("geom")
+    size = "n_bytes" if "n_bytes" in f.columns else feature_bytes(f)
+    shown = f.selectExpr("part_id", f"{points} AS _n", f"{size} AS _b", *G.MBR_COLUMNS)
+    a = shown.groupBy("part_id").agg(*[F.expr(e) for e in (
+        "count(*) AS record_count", "count(xmin) AS nonempty_count", "coalesce(sum(_n), 0) AS num_points",
+        "sum(_b) AS data_size", "sum((xmin + xmax) / 2) AS sum_x", "sum((ymin + ymax) / 2) AS sum_y",
+        "min(xmin) AS xmin", "min(ymin) AS ymin", "max(xmax) AS xmax", "max(ymax) AS ymax")])
+    ring = ["xmin, ' ', ymin", "xmax, ' ', ymin", "xmax, ' ', ymax", "xmin, ' ', ymax", "xmin, ' ', ymin"]
+    corners = ", ',', ".join(ring)
+    return a.selectExpr("*", f"if(xmin is not null, concat('POLYGON((', {corners}, '))'), null) AS boundary")

@@ -15,14 +15,11 @@ TILE_PIXELS = 256
 BAND = 5
 
 
-def to_mercator(geom: Column) -> Column:
+def to_mercator(geom: str) -> str:
     """Geometry in the unit square of the map, (0, 0) at the north-western corner."""
-    return G.geometry(geom["kind"], F.transform(geom["parts"], lambda p: G.part(p["kind"], F.transform(
-        p["rings"], lambda r: F.transform(r, lambda v: G.vertex(mercator_x(v["x"]), mercator_y(v["y"])))))))
-
-
-def _level_range(levels: int, first: int = 0) -> Column:
-    return F.explode(F.sequence(F.lit(first), F.lit(levels - 1))).alias("z")
+    moved = G.vertex(mercator_x("_tv.x"), mercator_y("_tv.y"))
+    rings = f"transform(_tp.rings, _tr -> transform(_tr, _tv -> {moved}))"
+    return G.geometry(f"{geom}.kind", f"transform({geom}.parts, _tp -> {G.part('_tp.kind', rings)})")
 
 
 def _on_map(df: DataFrame) -> DataFrame:
@@ -34,14 +31,12 @@ def assign_tiles(df: DataFrame, levels: int = LEVELS, keep: tuple[str, ...] = ("
 
     Large features meet very many deep tiles; break them first.
     """
-    f = _on_map(df).select(*keep, mercator_x(F.col("xmin")).alias("u0"), mercator_x(F.col("xmax")).alias("u1"),
-                           mercator_y(F.col("ymax")).alias("v0"), mercator_y(F.col("ymin")).alias("v1"))
-    f = f.select("*", _level_range(levels, first))
-    z = F.col("z")
-    f = f.select(*keep, "z", "v0", "v1", F.explode(F.sequence(
-        tile_index(F.col("u0"), z), tile_index(F.col("u1"), z))).alias("x"))
-    return f.select(*keep, "z", "x", F.explode(F.sequence(
-        tile_index(F.col("v0"), z), tile_index(F.col("v1"), z))).alias("y"))
+    f = _on_map(df).selectExpr(
+        *keep, f"{mercator_x('xmin')} AS u0", f"{mercator_x('xmax')} AS u1", f"{mercator_y('ymax')} AS v0",
+        f"{mercator_y('ymin')} AS v1")
+    f = f.selectExpr("*", f"explode(sequence({first}, {levels - 1})) AS z")
+    f = f.selectExpr(*keep, "z", "v0", "v1", f"explode(sequence({tile_index('u0', 'z')}, {tile_index('u1', 'z')})) AS x")
+    return f.selectExpr(*keep, "z", "x", f"explode(sequence({tile_index('v0', 'z')}, {tile_index('v1', 'z')})) AS y")
 
 
 def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame:
@@ -57,11 +52,8 @@ def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame
         # Levels of this step; the level ``at`` itself was emitted by the step before.
         zs = list(range(low, at + 1 if first else at))
         if zs:
-            z = F.explode(F.array(*[F.lit(v) for v in zs])).alias("z")
-            up = F.lit(at) - F.col("z")
-            wide = source.select("x", "y", "cnt", z)
-            summed = wide.select("z", *[
-                F.call_function("shiftright", F.col(c), up).alias(c) for c in ("x", "y")], "cnt")
+            wide = source.selectExpr("x", "y", "cnt", f"explode(sequence({zs[0]}, {zs[-1]})) AS z")
+            summed = wide.selectExpr("z", f"shiftright(x, {at} - z) AS x", f"shiftright(y, {at} - z) AS y", "cnt")
             step = summed.groupBy("z", "x", "y").agg(F.sum("cnt").alias("cnt"))
             out.append(step)
             source = step.where(F.col("z") == low).select("x", "y", "cnt")
@@ -73,9 +65,8 @@ def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame
 
 def point_tiles(df: DataFrame, level: int) -> DataFrame:
     """Tile of each point at one level."""
-    return _on_map(df).select(
-        tile_index(mercator_x(F.col("xmin")), level).alias("x"),
-        tile_index(mercator_y(F.col("ymin")), level).alias("y"))
+    return _on_map(df).selectExpr(
+        f"{tile_index(mercator_x('xmin'), level)} AS x", f"{tile_index(mercator_y('ymin'), level)} AS y")
 
 
 def tile_counts(df: DataFrame, levels: int = LEVELS, points: bool = False) -> DataFrame:
@@ -97,16 +88,16 @@ def tile_raster(df: DataFrame, levels: int = LEVELS, px: int = TILE_PIXELS, firs
         raise ValueError("tile size must be a power of two")
     deepest = point_tiles(df, levels - 1 + bits).groupBy("x", "y").agg(F.count("*").alias("cnt"))
     fine = rollup_counts(deepest, levels - 1 + bits).where(F.col("z") >= bits + first)
-    mask = F.lit(px - 1).cast("long")
-    return fine.select(
-        (F.col("z") - bits).alias("z"), F.shiftright("x", bits).alias("x"), F.shiftright("y", bits).alias("y"),
-        F.col("x").bitwiseAND(mask).alias("px"), F.col("y").bitwiseAND(mask).alias("py"), "cnt")
+    return fine.selectExpr(
+        f"z - {bits} AS z", f"shiftright(x, {bits}) AS x", f"shiftright(y, {bits}) AS y",
+        f"x & {px - 1}L AS px", f"y & {px - 1}L AS py", "cnt")
 
 
 def write_pyramid(counts: DataFrame, path: str) -> None:
-    """Tiles in one folder per level, rows sorted by tile for quick lookups."""
-    counts.hint("rebalance", "z").sortWithinPartitions("z", "x", "y").write.mode(
-        "errorifexists").partitionBy("z").parquet(path)
+    """Tiles in one folder per level. Ranges of tiles go to tasks of even size, however full a
+    level is, and the sorted files give a lookup tight row group statistics."""
+    ranged = counts.repartitionByRange("z", "x", "y").sortWithinPartitions("z", "x", "y")
+    ranged.write.mode("errorifexists").partitionBy("z").parquet(path)
 
 
 def tile_lookup(pyramid: DataFrame, z: int, x: int, y: int) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.operators.indexing import indexed_input, read_index, read_master
@@ -24,8 +23,7 @@ def select_features(spark: SparkSession, index_path: str, mbr: str | None = None
     if region is not None:
         master = read_master(spark, index_path)
         # The partition boxes are matched with the region like any other features.
-        boxes = master.where(F.col("xmin").isNotNull()).select("part_id", G.box_polygon(
-            *[F.col(c) for c in G.MBR_COLUMNS]).alias("geom"))
+        boxes = master.where("xmin is not null").selectExpr("part_id", f"{G.box_polygon(*G.MBR_COLUMNS)} AS geom")
         rows = in_partitions(indexed, region_query(boxes, regions, region, "part_id"))
         found = region_query(rows, regions, region, key or "fid", points=points)
     elif mbr is not None:

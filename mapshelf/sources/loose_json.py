@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from mapshelf.functions.textgeom import from_geojson, let
+from mapshelf.functions.geometry import let, text_list
+from mapshelf.functions.textgeom import from_geojson
 
 # Keys that may hold the geometry or the records, and the accepted kinds.
 GEOMETRY_KEYS = ["geometry", "geom", "shape", "the_geom", "geojson"]
@@ -14,31 +14,36 @@ GEOMETRY_KINDS = ["Point", "LineString", "Polygon", "MultiPoint", "MultiLineStri
 _FALSY = ["null", "false", "0", '""']
 
 
-def _get(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, F.lit(f"$.{key}"), "variant")
+def _get(v: str, key: str) -> str:
+    return f"try_variant_get({v}, '$.{key}', 'variant')"
 
 
-def _text(v: Column, key: str) -> Column:
+def _text(v: str, key: str) -> str:
     """A text field; NULL when it is missing or not text."""
-    field = _get(v, key)
-    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(v, F.lit(f"$.{key}"), "string"))
+    return f"if(schema_of_variant({_get(v, key)}) = 'STRING', try_variant_get({v}, '$.{key}', 'string'), null)"
 
 
-def _truthy(v: Column) -> Column:
-    return F.when(~F.to_json(v).isin(_FALSY), v)
+def _truthy(v: str) -> str:
+    return let(v, "_ty", f"if(to_json(_ty) in ({text_list(_FALSY)}), null, _ty)")
 
 
-def _first_truthy(v: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[_truthy(_get(v, k)) for k in keys])
+def _first_truthy(v: str, keys: list[str]) -> str:
+    return "coalesce(" + ", ".join(_truthy(_get(v, k)) for k in keys) + ")"
 
 
-def _geometry(v: Column) -> Column:
+def _geometry(v: str) -> str:
     """The geometry of a record as a variant, if its first geometry key holds a known kind."""
-    return let(_first_truthy(v, GEOMETRY_KEYS), lambda g: F.when(_text(g, "type").isin(GEOMETRY_KINDS), g))
+    return let(_first_truthy(v, GEOMETRY_KEYS), "_gv",
+               f"if({_text('_gv', 'type')} in ({text_list(GEOMETRY_KINDS)}), _gv, null)")
 
 
-def _as_list(v: Column) -> Column:
-    return F.try_variant_get(v, F.lit("$"), "array<variant>")
+def _as_list(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'array<variant>')"
+
+
+def _with_geometry(records: str) -> str:
+    """The records that have a geometry; NULL when there are none."""
+    return let(f"filter({records}, _wg -> {_geometry('_wg')} is not null)", "_wf", "if(size(_wf) > 0, _wf, null)")
 
 
 def normalize_json_features(df: DataFrame, json: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,31 +55,20 @@ def normalize_json_features(df: DataFrame, json: str = "json", keep: tuple[str,
     of the document. A record without ``properties`` that has an ``OBJECTID`` takes its other
     fields as properties.
     """
-    docs = df.select(*keep, F.try_parse_json(F.col(json)).alias("v"))
-    v = F.col("v")
-    kind = _text(v, "type")
-    empty = F.array().cast("array<variant>")
-    held = _first_truthy(v, RECORD_KEYS)
-
-    def with_geometry(records: Column) -> Column:
-        return F.filter(F.coalesce(records, empty), lambda r: _geometry(r).isNotNull())
-
-    docs = docs.select(*keep, "v", kind.alias("kind"), held.alias("held"))
-    values = F.map_values(F.try_variant_get(v, F.lit("$"), "map<string,variant>"))
-    collection = with_geometry(F.when(F.col("kind") == "FeatureCollection", _as_list(_get(v, "features"))))
-    single = F.when((F.col("kind") == "Feature") & _truthy(_get(v, "geometry")).isNotNull(), F.array(v))
-    own = F.when(_geometry(v).isNotNull(), F.array(v))
-    listed = with_geometry(F.when(F.col("held").isNotNull(), _as_list(F.col("held"))).otherwise(_as_list(v)))
-    some = lambda a: F.when(F.size(a) > 0, a)
-    found = F.coalesce(some(collection), some(single), some(own), some(listed), some(with_geometry(values)))
-    rows = docs.select(*keep, F.posexplode(found).alias("position", "r"))
-    r = F.col("r")
-    fields = F.try_variant_get(r, F.lit("$"), "map<string,variant>")
-    others = F.to_json(F.map_filter(fields, lambda k, _: ~k.isin(GEOMETRY_KEYS)))
-    given = _get(r, "properties")
-    is_feature = F.coalesce(_text(r, "type") == "Feature", F.lit(False))
+    docs = df.selectExpr(*keep, f"try_parse_json(`{json}`) AS v")
+    docs = docs.selectExpr(*keep, "v", f"{_text('v', 'type')} AS kind", f"{_first_truthy('v', RECORD_KEYS)} AS held")
+    found = ", ".join([
+        _with_geometry(f"if(kind = 'FeatureCollection', {_as_list(_get('v', 'features'))}, null)"),
+        f"if(kind = 'Feature' and {_truthy(_get('v', 'geometry'))} is not null, array(v), null)",
+        f"if({_geometry('v')} is not null, array(v), null)",
+        _with_geometry(f"if(held is not null, {_as_list('held')}, {_as_list('v')})"),
+        _with_geometry("map_values(try_variant_get(v, '$', 'map<string,variant>'))")])
+    rows = docs.selectExpr(*keep, f"posexplode(coalesce({found})) AS (position, r)")
+    others = ("to_json(map_filter(try_variant_get(r, '$', 'map<string,variant>'), "
+              f"(_k, _v) -> _k not in ({text_list(GEOMETRY_KEYS)})))")
     properties = (
-        F.when(given.isNull() & _get(r, "OBJECTID").isNotNull() & ~is_feature, others)
-        .otherwise(F.coalesce(F.to_json(_truthy(given)), F.lit("{}"))))
-    shape = F.coalesce(_geometry(r), _get(r, "geometry"))
-    return rows.select(*keep, "position", properties.alias("properties"), from_geojson(F.to_json(shape)).alias("geom"))
+        f"case when {_get('r', 'properties')} is null and {_get('r', 'OBJECTID')} is not null "
+        f"and not coalesce({_text('r', 'type')} = 'Feature', false) then {others} "
+        f"else coalesce(to_json({_truthy(_get('r', 'properties'))}), '{{}}') end")
+    shape = f"to_json(coalesce({_geometry('r')}, {_get('r', 'geometry')}))"
+    return rows.selectExpr(*keep, "position", f"{properties} AS properties", f"{from_geojson(shape)} AS geom")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
@@ -43,23 +43,23 @@ def read_csv_points(spark: SparkSession, path, x: int | str = 0, y: int | str =
     raw = _delimited(spark, path, sep, header)
     cx, cy = _column(raw, x), _column(raw, y)
     rest = [c for c in raw.columns if c not in (cx, cy)]
-    return raw.select(*rest, G.point(F.col(cx).cast("double"), F.col(cy).cast("double")).alias("geom"))
+    return raw.select(*rest, F.expr(G.point(f"`{cx}`", f"`{cy}`")).alias("geom"))
 
 
 def read_csv_wkt(spark: SparkSession, path, col: int | str = 0, sep: str = ",", header: bool = False) -> DataFrame:
     """Geometries from a WKT column; the other columns are text attributes."""
     raw = _delimited(spark, path, sep, header)
     c = _column(raw, col)
-    return raw.select(*[k for k in raw.columns if k != c], from_wkt(F.col(c)).alias("geom"))
+    return raw.select(*[k for k in raw.columns if k != c], F.expr(from_wkt(f"`{c}`")).alias("geom"))
 
 
 def read_csv_segments(spark: SparkSession, path, columns: str, header: bool = False) -> DataFrame:
     """Two-point lines from four columns x1, y1, x2, y2; other columns are text attributes."""
     raw = _delimited(spark, path, ",", header)
     ends = [raw.columns[int(i)] for i in columns.split(",")]
-    x1, y1, x2, y2 = [F.col(c).cast("double") for c in ends]
-    vertices = F.array(G.vertex(x1, y1), G.vertex(x2, y2))
-    return raw.select(*[c for c in raw.columns if c not in ends], G.line(vertices).alias("geom"))
+    x1, y1, x2, y2 = [f"`{c}`" for c in ends]
+    shape = G.line(G.ring_of((x1, y1), (x2, y2)))
+    return raw.select(*[c for c in raw.columns if c not in ends], F.expr(shape).alias("geom"))
 
 
 GEOLIFE_HEADER = 6
@@ -73,16 +73,12 @@ def read_geolife(spark: SparkSession, path, glob: str = "*.plt") -> DataFrame:
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(
         path, wholetext=True)
-    lines = files.select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("n", "line"))
-    rows = lines.where((F.col("n") >= GEOLIFE_HEADER) & (F.col("line") != "")).select(F.split("line", ",").alias("p"))
-
-    def field(i: int) -> Column:
-        return F.element_at("p", i + 1)
-
-    return rows.select(
-        G.point(field(1).cast("double"), field(0).cast("double")).alias("geom"),
-        field(2).alias("Unused"), field(3).cast("double").alias("Altitude"),
-        field(4).cast("double").alias("Date_Days"), field(5).alias("Date"), field(6).alias("Time"))
+    lines = files.selectExpr(r"posexplode(split(value, r'\r\n|\n|\r')) AS (n, line)")
+    rows = lines.where(f"n >= {GEOLIFE_HEADER} and line <> ''").selectExpr("split(line, ',') AS p")
+    # The index operator fails on a missing field.
+    return rows.selectExpr(
+        f"{G.point('p[1]', 'p[0]')} AS geom", "element_at(p, 3) AS Unused", "double(element_at(p, 4)) AS Altitude",
+        "double(element_at(p, 5)) AS Date_Days", "element_at(p, 6) AS Date", "element_at(p, 7) AS Time")
 
 
 PORTO_FILE = ("TRIP_ID string, CALL_TYPE string, ORIGIN_CALL string, ORIGIN_STAND string, TAXI_ID string, "
@@ -93,21 +89,16 @@ def read_porto(spark: SparkSession, path, unit: str = "ms") -> DataFrame:
     """Taxi trips with a list of positions as a MultiPoint. The epoch number counts as
     milliseconds; ``unit="s"`` reads it as seconds."""
     raw = _delimited(spark, path, ",", True, schema=PORTO_FILE)
-    number = F.col("TIMESTAMP").cast("long")
-    moment = F.timestamp_millis(number) if unit == "ms" else F.timestamp_seconds(number)
-    ordinates = F.from_json(
-        F.concat(F.lit("["), F.regexp_replace("POLYLINE", r"[\[\]\s]", ""), F.lit("]")), "array<double>",
-        {"mode": "FAILFAST"})
-    odd = F.raise_error(F.lit("Must have even number of coordinates")).cast("array<double>")
-    return raw.withColumn("_c", ordinates).select(
-        F.col("TRIP_ID").cast("long").alias("TRIP_ID"), "CALL_TYPE", "ORIGIN_CALL", "ORIGIN_STAND",
-        F.col("TAXI_ID").cast("int").alias("TAXI_ID"), moment.alias("TIMESTAMP"), "DAY_TYPE",
-        (F.lower("MISSING_DATA") == "true").alias("MISSING_DATA"),
-        F.when(F.size("_c") % 2 == 0, F.col("_c")).otherwise(odd).alias("_c")
-    ).select("*", G.multipoint(F.when(F.size("_c") > 0, F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("_c") / 2).cast("int") - 1),
-        lambda i: G.vertex(F.get("_c", i * 2), F.get("_c", i * 2 + 1))
-    )).otherwise(F.array().cast(f"array<{G.VERTEX}>"))).alias("geom")).drop("_c")
+    moment = "timestamp_millis" if unit == "ms" else "timestamp_seconds"
+    shown = raw.selectExpr(
+        "bigint(TRIP_ID) AS TRIP_ID", "CALL_TYPE", "ORIGIN_CALL", "ORIGIN_STAND", "int(TAXI_ID) AS TAXI_ID",
+        f"{moment}(bigint(TIMESTAMP)) AS TIMESTAMP", "DAY_TYPE", "lower(MISSING_DATA) = 'true' AS MISSING_DATA",
+        r"from_json(concat('[', regexp_replace(POLYLINE, r'[\[\]\s]', ''), ']'), 'array<double>', "
+        "map('mode', 'FAILFAST')) AS _c")
+    vertices = ("case when size(_c) % 2 = 1 then raise_error('Must have even number of coordinates') "
+                f"when size(_c) > 0 then transform(sequence(0, int(size(_c) / 2) - 1), _pi -> "
+                f"{G.vertex('get(_c, _pi * 2)', 'get(_c, _pi * 2 + 1)')}) else cast(array() as array<{G.VERTEX}>) end")
+    return shown.selectExpr("*", f"{G.multipoint(vertices)} AS geom").drop("_c")
 
 
 def read_geojson(spark: SparkSession, path, properties: str = "map<string,string>",
@@ -123,7 +114,7 @@ def read_geojson(spark: SparkSession, path, properties: str = "map<string,string
         whole = spark.read.schema(f"type string, features array<{feature}>").json(path, multiLine=True)
         f = whole.select(F.explode("features").alias("f"))
     typed = f.select(F.from_json("f.properties", properties).alias("properties"),
-                     from_geojson(F.col("f.geometry")).alias("geom"))
+                     F.expr(from_geojson("f.geometry")).alias("geom"))
     return typed.select("properties.*", "geom") if properties.startswith("struct<") else typed
 
 

@@ -31,7 +31,7 @@ def test_boxes(spark):
 def features(spark):
     rows = [(1, "POINT(175 1)"), (2, "POINT(-175 1)"), (3, "LINESTRING(0 0,10 10)"), (4, None), (5, "POINT EMPTY"),
             (6, "POLYGON((20 20,40 20,40 40,20 40,20 20),(25 25,35 25,35 35,25 35,25 25))"), (7, "MULTIPOINT((50 50),(60 60))")]
-    return spark.createDataFrame(rows, "fid int, w string").select("fid", F.concat(F.lit("n"), "fid").alias("name"), X.from_wkt(F.col("w")).alias("geom"))
+    return spark.createDataFrame(rows, "fid int, w string").select("fid", F.concat(F.lit("n"), "fid").alias("name"), F.expr(X.from_wkt("w")).alias("geom"))
 
 
 def ids(df):
@@ -65,7 +65,7 @@ def test_view(features):
 
 def test_box_filter_reaches_the_reader(spark, tmp_path):
     spark.range(1000).select("id", F.col("id").cast("double").alias("x")).select(
-        "id", G.point(F.col("x"), F.lit(0.0)).alias("geom"), F.col("x").alias("xmin"), F.lit(0.0).alias("ymin"),
+        "id", F.expr(G.point("x", 0)).alias("geom"), F.col("x").alias("xmin"), F.lit(0.0).alias("ymin"),
         F.col("x").alias("xmax"), F.lit(0.0).alias("ymax")).write.parquet(str(tmp_path / "f"))
     df = Q.range_query(spark.read.parquet(str(tmp_path / "f")), "5,-1,8,1", points=True).select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -13,8 +13,8 @@ def vertices(n, start=0):
 
 
 def broken(spark, wkt, t):
-    df = spark.createDataFrame([(wkt,)], "w string").select(X.from_wkt(F.col("w")).alias("geom"))
-    out = K.break_geometries(df, t, position="n").select("n", X.to_wkt(F.col("geom")).alias("w")).orderBy("n")
+    df = spark.createDataFrame([(wkt,)], "w string").select(F.expr(X.from_wkt("w")).alias("geom"))
+    out = K.break_geometries(df, t, position="n").select("n", F.expr(X.to_wkt("geom")).alias("w")).orderBy("n")
     return [r.w for r in out.collect()]
 
 
@@ -22,7 +22,7 @@ def test_polygon_becomes_two_chunks(spark):
     ring = [(math.cos(2 * math.pi * i / 18), math.sin(2 * math.pi * i / 18)) for i in range(18)]
     ring.append(ring[0])
     wkt = "POLYGON((" + ",".join(f"{x!r} {y!r}" for x, y in ring) + "))"
-    df = spark.createDataFrame([(wkt,)], "w string").select(X.from_wkt(F.col("w")).alias("geom"))
+    df = spark.createDataFrame([(wkt,)], "w string").select(F.expr(X.from_wkt("w")).alias("geom"))
     rows = K.break_geometries(df, 10, position="n").orderBy("n").collect()
     got = [[(v.x, v.y) for v in r.geom.parts[0].rings[0]] for r in rows]
     assert got == [ring[:10], ring[9:]]
@@ -57,7 +57,7 @@ def test_small_and_empty(spark):
 
 def test_viz_features(spark):
     rows = [("POINT(0 0)",), ("POINT(0 86)",), (None,), ("POINT EMPTY",), ("LINESTRING(0 80,0 89)",), ("POINT(181 0)",)]
-    df = spark.createDataFrame(rows, "w string").select(F.lit(1).alias("a"), X.from_wkt(F.col("w")).alias("geom"))
+    df = spark.createDataFrame(rows, "w string").select(F.lit(1).alias("a"), F.expr(X.from_wkt("w")).alias("geom"))
     out = K.viz_features(df)
     assert "a" not in out.columns
-    assert sorted(r.w for r in out.select(X.to_wkt(F.col("geom")).alias("w")).collect()) == ["LINESTRING(0.0 80.0,0.0 89.0)", "POINT(0.0 0.0)"]
+    assert sorted(r.w for r in out.select(F.expr(X.to_wkt("geom")).alias("w")).collect()) == ["LINESTRING(0.0 80.0,0.0 89.0)", "POINT(0.0 0.0)"]

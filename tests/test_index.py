@@ -19,7 +19,7 @@ def points(spark):
     rng = np.random.default_rng(1)
     xy = rng.uniform(0, 1, (1000, 2)).round(4)
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "fid long, x double, y double")
-    return df.select("fid", G.point(F.col("x"), F.col("y")).alias("geom")).cache()
+    return df.select("fid", F.expr(G.point("x", "y")).alias("geom")).cache()
 
 
 @pytest.mark.parametrize("method", ["rsgrove", "grid", "str", "zcurve"])
@@ -66,7 +66,7 @@ def test_hot_partition_is_written_by_several_tasks(spark, tmp_path):
     """The rebalance hint cuts an oversized part; the rows stay whole."""
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
     try:
-        df = spark.range(20000).repartition(8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"), G.point(F.lit(1.0), F.lit(2.0)).alias("geom"))
+        df = spark.range(20000).repartition(8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t"), F.expr(G.point(1, 2)).alias("geom"))
         I.save_index(df.withColumn("part_id", F.lit(0)), str(tmp_path / "hot"))
         files = list((tmp_path / "hot" / "data" / "part_id=0").glob("*.parquet"))
         assert len(files) > 1 and I.read_index(spark, str(tmp_path / "hot")).select("id").distinct().count() == 20000
@@ -77,7 +77,7 @@ def test_hot_partition_is_written_by_several_tasks(spark, tmp_path):
 def test_summary_of_mixed_rows(spark):
     from mapshelf.functions import textgeom as X
     rows = [(1, "ab", "POINT(1 2)"), (2, None, "LINESTRING(0 0,2 4)"), (3, "c", None), (4, "d", "POINT EMPTY")]
-    df = spark.createDataFrame(rows, "fid int, a string, w string").select("fid", "a", X.from_wkt(F.col("w")).alias("geom"))
+    df = spark.createDataFrame(rows, "fid int, a string, w string").select("fid", "a", F.expr(X.from_wkt("w")).alias("geom"))
     s = A.summarize(df, key="fid").first()
     assert (s["size"], s.num_features, s.num_points, s.geometry_type) == (3 * 16 + 4, 4, 3, "GeometryCollection")
     assert s.extent == [0.0, 0.0, 2.0, 4.0] and s.avg_sidelength == [1.0, 2.0]
@@ -94,10 +94,10 @@ def test_tiles(spark, points):
     assert by_rollup.exceptAll(direct).isEmpty() and direct.exceptAll(by_rollup).isEmpty()
     assert {r.z: r.n for r in by_rollup.groupBy("z").agg(F.sum("cnt").alias("n")).collect()} == {z: 1000 for z in range(12)}
     edge = spark.createDataFrame([(1, 180.0, 85.0511287798066), (2, -180.0, -85.0511287798066), (3, 0.0, 86.0)], "fid int, x double, y double").select(
-        "fid", G.point(F.col("x"), F.col("y")).alias("geom"))
+        "fid", F.expr(G.point("x", "y")).alias("geom"))
     got = sorted(tuple(r) for r in V.assign_tiles(edge, 3).where("z = 2").collect())
     assert got == [(1, 2, 3, 0), (2, 2, 0, 3)]
-    box = spark.range(1).select(F.col("id").alias("fid"), G.box_polygon(F.lit(-1.0), F.lit(-1.0), F.lit(1.0), F.lit(1.0)).alias("geom"))
+    box = spark.range(1).select(F.col("id").alias("fid"), F.expr(G.box_polygon(-1, -1, 1, 1)).alias("geom"))
     assert V.tile_counts(box, 2).where("z = 1").count() == 4
     px = V.tile_raster(points, 3)
     assert {r.z: r.n for r in px.groupBy("z").agg(F.sum("cnt").alias("n")).collect()} == {0: 1000, 1: 1000, 2: 1000}
@@ -128,7 +128,7 @@ def test_ingest(spark, points, tmp_path, levels):
     base = str(tmp_path / "archive")
     folder = tmp_path / "archive" / "rand" / "points" / "download"
     folder.mkdir(parents=True)
-    rows = points.select(G.xmin(F.col("geom")).alias("x"), G.ymin(F.col("geom")).alias("y"), "fid").collect()
+    rows = points.select(F.expr(G.xmin("geom")).alias("x"), F.expr(G.ymin("geom")).alias("y"), "fid").collect()
     with zipfile.ZipFile(folder / "data.zip", "w") as z:
         z.writestr("p.csv", "".join(f"{r.x};{r.y};{r.fid}\n" for r in rows))
     table = C.CatalogTable(spark, str(tmp_path / "cat"))

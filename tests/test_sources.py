@@ -11,7 +11,7 @@ from mapshelf.sources import archives, loose_json, readers
 
 
 def wkts(df):
-    return sorted(r.w for r in df.select(X.to_wkt(F.col("geom")).alias("w")).collect())
+    return sorted(r.w for r in df.select(F.expr(X.to_wkt("geom")).alias("w")).collect())
 
 
 def test_csv_points(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_csv_wkt_and_segments(spark, tmp_path):
     assert wkts(readers.read_dataset(spark, str(tmp_path / "w.csv"), {"iformat": "wkt(1)", "separator": "\t"})) == [
         "LINESTRING(0.0 0.0,1.0 1.0)", "POINT(1.0 2.0)"]
     (tmp_path / "s.csv").write_text('4,"x, y",1,,3,2\n')
-    row = readers.read_csv_segments(spark, str(tmp_path / "s.csv"), "2,5,4,0").select("_c1", "_c3", X.to_wkt(F.col("geom")).alias("w")).first()
+    row = readers.read_csv_segments(spark, str(tmp_path / "s.csv"), "2,5,4,0").select("_c1", "_c3", F.expr(X.to_wkt("geom")).alias("w")).first()
     assert tuple(row) == ("x, y", "", "LINESTRING(1.0 2.0,3.0 4.0)")
 
 
@@ -58,7 +58,7 @@ def test_porto(spark, tmp_path):
     (tmp_path / "p.txt").write_text("\n".join(",".join(f'"{v}"' for v in r) for r in rows) + "\n")
     df = readers.read_dataset(spark, str(tmp_path), {"iformat": "porto"})
     got = df.select("TRIP_ID", "ORIGIN_CALL", "ORIGIN_STAND", "TAXI_ID", F.unix_millis("TIMESTAMP").alias("t"), "MISSING_DATA",
-                    G.num_points(F.col("geom")).alias("n"), F.col("geom")["kind"].alias("k")).orderBy("TRIP_ID").collect()
+                    F.expr(G.num_points("geom")).alias("n"), F.col("geom")["kind"].alias("k")).orderBy("TRIP_ID").collect()
     assert [tuple(r) for r in got] == [
         (11, "", "", 5, 1372636858, False, 2, "MultiPoint"), (12, "", "7", 6, 1372637303, True, 1, "MultiPoint"),
         (13, "", "", 6, 1372637304, False, 0, "MultiPoint")]
@@ -76,7 +76,7 @@ def test_geojson(spark, tmp_path):
             {"type": "Point", "coordinates": [1, 2]}, {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]]}]}}]}
     (tmp_path / "a.geojson").write_text(json.dumps(fc, indent=1))
     df = readers.read_geojson(spark, str(tmp_path / "a.geojson"))
-    rows = df.select("properties", X.to_wkt(F.col("geom")).alias("w")).collect()
+    rows = df.select("properties", F.expr(X.to_wkt("geom")).alias("w")).collect()
     assert [r.w for r in rows] == ["POINT(1.0 2.0)", None,
                                   "GEOMETRYCOLLECTION(POINT(1.0 2.0),LINESTRING(0.0 0.0,1.0 1.0),LINESTRING(2.0 2.0,3.0 3.0))"]
     assert rows[0].properties == {"a": "1", "b": "x"}
@@ -133,6 +133,6 @@ def test_loose_json_edges(spark):
             '{"type":"Feature","geometry":{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]}]}}',
             '[{"geom":0,"shape":{"type":"Point","coordinates":[5,6]},"properties":{"k":[1,{"z":null}]}}]']
     df = spark.createDataFrame(list(enumerate(docs)), "i int, json string")
-    out = loose_json.normalize_json_features(df, keep=("i",)).select("i", "properties", X.to_wkt(F.col("geom")).alias("w"))
+    out = loose_json.normalize_json_features(df, keep=("i",)).select("i", "properties", F.expr(X.to_wkt("geom")).alias("w"))
     assert sorted(tuple(r) for r in out.collect()) == [
         (5, "{}", "GEOMETRYCOLLECTION(POINT(1.0 2.0))"), (6, '{"k":[1,{"z":null}]}', "POINT(5.0 6.0)")]

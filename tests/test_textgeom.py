@@ -21,9 +21,9 @@ CASES = [
 
 def test_wkt_and_geojson_round_trip(spark):
     df = spark.createDataFrame([(w,) for w in CASES], "w string")
-    rows = df.select("w", X.from_wkt(F.col("w")).alias("g")).select(
-        "w", X.to_wkt(F.col("g")).alias("w2"), X.to_geojson(F.col("g")).alias("j")).select(
-        "*", X.to_wkt(X.from_geojson(F.col("j"))).alias("w3")).collect()
+    rows = df.select("w", F.expr(X.from_wkt("w")).alias("g")).select(
+        "w", F.expr(X.to_wkt("g")).alias("w2"), F.expr(X.to_geojson("g")).alias("j")).select(
+        "*", X.to_wkt(F.expr(X.from_geojson("j"))).alias("w3")).collect()
     for row in rows:
         assert (row.w2, row.w3) == (row.w, row.w)
         json.loads(row.j)
@@ -33,7 +33,7 @@ def test_wkt_loose_spelling(spark):
     rows = spark.createDataFrame([
         ("  point ( 1e1   2E-1 )",), ("Point Z (1 2 3)",), ("MULTIPOINT(1 2, 3 4)",),
         ("SRID=4326;POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))",), (None,), (" ",)],
-        "w string").select(X.to_wkt(X.from_wkt(F.col("w"))).alias("w")).collect()
+        "w string").select(X.to_wkt(F.expr(X.from_wkt("w"))).alias("w")).collect()
     assert [r.w for r in rows] == [
         "POINT(10.0 0.2)", "POINT(1.0 2.0)", "MULTIPOINT((1.0 2.0),(3.0 4.0))",
         "POLYGON((0.0 0.0,1.0 0.0,1.0 1.0,0.0 0.0),(0.1 0.1,0.2 0.1,0.2 0.2,0.1 0.1))", None, None]
@@ -42,14 +42,14 @@ def test_wkt_loose_spelling(spark):
 def test_wkt_errors(spark):
     for bad in ["CIRCLE(1 2)", "POINT 1 2", "nonsense"]:
         with pytest.raises(Exception, match="Unreadable WKT"):
-            spark.createDataFrame([(bad,)], "w string").select(X.from_wkt(F.col("w"))).collect()
+            spark.createDataFrame([(bad,)], "w string").select(F.expr(X.from_wkt("w"))).collect()
 
 
 def test_measures(spark):
     df = spark.createDataFrame([(i, w) for i, w in enumerate(CASES)], "i int, w string").select(
-        "i", X.from_wkt(F.col("w")).alias("geom"))
-    rows = df.select("i", G.num_points(F.col("geom")).alias("n"), G.is_empty(F.col("geom")).alias("e"),
-                     G.mbr(F.col("geom")).alias("b")).orderBy("i").collect()
+        "i", F.expr(X.from_wkt("w")).alias("geom"))
+    rows = df.select("i", F.expr(G.num_points("geom")).alias("n"), F.expr(G.is_empty("geom")).alias("e"),
+                     F.expr(G.mbr("geom")).alias("b")).orderBy("i").collect()
     assert [r.n for r in rows] == [1, 3, 8, 2, 5, 12, 3, 0, 0]
     assert [r.e for r in rows] == [False] * 7 + [True] * 2
     assert tuple(rows[5].b) == (0.0, 0.0, 10.0, 10.0)
@@ -83,9 +83,9 @@ INTERSECTS = [
 
 def test_intersects(spark):
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(INTERSECTS)], "i int, a string, b string, e boolean")
-    df = df.select("i", "e", X.from_wkt(F.col("a")).alias("a"), X.from_wkt(F.col("b")).alias("b"))
-    rows = df.select("i", "e", G.intersects(F.col("a"), F.col("b")).alias("ab"),
-                     G.intersects(F.col("b"), F.col("a")).alias("ba")).orderBy("i").collect()
+    df = df.select("i", "e", F.expr(X.from_wkt("a")).alias("a"), F.expr(X.from_wkt("b")).alias("b"))
+    rows = df.select("i", "e", F.expr(G.intersects("a", "b")).alias("ab"),
+                     F.expr(G.intersects("b", "a")).alias("ba")).orderBy("i").collect()
     assert [(r.i, r.ab, r.ba) for r in rows] == [(r.i, r.e, r.e) for r in rows]
 
 
@@ -93,17 +93,17 @@ def test_intersects_box_agrees_with_box_polygon(spark):
     geoms = [c[0] for c in INTERSECTS if c[0]] + [c[1] for c in INTERSECTS]
     boxes = [(0.0, 0.0, 1.0, 1.0), (2.0, 2.0, 3.0, 3.0), (4.6, 4.6, 5.0, 5.0), (-5.0, -5.0, -1.0, -1.0),
              (4.2, 5.0, 4.2, 5.0), (1.0, 0.0, 1.0, 3.0)]
-    df = spark.createDataFrame([(g,) for g in geoms], "w string").select("w", X.from_wkt(F.col("w")).alias("g"))
+    df = spark.createDataFrame([(g,) for g in geoms], "w string").select("w", F.expr(X.from_wkt("w")).alias("g"))
     boxed = spark.createDataFrame(boxes, "x0 double, y0 double, x1 double, y1 double")
-    corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    rows = df.join(boxed).select("*", G.box_polygon(*corners).alias("b")).select(
-        "w", "x0", "y0", G.intersects_box(F.col("g"), corners).alias("fast"),
-        G.intersects(F.col("g"), F.col("b")).alias("slow")).collect()
+    corners = ("x0", "y0", "x1", "y1")
+    rows = df.join(boxed).select("*", F.expr(G.box_polygon(*corners)).alias("b")).select(
+        "w", "x0", "y0", F.expr(G.intersects_box("g", corners)).alias("fast"),
+        F.expr(G.intersects("g", "b")).alias("slow")).collect()
     assert [r for r in rows if r.fast != r.slow] == []
 
 
 def test_kml(spark):
     row = spark.createDataFrame([("POLYGON((0 0,4 0,4 4,0 0),(1 1,2 1,2 2,1 1))",)], "w string").select(
-        X.to_kml(X.from_wkt(F.col("w"))).alias("k")).first()
+        X.to_kml(F.expr(X.from_wkt("w"))).alias("k")).first()
     assert row.k.startswith("<Polygon><outerBoundaryIs><LinearRing><coordinates>0.0,0.0 4.0,0.0")
     assert row.k.count("innerBoundaryIs") == 2

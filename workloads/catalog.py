@@ -242,7 +242,7 @@ SELECT doc_id, 'POLYGON((' || v || ' ' || v + 1 || ',' || v + 2 || ' ' || v + 1
 def extent_polygon(spark, sf):
     v = (F.col("doc_id") % 100).cast("double")
     d = D.table(spark, sf, "documents").select("doc_id", F.array(v, v + 1, v + 2, v + 3).alias("extent"))
-    return d.select("doc_id", X.to_wkt(C.extent_to_polygon(F.col("extent"))).alias("wkt"))
+    return d.select("doc_id", C.extent_to_polygon("extent").alias("geom")).selectExpr("doc_id", f"{X.to_wkt('geom')} AS wkt")
 
 
 # ---------------------------------------------------------------- submissions, options and links

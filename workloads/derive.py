@@ -16,15 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pointed(df: DataFrame, *attributes: str) -> DataFrame:
+    return df.selectExpr(*attributes, f"{G.point('xmin', 'ymin')} AS geom", "xmin", "ymin", "xmin AS xmax", "ymin AS ymax")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ((F.col("o_orderkey") * 7919) % 36000).cast("double") / F.lit(100.0) - F.lit(180.0)
-    y = ((F.col("o_orderkey") * 104729 + F.col("o_custkey")) % 17000).cast("double") / F.lit(100.0) - F.lit(85.0)
-    df = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("fid"), x.alias("xmin"), y.alias("ymin"),
-        "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return df.select("fid", "o_orderstatus", "o_totalprice", "o_orderpriority",
-                     G.point(F.col("xmin"), F.col("ymin")).alias("geom"),
-                     "xmin", "ymin", F.col("xmin").alias("xmax"), F.col("ymin").alias("ymax"))
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS fid", "o_orderstatus", "o_totalprice", "o_orderpriority",
+        "double((o_orderkey * 7919) % 36000) / 100D - 180D AS xmin",
+        "double((o_orderkey * 104729 + o_custkey) % 17000) / 100D - 85D AS ymin")
+    return _pointed(df, "fid", "o_orderstatus", "o_totalprice", "o_orderpriority")
 
 
 POINTS = """points AS (
@@ -36,12 +37,10 @@ POINTS = """points AS (
 
 
 def points_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ((F.col("l_partkey") * 7919) % 36000).cast("double") / F.lit(100.0) - F.lit(180.0)
-    y = ((F.col("l_orderkey") * 104729 + F.col("l_suppkey")) % 17000).cast("double") / F.lit(100.0) - F.lit(85.0)
-    df = table(spark, sf_dir, "lineitem").select(
-        x.alias("xmin"), y.alias("ymin"), "l_returnflag", "l_quantity")
-    return df.select("l_returnflag", "l_quantity", G.point(F.col("xmin"), F.col("ymin")).alias("geom"),
-                     "xmin", "ymin", F.col("xmin").alias("xmax"), F.col("ymin").alias("ymax"))
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_returnflag", "l_quantity", "double((l_partkey * 7919) % 36000) / 100D - 180D AS xmin",
+        "double((l_orderkey * 104729 + l_suppkey) % 17000) / 100D - 85D AS ymin")
+    return _pointed(df, "l_returnflag", "l_quantity")
 
 
 POINTS_BIG = """points_big AS (
@@ -54,12 +53,10 @@ TRIP_LENGTH = 64
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = ((F.col("event_id") * 37) % 36000).cast("double") / F.lit(100.0) - F.lit(180.0)
-    y = ((F.col("event_id") * 53) % 17000).cast("double") / F.lit(100.0) - F.lit(85.0)
-    df = table(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", x.alias("xmin"), y.alias("ymin"))
-    return df.select("event_id", "user_id", "event_type", G.point(F.col("xmin"), F.col("ymin")).alias("geom"),
-                     "xmin", "ymin", F.col("xmin").alias("xmax"), F.col("ymin").alias("ymax"))
+    df = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "event_type", "double((event_id * 37) % 36000) / 100D - 180D AS xmin",
+        "double((event_id * 53) % 17000) / 100D - 85D AS ymin")
+    return _pointed(df, "event_id", "user_id", "event_type")
 
 
 EVENT_POINTS = """event_points AS (
@@ -75,9 +72,9 @@ def trips(spark: SparkSession, sf_dir: str, kind: str = "LineString") -> DataFra
     e = event_points(spark, sf_dir).select(
         F.floor(F.col("event_id") / TRIP_LENGTH).alias("fid"), "event_id", "xmin", "ymin")
     ordered = e.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("event_id", "xmin", "ymin"))).alias("v"))
-    vertices = F.transform("v", lambda v: G.vertex(v["xmin"], v["ymin"]))
+    vertices = f"transform(v, _t -> {G.vertex('_t.xmin', '_t.ymin')})"
     shape = G.multipoint(vertices) if kind == "MultiPoint" else G.line(vertices, kind)
-    return ordered.select("fid", shape.alias("geom"))
+    return ordered.selectExpr("fid", f"{shape} AS geom")
 
 
 TRIPS = EVENT_POINTS + """,
@@ -88,12 +85,9 @@ trip_vertices AS (
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line of 32 vertices per embedding."""
-    e = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("fid"), "label",
-        F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    vertices = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: G.vertex(
-        F.get("e", i * 2) * 180.0, F.get("e", i * 2 + 1) * 85.0))
-    return e.select("fid", "label", G.line(vertices).alias("geom"))
+    e = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS fid", "label", "cast(embedding as array<double>) AS e")
+    vertex = G.vertex("get(e, _i * 2) * 180D", "get(e, _i * 2 + 1) * 85D")
+    return e.selectExpr("fid", "label", f"{G.line(f'transform(sequence(0, 31), _i -> {vertex})')} AS geom")
 
 
 LINES = """line_vertices AS (
@@ -104,25 +98,21 @@ LINES = """line_vertices AS (
 
 
 RADIUS = 20.005   # no point of the 0.01 grid lies on the edge of a diamond
+DIAMOND = [(-RADIUS, 0.0), (0.0, -RADIUS), (RADIUS, 0.0), (0.0, RADIUS), (-RADIUS, 0.0)]
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles for even nations and diamonds for odd ones."""
-    key = F.col("n_nationkey")
-    cx = ((key % 5) * 72 - 144).cast("double") + F.lit(0.005)
-    cy = (F.floor(key / 5).cast("int") * 30 - 60).cast("double") + F.lit(0.005)
     base = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    base = base.select(
-        F.col("n_nationkey").alias("position"), F.col("n_name").alias("code"),
-        F.concat(F.lit("Nation "), key.cast("string")).alias("display_name"),
-        F.array("n_name", "r_name").alias("search_names"), cx.alias("cx"), cy.alias("cy"))
-    x, y = F.col("cx"), F.col("cy")
-    diamond = G.polygon(F.array(F.array(
-        G.vertex(x - RADIUS, y), G.vertex(x, y - RADIUS), G.vertex(x + RADIUS, y), G.vertex(x, y + RADIUS),
-        G.vertex(x - RADIUS, y))))
-    shape = F.when(F.col("position") % 2 == 0, G.box_polygon(x - 25.0, y - 10.0, x + 25.0, y + 10.0)).otherwise(diamond)
-    return base.select("position", "code", "display_name", "search_names", shape.alias("geom"))
+    base = base.selectExpr(
+        "n_nationkey AS position", "n_name AS code", "concat('Nation ', n_nationkey) AS display_name",
+        "array(n_name, r_name) AS search_names", "double((n_nationkey % 5) * 72 - 144) + 0.005D AS cx",
+        "double((n_nationkey div 5) * 30 - 60) + 0.005D AS cy")
+    diamond = G.polygon(f"array({G.ring_of(*[(f'cx + {dx}D', f'cy + {dy}D') for dx, dy in DIAMOND])})")
+    rectangle = G.box_polygon("cx - 25D", "cy - 10D", "cx + 25D", "cy + 10D")
+    return base.selectExpr("position", "code", "display_name", "search_names",
+                           f"if(position % 2 = 0, {rectangle}, {diamond}) AS geom")
 
 
 REGIONS = """regions AS (

@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _xy(df):
-    return [G.xmin(F.col("geom")).alias("x"), G.ymin(F.col("geom")).alias("y")]
+    return [F.expr(G.xmin("geom")).alias("x"), F.expr(G.ymin("geom")).alias("y")]
 
 
 _POINTS_BACK = f"WITH {D.POINTS} SELECT CAST(fid AS VARCHAR) AS fid, o_orderpriority, x, y FROM points"
@@ -61,11 +61,11 @@ def read_csv_points_by_index(spark, sf):
 SELECT CAST(fid AS VARCHAR) AS fid, count(*) AS n_points, min(x) AS xmin, max(y) AS ymax, first(x ORDER BY i) AS first_x FROM trip_vertices GROUP BY fid""")
 def read_csv_wkt(spark, sf):
     path = scratch_path(spark, "wkt")
-    D.trips(spark, sf).select("fid", X.to_wkt(F.col("geom")).alias("w")).write.csv(path, sep="\t")
+    D.trips(spark, sf).select("fid", F.expr(X.to_wkt("geom")).alias("w")).write.csv(path, sep="\t")
     df = readers.read_dataset(spark, path, {"iformat": "wkt(1)", "separator": "\t"})
     g = F.col("geom")
-    return df.select(F.col("_c0").alias("fid"), G.num_points(g).alias("n_points"), G.xmin(g).alias("xmin"), G.ymax(g).alias("ymax"),
-                     F.get(G.vertices_of(g), F.lit(0))["x"].alias("first_x"))
+    return df.select(F.col("_c0").alias("fid"), F.expr(G.num_points("geom")).alias("n_points"), F.expr(G.xmin("geom")).alias("xmin"), F.expr(G.ymax("geom")).alias("ymax"),
+                     F.expr(f"get({G.vertices_of('geom')}, 0).x AS first_x"))
 
 
 @query("read_csv_segments", f"""WITH {D.TRIPS}
@@ -74,10 +74,10 @@ FROM trip_vertices a JOIN trip_vertices b ON a.fid = b.fid AND b.i = a.i + 1""")
 def read_csv_segments(spark, sf):
     """Columns y2, fid, x1, note, y1, x2 with quoted text."""
     path = scratch_path(spark, "segments")
-    rows = D.trips(spark, sf).select("fid", F.posexplode(G.segments(F.col("geom"))).alias("i", "s"))
+    rows = D.trips(spark, sf).select("fid", F.posexplode(F.expr(G.segments("geom"))).alias("i", "s"))
     rows.select("s.y2", "fid", "s.x1", F.concat(F.lit("n,"), F.col("i").cast("string")).alias("note"), "s.y1", "s.x2").write.csv(path)
     df = readers.read_dataset(spark, path, {"iformat": "csvline", "columns": "2,4,5,0"})
-    v = G.vertices_of(F.col("geom"))
+    v = F.expr(G.vertices_of("geom"))
     return df.select(F.col("_c1").alias("fid"), F.col("_c3").alias("note"), *[
         F.get(v, F.lit(i))[k].alias(f"{k}{i + 1}") for i in (0, 1) for k in ("x", "y")])
 
@@ -105,7 +105,7 @@ SELECT fid AS trip_id, '' AS origin_call, CAST(fid % 7 AS INTEGER) AS taxi_id, 1
 def read_porto(spark, sf):
     path = scratch_path(spark, "porto")
     t = D.trips(spark, sf)
-    line = F.to_json(F.transform(G.vertices_of(F.col("geom")), lambda v: F.array(v["x"], v["y"])))
+    line = F.to_json(F.transform(F.expr(G.vertices_of("geom")), lambda v: F.array(v["x"], v["y"])))
     t.select(F.col("fid").alias("TRIP_ID"), F.lit("B").alias("CALL_TYPE"), F.lit("").alias("ORIGIN_CALL"), F.lit("7").alias("ORIGIN_STAND"),
              (F.col("fid") % 7).alias("TAXI_ID"), (F.col("fid") + 1372637303).alias("TIMESTAMP"), F.lit("A").alias("DAY_TYPE"),
              F.when(F.col("fid") % 2 == 0, F.lit("True")).otherwise(F.lit("False")).alias("MISSING_DATA"),
@@ -115,7 +115,7 @@ def read_porto(spark, sf):
     g = F.col("geom")
     return df.select(F.col("TRIP_ID").alias("trip_id"), F.col("ORIGIN_CALL").alias("origin_call"), F.col("TAXI_ID").alias("taxi_id"),
                      F.unix_millis("TIMESTAMP").alias("epoch_ms"), F.col("MISSING_DATA").alias("missing_data"),
-                     G.num_points(g).alias("n_points"), G.xmin(g).alias("xmin"))
+                     F.expr(G.num_points("geom")).alias("n_points"), F.expr(G.xmin("geom")).alias("xmin"))
 
 
 @query("read_geojson", f"WITH {D.POINTS} SELECT fid, o_orderpriority, x, y FROM points")
@@ -217,7 +217,7 @@ def loose_json_query(spark, sf):
         .otherwise(text('{"features":null,"records":[{"geometry":', pt, '}]}')))
     df = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), doc.alias("json"))
     out = loose_json.normalize_json_features(df, keep=("k",))
-    return out.select("k", "position", "properties", X.to_wkt(F.col("geom")).alias("wkt"))
+    return out.select("k", "position", "properties", F.expr(X.to_wkt("geom")).alias("wkt"))
 
 
 # ---------------------------------------------------------------- indexes
@@ -310,7 +310,7 @@ def download_box_lines(spark, sf):
     index = _index(spark, sf, D.lines(spark, sf), parts=8)
     rows = W.select_features(spark, index, mbr="-45,-20,45,20", key="fid")
     inside = G.with_mbr(rows).where("xmin >= -45 and xmax <= 45 and ymin >= -20 and ymax <= 20")
-    return inside.select("fid", "label", G.num_points(F.col("geom")).alias("n_points"))
+    return inside.select("fid", "label", F.expr(G.num_points("geom")).alias("n_points"))
 
 
 @query("ingest_dataset", f"""WITH {D.POINTS}
@@ -336,8 +336,8 @@ SELECT count(DISTINCT fid) AS n_trips FROM trip_vertices""")
 def region_download_lines(spark, sf):
     """Every trip meets one of three bands that cover the world; each is counted once."""
     n = D.table(spark, sf, "nation").where(F.col("n_nationkey") < 3)
-    y0 = F.col("n_nationkey") * 60.0 - 90.0
-    bands = n.select(F.lit("all").alias("code"), G.box_polygon(F.lit(-180.0), y0, F.lit(180.0), y0 + 60.0).alias("geom"))
+    y0 = "n_nationkey * 60D - 90D"
+    bands = n.selectExpr("'all' AS code", f"{G.box_polygon(-180, y0, 180, y0 + ' + 60D')} AS geom")
     one = bands.groupBy("code").agg(F.flatten(F.collect_list("geom.parts")).alias("parts"))
-    world = one.select("code", G.geometry("MultiPolygon", F.col("parts")).alias("geom"))
+    world = one.selectExpr("code", f"{G.geometry(repr('MultiPolygon'), 'parts')} AS geom")
     return R.join_regions(D.trips(spark, sf), world).agg(F.count("*").alias("n_trips"))

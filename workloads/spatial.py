@@ -93,9 +93,8 @@ def region_cover_rectangles(spark, sf):
     from mapshelf.functions.cover import base_cell
     from mapshelf.session import materialize
     cover = materialize(region_cover(rect.select("code", "geom")), "cover").join(boxes, "code")
-    p = D.points(spark, sf).select("xmin", "ymin", world_column(F.col("xmin")).alias("fx"),
-                                   world_row(F.col("ymin")).alias("fy"))
-    p = p.withColumn("cell", base_cell(F.col("fx"), F.col("fy")))
+    p = D.points(spark, sf).selectExpr("xmin", "ymin", f"{world_column('xmin')} AS fx", f"{world_row('ymin')} AS fy")
+    p = p.withColumn("cell", F.expr(base_cell("fx", "fy")))
     hit = p.join(cover, (p["cell"] == cover["cell"]) & p["fx"].between(cover["ix0"], cover["ix1"])
                  & p["fy"].between(cover["iy0"], cover["iy1"])
                  & (cover["inside"] | (p["xmin"].between(cover["r_xmin"], cover["r_xmax"])
@@ -262,8 +261,8 @@ SELECT fid, count(*) AS n_points, false AS empty, max(x) - min(x) AS width, max(
 def geometry_measures(spark, sf):
     g = F.col("geom")
     return G.with_mbr(D.lines(spark, sf)).select(
-        "fid", G.num_points(g).alias("n_points"), G.is_empty(g).alias("empty"), G.side_lengths(g)["width"].alias("width"),
-        G.side_lengths(g)["height"].alias("height"), "xmin", "ymax")
+        "fid", F.expr(G.num_points("geom")).alias("n_points"), F.expr(G.is_empty("geom")).alias("empty"), F.expr(G.side_lengths("geom") + ".width AS width"),
+        F.expr(G.side_lengths("geom") + ".height AS height"), "xmin", "ymax")
 
 
 # ---------------------------------------------------------------- breaking
@@ -278,8 +277,8 @@ SELECT fid, CAST(k AS INTEGER) AS piece, count(*) AS n_points, min_by(x, i) AS f
 
 def _broken(df, t):
     b = K.break_geometries(df.select("fid", "geom"), t, position="piece")
-    v = F.get(G.rings_of(F.col("geom")), F.lit(0))
-    return b.select("fid", "piece", G.num_points(F.col("geom")).alias("n_points"), v.alias("v")).select(
+    v = F.get(F.expr(G.rings_of("geom")), F.lit(0))
+    return b.select("fid", "piece", F.expr(G.num_points("geom")).alias("n_points"), v.alias("v")).select(
         "fid", "piece", "n_points", F.get("v", F.lit(0))["x"].alias("first_x"), F.get("v", F.lit(0))["y"].alias("first_y"),
         F.element_at("v", -1)["x"].alias("last_x"), F.element_at("v", -1)["y"].alias("last_y"))
 
@@ -298,10 +297,10 @@ def break_lines(spark, sf):
 SELECT fid, CAST(i AS INTEGER) AS piece, 'Point' AS kind, x, y FROM (SELECT *, count(*) OVER (PARTITION BY fid) AS n FROM trip_vertices)
 WHERE n > 20""")
 def break_multipoints(spark, sf):
-    trips = D.trips(spark, sf, "MultiPoint").where(G.num_points(F.col("geom")) > 20)
+    trips = D.trips(spark, sf, "MultiPoint").where(F.expr(G.num_points("geom")) > 20)
     b = K.break_geometries(trips, 20, position="piece")
     return b.select("fid", "piece", F.col("geom")["kind"].alias("kind"),
-                    G.xmin(F.col("geom")).alias("x"), G.ymin(F.col("geom")).alias("y"))
+                    F.expr(G.xmin("geom")).alias("x"), F.expr(G.ymin("geom")).alias("y"))
 
 
 @query("viz_features", f"""WITH {D.POINTS} SELECT count(*) AS n, min(x) AS xmin, max(y) AS ymax
@@ -309,9 +308,8 @@ FROM (SELECT x, CASE WHEN fid % 5 = 0 THEN y + 10 ELSE y END AS y, fid FROM poin
 WHERE fid % 7 <> 0 AND y <= 85.0511287798066 AND y >= -85.0511287798066""")
 def viz_features(spark, sf):
     """Every seventh geometry missing and every fifth moved north, some of them off the map."""
-    y = F.when(F.col("fid") % 5 == 0, F.col("ymin") + 10.0).otherwise(F.col("ymin"))
-    moved = D.points(spark, sf).select(
-        "fid", F.when(F.col("fid") % 7 != 0, G.point(F.col("xmin"), y)).alias("geom"))
+    y = "if(fid % 5 = 0, ymin + 10D, ymin)"
+    moved = D.points(spark, sf).selectExpr("fid", f"if(fid % 7 <> 0, {G.point('xmin', y)}, null) AS geom")
     return K.viz_features(moved, 20).agg(
         F.count("*").alias("n"), F.min("xmin").alias("xmin"), F.max("ymax").alias("ymax"))
 
@@ -373,7 +371,7 @@ def rsgrove_partition(spark, sf):
     p = D.points(spark, sf).select("fid", "o_orderstatus", "geom", *G.MBR_COLUMNS)
     weight = A.feature_bytes(p, key="fid")
     placed = P.spatial_partition(p, "rsgrove", parts=32, weight=weight)
-    each = placed.groupBy("part_id").agg(F.count("*").alias("n"), F.count_distinct("fid").alias("d"), F.sum(weight).alias("b"))
+    each = placed.groupBy("part_id").agg(F.count("*").alias("n"), F.count_distinct("fid").alias("d"), F.sum(F.expr(weight)).alias("b"))
     return each.agg(F.sum("n").alias("n_features"), F.sum("d").alias("n_distinct"), F.count("*").cast("int").alias("n_parts"),
                     (F.max("b") <= 2 * F.avg("b")).alias("balanced"), F.sum("b").alias("n_bytes"))
 
@@ -401,8 +399,8 @@ def _tile(value: str, z: str) -> str:
 
 @query("to_mercator", f"WITH {D.POINTS}, {_MERC} SELECT fid, round(u, 9) AS u, round(v, 9) AS v FROM merc")
 def to_mercator(spark, sf):
-    m = D.points(spark, sf).select("fid", V.to_mercator(F.col("geom")).alias("geom"))
-    return m.select("fid", F.round(G.xmin(F.col("geom")), 9).alias("u"), F.round(G.ymin(F.col("geom")), 9).alias("v"))
+    m = D.points(spark, sf).select("fid", F.expr(V.to_mercator("geom")).alias("geom"))
+    return m.select("fid", F.round(F.expr(G.xmin("geom")), 9).alias("u"), F.round(F.expr(G.ymin("geom")), 9).alias("v"))
 
 
 @query("assign_tiles", f"""WITH {D.POINTS}, {_MERC}
@@ -463,13 +461,13 @@ def tile_lookup(spark, sf):
 
 @query("to_wkt", f"WITH {D.POINTS} SELECT fid, 'POINT(' || x || ' ' || y || ')' AS wkt FROM points")
 def to_wkt(spark, sf):
-    return D.points(spark, sf).select("fid", X.to_wkt(F.col("geom")).alias("wkt"))
+    return D.points(spark, sf).select("fid", F.expr(X.to_wkt("geom")).alias("wkt"))
 
 
 @query("trips_to_wkt", f"""WITH {D.TRIPS}
 SELECT fid, 'LINESTRING(' || string_agg(x || ' ' || y, ',' ORDER BY i) || ')' AS wkt FROM trip_vertices GROUP BY fid""")
 def trips_to_wkt(spark, sf):
-    return D.trips(spark, sf).select("fid", X.to_wkt(F.col("geom")).alias("wkt"))
+    return D.trips(spark, sf).select("fid", F.expr(X.to_wkt("geom")).alias("wkt"))
 
 
 _FEATURE = """'{"type":"Feature","properties":{"fid":' || fid || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":'
