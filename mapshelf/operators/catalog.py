@@ -113,6 +113,11 @@ def changed_since(catalog: DataFrame, since: Column) -> DataFrame:
     return catalog.where(F.col("modifiedAt") >= since)
 
 
+def list_is_current(catalog: DataFrame, since: Column) -> DataFrame:
+    """One row ``unchanged``: is a client's copy of the published list from ``since`` still good?"""
+    return last_modified(catalog, "published").select((F.col("last_modified") < since).alias("unchanged"))
+
+
 def select_pending(catalog: DataFrame, dataset_id: str | None = None, reset: str | None = None) -> DataFrame:
     """Datasets to process: one by id, optionally put into a status, or all in ``created``."""
     if dataset_id is None:

@@ -131,6 +131,11 @@ def split_format(fmt: str) -> tuple[str, str]:
     return fmt.lower(), "none"
 
 
+def media_type(fmt: str) -> str | None:
+    """Media type of an extension; NULL text for formats without one."""
+    return MEDIA_TYPES.get(split_format(fmt)[0])
+
+
 def records_per_part(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Records that fill about ``part_bytes``, from the mean length of the text lines."""
     mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.operators.indexing import indexed_input, read_index, read_master
@@ -33,6 +34,12 @@ def select_features(spark: SparkSession, index_path: str, mbr: str | None = None
     return indexed_input(found).drop("part_id", *G.MBR_COLUMNS)
 
 
+def is_current(spark: SparkSession, index_path: str, copied_at: Column) -> DataFrame:
+    """One row ``unchanged``: is a whole-dataset copy made at ``copied_at`` as new as the index?"""
+    written = spark.read.parquet(f"{index_path}/master").select("_metadata.file_modification_time")
+    return written.agg((copied_at >= F.max("file_modification_time")).alias("unchanged"))
+
+
 def download(spark: SparkSession, index_path: str, target: str, fmt: str, mbr: str | None = None,
              regions: DataFrame | None = None, region: str | None = None, sep: str = ",",
              key: str | None = None, points: bool = False, bounded: bool = False) -> None:

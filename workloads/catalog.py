@@ -156,6 +156,11 @@ def changed_since(spark, sf):
     return C.changed_since(D.catalog(spark, sf), F.lit("2024-01-01 02:00:00").cast("timestamp")).select("_id", _STAMP)
 
 
+@query("list_is_current", _WITH + """SELECT max(modifiedAt) < TIMESTAMP '2024-01-01 02:00:00' AS unchanged FROM catalog WHERE status = 'published'""")
+def list_is_current(spark, sf):
+    return C.list_is_current(D.catalog(spark, sf), F.lit("2024-01-01 02:00:00").cast("timestamp"))
+
+
 @query("pending", _WITH + "SELECT _id, status FROM catalog WHERE status = 'created'")
 def pending(spark, sf):
     return C.select_pending(D.catalog(spark, sf)).select("_id", "status")

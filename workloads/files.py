@@ -8,6 +8,7 @@ from mapshelf.functions import geometry as G
 from mapshelf.functions import textgeom as X
 from mapshelf.operators import catalog as C
 from mapshelf.operators import indexing as I
+from mapshelf.operators import partitioning as P
 from mapshelf.operators import regions as R
 from mapshelf.operators import sinks as S
 from mapshelf.operators import spatial_filter as Q
@@ -162,15 +163,18 @@ SELECT 'a' || fid // 16 AS folder, 'trips/' || fid || '.csv' AS entry, CAST(leng
 def archive_entries(spark, sf):
     """Zip files of 16 trip texts each, with a folder entry that has to be skipped."""
     path = scratch_path(spark, "zips")
-    e = D.event_points(spark, sf).select(
-        F.floor(F.col("event_id") / 64).alias("fid"), "event_id", F.concat("xmin", F.lit(","), "ymin", F.lit("\n")).alias("t"))
-    texts = e.groupBy("fid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "t"))),
-                                                          lambda r: r["t"]), "").alias("t"))
-    _write_zips(texts.select(F.concat(F.lit("a"), F.floor(F.col("fid") / 16).cast("string")).alias("z"), "fid", "t"), path)
+    _write_zips(_trip_texts(spark, sf), path)
     rows = archives.archive_entries(spark, path)
     return rows.select("folder", "entry", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
+def _trip_texts(spark, sf):
+    """(z, fid, t): text of each trip and the archive it goes to."""
+    e = D.event_points(spark, sf).selectExpr("event_id div 64 AS fid", "event_id", "concat(xmin, ',', ymin, '\\n') AS t")
+    texts = e.groupBy("fid").agg(F.expr("array_join(transform(array_sort(collect_list(struct(event_id, t))), _r -> _r.t), '') AS t"))
+    return texts.selectExpr("concat('a', fid div 16) AS z", "fid", "t")
+
+
 def _write_zips(rows, path: str) -> None:
     """One zip per ``z`` (at most 16 short texts), written by the tasks into a shared folder."""
     import pandas as pd
@@ -341,3 +345,72 @@ def region_download_lines(spark, sf):
     one = bands.groupBy("code").agg(F.flatten(F.collect_list("geom.parts")).alias("parts"))
     world = one.selectExpr("code", f"{G.geometry(repr('MultiPolygon'), 'parts')} AS geom")
     return R.join_regions(D.trips(spark, sf), world).agg(F.count("*").alias("n_trips"))
+
+
+@query("ingest_trips", f"""WITH {D.TRIPS}, n AS (SELECT fid, count(*) AS n FROM trip_vertices GROUP BY fid)
+SELECT 'ready' AS status, count(*) AS num_features, CAST(sum(n) AS BIGINT) AS num_points, 'LineString' AS geometry_type,
+  CAST(sum(CASE WHEN n <= 20 THEN 1 ELSE (n - 2) // 19 + 1 END) AS BIGINT) AS viz_records FROM n""")
+def ingest_trips(spark, sf):
+    """Lines above the threshold: a second index for drawing and tile counts from it."""
+    base = scratch_path(spark, "archive")
+    D.trips(spark, sf).select(F.expr(X.to_wkt("geom")).alias("w"), "fid").write.csv(f"{base}/trips/download", sep="\t")
+    table = C.CatalogTable(spark, f"{base}/catalog")
+    table.insert(spark.createDataFrame([("trips", "csv", {"iformat": "wkt(0)", "separator": "\t"}, "created")],
+                                       "name string, format string, options map<string,string>, status string"))
+    new = C.find_by_name(table.read(), "trips").first()["_id"]
+    N.process_dataset(table, new, N.Run(base, threshold=20, levels=6))
+    viz = I.read_master(spark, f"{base}/trips/viz_index").agg(F.sum("record_count").alias("viz_records"), F.lit("trips").alias("name"))
+    row = C.find(table.read(), new).select("name", "status", "num_features", "num_points", "geometry_type")
+    return row.join(viz, "name").drop("name")
+
+
+@query("reindex", f"""WITH {D.POINTS} SELECT 'indexed' AS status, count(*) AS n, count(DISTINCT fid) AS n_distinct FROM points""")
+def reindex(spark, sf):
+    base = scratch_path(spark, "archive")
+    D.points(spark, sf).select("xmin", "ymin", "fid").write.csv(f"{base}/p/download")
+    table = C.CatalogTable(spark, f"{base}/catalog")
+    table.insert(spark.createDataFrame([("p", {"iformat": "point(0,1)"}, "ready")], "name string, options map<string,string>, status string"))
+    new = C.find_by_name(table.read(), "p").first()["_id"]
+    N.reindex(table, new, N.Run(base, method="zcurve"))
+    rows = I.read_index(spark, f"{base}/p/data_index")
+    return rows.agg(F.lit(C.find(table.read(), new).first()["status"]).alias("status"), F.count("*").alias("n"),
+                    F.count_distinct("_c2").alias("n_distinct"))
+
+
+@query("catalog_table_changes", f"""WITH {D.CATALOG}
+SELECT name, CASE WHEN doc_id % 7 = 0 THEN 'downloaded' ELSE status END AS status, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE title END AS title
+FROM catalog WHERE doc_id <> 11""")
+def catalog_table_changes(spark, sf):
+    """Insert all rows, change some, delete one, and move a status, each as a new version."""
+    table = C.CatalogTable(spark, scratch_path(spark, "catalog"))
+    table.insert(D.catalog(spark, sf).drop("_id", "modifiedAt", "description"))
+    number = F.split_part("name", F.lit("/"), F.lit(2)).cast("long")
+    rows = table.read()
+    table.update(rows.where(number % 5 == 0).select("_id", F.lit("changed").alias("title")))
+    table.delete(rows.where(number == 11).first()["_id"])
+    table.update_status_many("created", "downloaded")
+    return table.read().select("name", "status", "title")
+
+
+@query("read_text_master", f"""WITH {D.POINTS}, placed AS (
+  SELECT *, CAST(floor((y + 90) / 180.0 * 8) * 8 + floor((x + 180) / 360.0 * 8) AS INTEGER) AS part_id FROM points)
+SELECT part_id, 'part-' || part_id AS file_name, count(*) AS record_count, min(x) AS xmin, max(y) AS ymax FROM placed GROUP BY part_id""")
+def read_text_master(spark, sf):
+    """A manifest in the tab-separated layout, under a name that Spark would skip."""
+    placed = P.spatial_partition(D.points(spark, sf).select("fid", "geom", *G.MBR_COLUMNS), "grid", parts=64, extent=P.WORLD)
+    m = A.partition_stats(placed)
+    path = scratch_path(spark, "text") + "/_master.cells"
+    m.selectExpr("part_id AS ID", "concat('part-', part_id) AS `File Name`", "record_count", "nonempty_count", "num_points", "data_size",
+                 "sum_x", "sum_y", "boundary", "xmin", "ymin", "xmax", "ymax").write.csv(path, sep="\t", header=True)
+    return I.read_text_master(spark, path).select("part_id", "file_name", "record_count", "xmin", "ymax")
+
+
+@query("expand_archives", f"""WITH {D.EVENT_POINTS}, f AS (SELECT event_id // 64 AS fid, string_agg(x || ',' || y || chr(10), '' ORDER BY event_id) AS t
+  FROM event_points GROUP BY 1)
+SELECT 'a' || fid // 16 || '/trips/' || fid || '.csv' AS file, length(t) AS n_bytes FROM f""")
+def expand_archives(spark, sf):
+    """Zip files unpacked in place by the tasks; the archives are gone afterwards."""
+    path = scratch_path(spark, "unpack")
+    _write_zips(_trip_texts(spark, sf), path)
+    files = archives.expand_archives(spark, path)
+    return files.select(F.regexp_extract("file", "(a[0-9]+/trips/[0-9]+[.]csv)$", 1).alias("file"), F.col("bytes").alias("n_bytes"))
