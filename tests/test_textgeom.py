@@ -23,7 +23,7 @@ def test_wkt_and_geojson_round_trip(spark):
     df = spark.createDataFrame([(w,) for w in CASES], "w string")
     rows = df.select("w", F.expr(X.from_wkt("w")).alias("g")).select(
         "w", F.expr(X.to_wkt("g")).alias("w2"), F.expr(X.to_geojson("g")).alias("j")).select(
-        "*", X.to_wkt(F.expr(X.from_geojson("j"))).alias("w3")).collect()
+        "*", F.expr(X.from_geojson("j")).alias("g3")).select("*", F.expr(X.to_wkt("g3")).alias("w3")).collect()
     for row in rows:
         assert (row.w2, row.w3) == (row.w, row.w)
         json.loads(row.j)
@@ -33,7 +33,7 @@ def test_wkt_loose_spelling(spark):
     rows = spark.createDataFrame([
         ("  point ( 1e1   2E-1 )",), ("Point Z (1 2 3)",), ("MULTIPOINT(1 2, 3 4)",),
         ("SRID=4326;POLYGON ((0 0, 1 0, 1 1, 0 0), (0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.1))",), (None,), (" ",)],
-        "w string").select(X.to_wkt(F.expr(X.from_wkt("w"))).alias("w")).collect()
+        "w string").select(F.expr(X.to_wkt(X.from_wkt("w"))).alias("w")).collect()
     assert [r.w for r in rows] == [
         "POINT(10.0 0.2)", "POINT(1.0 2.0)", "MULTIPOINT((1.0 2.0),(3.0 4.0))",
         "POLYGON((0.0 0.0,1.0 0.0,1.0 1.0,0.0 0.0),(0.1 0.1,0.2 0.1,0.2 0.2,0.1 0.1))", None, None]
@@ -104,6 +104,6 @@ def test_intersects_box_agrees_with_box_polygon(spark):
 
 def test_kml(spark):
     row = spark.createDataFrame([("POLYGON((0 0,4 0,4 4,0 0),(1 1,2 1,2 2,1 1))",)], "w string").select(
-        X.to_kml(F.expr(X.from_wkt("w"))).alias("k")).first()
+        F.expr(X.to_kml(X.from_wkt("w"))).alias("k")).first()
     assert row.k.startswith("<Polygon><outerBoundaryIs><LinearRing><coordinates>0.0,0.0 4.0,0.0")
     assert row.k.count("innerBoundaryIs") == 2

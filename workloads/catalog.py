@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 _WITH = f"WITH {D.CATALOG} "
-_TAGS = F.array_join("tags", ",").alias("tags")
+_TAGS = "array_join(tags, ',') AS tags"
 _TAGS_SQL = "array_to_string(tags, ',') AS tags"
 
 
@@ -34,7 +34,7 @@ _TAGS_SQL = "array_to_string(tags, ',') AS tags"
 @query("catalog_list", _WITH + f"""SELECT _id, name, size, num_features, num_points, geometry_type, format, {_TAGS_SQL}
 FROM catalog WHERE status = 'published'""")
 def catalog_list(spark, sf):
-    return C.list_published(D.catalog(spark, sf)).select(
+    return C.list_published(D.catalog(spark, sf)).selectExpr(
         "_id", "name", "size", "num_features", "num_points", "geometry_type", "format", _TAGS)
 
 
@@ -106,8 +106,8 @@ def catalog_json(spark, sf):
 
 # ---------------------------------------------------------------- changes
 
-_NOW = F.lit("2030-01-01 00:00:00").cast("timestamp")
-_STAMP = F.date_format("modifiedAt", "yyyy-MM-dd HH:mm:ss").alias("modified")
+_NOW = "timestamp'2030-01-01 00:00:00'"
+_STAMP = "date_format(modifiedAt, 'yyyy-MM-dd HH:mm:ss') AS modified"
 _STAMP_SQL = "strftime(modifiedAt, '%Y-%m-%d %H:%M:%S') AS modified"
 
 
@@ -118,18 +118,18 @@ def catalog_update(spark, sf):
     d = D.table(spark, sf, "documents").where(F.col("doc_id") % 3 == 0)
     changes = d.select(F.lpad(F.hex("doc_id"), 24, "0").alias("_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(
         F.lit("new "), F.col("doc_id").cast("string"))).alias("title"))
-    return C.apply_updates(D.catalog(spark, sf).drop("description"), changes, _NOW).select("_id", "title", "status", _STAMP)
+    return C.apply_updates(D.catalog(spark, sf).drop("description"), changes, F.expr(_NOW)).selectExpr("_id", "title", "status", _STAMP)
 
 
 @query("catalog_publish", _WITH + f"""SELECT _id, CASE WHEN status = 'ready' THEN 'published' ELSE status END AS status, {_STAMP_SQL} FROM catalog""")
 def catalog_publish(spark, sf):
-    return C.publish(D.catalog(spark, sf)).select("_id", "status", _STAMP)
+    return C.publish(D.catalog(spark, sf)).selectExpr("_id", "status", _STAMP)
 
 
 @query("catalog_publish_one", _WITH + """SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN doc_id = 1 THEN 'published' ELSE status END AS status FROM catalog) GROUP BY status""")
 def catalog_publish_one(spark, sf):
-    one = C.publish(D.catalog(spark, sf), "1".rjust(24, "0"), _NOW)
+    one = C.publish(D.catalog(spark, sf), "1".rjust(24, "0"), F.expr(_NOW))
     return one.groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -153,7 +153,7 @@ def last_modified(spark, sf):
 
 @query("changed_since", _WITH + f"""SELECT _id, {_STAMP_SQL} FROM catalog WHERE modifiedAt >= TIMESTAMP '2024-01-01 02:00:00'""")
 def changed_since(spark, sf):
-    return C.changed_since(D.catalog(spark, sf), F.lit("2024-01-01 02:00:00").cast("timestamp")).select("_id", _STAMP)
+    return C.changed_since(D.catalog(spark, sf), F.lit("2024-01-01 02:00:00").cast("timestamp")).selectExpr("_id", _STAMP)
 
 
 @query("list_is_current", _WITH + """SELECT max(modifiedAt) < TIMESTAMP '2024-01-01 02:00:00' AS unchanged FROM catalog WHERE status = 'published'""")
