@@ -1,7 +1,8 @@
 """Documents whose text is spread over many rows.
 
-A document is a DataFrame of ``sort_key`` and ``line``; its text is the lines in key order. No row holds
-more than one record, so a document of any size is written by many tasks.
+A document is a DataFrame of ``part``, ``sort_key`` and ``line``: part 0 opens it, part 1 is the first
+record, part 2 the others and part 3 closes it. No row holds more than one record, so a
+document of any size is written by many tasks.
 """
 
 from __future__ import annotations
@@ -10,26 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def framed(body: DataFrame, head: str, tail: str) -> DataFrame:
+    """Body rows (part, sort_key, line) between an opening and a closing line."""
+    key = body.schema["sort_key"].dataType.simpleString()
+    frame = body.sparkSession.createDataFrame([(0, head), (3, tail)], "part int, line string")
+    return body.unionByName(frame.selectExpr("part", f"cast(null as {key}) AS sort_key", "line"))
+
+
 def json_document(body: DataFrame, head: str, tail: str) -> DataFrame:
-    """(part, sort_key, line): opening line, the records, closing line.
+    """JSON records between an opening and a closing line, with a comma before all but the first.
 
-    Every record but the first is preceded by a comma. ``sort_key`` must be unique.
+    The first record is the one with the smallest ``sort_key``, which must be unique.
     """
-    spark = body.sparkSession
-    opens = F.col("sort_key") == body.agg(F.min("sort_key")).scalar()
+    first = F.col("sort_key") == body.agg(F.min("sort_key")).scalar()
     lines = body.select(
-        F.lit(1).alias("part"), F.col("sort_key").cast("string").alias("sort_key"),
-        F.concat(F.when(opens, F.lit("")).otherwise(F.lit(",")), "line").alias("line"),
-        F.col("sort_key").alias("_order"))
-    frame = spark.createDataFrame([(0, head), (2, tail)], "part int, line string").select(
-        "part", F.lit(None).cast("string").alias("sort_key"), "line",
-        F.lit(None).cast(body.schema["sort_key"].dataType).alias("_order"))
-    return lines.unionByName(frame)
-
-
-def write_document(document: DataFrame, path: str, compression: str | None = None) -> None:
-    """Text files that give the document when read one after the other by name."""
-    writer = document.orderBy("part", "_order").select("line").write.mode("errorifexists")
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.text(path)
+        F.when(first, F.lit(1)).otherwise(F.lit(2)).alias("part"), "sort_key",
+        F.when(first, F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))
+    return framed(lines, head, tail)
+
+
+def write_document(document: DataFrame, path: str, compression: str = "none", ordered: bool = False) -> None:
+    """Text files below ``path`` that give the document when read one after the other by path.
+
+    The parts go to folders of their own, so records need no sorting unless their order counts.
+    """
+    rows = document.orderBy("part", "sort_key") if ordered else document
+    rows.select("part", "line").write.mode("errorifexists").partitionBy("part").text(path, compression=compression)

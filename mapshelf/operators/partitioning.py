@@ -204,7 +204,7 @@ def rsgrove_partition(df: DataFrame, parts: int | None = None, target_size: int
         return f.withColumn("part_id", F.lit(0))
     # Enough rows per leaf for a fair cut, never more than the fixed sample size.
     wanted = min(SAMPLE, max(parts * 100, 10_000))
-    sample = slim.sample(min(1.0, wanted / rows), seed=seed).toPandas().sort_values(["x", "y", "w"])
+    sample = slim.sample(min(1.0, wanted / rows), seed=seed).limit(2 * SAMPLE).toPandas().sort_values(["x", "y", "w"])
     tree = build_split_tree(sample.x.to_numpy(), sample.y.to_numpy(), sample.w.to_numpy(), parts)
 
     @F.pandas_udf("int")

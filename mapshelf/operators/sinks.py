@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from mapshelf.functions import geometry as G
 from mapshelf.functions.textgeom import to_kml, to_wkt, xml_escape
-from mapshelf.operators.documents import json_document, write_document
+from mapshelf.operators.documents import framed, json_document, write_document
 from mapshelf.operators.spatial_filter import attributes_json, feature_json
 
 PART_BYTES = 33554432
@@ -72,16 +72,15 @@ KML_TAIL = "</Document></kml>"
 
 
 def feature_collection(df: DataFrame, key: str) -> DataFrame:
-    """Lines of one GeoJSON FeatureCollection in key order."""
+    """Lines of one GeoJSON FeatureCollection; ``key`` is unique and says which feature comes first."""
     body = df.select(F.col(key).alias("sort_key"), feature_json(df).alias("line"))
     return json_document(body, '{"type":"FeatureCollection","features":[', "]}")
 
 
 def kml_document(df: DataFrame) -> DataFrame:
     """Lines of one KML document."""
-    frame = df.sparkSession.createDataFrame([(0, KML_HEAD), (2, KML_TAIL)], "part int, line string")
-    body = kml_lines(df).select(F.lit(1).alias("part"), "line")
-    return body.unionByName(frame).withColumn("_order", F.lit(0))
+    body = kml_lines(df).selectExpr("2 AS part", "cast(null as string) AS sort_key", "line")
+    return framed(body, KML_HEAD, KML_TAIL)
 
 
 def write_lines(lines: DataFrame, path: str, compression: str = "none", max_records: int = 0) -> None:
@@ -94,7 +93,7 @@ class Target:
     path: str
     points: bool = False
     sep: str = ","
-    key: str | None = None        # orders a single document; without it files hold one record per line
+    key: str | None = None        # unique column of a single document; without it files hold one record per line
     compression: str = "none"
     max_records: int = 0
 
@@ -137,8 +136,9 @@ def media_type(fmt: str) -> str | None:
 
 
 def records_per_part(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    """Records that fill about ``part_bytes``, from the mean length of the text lines."""
-    mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    """Records that fill about ``part_bytes``, from the mean length of some records as text."""
+    some = df.limit(10_000)
+    mean = some.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
     return max(1, int(part_bytes / mean)) if mean else 0
 
 

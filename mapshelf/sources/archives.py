@@ -1,4 +1,4 @@
-"""Zip archives: entries as rows, written out by the tasks that read them."""
+"""Zip archives: entries as rows, or unpacked in place by the tasks that read them."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from mapshelf.session import materialize
 
 CHUNK = 8 << 20
 ENTRY_SCHEMA = "archive string, folder string, entry string, chunk long, content binary"
@@ -20,31 +21,52 @@ def _stem(path: str) -> str:
     return path.rsplit("/", 1)[-1].rpartition(".")[0]
 
 
+def _on_file_system(path: str) -> bool:
+    return path.startswith(("/", "file:"))
+
+
+def _plain(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path
+
+
 def list_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Top-level ``.zip`` files of a folder, whatever the case of the extension."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path).select(
-        "path", "content")
+    """``path`` of the top-level ``.zip`` files of a folder, whatever the case of the extension,
+    and ``content`` where it is asked for."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").load(path)
+
+
+def _files_of(archive: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    return [info for info in archive.infolist() if not info.filename.endswith("/")]
 
 
 def archive_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all archives in chunks of bounded size; folders are skipped and archives
-    inside archives stay as they are. ``chunk`` numbers the parts of an entry from 0."""
+    inside archives stay as they are. ``chunk`` numbers the parts of an entry from 0.
+
+    Archives on a file system are read where they are; others pass through the file reader,
+    one archive at a time.
+    """
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if info.filename.endswith("/"):
-                            continue
-                        with z.open(info) as f:
+            for row in batch.itertuples(index=False):
+                source = io.BytesIO(row.content) if hasattr(row, "content") else _plain(row.path)
+                with zipfile.ZipFile(source) as archive:
+                    for info in _files_of(archive):
+                        with archive.open(info) as f:
                             number, block = 0, f.read(CHUNK)
                             while number == 0 or block:
-                                yield pd.DataFrame([(name, _stem(name), info.filename, number, block)], columns=[
-                                    "archive", "folder", "entry", "chunk", "content"])
+                                yield pd.DataFrame(
+                                    [(row.path, _stem(row.path), info.filename, number, block)],
+                                    columns=["archive", "folder", "entry", "chunk", "content"])
                                 number, block = number + 1, f.read(CHUNK)
-    # One archive per Arrow batch at most: its bytes are the largest thing a task holds.
-    archives = list_archives(spark, path)
-    return archives.repartition("path").mapInPandas(unpack, ENTRY_SCHEMA)
+
+    columns = ["path"] if _on_file_system(path) else ["path", "content"]
+    return _one_by_one(list_archives(spark, path).select(*columns)).mapInPandas(unpack, ENTRY_SCHEMA)
+
+
+def _one_by_one(archives: DataFrame) -> DataFrame:
+    """Spread archives over the tasks of the session."""
+    return archives.repartition(archives.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 def expand_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -53,35 +75,32 @@ def expand_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Files appear under their final name only when complete, so a repeated task does no harm.
     """
-    root = path[len("file:"):] if path.startswith("file:") else path
+    if not _on_file_system(path):
+        raise ValueError(f"Not a folder that tasks can write to: '{path}'")
+    root = _plain(path)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if info.filename.endswith("/"):
-                            continue
-                        base = os.path.realpath(os.path.join(root, _stem(name)))
+            for name in batch["path"]:
+                base = os.path.realpath(os.path.join(root, _stem(name)))
+                with zipfile.ZipFile(_plain(name)) as archive:
+                    for info in _files_of(archive):
                         target = os.path.realpath(os.path.join(base, info.filename))
                         if not target.startswith(base + os.sep):
                             raise ValueError(f"Entry '{info.filename}' of {name} points outside its folder")
                         os.makedirs(os.path.dirname(target), exist_ok=True)
                         draft = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
-                        with z.open(info) as src, open(draft, "wb") as dst:
+                        with archive.open(info) as src, open(draft, "wb") as dst:
                             while block := src.read(CHUNK):
                                 dst.write(block)
                         os.replace(draft, target)
-                        rows.append((name, target, info.file_size))
-                yield pd.DataFrame(rows, columns=["archive", "file", "bytes"])
+                        yield pd.DataFrame([(name, target, info.file_size)], columns=["archive", "file", "bytes"])
 
-    archives = list_archives(spark, path)
-    names = [r.path for r in archives.select("path").collect()]
-    from mapshelf.session import materialize
-    written = materialize(archives.repartition("path").mapInPandas(
+    archives = list_archives(spark, path).select("path")
+    names = [r.path for r in archives.collect()]
+    written = materialize(_one_by_one(archives).mapInPandas(
         write, "archive string, file string, bytes long"), "expanded")
     for name in names:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(name)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)
-    return written.select("archive", "file", F.col("bytes"))
+    return written

@@ -77,9 +77,9 @@ def test_derived(small):
 def test_documents(small, spark, tmp_path):
     import json
     doc = C.to_catalog_json(small.select("_id", "name", "num_points"))
-    M.write_document(doc, str(tmp_path / "d"), "gzip")
+    M.write_document(doc, str(tmp_path / "d"), "gzip", ordered=True)
     import gzip
-    text = "".join(gzip.open(p, "rt").read() for p in sorted((tmp_path / "d").glob("part-*")))
+    text = "".join(gzip.open(p, "rt").read() for p in sorted((tmp_path / "d").rglob("part-*")))
     parsed = json.loads(text)
     assert [d["_id"] for d in parsed["datasets"]] == ["01", "02", "03", "04", "05"]
     none = C.to_catalog_json(small.where("false"))

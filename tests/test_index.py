@@ -109,11 +109,11 @@ def test_sinks(spark, points, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "c")).collect()]
     assert len(lines) == 1000 and all(line.count(";") == 2 for line in lines)
     S.write_features(points, str(tmp_path / "g"), "GeoJSON", key="fid")
-    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").rglob("part-*")))
     parsed = json.loads(text)
-    assert [f["properties"]["fid"] for f in parsed["features"]] == list(range(1000))
+    assert sorted(f["properties"]["fid"] for f in parsed["features"]) == list(range(1000))
     S.write_features(points, str(tmp_path / "k"), "kmz")
-    kml = "".join(p.read_text() for p in sorted((tmp_path / "k").glob("part-*")))
+    kml = "".join(p.read_text() for p in sorted((tmp_path / "k").rglob("part-*")))
     assert kml.startswith("<?xml") and kml.rstrip().endswith("</kml>") and kml.count("<Placemark>") == 1000
     import xml.etree.ElementTree as ET
     ET.fromstring(kml)

@@ -95,10 +95,10 @@ def category_prefixes(spark, sf):
 
 @query("catalog_json", _WITH + """, p AS (SELECT * FROM catalog WHERE status = 'published')
 SELECT 0 AS part, CAST(NULL AS VARCHAR) AS sort_key, '{"datasets":[' AS line
-UNION ALL SELECT 1, _id, CASE WHEN _id = (SELECT min(_id) FROM p) THEN '' ELSE ',' END || '{"_id":"' || _id || '","name":"' || name
+UNION ALL SELECT CASE WHEN _id = (SELECT min(_id) FROM p) THEN 1 ELSE 2 END, _id, CASE WHEN _id = (SELECT min(_id) FROM p) THEN '' ELSE ',' END || '{"_id":"' || _id || '","name":"' || name
   || '","size":' || size || CASE WHEN num_points IS NULL THEN '' ELSE ',"num_points":' || num_points END
   || ',"tags":["' || lang || '","' || source || '"]}' FROM p
-UNION ALL SELECT 2, NULL, ']}'""")
+UNION ALL SELECT 3, NULL, ']}'""")
 def catalog_json(spark, sf):
     rows = D.catalog(spark, sf).where(F.col("status") == "published").select("_id", "name", "size", "num_points", "tags")
     return C.to_catalog_json(rows).select("part", "sort_key", "line")

@@ -295,7 +295,7 @@ UNION ALL SELECT '</Document></kml>'""")
 def export_kml(spark, sf):
     path = scratch_path(spark, "export")
     S.write_features(D.points(spark, sf).select("fid", "geom"), path, "kmz")
-    return spark.read.text(path)
+    return spark.read.text(path).select("value")
 
 
 @query("download_region", f"""WITH {D.POINTS}, {D.REGIONS}

@@ -481,8 +481,8 @@ def to_geojson(spark, sf):
 
 
 @query("to_geojson_document", f"""WITH {D.POINTS}
-SELECT 1 AS part, CASE WHEN fid = (SELECT min(fid) FROM points) THEN '' ELSE ',' END || {_FEATURE} AS line FROM points
-UNION ALL SELECT 0, '{{"type":"FeatureCollection","features":[' UNION ALL SELECT 2, ']}}'""")
+SELECT CASE WHEN fid = (SELECT min(fid) FROM points) THEN 1 ELSE 2 END AS part, CASE WHEN fid = (SELECT min(fid) FROM points) THEN '' ELSE ',' END || {_FEATURE} AS line FROM points
+UNION ALL SELECT 0, '{{"type":"FeatureCollection","features":[' UNION ALL SELECT 3, ']}}'""")
 def to_geojson_document(spark, sf):
     from mapshelf.operators.sinks import feature_collection
     return feature_collection(D.points(spark, sf), "fid").select("part", "line")
