@@ -121,8 +121,7 @@ def is_empty(geom: str) -> str:
 
 
 def _bound(geom: str, axis: str, pick: str) -> str:
-    # The point branch folds away to the coordinate itself when the geometry is built in the
-    # same query, which keeps point data inside generated code.
+    # A point needs no array of coordinates.
     return (f"case when {geom}.kind = 'Point' then {_first_vertex(geom)}.{axis} "
             f"else {pick}(transform({vertices_of(geom)}, _bv -> _bv.{axis})) end")
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from mapshelf.functions import geometry as G
 from mapshelf.functions.textgeom import to_kml, to_wkt, xml_escape
 from mapshelf.operators.documents import framed, json_document, write_document
-from mapshelf.operators.spatial_filter import attributes_json, feature_json
+from mapshelf.operators.spatial_filter import feature_json
 
 PART_BYTES = 33554432
 

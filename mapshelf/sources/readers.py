@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.functions.textgeom import from_geojson, from_wkt
+from mapshelf.operators.options import normalize_options
 
 # No field of a delimited file equals this, so empty fields stay empty text.
 NO_NULL = "\u0000"
@@ -39,11 +40,16 @@ def _column(df: DataFrame, ref: int | str) -> str:
 
 def read_csv_points(spark: SparkSession, path, x: int | str = 0, y: int | str = 1, sep: str = ",",
                     header: bool = False) -> DataFrame:
-    """Points from two columns; the other columns are text attributes. A bad number fails the job."""
+    """Points from two columns; the other columns are text attributes. A bad number fails the job.
+
+    The flat box columns come along, so later steps need not look into the geometry.
+    """
     raw = _delimited(spark, path, sep, header)
     cx, cy = _column(raw, x), _column(raw, y)
     rest = [c for c in raw.columns if c not in (cx, cy)]
-    return raw.select(*rest, F.expr(G.point(f"`{cx}`", f"`{cy}`")).alias("geom"))
+    placed = raw.select(*rest, F.expr(f"double(`{cx}`)").alias("xmin"), F.expr(f"double(`{cy}`)").alias("ymin"))
+    return placed.selectExpr(*[f"`{c}`" for c in rest], f"{G.point('xmin', 'ymin')} AS geom",
+                             "xmin", "ymin", "xmin AS xmax", "ymin AS ymax")
 
 
 def read_csv_wkt(spark: SparkSession, path, col: int | str = 0, sep: str = ",", header: bool = False) -> DataFrame:
@@ -164,16 +170,27 @@ def read_dataset(spark: SparkSession, path, options: dict[str, str]) -> DataFram
     return READERS[match.group(1)](spark, path, args, options)
 
 
-def read_catalog_json(spark: SparkSession, path) -> DataFrame:
-    """JSON array of catalog documents with ``_id.$oid`` and ``modifiedAt.$date``."""
-    schema = (
-        "_id struct<`$oid`:string>, name string, title string, description string, author string, email string, "
-        "project_homepage string, license string, format string, download_url string, "
-        "download_urls array<string>, tags array<string>, status string, modifiedAt struct<`$date`:string>, "
-        "size long, num_features long, num_points long, geometry_type string, extent array<double>, "
-        "avg_sidelength array<double>, attributes array<struct<name:string,type:string>>, index_path string, "
-        "visualization struct<type:string,url:string>, beastOptions map<string,string>, date_created long")
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+CATALOG_DOCUMENT = (
+    "_id struct<`$oid`:string>, name string, title string, description string, author string, email string, "
+    "project_homepage string, license string, format string, download_url string, "
+    "download_urls array<string>, tags array<string>, status string, modifiedAt struct<`$date`:string>, "
+    "size long, num_features long, num_points long, geometry_type string, extent array<double>, "
+    "avg_sidelength array<double>, attributes array<struct<name:string,type:string>>, index_path string, "
+    "visualization struct<type:string,url:string>, date_created long")
+
+
+def read_catalog_json(spark: SparkSession, path, options_field: str = "options") -> DataFrame:
+    """JSON array of catalog documents with ``_id.$oid`` and ``modifiedAt.$date``.
+
+    The reader options under ``options_field`` may be text, a list or an object.
+    """
+    raw = spark.read.schema(f"{CATALOG_DOCUMENT}, `{options_field}` string").json(path, multiLine=True)
+    given = F.col(f"`{options_field}`")
+    is_object, is_list = F.startswith(given, F.lit("{")), F.startswith(given, F.lit("["))
+    options = normalize_options(
+        text=F.when(~is_object & ~is_list, given), items=F.when(is_list, F.from_json(given, "array<string>")),
+        mapping=F.when(is_object, F.from_json(given, "map<string,string>")))
+    plain = [c for c in raw.columns if c not in ("_id", "modifiedAt", options_field)]
     return raw.select(
-        F.col("_id")["$oid"].alias("_id"), *[c for c in raw.columns if c not in ("_id", "modifiedAt", "beastOptions")],
-        F.to_timestamp(F.col("modifiedAt")["$date"]).alias("modifiedAt"), F.col("beastOptions").alias("options"))
+        F.col("_id")["$oid"].alias("_id"), *plain, F.to_timestamp(F.col("modifiedAt")["$date"]).alias("modifiedAt"),
+        options.alias("options"))

@@ -3,7 +3,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from mapshelf.functions import geometry as G
 from mapshelf.functions import textgeom as X
 from mapshelf.operators import breaking as K
 

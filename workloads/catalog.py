@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mapshelf.functions import geometry as G
 from mapshelf.functions import links as L
 from mapshelf.functions import textgeom as X
 from mapshelf.operators import catalog as C

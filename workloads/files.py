@@ -148,7 +148,7 @@ def read_catalog_json(spark, sf):
     doc = F.to_json(F.struct(
         F.struct(F.col("_id").alias("$oid")).alias("_id"), "name", "size", "tags",
         F.struct(F.date_format("modifiedAt", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("$date")).alias("modifiedAt"),
-        F.create_map(F.lit("iformat"), F.lit("point(0,1)")).alias("beastOptions")))
+        F.create_map(F.lit("iformat"), F.lit("point(0,1)")).alias("options")))
     c = D.catalog(spark, sf).select(F.floor(F.conv(F.ltrim("_id"), 16, 10).cast("long") / 64).alias("b"), doc.alias("d"))
     c.groupBy("b").agg(F.collect_list("d").alias("ds")).select(
         F.concat(F.lit("["), F.array_join("ds", ","), F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
