@@ -107,20 +107,30 @@ def read_porto(spark: SparkSession, path, unit: str = "ms") -> DataFrame:
     return shown.selectExpr("*", f"{G.multipoint(vertices)} AS geom").drop("_c")
 
 
+FEATURE = "type string, geometry string, properties string"
+
+
 def read_geojson(spark: SparkSession, path, properties: str = "map<string,string>",
                  lines: bool = False) -> DataFrame:
-    """Features of a FeatureCollection; ``properties`` is the type of that object, and the
-    fields of a struct become columns. ``lines=True`` reads one feature per line, which
-    splits over tasks; a collection is one JSON value per file."""
-    feature = "struct<type:string,geometry:string,properties:string>"
+    """Features of FeatureCollections; ``properties`` is the type of that object, and the fields
+    of a struct become columns.
+
+    A collection is one JSON value and is read by one task per file. ``lines=True`` is for files
+    that hold every feature on a line of its own, bare or within the lines of a collection
+    as the GeoJSON export writes them: such files split over tasks whatever their size. A
+    line from ``{`` to ``}`` that is not JSON fails the job.
+    """
+    whole = f"{FEATURE}, features array<struct<{FEATURE.replace(' string', ':string')}>>"
     if lines:
-        f = spark.read.schema("type string, geometry string, properties string").json(path).select(
-            F.struct("type", "geometry", "properties").alias("f"))
+        text = spark.read.option("recursiveFileLookup", "true").text(path).selectExpr(
+            r"regexp_replace(value, r'^[\s,]+|[\s,]+$', '') AS line")
+        objects = text.where("startswith(line, '{') and endswith(line, '}')")
+        read = objects.selectExpr(f"from_json(line, '{whole}', map('mode', 'FAILFAST')) AS c").select("c.*")
     else:
-        whole = spark.read.schema(f"type string, features array<{feature}>").json(path, multiLine=True)
-        f = whole.select(F.explode("features").alias("f"))
-    typed = f.select(F.from_json("f.properties", properties).alias("properties"),
-                     F.expr(from_geojson("f.geometry")).alias("geom"))
+        read = spark.read.schema(whole).option("recursiveFileLookup", "true").json(path, multiLine=True)
+    f = read.selectExpr("explode(case when features is not null then features when type = 'Feature' "
+                        "then array(struct(type, geometry, properties)) end) AS f")
+    typed = f.selectExpr(f"from_json(f.properties, '{properties}') AS properties", f"{from_geojson('f.geometry')} AS geom")
     return typed.select("properties.*", "geom") if properties.startswith("struct<") else typed
 
 

@@ -140,6 +140,15 @@ def read_geojson_collections(spark, sf):
     return df.select(F.col("properties")["fid"].alias("fid"), *_xy(df))
 
 
+@query("read_geojson_document", f"WITH {D.POINTS} SELECT fid, o_orderpriority, x, y FROM points")
+def read_geojson_document(spark, sf):
+    """One collection written by many tasks and read by many tasks."""
+    path = scratch_path(spark, "document")
+    S.write_features(D.points(spark, sf), path, "geojson", key="fid")
+    df = readers.read_geojson(spark, path, "struct<fid:bigint,o_orderpriority:string>", lines=True)
+    return df.select("fid", "o_orderpriority", *_xy(df))
+
+
 @query("read_catalog_json", f"""WITH {D.CATALOG} SELECT _id, name, size, lang || ',' || source AS tags,
   strftime(modifiedAt, '%Y-%m-%d %H:%M:%S') AS modified, 'point(0,1)' AS iformat FROM catalog""")
 def read_catalog_json(spark, sf):
