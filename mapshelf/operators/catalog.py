@@ -54,6 +54,12 @@ def submission_options(df: DataFrame) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
 
+def _tag_list(tags: Column) -> Column:
+    """Tags between commas; empty ones at the end do not count, and nothing but commas is no list."""
+    kept = F.regexp_replace(tags, ",+$", "")
+    return F.when((tags == "") | (kept != ""), F.split(kept, ","))
+
+
 def submission_to_catalog(df: DataFrame) -> DataFrame:
     """Form rows to new catalog rows in status ``created``."""
     urls = F.transform(F.split(F.trim(F.regexp_replace("urls", r"[\t\r\n ]+$|^[\t\r\n ]+", "")),
@@ -63,7 +69,7 @@ def submission_to_catalog(df: DataFrame) -> DataFrame:
         F.when(F.col("license") == "Other", F.col("license_other")).otherwise(F.col("license")).alias("license"),
         F.when(F.size(urls) == 1, F.get(urls, F.lit(0))).alias("download_url"),
         F.when(F.size(urls) > 1, urls).alias("download_urls"),
-        F.split("tags", ",").alias("tags"), F.lit("created").alias("status"),
+        _tag_list(F.col("tags")).alias("tags"), F.lit("created").alias("status"),
         submission_options(df).alias("options"))
 
 

@@ -17,13 +17,12 @@ def _last_wins(entries: Column) -> Column:
 
 
 def _entry(token: Column) -> Column:
-    """``key:value`` splits at the first colon; ``-flag`` means true and ``-no-flag`` false."""
+    """``key:value`` splits at the first colon; ``-flag`` means true."""
     colon = F.locate(":", token)
     flag = F.startswith(token, F.lit("-"))
-    key = F.when(flag, F.regexp_replace(token, "^-(no-)?", "")).when(
+    key = F.when(flag, F.regexp_replace(token, "^-", "")).when(
         colon > 0, F.substr(token, F.lit(1), colon - 1))
-    value = (F.when(F.startswith(token, F.lit("-no-")), F.lit("false")).when(flag, F.lit("true"))
-             .when(colon > 0, F.substr(token, colon + 1)))
+    value = F.when(flag, F.lit("true")).when(colon > 0, F.substr(token, colon + 1))
     return F.struct(key.alias("key"), value.alias("value"))
 
 

@@ -76,6 +76,7 @@ def str_partition(df: DataFrame, parts: int = 64, extent: Extent | None = None,
     binned = _binned(df, extent)
     w = F.expr(weight or "1")
     cells = materialize(binned.groupBy("_bx", "_by").agg(F.sum(w).alias("w")), "histogram")
+    # The running total over all columns has at most BINS rows.
     slabs = cells.groupBy("_bx").agg(F.sum("w").alias("w"))
     slabs = slabs.select("_bx", _slot(W.orderBy("_bx"), "w", side).alias("slab"))
     tiles = cells.join(slabs, "_bx").groupBy("slab", "_by").agg(F.sum("w").alias("w"))
@@ -95,6 +96,7 @@ def zcurve_partition(df: DataFrame, parts: int = 64, extent: Extent | None = Non
     low = BIN_BITS
     keyed = cells.withColumn("z", F.expr(interleave("_bx", "_by", BIN_BITS))).withColumn(
         "run", F.shiftright("z", low))
+    # There are at most BINS runs, of at most BINS cells each.
     runs = keyed.groupBy("run").agg(F.sum("w").alias("rw"))
     runs = runs.select("run", (F.sum("rw").over(W.orderBy("run")) - F.col("rw")).alias("start"),
                        F.sum("rw").over(W.partitionBy()).alias("total"))

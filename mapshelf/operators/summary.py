@@ -69,7 +69,12 @@ def attribute_types(features: DataFrame, order: str, by: list[str] | None = None
     if not names:
         return features.sparkSession.createDataFrame([], "name string, type string")
     flags = F.struct(*[F.col(c).isNotNull().alias(f"a{i}") for i, c in enumerate(names)])
-    first = features.groupBy(*by).agg(F.min_by(flags, F.col(order)).alias("first"))
+    if by:
+        first = features.groupBy(*by).agg(F.min_by(flags, F.col(order)).alias("first"))
+    else:
+        # The order column alone finds the record; its attributes are read behind a pushed filter.
+        lowest = features.agg(F.min(order)).scalar()
+        first = features.where(F.col(order) == lowest).limit(1).select(flags.alias("first"))
     rows = F.array(*[
         F.struct(F.lit(c).alias("name"), F.when(
             F.col("first")[f"a{i}"], F.lit(TYPE_NAMES.get(features.schema[c].dataType.typeName(), "unknown"))

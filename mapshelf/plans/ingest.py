@@ -54,8 +54,8 @@ def load_features(spark: SparkSession, folder: str, options: dict[str, str]) ->
 
 def summarize_stage(features: DataFrame) -> dict:
     summary = summarize(features).first().asDict()
-    numbered = features.withColumn("_row", F.monotonically_increasing_id())
-    types = [t for t in attribute_types(numbered, "_row").collect() if t.name != "_row"]
+    first = features.limit(1).withColumn("_row", F.lit(0))
+    types = [t for t in attribute_types(first, "_row").collect() if t.name != "_row"]
     summary["attributes"] = [(t.name, t.type) for t in types] or None
     return summary
 

@@ -20,7 +20,7 @@ def test_options(spark):
     assert options(spark, text='iformat:point(1,2)   "separator: " -skipheader') == want
     items = F.array(F.lit("iformat:point(1,2)"), F.lit("separator: "))
     assert options(spark, items=items) == {"iformat": "point(1,2)", "separator": " "}
-    assert options(spark, text="a:1 a:2 b:x:y -no-c") == {"a": "2", "b": "x:y", "c": "false"}
+    assert options(spark, text="a:1 a:2 b:x:y -c") == {"a": "2", "b": "x:y", "c": "true"}
     run = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
     own = F.create_map(F.lit("b"), F.lit("3"))
     row = spark.range(1).select(O.merge_options(run, own).alias("m"), O.merge_options(run, F.lit(None).cast("map<string,string>")).alias("n")).first()
@@ -107,6 +107,12 @@ def test_table(spark, tmp_path):
     assert table.read().count() == 2
 
 
+def test_submitted_tags(spark):
+    rows = spark.createDataFrame([("a,b,,",), ("",), (",,",), (None,), ("a,,b",)], "tags string")
+    got = [r.t for r in rows.select(C._tag_list(F.col("tags")).alias("t")).collect()]
+    assert got == [["a", "b"], [""], None, None, ["a", "", "b"]]
+
+
 def test_links(spark):
     urls = ["https://drive.google.com/open?id=A&x=1", "https://drive.google.com/file/d/B/view?id=C", "https://drive.google.com/x",
             "https://onedrive.live.com/file/d/ Z ", "https://www.dropbox.com/s/q/f.zip?dl=0", "ftp://h/f", "https://dropbox.com/"]

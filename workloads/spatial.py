@@ -109,6 +109,16 @@ def region_list(spark, sf):
     return R.region_list(D.regions(spark, sf))
 
 
+@query("region_list_document", f"""WITH {D.REGIONS}, e AS (
+SELECT code, '"' || code || '":{{"position":' || position || ',"display_name":"' || display_name || '","search_names":["' || code
+       || '","' || r_name || '"]}}' AS line FROM regions)
+SELECT CASE WHEN code = (SELECT min(code) FROM e) THEN 1 ELSE 2 END AS part,
+  CASE WHEN code = (SELECT min(code) FROM e) THEN '' ELSE ',' END || line AS line FROM e
+UNION ALL SELECT 0, '{{' UNION ALL SELECT 3, '}}'""")
+def region_list_document(spark, sf):
+    return R.region_list_document(D.regions(spark, sf)).select("part", "line")
+
+
 @query("region_suggest", f"""WITH {D.REGIONS}
 SELECT code, display_name AS display FROM regions
 WHERE lower(code) LIKE '%asia%' OR lower(display_name) LIKE '%asia%' OR lower(r_name) LIKE '%asia%'
