@@ -37,10 +37,9 @@ def catalog_list(spark, sf):
         "_id", "name", "size", "num_features", "num_points", "geometry_type", "format", _TAGS)
 
 
-@query("catalog_list_top", _WITH + """SELECT _id, num_features, CAST(NULL AS VARCHAR) AS no_such
-FROM catalog ORDER BY num_features DESC, _id LIMIT 25""")
-def catalog_list_top(spark, sf):
-    return C.list_datasets(D.catalog(spark, sf), attrs=["num_features", "no_such"]).limit(25)
+@query("catalog_list_all", _WITH + "SELECT _id, num_features, CAST(NULL AS VARCHAR) AS no_such FROM catalog")
+def catalog_list_all(spark, sf):
+    return C.list_datasets(D.catalog(spark, sf), attrs=["num_features", "no_such"])
 
 
 @query("catalog_find", _WITH + "SELECT _id, name, title, size FROM catalog WHERE _id = lpad('2A', 24, '0')")
@@ -51,9 +50,8 @@ def catalog_find(spark, sf):
 @query("catalog_find_name", _WITH + """SELECT _id, name, status FROM catalog
 WHERE source = (SELECT source FROM documents WHERE doc_id = 17) AND doc_id = 17""")
 def catalog_find_name(spark, sf):
-    name = D.catalog(spark, sf).where(F.col("_id") == "11".rjust(24, "0")).select("name")
-    c = D.catalog(spark, sf)
-    return c.join(name, "name", "left_semi").orderBy("_id").limit(1).select("_id", "name", "status")
+    name = C.find(D.catalog(spark, sf), "11".rjust(24, "0")).first()["name"]
+    return C.find_by_name(D.catalog(spark, sf), name).select("_id", "name", "status")
 
 
 @query("catalog_find_id_then_name", _WITH + """SELECT _id, CAST(NULL AS VARCHAR) AS status, 'id' AS found FROM catalog WHERE doc_id = 5

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.functions import textgeom as X
-from mapshelf.functions.cover import region_cover
+from mapshelf.functions.cover import base_cell, region_cover
 from mapshelf.functions.grid import world_column, world_row
 from mapshelf.operators import boxes as B
 from mapshelf.operators import breaking as K
@@ -16,6 +16,7 @@ from mapshelf.operators import regions as R
 from mapshelf.operators import spatial_filter as Q
 from mapshelf.operators import summary as A
 from mapshelf.operators import tiles as V
+from mapshelf.session import materialize
 from workloads import derive as D
 
 QUERIES: dict = {}
@@ -83,23 +84,19 @@ def region_join_lines(spark, sf):
     return R.join_regions(D.lines(spark, sf), D.regions(spark, sf).select("code", "geom"))
 
 
-@query("region_cover_rectangles", f"""WITH {D.POINTS}, {D.REGIONS}
-SELECT code, count(*) AS n_points FROM regions, points
-WHERE position % 2 = 0 AND abs(x - cx) <= 25 AND abs(y - cy) <= 10 GROUP BY code""")
-def region_cover_rectangles(spark, sf):
-    """Points counted through the cover of the rectangles: inside cells as a whole, the rest by box."""
-    rect = D.regions(spark, sf).where(F.col("position") % 2 == 0)
-    boxes = G.with_mbr(rect).select("code", *[F.col(c).alias("r_" + c) for c in G.MBR_COLUMNS])
-    from mapshelf.functions.cover import base_cell
-    from mapshelf.session import materialize
-    cover = materialize(region_cover(rect.select("code", "geom")), "cover").join(boxes, "code")
-    p = D.points(spark, sf).selectExpr("xmin", "ymin", f"{world_column('xmin')} AS fx", f"{world_row('ymin')} AS fy")
-    p = p.withColumn("cell", F.expr(base_cell("fx", "fy")))
-    hit = p.join(cover, (p["cell"] == cover["cell"]) & p["fx"].between(cover["ix0"], cover["ix1"])
-                 & p["fy"].between(cover["iy0"], cover["iy1"])
-                 & (cover["inside"] | (p["xmin"].between(cover["r_xmin"], cover["r_xmax"])
-                                       & p["ymin"].between(cover["r_ymin"], cover["r_ymax"]))))
-    return hit.groupBy("code").agg(F.count("*").alias("n_points"))
+@query("region_cover", f"""WITH {D.POINTS}, {D.REGIONS}
+SELECT code, count(*) AS n_points FROM regions, points WHERE {D.IN_REGION} GROUP BY code""")
+def region_cover_query(spark, sf):
+    """Points counted through the cover: inside cells as a whole, the rest by the region's formula."""
+    cover = materialize(region_cover(D.regions(spark, sf).select("code", "geom")), "cover")
+    centres = D.table(spark, sf, "nation").selectExpr(
+        "n_name AS code", "n_nationkey AS position", "double((n_nationkey % 5) * 72 - 144) + 0.005D AS cx",
+        "double((n_nationkey div 5) * 30 - 60) + 0.005D AS cy")
+    p = D.points(spark, sf).selectExpr("xmin AS x", "ymin AS y", f"{world_column('xmin')} AS fx", f"{world_row('ymin')} AS fy")
+    p = p.selectExpr("*", f"{base_cell('fx', 'fy')} AS f_cell")
+    on = ("f_cell = cell AND fx BETWEEN ix0 AND ix1 AND fy BETWEEN iy0 AND iy1 AND (inside OR if(position % 2 = 0, "
+          "abs(x - cx) <= 25 AND abs(y - cy) <= 10, abs(x - cx) + abs(y - cy) <= 20.005D))")
+    return p.join(cover.join(centres, "code"), F.expr(on)).groupBy("code").agg(F.count("*").alias("n_points"))
 
 
 @query("region_list", f"""WITH {D.REGIONS}
