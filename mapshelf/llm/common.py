@@ -26,8 +26,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows that agree in both are the same document written twice and share their results; rows
     that share an id only are documents of their own. Other columns are left out, so their names do not matter.
     """
-    text = F.col(text_col).cast("string")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("v"), text.alias("text"))
+    return docs.select(*key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+
+
+def key(id_col: str, text_col: str) -> list:
+    """(k, v): the id and a 32-bit hash of the text, which tells apart the few rows that share an id."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.col(text_col).cast("string")).cast("long").alias("v")]
 
 
 def real_id(column: str = "k"):

@@ -1,7 +1,7 @@
 """Substring de-duplication over super-k-mers.
 
 A window is ``size`` consecutive words of one document. Its minimiser is the smallest hash of
-``gram`` consecutive words inside it. Consecutive windows that share a minimiser form a super-k-mer;
+``gram`` consecutive words inside it, those without short words first: long words are rarer, and buckets more even. Consecutive windows that share a minimiser form a super-k-mer;
 its words travel once, as one string, to the bucket of the minimiser. All occurrences of a window have the same
 minimiser, so a bucket sees all of them: it sorts the windows, and all but the first
 occurrence of each are repeats. Equal hashes are confirmed on the words themselves.
@@ -19,31 +19,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mapshelf.llm.common import batch, keyed, numbers, partitions, pieces, real_id, stored
-from mapshelf.llm.words import Words, leftmost_minimum, sequence_hash
+from mapshelf.llm.common import batch, key, keyed, numbers, partitions, pieces, stored
+from mapshelf.llm.words import Words, leftmost_minimum, mix, sequence_hash
 
-GRAM = 4
-#: Buckets whose sizes are counted, for each shuffle partition; a bucket of more than HOT times the mean is dealt out.
-CELLS, HOT = 16, 4
+GRAM, LONG = 1, 6
+#: Buckets whose sizes are counted, for each shuffle partition; a bucket of more than HOT times the mean, a partition's share, is dealt out.
+CELLS, HOT = 16, 16
 
-_GRAMS = pa.schema([("key", pa.int64()), ("share", pa.int32()), ("k", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
-_FOUND = pa.schema([("k", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int64()), ("words", pa.binary())])
+_GRAMS = pa.schema([("key", pa.int32()), ("packed", pa.binary())])
+_FOUND = pa.schema([("k", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int32()), ("packed", pa.binary())])
+#: What a packed string begins with: its document, its first window there, its windows, and whether its bucket is dealt out.
+_HEAD = np.dtype([("k", "<i8"), ("v", "<i4"), ("start", "<i4"), ("n", "u1"), ("dealt", "u1")])
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
 def _super_kmers(words: Words, size: int, gram: int):
     """(minimiser, first window, number of windows) of the texts' super-k-mers."""
-    best = leftmost_minimum(sequence_hash(words.hash, gram), size - gram + 1) if len(words.hash) >= size else np.zeros(0, int)
+    if len(words.hash) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = sequence_hash(words.hash, gram)
+    short = words.ends - words.starts < LONG
+    short = np.logical_or.reduce([short[j : j + len(value)] for j in range(gram)])
+    value = value >> np.uint64(1) | short.astype(np.uint64) << np.uint64(63)
+    best = leftmost_minimum(value, size - gram + 1)
     window = np.flatnonzero(words.room()[: len(best)] >= size)
-    if not len(window):
-        return np.zeros(0, np.int64), window, window
     best = best[window]
     new = np.ones(len(window), bool)
     new[1:] = (best[1:] != best[:-1]) | (window[1:] != window[:-1] + 1)
     first = np.flatnonzero(new)
-    grams = sequence_hash(words.hash, gram)
-    return grams[best[first]].view(np.int64), window[first], np.diff(np.append(first, len(window)))
+    return value[best[first]].view(np.int64), window[first], np.diff(np.append(first, len(window)))
 
 
 def _cells(key: np.ndarray, cells: int) -> np.ndarray:
@@ -76,30 +82,43 @@ def _cut(docs: DataFrame, size: int, gram: int, cells: int, shares: dict[int, in
             if not len(key):
                 continue
             text = words.text_of()[first]
-            k, v = numbers(part.column("k"))[text], numbers(part.column("v"))[text]
-            joined, starts, ends = words.joined()
-            strings = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first + n + size - 2].tolist())]
+            head = np.zeros(len(key), _HEAD)
+            head["k"], head["v"] = numbers(part.column("k"))[text], numbers(part.column("v"))[text]
+            head["start"], head["n"] = first - words.first[text], n
             many = dealt[_cells(key, cells)]
-            share = np.where(many > 1, (v.view(np.uint64) ^ k.view(np.uint64)) * _SALT >> np.uint64(33), 0) % many + (many > 1)
-            yield batch(_GRAMS, key, share.astype(np.int32), k, v, (first - words.first[text]).astype(np.int32), n.astype(np.int32), strings)
+            head["dealt"] = many > 1
+            share = mix(head["k"].view(np.uint64) ^ head["v"].astype(np.uint64) * _SALT) % many
+            bucket = (mix(key.view(np.uint64) + share) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            joined, starts, ends = words.joined()
+            yield batch(_GRAMS, bucket, _packed(head, joined, starts[first].tolist(), ends[first + n + size - 2].tolist()))
+
+    return docs.mapInArrow(cut, "key int, packed binary")
+
 
-    return docs.mapInArrow(cut, "key long, share int, k long, v long, start int, n int, words binary")
+def _packed(head: np.ndarray, text: bytes, starts: list[int], ends: list[int]) -> list[bytes]:
+    data, size = head.tobytes(), _HEAD.itemsize
+    return [data[i : i + size] + text[a:z] for i, a, z in zip(range(0, len(data), size), starts, ends)]
 
 
 def _repeats(part: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
-    """Of whole buckets, in the order of (key, share, k, v, start): runs of repeated windows, and first windows of dealt buckets."""
-    key, share, k, v, start, n = (numbers(part.column(i)) for i in range(6))
-    words = Words(part.column("words"))
+    """Of whole buckets: runs of repeated windows, and the first windows of dealt buckets."""
+    packed = part.column("packed").to_pylist()
+    head = np.frombuffer(b"".join(p[: _HEAD.itemsize] for p in packed), _HEAD)
+    key = numbers(part.column("key"))
+    order = np.lexsort((head["start"], head["v"], head["k"], key))
+    head, key = head[order], key[order]
+    k, v, start, n, dealt = head["k"], head["v"].astype(np.int64), head["start"], head["n"].astype(np.int64), head["dealt"] > 0
+    words = Words(pa.array([packed[i][_HEAD.itemsize :] for i in order.tolist()], pa.binary()))
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     at = words.first[row] + inside
     whole = sequence_hash(words.hash, size)[at]
-    bucket = whole ^ (key[row].view(np.uint64) * _SALT) ^ (share[row].astype(np.uint64) << np.uint64(20))
+    bucket = whole ^ key[row].astype(np.uint64) * _SALT
     order = np.argsort(bucket, kind="stable")
     same = np.zeros(len(order), bool)
     same[1:] = bucket[order[1:]] == bucket[order[:-1]]
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    again, first = order[same], head[same]
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    again, first = order[same], lead[same]
     data, a, b = words.data.tobytes(), words.starts[at], words.ends[at + size - 1]
     repeated = np.zeros(len(row), bool)
     own = (k[row[again]] != k[row[first]]) | (v[row[again]] != v[row[first]]) | (start[row[again]] + inside[again] != start[row[first]] + inside[first])
@@ -108,7 +127,7 @@ def _repeats(part: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, pa.Record
     for number in np.unique(bucket[again[~equal]]):  # different windows of one hash: told apart by their words
         seen: dict[tuple, int] = {}
         for i in order[np.searchsorted(bucket[order], number) : np.searchsorted(bucket[order], number, side="right")].tolist():
-            j = seen.setdefault((key[row[i]], share[row[i]], data[a[i] : b[i]]), i)
+            j = seen.setdefault((key[row[i]], data[a[i] : b[i]]), i)
             repeated[i] = (k[row[i]], v[row[i]], start[row[i]] + inside[i]) != (k[row[j]], v[row[j]], start[row[j]] + inside[j])
     edge = np.ones(len(row), bool)
     edge[1:] = (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1])
@@ -116,14 +135,17 @@ def _repeats(part: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, pa.Record
     last = np.append(run[1:], len(row)) - 1
     keep = repeated[run]
     run, last = run[keep], last[keep]
-    none = pa.nulls(len(run), pa.int64()), pa.nulls(len(run), pa.binary())
+    none = pa.nulls(len(run), pa.int32()), pa.nulls(len(run), pa.binary())
     runs = batch(_FOUND, k[row[run]], v[row[run]], (start[row[run]] + inside[run]).astype(np.int32), (start[row[last]] + inside[last] + size).astype(np.int32), *none)
-    on = np.flatnonzero(~repeated & (share[row] > 0))
+    on = np.flatnonzero(~repeated & dealt[row])
     if not len(on):
         return runs, None
-    r, places = row[on], (start[row[on]] + inside[on]).astype(np.int32)
-    strings = [data[i:j] for i, j in zip(a[on].tolist(), b[on].tolist())]
-    return runs, batch(_FOUND, k[r], v[r], places, places + size, whole[on].view(np.int64), strings)
+    single = head[row[on]].copy()
+    single["start"] += inside[on].astype(np.int32)
+    single["n"], single["dealt"] = 1, 0
+    strings = _packed(single, data, a[on].tolist(), b[on].tolist())
+    bucket = (whole[on] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    return runs, batch(_FOUND, single["k"], single["v"].astype(np.int64), single["start"], single["start"] + size, bucket, strings)
 
 
 def _resolve(grams: DataFrame, size: int, chunk: int = 4 << 20) -> DataFrame:
@@ -132,11 +154,9 @@ def _resolve(grams: DataFrame, size: int, chunk: int = 4 << 20) -> DataFrame:
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets together, at least ``chunk`` bytes a time where there are so many."""
         held: list[pa.RecordBatch] = []
-        for part in (p for b in batches for p in pieces(b, "words", chunk)):
+        for part in (p for b in batches for p in pieces(b, "packed", chunk)):
             if sum(p.nbytes for p in held) >= chunk:
-                key, share = numbers(part.column("key")), numbers(part.column("share"))
-                last = held[-1].slice(held[-1].num_rows - 1)
-                other = np.flatnonzero((key != last.column("key")[0].as_py()) | (share != last.column("share")[0].as_py()))
+                other = np.flatnonzero(numbers(part.column("key")) != held[-1].column("key")[-1].as_py())
                 if len(other):
                     yield _concat([*held, part.slice(0, int(other[0]))])
                     held, part = [], part.slice(int(other[0]))
@@ -149,8 +169,7 @@ def _resolve(grams: DataFrame, size: int, chunk: int = 4 << 20) -> DataFrame:
             if part.num_rows:
                 yield from (p for p in _repeats(part, size) if p is not None and p.num_rows)
 
-    near = grams.repartition("key", "share").sortWithinPartitions("key", "share", "k", "v", "start")
-    return near.mapInArrow(resolve, "k long, v long, start int, stop int, key long, words binary")
+    return grams.repartition("key").sortWithinPartitions("key").mapInArrow(resolve, "k long, v long, start int, stop int, key int, packed binary")
 
 
 def _concat(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -168,7 +187,7 @@ def repeated_spans(docs: DataFrame, size: int = 20, gram: int = GRAM) -> DataFra
     spans = found.where("key IS NULL").select("k", "v", "start", "stop")
     if not shares:
         return spans
-    again = found.where("key IS NOT NULL").select("key", F.lit(0).alias("share"), "k", "v", "start", F.lit(1).alias("n"), "words")
+    again = found.where("key IS NOT NULL").select("key", "packed")
     return spans.unionByName(_resolve(again, size).select("k", "v", "start", "stop"))
 
 
@@ -184,11 +203,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
       result. Rows that share only the id are ordered by a hash of their text.
     * A text of any length is handled whole; an empty table gives an empty one. Other columns are left out.
     """
-    keys = keyed(docs, id_col, text_col)
-    spans = repeated_spans(keys, size, gram).groupBy("k", "v").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = _applied(docs, [F.col(id_col)], id_col, text_col, size, gram)
+    return out.select(F.col(f"row.{id_col}").alias(id_col), "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, gram: int = GRAM) -> DataFrame:
+    """The documents with all their columns, and the words left as their text where any went. Rows are as in ``remove_repeats``."""
+    out = _applied(docs, [F.col(c) for c in docs.columns], id_col, text_col, size, gram)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row")[text_col].cast("string"))
+    return out.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _applied(docs: DataFrame, columns: list, id_col: str, text_col: str, size: int, gram: int) -> DataFrame:
+    """(row, n_words, n_removed, kept_text), row holding these columns."""
+    spans = repeated_spans(keyed(docs, id_col, text_col), size, gram).groupBy("k", "v").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = docs.select(F.struct(*columns).alias("row"), *key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
         for part in (p for b in batches for p in pieces(b, "text", 8 << 20)):
             total, removed, kept = [], [], []
             for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
@@ -202,7 +233,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words = [words[i] for i in left.tolist()]
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield batch(schema, part.column("k"), total, removed, kept)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                                             names=["row", "n_words", "n_removed", "kept_text"])
 
-    out = keys.join(spans, ["k", "v"], "left").select("k", "text", "spans").mapInArrow(apply, "k long, n_words long, n_removed long, kept_text string")
-    return out.select(real_id().alias(id_col), "n_words", "n_removed", "kept_text")
+    joined = rows.join(spans, ["k", "v"], "left").select("row", "text", "spans")
+    kinds = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return joined.mapInArrow(apply, kinds)

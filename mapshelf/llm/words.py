@@ -42,14 +42,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """starts, ends: bytes of each word in ``data``; first: n + 1 numbers of the texts' first words; hash: of each word."""
+    """starts, ends: bytes of each word in ``data``; first: n + 1 numbers of the texts' first words; hash: of each word.
 
-    def __init__(self, texts: pa.Array, lower: bool = False, seed: int = 0):
+    ``between`` marks the bytes that stand between words.
+    """
+
+    def __init__(self, texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE):
         data, offsets = raw_bytes(texts)
         if lower:
             data = _LOWER[data]
         self.data, self.offsets = data, offsets
-        solid = ~_SPACE[data]
+        solid = ~between[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(data), bool)
@@ -65,7 +68,7 @@ class Words:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
         length = (self.ends - self.starts).astype(np.uint64)
-        self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + length * _STEP + np.uint64(seed))
+        self.hash = mix((total[self.ends] - total[self.starts]) * down[self.starts] + length * _STEP)
 
     @property
     def counts(self) -> np.ndarray:

@@ -12,14 +12,14 @@ def result(df):
 
 
 @pytest.mark.parametrize("size", [5, 20])
-@pytest.mark.parametrize("hot", [4, 0.02])
+@pytest.mark.parametrize("hot", [16, 0.02])
 def test_against_brute_force(spark, monkeypatch, size, hot):
     """A low bound on bucket sizes sends most buckets through the second round."""
     monkeypatch.setattr(substring, "HOT", hot)
     rows = brute.corpus(size, 150)
     if hot < 1:
         rows += [(10**6 + i, "a common line of words that stands in every one of them " + str(i) + " and a tail " * 9) for i in range(200)]
-    got = result(substring.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), size=size, gram=3))
+    got = result(substring.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), size=size, gram=1 + (size == 5)))
     assert got == brute.substring(rows, size)
 
 
