@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapshelf.llm import substring
+from mapshelf.llm import chat, line_crf, minhash, mixing, ordinal, packing, pivots, substring, token_store, url_model
+from mapshelf.llm.common import scratch_path, stored
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,80 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2,048 tokens."""
+    out = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to ORC and read back."""
+    path = scratch_path(spark, "token-store")
+    token_store.write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    return token_store.checksums(token_store.read(spark, path))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of each document and the chance of the highest: toxic, poor or good."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rated = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    return ordinal.grade(docs, ordinal.fit_on_ratings(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), rated, 3))
+
+
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents over 4-word shingles."""
+    return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix-target examples of all conversations and one that holds control strings, written and read back."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    return chat.digests(chat.read_back(stored(chat.examples(turns.unionByName(odd)), "chat-examples")))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of each document; the line labels are fitted on the labelled ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return line_crf.judge(docs, line_crf.fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of each document."""
+    return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The rules of the URL query.
+RULES = [
+    url_model.Rule("allow", "com/"),
+    url_model.Rule("block", "example.com/en/"),
+    url_model.Rule("allow", "www.example.com/en/"),
+    url_model.Rule("block", "net/es/"),
+    url_model.Rule("block", "net/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page's URL."""
+    return url_model.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
+def op10_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of embeddings."""
+    return pivots.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_store": op3_token_store,
+    "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_chat_examples": op6_chat_examples,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_source_mix": op8_source_mix,
+    "op9_url_filter": op9_url_filter,
+    "op10_pivot_dedup": op10_pivot_dedup,
 }
 
 #: Words of the documents, one row each, numbered from 1 within the document.
@@ -45,4 +118,48 @@ judged AS (
 SELECT d.doc_id, count(j.i) AS n_words, count(j.i) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op5_minhash_dedup": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.r) AS component_id, d.doc_id = min(r.r) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op6_chat_examples": r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+           13 + length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) AS chars
+    FROM turns
+),
+grown AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS so_far FROM numbered)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(so_far) FILTER (WHERE role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM grown GROUP BY conv_id""",
+    "op10_pivot_dedup": r"""
+WITH RECURSIVE unit AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings
+    WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+),
+good AS (SELECT * FROM unit WHERE n > 0 AND isfinite(n)),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(any_value(c.n), 0) AS n_links, min(r.r) AS component_id, v.vec_id = min(r.r) AS kept
+FROM embeddings v JOIN reach r ON r.vec_id = v.vec_id LEFT JOIN counted c ON c.a = v.vec_id GROUP BY v.vec_id""",
 }

@@ -39,3 +39,50 @@ def substring(rows: list[tuple], size: int) -> dict:
             seen.add(window)
         out[doc] = len(words), sum(gone), " ".join(w for w, g in zip(words, gone) if not g)
     return out
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def shingles(text: str | None, size: int) -> frozenset:
+    words = WORD.findall(lower(text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+
+
+def near_duplicates(rows: list[tuple], size: int, percent: int = 80) -> dict:
+    """doc_id: (set size, smallest linked id)."""
+    sets = {d: shingles(t, size) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    roots = components(list(sets), links)
+    return {d: (len(s), roots[d]) for d, s in sets.items()}
+
+
+def components(nodes: list, links: list[tuple]) -> dict:
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def quality_counts(text: str | None) -> tuple:
+    """Words, their characters, symbols, repeated lines, words in repeated 3-word windows."""
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 3)}
+    seen, lines = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            lines += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), lines, len(covered)
