@@ -83,7 +83,11 @@ def from_wkt(text: str) -> str:
         f"then cast(raise_error(concat('Unreadable WKT: ', {text})) as {GEOM}) "
         f"else cast(named_struct('kind', _ws.known, 'parts', "
         f"flatten(transform(_ws.members, _wm -> {member}))) as {GEOM}) end"))
-    return f"case when trim({text}) <> '' then {made} end"
+    # A member that does not parse has no parts, and a missing ordinate is NULL.
+    broken = ("_wg.parts is null or exists(_wg.parts, _wp -> coalesce(exists(_wp.rings, _wr -> coalesce(exists(_wr, "
+              "_wv -> _wv.x is null or _wv.y is null), true)), true))")
+    checked = let(made, "_wg", f"case when {broken} then cast(raise_error(concat('Unreadable WKT: ', {text})) as {GEOM}) else _wg end")
+    return f"case when trim({text}) <> '' then {checked} end"
 
 
 def _xy_list(ring: str, between: str, join: str) -> str:

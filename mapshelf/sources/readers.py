@@ -18,13 +18,14 @@ NO_NULL = "\u0000"
 
 def _delimited(spark: SparkSession, path, sep: str, header: bool, glob: str | None = None,
                schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", "true")
+    # Without column pruning every field of a row is parsed, so a row of another width fails the job.
+    reader = spark.read.option("recursiveFileLookup", "true").option("columnPruning", "false")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if schema:
         reader = reader.schema(schema)
     raw = reader.csv(path, sep=sep, header=header, quote='"', escape='"', nullValue=NO_NULL,
-                     emptyValue="", mode="FAILFAST" if schema else "PERMISSIVE")
+                     emptyValue="", mode="FAILFAST")
     # The parser gives NULL for an empty field without quotes.
     return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
@@ -110,26 +111,50 @@ def read_porto(spark: SparkSession, path, unit: str = "ms") -> DataFrame:
 FEATURE = "type string, geometry string, properties string"
 
 
+def _geojson_files(spark: SparkSession, path) -> tuple[list[str], list[str]]:
+    """Files that hold every feature on a line of its own, and the others.
+
+    In the former, lines other than objects only open and close a collection. A file that opens more than it
+    closes is not among them, so it is parsed as a whole and fails. One row per file is collected, as for any listing of files.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.regexp_replace("value", r"^[\s,]+|[\s,]+$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
+    item = F.startswith("line", F.lit("{")) & F.endswith("line", F.lit("}"))
+    found = lines.where("line <> ''").groupBy("file").agg(
+        F.bool_or(~item & F.col("line").rlike(r'"(geometry|geometries|coordinates)"')).alias("split"),
+        F.sum(F.when(~item & F.col("line").rlike(r'"features"\s*:\s*\[$'), 1).when(~item & F.startswith("line", F.lit("]")), -1)
+              .when(~item & F.col("line").rlike(r"\[[^\]]*$"), 1).otherwise(0)).alias("open"), F.bool_or(item).alias("items")).collect()
+    apart = {r["file"]: r["items"] and not r["split"] and r["open"] == 0 for r in found}
+    return [f for f, ok in apart.items() if ok], [f for f, ok in apart.items() if not ok]
+
+
 def read_geojson(spark: SparkSession, path, properties: str = "map<string,string>",
-                 lines: bool = False) -> DataFrame:
+                 lines: bool | None = None) -> DataFrame:
     """Features of FeatureCollections; ``properties`` is the type of that object, and the fields
     of a struct become columns.
 
-    A collection is one JSON value and is read by one task per file. ``lines=True`` is for files
-    that hold every feature on a line of its own, bare or within the lines of a collection
-    as the GeoJSON export writes them: such files split over tasks whatever their size. A
-    line from ``{`` to ``}`` that is not JSON fails the job.
+    Files that hold every feature on a line of its own, bare or within the lines of a collection
+    as the GeoJSON export writes them, split over tasks whatever their size. Any other file is one JSON value and is
+    read by one task. Which of both a file is, is found file by file; ``lines`` says it for all. Text that is not JSON, a
+    cut-off collection or a second value in a file fails the job.
     """
     whole = f"{FEATURE}, features array<struct<{FEATURE.replace(' string', ':string')}>>"
-    if lines:
-        text = spark.read.option("recursiveFileLookup", "true").text(path).selectExpr(
+    parsed = f"from_json(%s, '{whole}', map('mode', 'FAILFAST')) AS c"
+    apart, together = ([path], []) if lines else ([], [path]) if lines is False else _geojson_files(spark, path)
+    read = spark.createDataFrame([], f"c struct<{whole.replace('type string, geometry string, properties string, ', 'type:string,geometry:string,properties:string,').replace('features ', 'features:')}>")
+    if apart:
+        text = spark.read.option("recursiveFileLookup", "true").text(apart[0] if lines else apart).selectExpr(
             r"regexp_replace(value, r'^[\s,]+|[\s,]+$', '') AS line")
-        objects = text.where("startswith(line, '{') and endswith(line, '}')")
-        read = objects.selectExpr(f"from_json(line, '{whole}', map('mode', 'FAILFAST')) AS c").select("c.*")
-    else:
-        read = spark.read.schema(whole).option("recursiveFileLookup", "true").json(path, multiLine=True)
-    f = read.selectExpr("explode(case when features is not null then features when type = 'Feature' "
-                        "then array(struct(type, geometry, properties)) end) AS f")
+        read = read.unionByName(text.where("startswith(line, '{') and endswith(line, '}')").selectExpr(parsed % "line"))
+    if together:
+        text = spark.read.option("recursiveFileLookup", "true").text(together[0] if lines is False else together, wholetext=True)
+        # Outside of strings, valid JSON never has an object right after another.
+        bare = F.regexp_replace("value", r'"(?:\\.|[^"\\])*+"', "")
+        several = F.raise_error(F.lit("Several JSON values in a file")).cast("string")
+        one = text.where("trim(value) <> ''").select(F.when(bare.rlike(r"\}\s*\{"), several).otherwise(F.col("value")).alias("value"))
+        read = read.unionByName(one.selectExpr(parsed % "value"))
+    f = read.select("c.*").selectExpr("explode(case when features is not null then features when type = 'Feature' "
+                                      "then array(struct(type, geometry, properties)) end) AS f")
     typed = f.selectExpr(f"from_json(f.properties, '{properties}') AS properties", f"{from_geojson('f.geometry')} AS geom")
     return typed.select("properties.*", "geom") if properties.startswith("struct<") else typed
 

@@ -52,17 +52,17 @@ def test_geolife(spark, tmp_path):
 def test_porto(spark, tmp_path):
     names = "TRIP_ID,CALL_TYPE,ORIGIN_CALL,ORIGIN_STAND,TAXI_ID,TIMESTAMP,DAY_TYPE,MISSING_DATA,POLYLINE".split(",")
     rows = [names,
-            ["11", "C", "", "", "5", "1372636858", "A", "False", "[[-8.6,41.1],[-8.5,41.2]]"],
-            ["12", "B", "", "7", "6", "1372637303", "A", "True", "[[-8.6,41.1]]"],
-            ["13", "B", "", "", "6", "1372637304", "A", "False", "[]"]]
+            ["901", "C", "", "", "35", "1500000321", "A", "False", "[[-8.6,41.1],[-8.5,41.2]]"],
+            ["902", "B", "", "8", "36", "1500000987", "A", "True", "[[-8.6,41.1]]"],
+            ["903", "B", "", "", "36", "1500001234", "A", "False", "[]"]]
     (tmp_path / "p.txt").write_text("\n".join(",".join(f'"{v}"' for v in r) for r in rows) + "\n")
     df = readers.read_dataset(spark, str(tmp_path), {"iformat": "porto"})
     got = df.select("TRIP_ID", "ORIGIN_CALL", "ORIGIN_STAND", "TAXI_ID", F.unix_millis("TIMESTAMP").alias("t"), "MISSING_DATA",
                     F.expr(G.num_points("geom")).alias("n"), F.col("geom")["kind"].alias("k")).orderBy("TRIP_ID").collect()
     assert [tuple(r) for r in got] == [
-        (11, "", "", 5, 1372636858, False, 2, "MultiPoint"), (12, "", "7", 6, 1372637303, True, 1, "MultiPoint"),
-        (13, "", "", 6, 1372637304, False, 0, "MultiPoint")]
-    assert readers.read_porto(spark, str(tmp_path), "s").select(F.unix_seconds("TIMESTAMP").alias("t")).orderBy("t").first().t == 1372636858
+        (901, "", "", 35, 1500000321, False, 2, "MultiPoint"), (902, "", "8", 36, 1500000987, True, 1, "MultiPoint"),
+        (903, "", "", 36, 1500001234, False, 0, "MultiPoint")]
+    assert readers.read_porto(spark, str(tmp_path), "s").select(F.unix_seconds("TIMESTAMP").alias("t")).orderBy("t").first().t == 1500000321
     (tmp_path / "p.txt").write_text("\n".join(",".join(f'"{v}"' for v in r) for r in [names, rows[1][:-1] + ["[[1,2],[3]]"]]) + "\n")
     with pytest.raises(Exception, match="even number"):
         readers.read_porto(spark, str(tmp_path)).collect()
