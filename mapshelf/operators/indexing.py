@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def replace_folder(spark: SparkSession, source: str, target: str, overwrite: bool = True) -> None:
     """Put a finished folder in place of ``target``; without ``overwrite`` a taken target is
-    an error."""
+    an error.
+
+    The old folder is moved aside and goes last, so a failure at any point leaves one of both
+    in full; a rename that fails puts the old one back.
+    """
     fs, dst = _paths(spark, target)
     src = spark._jvm.org.apache.hadoop.fs.Path(source)
     if fs.exists(dst):
         if not overwrite:
             raise FileExistsError(f"Directory '{target}' already exists and overwrite flag is not set")
-        fs.delete(dst, True)
     if dst.getParent() is not None:
         fs.mkdirs(dst.getParent())
+    aside = dst.suffix(f".old-{uuid.uuid4().hex}") if fs.exists(dst) else None
+    if aside is not None and not fs.rename(dst, aside):
+        raise OSError(f"Could not move '{target}' aside")
     if not fs.rename(src, dst):
+        if aside is not None:
+            fs.rename(aside, dst)
         raise OSError(f"Could not rename '{source}' to '{target}'")
+    if aside is not None:
+        fs.delete(aside, True)
 
 
 def save_index(partitioned: DataFrame, path: str) -> None:
@@ -57,7 +69,7 @@ def save_index(partitioned: DataFrame, path: str) -> None:
      .sortWithinPartitions("part_id", "zkey")
      .write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/data"))
     stats = partition_stats(read_index(partitioned.sparkSession, path))
-    stats.coalesce(1).write.mode("errorifexists").parquet(f"{path}/master")
+    stats.write.mode("errorifexists").parquet(f"{path}/master")
 
 
 def build_index(features: DataFrame, path: str, method: str = "rsgrove", overwrite: bool = True,
@@ -77,9 +89,7 @@ def build_indexes(features: DataFrame, dataset_dir: str, separate: bool, thresho
     """The data index, and the index for drawing when it is kept apart."""
     build_index(features, f"{dataset_dir}/data_index", overwrite=overwrite, **options)
     if separate:
-        counts = ("rows", "total")   # those of the unbroken features do not hold here
-        build_index(viz_features(features, threshold), f"{dataset_dir}/viz_index", overwrite=overwrite,
-                    **{k: v for k, v in options.items() if k not in counts})
+        build_index(viz_features(features, threshold), f"{dataset_dir}/viz_index", overwrite=overwrite, **options)
 
 
 def break_and_index(features: DataFrame, path: str, method: str = "rsgrove",

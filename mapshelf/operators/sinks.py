@@ -136,9 +136,8 @@ def media_type(fmt: str) -> str | None:
 
 
 def records_per_part(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
-    """Records that fill about ``part_bytes``, from the mean length of some records as text."""
-    some = df.limit(10_000)
-    mean = some.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
+    """Records that fill about ``part_bytes``, from the mean length of all records as text."""
+    mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0]
     return max(1, int(part_bytes / mean)) if mean else 0
 
 

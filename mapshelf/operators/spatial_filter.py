@@ -9,9 +9,6 @@ from mapshelf.functions import geometry as G
 from mapshelf.functions.textgeom import to_geojson
 from mapshelf.operators.boxes import Box, query_boxes
 
-# Partition lists up to this length become a constant IN list; longer ones a semi join.
-STATIC_PARTS = 2000
-
 
 def _any(conditions: list[str]) -> str:
     return "(" + " or ".join(conditions) + ")"
@@ -39,10 +36,7 @@ def prune_partitions(master: DataFrame, boxes: list[Box]) -> DataFrame:
 
 
 def in_partitions(indexed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of the named partitions; the folder filter is static while the list is short."""
-    ids = [r.part_id for r in parts.select("part_id").limit(STATIC_PARTS + 1).collect()]
-    if len(ids) <= STATIC_PARTS:
-        return indexed.where(F.col("part_id").isin(ids) if ids else F.lit(False))
+    """Rows of the named partitions. A list that is small enough to be broadcast also prunes the folders that are read."""
     return indexed.join(parts.select("part_id"), "part_id", "left_semi").select(*indexed.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,6 @@ from mapshelf.operators.breaking import DEFAULT_THRESHOLD
 from mapshelf.operators.indexing import build_indexes, path_exists, read_index, replace_folder
 from mapshelf.operators.summary import attribute_types, summarize
 from mapshelf.operators.tiles import LEVELS, tile_counts, write_pyramid
-from mapshelf.session import scratch_path
 from mapshelf.sources.archives import expand_archives, list_archives
 from mapshelf.sources.readers import read_dataset
 
@@ -31,6 +31,7 @@ class Run:
     decompress: bool = True
     levels: int = LEVELS
     method: str = "rsgrove"
+    vector_limit: int = C.VECTOR_LIMIT
 
 
 def _row(table: C.CatalogTable, dataset_id: str):
@@ -61,20 +62,18 @@ def summarize_stage(features: DataFrame) -> dict:
 
 
 def index_stage(features: DataFrame, folder: str, run: Run, row) -> None:
-    """Counts and bytes of the summary are handed on, so the partitioner need not count again."""
     separate = run.separate
     if separate is None:
         separate = bool(row["num_features"]) and (row["num_points"] or 0) // row["num_features"] >= run.threshold
-    build_indexes(features, folder, separate, run.threshold, run.overwrite, method=run.method,
-                  rows=row["num_features"], total=row["size"])
+    build_indexes(features, folder, separate, run.threshold, run.overwrite, method=run.method)
 
 
 def tile_stage(spark: SparkSession, folder: str, relative: str, size: int | None, points: bool, run: Run):
-    """Visualization entry of the catalog; large datasets get a pyramid of tile counts."""
-    if (size or 0) < C.VECTOR_LIMIT:
+    """Visualization entry of the catalog; datasets of ``run.vector_limit`` bytes or more get a pyramid of tile counts."""
+    if (size or 0) < run.vector_limit:
         return ("Vector", f"/dynamic/download.cgi/{relative}/data_index.geojson")
     index = f"{folder}/viz_index" if path_exists(spark, f"{folder}/viz_index") else f"{folder}/data_index"
-    staged = scratch_path(spark, "plot")
+    staged = f"{folder}/temp_plot_{uuid.uuid4().hex}"   # beside its place, so the rename stays in one file system
     write_pyramid(tile_counts(read_index(spark, index), run.levels, points=points), staged)
     replace_folder(spark, staged, f"{folder}/plot", run.overwrite)
     return ("Tile", f"/dynamic/visualize.cgi/{relative}/plot.zip/tile-{{z}}-{{x}}-{{y}}{TILE_EXTENSION}")

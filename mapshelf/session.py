@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",   # a bad number fails the job
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
@@ -44,6 +45,8 @@ def scratch_root(spark: SparkSession) -> str:
         shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="mapshelf-", dir=os.environ.get("TMPDIR", "/tmp"))
     return _local_scratch
