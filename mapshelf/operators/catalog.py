@@ -6,6 +6,8 @@ Parquet versions; a change writes a new version and readers take the last finish
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -303,13 +305,15 @@ class CatalogTable:
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return root.getFileSystem(self.spark._jsc.hadoopConfiguration()), root, jvm.org.apache.hadoop.fs.Path
 
+    def _folders(self) -> list[int]:
+        """Numbers of all version folders, finished or not."""
+        fs, root, _ = self._fs()
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit())
+
     def _versions(self) -> list[int]:
-        fs, root, path = self._fs()
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        numbers = [int(n[2:]) for n in names if n.startswith("v-") and n[2:].isdigit()]
-        return sorted(n for n in numbers if fs.exists(path(f"{self.path}/v-{n}/_SUCCESS")))
+        fs, _, path = self._fs()
+        return [n for n in self._folders() if fs.exists(path(f"{self.path}/v-{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame:
         versions = self._versions()
@@ -318,11 +322,21 @@ class CatalogTable:
         return self.spark.read.schema(CATALOG_SCHEMA).parquet(f"{self.path}/v-{versions[-1]}")
 
     def replace(self, rows: DataFrame) -> None:
-        """Write the next version. Two writers that race fail on the existing folder."""
-        versions = self._versions()
-        target = f"{self.path}/v-{versions[-1] + 1 if versions else 0}"
-        shaped = _to_catalog_schema(rows)
-        shaped.write.mode("errorifexists").parquet(target)
+        """Write under a name of its own, then rename to the next version.
+
+        What a write that died has left takes no part. Of two writers that race, the rename of one fails. The version
+        before stays for readers that are still at it; older ones go.
+        """
+        fs, _, path = self._fs()
+        before = self._folders()
+        draft, target = f"{self.path}/draft-{uuid.uuid4().hex}", f"{self.path}/v-{before[-1] + 1 if before else 0}"
+        _to_catalog_schema(rows).write.mode("errorifexists").parquet(draft)
+        if fs.exists(path(target)) or not fs.rename(path(draft), path(target)):
+            raise OSError(f"Another writer has made '{target}'")
+        kept = self._versions()[-2:]
+        for n in self._folders():
+            if n < kept[0]:
+                fs.delete(path(f"{self.path}/v-{n}"), True)
 
     def insert(self, rows: DataFrame, id_seed: str = "name") -> None:
         """Append rows with new ids and the time of insertion."""
