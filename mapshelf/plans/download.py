@@ -13,11 +13,11 @@ from mapshelf.operators.spatial_filter import in_partitions, indexed_range_query
 
 
 def select_features(spark: SparkSession, index_path: str, mbr: str | None = None,
-                    regions: DataFrame | None = None, region: str | None = None,
+                    regions: DataFrame | None = None, region: str | None = None, order: str = "position",
                     key: str | None = None, points: bool = False) -> DataFrame:
     """Rows of an indexed dataset: all, in a box, or in a named region.
 
-    A region wins over a box. ``key`` names the unique column that region queries need for
+    A region wins over a box; ``order`` is the column of their places, of which the last counts where codes repeat. ``key`` names the unique column that region queries need for
     shapes other than points.
     """
     indexed = read_index(spark, index_path)
@@ -25,8 +25,8 @@ def select_features(spark: SparkSession, index_path: str, mbr: str | None = None
         master = read_master(spark, index_path)
         # The partition boxes are matched with the region like any other features.
         boxes = master.where("xmin is not null").selectExpr("part_id", f"{G.box_polygon(*G.MBR_COLUMNS)} AS geom")
-        rows = in_partitions(indexed, region_query(boxes, regions, region, "part_id"))
-        found = region_query(rows, regions, region, key or "fid", points=points)
+        rows = in_partitions(indexed, region_query(boxes, regions, region, order, "part_id"))
+        found = region_query(rows, regions, region, order, key or "fid", points=points)
     elif mbr is not None:
         found = indexed_range_query(indexed, read_master(spark, index_path), mbr, points=points)
     else:
@@ -41,8 +41,8 @@ def is_current(spark: SparkSession, index_path: str, copied_at: Column) -> DataF
 
 
 def download(spark: SparkSession, index_path: str, target: str, fmt: str, mbr: str | None = None,
-             regions: DataFrame | None = None, region: str | None = None, sep: str = ",",
+             regions: DataFrame | None = None, region: str | None = None, order: str = "position", sep: str = ",",
              key: str | None = None, points: bool = False, bounded: bool = False) -> None:
     """Select, then write in the named format."""
-    rows = select_features(spark, index_path, mbr, regions, region, key, points)
+    rows = select_features(spark, index_path, mbr, regions, region, order, key, points)
     write_features(rows, target, fmt, points=points, sep=sep, key=key, bounded=bounded)

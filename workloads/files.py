@@ -312,7 +312,7 @@ SELECT '{{"fid":' || fid || ',"wkt":"POINT(' || x || ' ' || y || ')"}}' AS value
 def download_region(spark, sf):
     index = _index(spark, sf, D.points(spark, sf).select("fid", "geom", *G.MBR_COLUMNS), parts=16)
     path = scratch_path(spark, "download")
-    W.download(spark, index, path, "json.gz", regions=D.regions(spark, sf), region="NATION_8", points=True, bounded=True)
+    W.download(spark, index, path, "json.gz", regions=D.regions(spark, sf), region="NATION_8", order="position", points=True, bounded=True)
     return spark.read.text(path)
 
 
