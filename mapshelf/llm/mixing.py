@@ -70,7 +70,7 @@ def draw(slots: Sequence[int], mix: Mix) -> Iterator[tuple[int, int, int, int]]:
             rest = left - n
             n += np.minimum(rng.multinomial(todo, rest / rest.sum()), rest)
             todo = min(size, int(left.sum())) - int(n.sum())
-        yield from ((shard, s, int(given[s]), int(n[s])) for s in np.flatnonzero(n))
+        yield from ((shard, int(s), int(given[s]), int(n[s])) for s in np.flatnonzero(n))
         left, given, shard = left - n, given + n, shard + 1
 
 
