@@ -263,13 +263,16 @@ def apply_updates(catalog: DataFrame, changes: DataFrame, now: Column | None = N
     """Set the supplied fields by ``_id`` and stamp ``modifiedAt``.
 
     A field counts as supplied when its column exists in ``changes`` and the value there is
-    not NULL. Ids that the catalog lacks are ignored.
+    not NULL, or its name is in the row's array ``_supplied``, which lets a change clear a field. Ids that the catalog
+    lacks are ignored.
     """
     now = F.current_timestamp() if now is None else now
     fields = [c for c in changes.columns if c not in ("_id", "modifiedAt") and c in catalog.columns]
-    right = changes.select("_id", F.lit(True).alias("_hit"), *[F.col(c).alias("_new_" + c) for c in fields])
+    named = F.col("_supplied") if "_supplied" in changes.columns else F.array().cast("array<string>")
+    right = changes.select("_id", F.lit(True).alias("_hit"), named.alias("_named"), *[F.col(c).alias("_new_" + c) for c in fields])
     merged = catalog.join(right, "_id", "left")
-    out = {c: F.coalesce(F.col("_new_" + c), F.col(c)) for c in fields}
+    out = {c: F.when(F.coalesce(F.array_contains("_named", c), F.lit(False)), F.col("_new_" + c)).otherwise(
+        F.coalesce(F.col("_new_" + c), F.col(c))) for c in fields}
     out["modifiedAt"] = F.when(F.col("_hit"), now).otherwise(F.col("modifiedAt"))
     return merged.withColumns(out).select(*catalog.columns)
 

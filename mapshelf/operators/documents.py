@@ -21,9 +21,11 @@ def framed(body: DataFrame, head: str, tail: str) -> DataFrame:
 def json_document(body: DataFrame, head: str, tail: str) -> DataFrame:
     """JSON records between an opening and a closing line, with a comma before all but the first.
 
-    The first record is the one with the smallest ``sort_key``, which must be unique.
+    The first record is the one with the smallest ``sort_key``, missing ones before all others, and the smallest text
+    among equal keys.
     """
-    first = F.col("sort_key") == body.agg(F.min("sort_key")).scalar()
+    record = F.struct("sort_key", "line")
+    first = record.eqNullSafe(body.agg(F.min(record)).scalar())
     lines = body.select(
         F.when(first, F.lit(1)).otherwise(F.lit(2)).alias("part"), "sort_key",
         F.when(first, F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("line"))

@@ -114,17 +114,19 @@ FEATURE = "type string, geometry string, properties string"
 def _geojson_files(spark: SparkSession, path) -> tuple[list[str], list[str]]:
     """Files that hold every feature on a line of its own, and the others.
 
-    In the former, lines other than objects only open and close a collection. A file that opens more than it
-    closes is not among them, so it is parsed as a whole and fails. One row per file is collected, as for any listing of files.
+    In the former, lines other than objects only open and close a collection, in the file or, as in an exported document,
+    over the files of a folder. A file that opens more than is closed is not among them, so it is parsed as a
+    whole and fails. One row per file is collected, as for any listing of files.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.regexp_replace("value", r"^[\s,]+|[\s,]+$", "").alias("line"), F.col("_metadata.file_path").alias("file"))
     item = F.startswith("line", F.lit("{")) & F.endswith("line", F.lit("}"))
     found = lines.where("line <> ''").groupBy("file").agg(
-        F.bool_or(~item & F.col("line").rlike(r'"(geometry|geometries|coordinates)"')).alias("split"),
+        F.bool_or(~item & (F.col("line").rlike(r'"(geometry|geometries|coordinates)"') | ~F.col("line").rlike(r'^[{}\]"]'))).alias("split"),
         F.sum(F.when(~item & F.col("line").rlike(r'"features"\s*:\s*\[$'), 1).when(~item & F.startswith("line", F.lit("]")), -1)
               .when(~item & F.col("line").rlike(r"\[[^\]]*$"), 1).otherwise(0)).alias("open"), F.bool_or(item).alias("items")).collect()
-    apart = {r["file"]: r["items"] and not r["split"] and r["open"] == 0 for r in found}
+    closed = sum(r["open"] for r in found if not r["split"]) == 0
+    apart = {r["file"]: not r["split"] and (closed or r["items"] and r["open"] == 0) for r in found}
     return [f for f, ok in apart.items() if ok], [f for f, ok in apart.items() if not ok]
 
 

@@ -422,3 +422,41 @@ def expand_archives(spark, sf):
     _write_zips(_trip_texts(spark, sf), path)
     files = archives.expand_archives(spark, path)
     return files.select(F.regexp_extract("file", "(a[0-9]+/trips/[0-9]+[.]csv)$", 1).alias("file"), F.col("bytes").alias("n_bytes"))
+
+
+_POINTS_EACH = f"WITH {D.POINTS} SELECT CAST(fid AS VARCHAR) AS fid, x, y FROM points"
+
+
+def _read_exported(spark, sf, fmt, key=None):
+    """Points written by the export and read by the public reader."""
+    path = scratch_path(spark, "geojson")
+    S.write_features(D.points(spark, sf).select("fid", "geom"), path, fmt, key=key)
+    df = readers.read_dataset(spark, path, {"iformat": "geojson"})
+    return df.select(F.col("properties")["fid"].alias("fid"), *_xy(df))
+
+
+@query("geojson_round_trip_lines", _POINTS_EACH)
+def geojson_round_trip_lines(spark, sf):
+    return _read_exported(spark, sf, "geojson")
+
+
+@query("geojson_round_trip_gz", _POINTS_EACH)
+def geojson_round_trip_gz(spark, sf):
+    return _read_exported(spark, sf, "geojson.gz")
+
+
+@query("geojson_round_trip_document", _POINTS_EACH)
+def geojson_round_trip_document(spark, sf):
+    """One collection over many part files."""
+    return _read_exported(spark, sf, "geojson", "fid")
+
+
+@query("rsgrove_many_parts", f"WITH {D.POINTS} SELECT count(*) AS n, TRUE AS named, TRUE AS balanced FROM points")
+def rsgrove_many_parts(spark, sf):
+    """More partitions than one sample on the driver is cut into: all points are placed, and no partition holds far more than its share."""
+    parts = 3000
+    placed = P.spatial_partition(D.points(spark, sf), parts=parts, balanced=False)
+    sizes = placed.groupBy("part_id").agg(F.count("*").alias("rows"))
+    return sizes.agg(F.sum("rows").alias("n"), (F.count("*") > F.least(F.lit(parts), F.sum("rows")) / 4).alias("named"),
+                     (F.max("rows") <= 12 * F.sum("rows") / F.least(F.lit(parts), F.sum("rows")) + 12).alias("balanced"))
+
