@@ -9,7 +9,9 @@ from mapshelf.functions import geometry as G
 from mapshelf.operators.indexing import indexed_input, read_index, read_master
 from mapshelf.operators.regions import region_query
 from mapshelf.operators.sinks import write_features
-from mapshelf.operators.spatial_filter import in_partitions, indexed_range_query
+from mapshelf.operators.boxes import query_boxes
+from mapshelf.operators.catalog import find_by_name
+from mapshelf.operators.spatial_filter import in_partitions, indexed_range_query, prune_partitions, view_feature
 
 
 def select_features(spark: SparkSession, index_path: str, mbr: str | None = None,
@@ -46,3 +48,27 @@ def download(spark: SparkSession, index_path: str, target: str, fmt: str, mbr: s
     """Select, then write in the named format."""
     rows = select_features(spark, index_path, mbr, regions, region, order, key, points)
     write_features(rows, target, fmt, points=points, sep=sep, key=key, bounded=bounded)
+
+
+def _indexed_dataset(catalog: DataFrame, base: str, name: str) -> tuple[str, bool, str]:
+    """Index folder, whether it holds points, and the separator, as the catalog row of a dataset has them."""
+    row = find_by_name(catalog, name).first()
+    if row is None or not row["index_path"]:
+        raise KeyError(f"No indexed dataset '{name}'")
+    return f"{base.rstrip('/')}/{row['index_path']}", row["geometry_type"] == "Point", (row["options"] or {}).get("separator", ",")
+
+
+def download_by_name(spark: SparkSession, catalog: DataFrame, base: str, name: str, target: str, fmt: str, **selection) -> None:
+    """Download of a catalogued dataset; index, kind of geometry and separator come from its row."""
+    index, points, sep = _indexed_dataset(catalog, base, name)
+    download(spark, index, target, fmt, sep=sep, points=points, **selection)
+
+
+def view_indexed(spark: SparkSession, index_path: str, order: list[str], mbr: str | None = None, fmt: str = "json", extents: bool = False) -> DataFrame:
+    """The first record of an index by box, partition and ``order``; only partitions whose box meets the query are read."""
+    rows = read_index(spark, index_path)
+    if mbr is not None:
+        rows = in_partitions(rows, prune_partitions(read_master(spark, index_path), query_boxes(mbr, False)))
+    rows = indexed_input(rows)
+    names = [c for c in G.attribute_columns(rows) if c not in ("part_id", *order)]
+    return view_feature(rows, ["part_id", *order], mbr, fmt, extents, attributes=names)

@@ -338,7 +338,7 @@ def ingest_dataset(spark, sf):
                                  "name string, format string, options map<string,string>, status string")
     table.insert(form)
     new = C.find_by_name(table.read(), "orders/points").first()["_id"]
-    N.process_dataset(table, new, N.Run(base, threshold=DEFAULT_THRESHOLD, levels=10))
+    N.process_dataset(table, new, N.Run(base, threshold=DEFAULT_THRESHOLD))
     return C.find(table.read(), new).select(
         "status", "num_features", "geometry_type", F.get("extent", F.lit(0)).alias("xmin"),
         F.get("extent", F.lit(3)).alias("ymax"), F.col("visualization")["type"].alias("visualization"))
@@ -460,3 +460,53 @@ def rsgrove_many_parts(spark, sf):
     return sizes.agg(F.sum("rows").alias("n"), (F.count("*") > F.least(F.lit(parts), F.sum("rows")) / 4).alias("named"),
                      (F.max("rows") <= 12 * F.sum("rows") / F.least(F.lit(parts), F.sum("rows")) + 12).alias("balanced"))
 
+
+@query("download_by_name", f"""WITH {D.POINTS} SELECT CAST(fid AS VARCHAR) AS fid, x, y FROM points WHERE x BETWEEN -20 AND 30 AND y BETWEEN -10 AND 40""")
+def download_by_name(spark, sf):
+    """Index, geometry and separator from the catalog row."""
+    base = scratch_path(spark, "archive")
+    I.build_index(D.points(spark, sf).select("fid", "geom", *G.MBR_COLUMNS), f"{base}/orders/points/data_index", parts=16)
+    catalog = spark.createDataFrame([("1", "orders/points", "orders/points/data_index", "Point", {"separator": ";"})],
+                                    "_id string, name string, index_path string, geometry_type string, options map<string,string>")
+    path = scratch_path(spark, "download")
+    W.download_by_name(spark, catalog, base, "orders/points", path, "csv.gz", mbr="-20,-10,30,40")
+    back = spark.read.csv(path, sep=";")
+    return back.selectExpr("_c2 AS fid", "double(_c0) AS x", "double(_c1) AS y")
+
+
+@query("view_indexed", f"""WITH {D.POINTS}, p AS (SELECT *, CAST(floor((y + 90) / 180.0 * 4) * 4 + floor((x + 180) / 360.0 * 4) AS INTEGER) AS part FROM points), hit AS (
+  SELECT * FROM p WHERE (x >= 170 OR x <= -170) AND y BETWEEN -40 AND 60 ORDER BY CASE WHEN x >= 170 THEN 0 ELSE 1 END, part, fid LIMIT 1)
+SELECT '{{"o_orderpriority":"' || o_orderpriority || '"}}' AS record FROM hit""")
+def view_indexed(spark, sf):
+    """First record by box, partition and key; partitions away from both boxes are not read."""
+    path = scratch_path(spark, "index")
+    placed = P.spatial_partition(D.points(spark, sf).select("fid", "o_orderpriority", "geom", *G.MBR_COLUMNS), "grid", parts=16, extent=P.WORLD)
+    I.save_index(placed, path)
+    return W.view_indexed(spark, path, ["fid"], "170,-40,190,60")
+
+
+@query("is_current", f"WITH {D.POINTS} SELECT count(*) AS n, TRUE AS later, FALSE AS earlier FROM points")
+def is_current(spark, sf):
+    """A copy made after the index is current, one made before it is not."""
+    path = _index(spark, sf, D.points(spark, sf).select("fid", "geom", *G.MBR_COLUMNS), parts=4)
+    later = W.is_current(spark, path, F.current_timestamp() + F.expr("interval 1 day")).select(F.col("unchanged").alias("later"))
+    earlier = W.is_current(spark, path, F.lit("2001-01-01").cast("timestamp")).select(F.col("unchanged").alias("earlier"))
+    return I.read_index(spark, path).agg(F.count("*").alias("n")).withColumns({"later": later.scalar(), "earlier": earlier.scalar()})
+
+
+@query("ingest_tiles", f"""WITH {D.POINTS}, merc AS (
+  SELECT (x + 180) / 360 AS u, (1 - ln(tan(y * (pi() / 180)) + 1 / cos(y * (pi() / 180))) / pi()) / 2 AS v FROM points
+  WHERE y BETWEEN -85.0511287798066 AND 85.0511287798066)
+SELECT CAST(z AS INTEGER) AS z, CAST(greatest(0, least((1 << CAST(z AS INTEGER)) - 1, floor(u * (1 << CAST(z AS INTEGER))))) AS BIGINT) AS x,
+       CAST(greatest(0, least((1 << CAST(z AS INTEGER)) - 1, floor(v * (1 << CAST(z AS INTEGER))))) AS BIGINT) AS y, count(*) AS cnt
+FROM merc, range(20) r(z) GROUP BY ALL""")
+def ingest_tiles(spark, sf):
+    """The pyramid that a dataset gets when its bytes reach the limit, all 20 levels of it."""
+    base = scratch_path(spark, "archive")
+    D.points(spark, sf).select("xmin", "ymin", "fid").write.csv(f"{base}/p/download")
+    table = C.CatalogTable(spark, f"{base}/catalog")
+    table.insert(spark.createDataFrame([("p", {"iformat": "point(0,1)"}, "created")], "name string, options map<string,string>, status string"))
+    N.process_dataset(table, C.find_by_name(table.read(), "p").first()["_id"], N.Run(base, vector_limit=0))
+    tiles = spark.read.parquet(f"{base}/p/plot")
+    return tiles.selectExpr("int(z) AS z", "bigint(x) AS x", "bigint(y) AS y", "cnt")
+

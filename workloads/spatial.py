@@ -16,7 +16,7 @@ from mapshelf.operators import regions as R
 from mapshelf.operators import spatial_filter as Q
 from mapshelf.operators import summary as A
 from mapshelf.operators import tiles as V
-from mapshelf.session import materialize
+from mapshelf.session import materialize, scratch_path
 from workloads import derive as D
 
 QUERIES: dict = {}
@@ -428,10 +428,10 @@ def tile_rollup(spark, sf):
     return V.tile_counts(D.points(spark, sf), 20, points=True)
 
 
-@query("tile_counts", _counts_sql(8))
+@query("tile_counts", _counts_sql(20))
 def tile_counts(spark, sf):
     """Without the roll-up: every level counted from the features."""
-    return V.tile_counts(D.points(spark, sf), 8)
+    return V.tile_counts(D.points(spark, sf))
 
 
 @query("tile_counts_lines", f"""WITH {D.LINES}, box AS (
@@ -460,7 +460,10 @@ def tile_raster(spark, sf):
 SELECT 'tile-5-' || x || '-' || y || '.png' AS url, cnt FROM (
   SELECT {_tile('u', '5')} AS x, {_tile('v', '5')} AS y, count(*) AS cnt FROM merc GROUP BY 1, 2) WHERE x = 17 AND y = 12""")
 def tile_lookup(spark, sf):
-    hit = V.tile_lookup(V.tile_counts(D.points(spark, sf), 8, points=True), 5, 17, 12)
+    """One tile of a stored pyramid of all levels."""
+    path = scratch_path(spark, "pyramid")
+    V.write_pyramid(V.tile_counts(D.points(spark, sf), points=True), path)
+    hit = V.tile_lookup(spark.read.parquet(path), 5, 17, 12)
     return hit.select(V.tile_url(F.col("z"), F.col("x"), F.col("y")).alias("url"), "cnt")
 
 
