@@ -14,7 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from mapshelf.session import build_session  # noqa: E402
+from mapshelf.session import build_session, ship_package  # noqa: E402
 from workloads import registry  # noqa: E402
 
 HEADLINE = [
@@ -36,6 +36,7 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark, os.path.dirname(os.path.abspath(registry.__file__)))
     queries, times = registry.queries(), {}
 
     def run(name: str) -> float:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,26 @@ SETTINGS = {
 }
 
 _local_scratch: str | None = None
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession, *more: str) -> None:
+    """Send this package, and the folders of other modules, to the executors, once in a session.
+
+    Functions that run in Python tasks import it there. Where it is installed on all machines this is not needed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="mapshelf-", dir=os.environ.get("TMPDIR", "/tmp"))), "mapshelf_modules.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder in (os.path.dirname(os.path.abspath(__file__)), *more):
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    if name.endswith(".py"):
+                        z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(folder)))
+    sc.addPyFile(target)
 
 
 def build_session(app: str = "mapshelf", master: str | None = None, **extra: str) -> SparkSession:
