@@ -100,7 +100,9 @@ def place(cuts: DataFrame, capacity: int = 2048, most_open: int = OPEN, shard: i
             lengths, owner = part.column("length").to_pylist(), part.column("shard").to_pylist()
             found: list = [None] * len(lengths)
             for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-                found[i] = bins.setdefault(owner[i], BestFit(capacity, most_open)).place(lengths[i])
+                if owner[i] not in bins:
+                    bins[owner[i]] = BestFit(capacity, most_open)
+                found[i] = bins[owner[i]].place(lengths[i])
             yield batch(schema, *part.columns, [o << 32 | s for o, (s, _) in zip(owner, found)], [o for _, o in found])
 
     dealt = cuts.select(*names, F.pmod(F.xxhash64("k", "v"), F.lit(shards)).alias("shard")).repartition(shards, "shard")

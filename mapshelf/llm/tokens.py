@@ -1,8 +1,9 @@
 """Token ids of whole texts, with a memory for the units that texts are made of.
 
 A single space between two characters that are no white space always starts a token of a byte-level BPE whose pattern
-takes one leading space along. Texts are cut there, and each different unit is encoded once per task. The unit's ids are kept as bytes (little-endian
-unsigned 32-bit numbers), so a text's ids are one join.
+takes one leading space along. Texts are cut there, and a unit is encoded when it is first met: the tokenizer's own pre-tokenizer cuts it into
+pieces, and its model gives the ids of pieces that are new. Ids are kept as bytes (little-endian unsigned 32-bit numbers), so a text's
+ids are one join.
 """
 
 from __future__ import annotations
@@ -24,32 +25,44 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Encodes with the file's tokenizer, without special tokens added. At most ``memory`` units are kept."""
+    """Encodes with the file's tokenizer, without special tokens added. About ``memory`` units and as many pieces are kept."""
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory, self.inner, self.leading = memory, {}, {}
+        self.model = self.tokenizer.model
+        self.memory, self.inner, self.leading, self.pieces = memory, {}, {}, {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = self.tokenizer.normalizer is None and self.tokenizer.pre_tokenizer is not None
+        # Units in which these strings occur are encoded as a whole.
+        self.whole = re.compile("|".join(map(re.escape, added)) or r"(?!)") if plain else re.compile("")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [_CUT.split(t) if _ADJACENT.search(t) else t.split(" ") for t in texts]
-        if len(self.inner) + len(self.leading) > self.memory:
-            self.inner.clear()
-            self.leading.clear()
+        for known in (self.inner, self.leading, self.pieces):
+            if len(known) > self.memory:
+                known.clear()
         self._learn(self.leading, {c[0] for c in cut}, "")
         self._learn(self.inner, set().union(*(c[1:] for c in cut)), " ")
         leading, inner = self.leading, self.inner.__getitem__
         return [leading[c[0]] + b"".join(map(inner, c[1:])) for c in cut]
 
     def _learn(self, known: dict[str, bytes], units: set[str], prefix: str) -> None:
-        new = [u for u in units if u not in known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast([prefix + u for u in part], add_special_tokens=False)):
-                known[unit] = np.array(found.ids, "<u4").tobytes()
+        whole, split, pieces = self.whole.search, self.tokenizer.pre_tokenizer, self.pieces
+        for unit in units:
+            if unit not in known:
+                text = prefix + unit
+                if whole(text):
+                    known[unit] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    known[unit] = b"".join([pieces.get(p) or self._piece(p) for p, _ in split.pre_tokenize_str(text)]) if text else b""
+
+    def _piece(self, piece: str) -> bytes:
+        self.pieces[piece] = ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+        return ids
 
 
 @lru_cache(maxsize=2)
