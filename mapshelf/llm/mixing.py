@@ -160,7 +160,8 @@ def _slots(spark: SparkSession, shards: list[tuple[int, int, int, int]], blocks:
                     yield batch(schema, np.full(len(slot), shard), np.full(len(slot), source), permuted(slot % length[source], int(length[source]), key))
 
     rows = spark.createDataFrame(shards, "shard int, number int, first long, n long")
-    return rows.repartition("shard", "number").mapInArrow(fill, "shard int, number int, block long")
+    # A given number of partitions, as Spark would merge these few bytes into one task that makes all slots.
+    return rows.repartition(len({s for s, *_ in shards}) or 1, "shard", "number").mapInArrow(fill, "shard int, number int, block long")
 
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
