@@ -4,11 +4,12 @@ A document's set is its distinct word shingles. Documents with equal sets form a
 values of one hash function over the set. Inverted lists of the retained values bring classes together; the number
 of shared values and the estimate from the smallest ``k`` values of both sketches filter; the full sets decide.
 
-No list is expanded into all its pairs. A value that more than ``rare`` classes retain is common. A class with enough rare values is found
-through those, since a partner must share most of them. Only classes made mostly of common values (large groups of near copies) stay in the lists of
-common values. First each member of a list is compared with one member, the list's most typical. What is
-linked then is one component already, and only pairs of different components are left to compare: those outside a
-list's largest component, each with all others.
+No long list is expanded into all its pairs. A value that more than ``rare`` classes retain is common. A class of which half the sketch is rare is
+found through the short lists of rare values, since a partner must share most of those. The others (large groups of near copies) are
+compared among themselves through their full sets: values are ordered by how few of these classes have them, and two sets that are similar
+enough share one among their first ones, at places that their sizes limit. A copy with more edits than the limit allows has only
+values of its own there. In each such list every member is first compared with one, the most typical. What is linked then is one component
+already, and only pairs of different components are left to compare: those outside a list's largest component, each with all others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapshelf.llm.common import batch, key, keyed, pieces, real_id, stored
@@ -122,18 +123,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "set").mapInArrow(compare, "a binary, b binary")
 
 
-def _cross(lists: DataFrame, label: DataFrame, need) -> DataFrame:
-    """(a, b): pairs of a list with different labels that share as many values as they need."""
-    rows = lists.join(label, "class", "left").select("value", "class", "n", F.coalesce("root", "class").alias("root"))
+def _fits(percent: int, x: str, y: str) -> str:
+    """Whether two sets can be similar enough, sharing their values at places px and py: as many must follow as have to be shared."""
+    shared = f"ceil({percent} * ({x} + {y}) / {100 + percent})"
+    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y}) AND px <= {x} - {shared} AND py <= {y} - {shared}"
+
+
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of the short lists that share two values, or one where a set has fewer than 20."""
+    x = lists.select("value", F.col("class").alias("a"), F.col("n").alias("na"))
+    y = lists.select("value", F.col("class").alias("b"), F.col("n").alias("nb"))
+    pairs = x.join(y, "value").where("a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    found = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("na"), F.first("nb")).alias("n"))
+    return found.where(F.col("shared") >= F.when(F.col("n") >= 20, 2).otherwise(1)).select("a", "b")
+
+
+def _first_values(sets: DataFrame, percent: int) -> DataFrame:
+    """(value, class, n, place): the values by which classes of similar sets meet, places from 0 in the order of how few classes have a value."""
+    schema = pa.schema([("value", pa.int64()), ("class", pa.binary()), ("n", pa.int64())])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in pieces(b, "set")):
+            some = part.column("set").to_pylist()
+            n = np.array([len(s) // 8 for s in some], np.int64)
+            row = np.repeat(np.arange(len(some)), n)
+            yield batch(schema, np.frombuffer(b"".join(some), np.int64), part.column("class").take(pa.array(row)), n[row])
+
+    values = sets.select("class", "set").mapInArrow(explode, "value long, class binary, n long")
+    counted = values.groupBy("value").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("df", "value")) - 1
+    ordered = values.join(counted, "value").withColumn("place", place)
+    return ordered.where(F.expr(f"df > 1 AND place <= n - ceil({percent} * n / 100)")).select("value", "class", "n", "place")
+
+
+def _star(lists: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of a list with the one that has the fewest values of its own."""
+    rows = lists.join(own, "class")
+    first = rows.groupBy("value").agg(F.min(F.struct("own", "class", "n", "place")).alias("first"))
+    first = stored(first.select("value", F.col("first.class").alias("a"), F.col("first.n").alias("na"), F.col("first.place").alias("px")), "lists-first")
+    met = rows.select("value", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("place").alias("py")).join(first, "value")
+    return met.where("a <> b").where(_fits(percent, "na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _cross(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a list whose classes are not in one component yet."""
+    rows = lists.join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
     groups = stored(rows.groupBy("value", "root").agg(F.count("*").alias("members")), "lists-groups")
     main = groups.groupBy("value").agg(F.max(F.struct("members", "root")).alias("main"), F.count("*").alias("groups"))
     main = stored(main.where("groups > 1").select("value", F.col("main.root").alias("main")), "lists-main")
     rows = stored(rows.join(main, "value").withColumn("out", F.col("root") != F.col("main")), "lists-open")
-    x = rows.where("out").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = rows.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "out")
-    pairs = x.join(y, "value").where("rx <> ry AND (NOT out OR x < y)").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * need["percent"])
-    found = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("nx"), F.first("ny")).alias("n"))
-    return found.where(F.col("shared") >= F.when(F.col("n") >= need["from"], 2).otherwise(1)).select("a", "b")
+    x = rows.where("out").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
+    y = rows.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), "out")
+    pairs = x.join(y, "value").where("rx <> ry AND (NOT out OR x < y)").where(_fits(percent, "nx", "ny"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = 64, rare: int = 8, floor: float = 0.5) -> DataFrame:
@@ -170,23 +212,23 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     counted = stored(_lists(classes).groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "values")
     lists = stored(_lists(classes).join(counted, "value").select("value", "class", "n", (F.col("df") > rare).alias("common")), "lists")
-    common = lists.groupBy("class").agg(F.count_if("common").alias("shared"), F.count("*").alias("all"), F.first("n").alias("n"))
+    common = lists.where("common").groupBy("class").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     retained = F.least("n", F.lit(k))
-    marked = stored(common.select("class", (retained - F.col("shared")).alias("own"), (2 * F.col("shared") > retained).alias("typical"),
-                                  (F.col("all") >= F.when(F.col("n") >= 20, 2).otherwise(1)).alias("enough")).where("enough"), "classes-marked")
-    lists = stored(lists.join(marked, "class").where("NOT common OR typical").select("value", "class", "n", "own"), "lists-used")
-
-    needed = lists.select("class").distinct().join(classes.select("class", "rep.k", "rep.v"), "class")
-    texts = keys.join(needed, ["k", "v"]).select("class", "text")
-    sets = stored(_sets(texts, size).dropDuplicates(["class"]), "sets")
-
-    first = stored(lists.groupBy("value").agg(F.min(F.struct("own", "class")).alias("first")).select("value", "first.class").withColumnRenamed("class", "a"), "lists-first")
-    star = lists.join(first, "value").where("a <> class").select("a", F.col("class").alias("b"), "n").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    star = star.where(F.col("shared") >= F.when(F.col("n") >= 20, 2).otherwise(1))
-    links = stored(_verified(stored(_estimated(star, classes, k, floor), "pairs"), sets, percent), "links-star")
+    typical = stored(common.where(2 * F.col("shared") > retained).select("class", (retained - F.col("shared")).alias("own")), "classes-typical")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        named = some.join(classes.select("class", "rep.k", "rep.v"), "class").select("class", "k", "v")
+        return stored(_sets(keys.join(named, ["k", "v"]).select("class", "text"), size).dropDuplicates(["class"]), "sets")
+
+    sets = sets_of(typical.select("class"))
+    meet = stored(_first_values(sets, percent), "lists-typical")
+    pairs = _short_pairs(lists.where("NOT common"), percent).unionByName(_star(meet, typical, percent)).distinct()
+    pairs = stored(_estimated(pairs, classes, k, floor), "pairs")
+    others = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(typical, "class", "left_anti")
+    links = stored(_verified(pairs, sets.unionByName(sets_of(others)), percent), "links-star")
     label = stored(components(links).select(F.col("node").alias("class"), "root"), "labels")
-    more = _cross(lists, label, {"percent": percent, "from": 20})
-    links = links.unionByName(stored(_verified(stored(_estimated(more, classes, k, floor), "pairs"), sets, percent), "links-cross"))
+    more = stored(_estimated(_cross(meet, label, percent), classes, k, floor), "pairs-cross")
+    links = links.unionByName(stored(_verified(more, sets, percent), "links-cross"))
 
     roots = components(links).select(F.col("node").alias("class"), "root")
     by_class = stored(classes.select("class", "rep.k").join(roots, "class", "left").select("class", "k", F.coalesce("root", "class").alias("root")), "class-roots")
