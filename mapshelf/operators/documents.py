@@ -32,10 +32,13 @@ def json_document(body: DataFrame, head: str, tail: str) -> DataFrame:
     return framed(lines, head, tail)
 
 
-def write_document(document: DataFrame, path: str, compression: str = "none", ordered: bool = False) -> None:
+def write_document(document: DataFrame, path: str, compression: str = "none", ordered: bool = False,
+                   max_records: int = 0) -> None:
     """Text files below ``path`` that give the document when read one after the other by path.
 
-    The parts go to folders of their own, so records need no sorting unless their order counts.
+    The parts go to folders of their own, so records need no sorting unless their order counts. A file holds at most
+    ``max_records`` records, if that is given.
     """
     rows = document.orderBy("part", "sort_key") if ordered else document
-    rows.select("part", "line").write.mode("errorifexists").partitionBy("part").text(path, compression=compression)
+    writer = rows.select("part", "line").write.mode("errorifexists").option("maxRecordsPerFile", max_records)
+    writer.partitionBy("part").text(path, compression=compression)

@@ -100,13 +100,13 @@ class Target:
 
 def _write_geojson(df: DataFrame, t: Target) -> None:
     if t.key:
-        write_document(feature_collection(df, t.key), t.path, t.compression)
+        write_document(feature_collection(df, t.key), t.path, t.compression, max_records=t.max_records)
     else:
         write_lines(geojson_lines(df), t.path, t.compression, t.max_records)
 
 
 def _write_kml(df: DataFrame, t: Target) -> None:
-    write_document(kml_document(df), t.path, t.compression)
+    write_document(kml_document(df), t.path, t.compression, max_records=t.max_records)
 
 
 def _write_csv(df: DataFrame, t: Target) -> None:

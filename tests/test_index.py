@@ -62,6 +62,15 @@ def test_index_round_trip_and_pruning(spark, points, tmp_path):
     assert I.read_index(spark, path).count() == 10
 
 
+@pytest.mark.parametrize("fmt,key", [("csv", None), ("json", None), ("geojson", None), ("geojson", "fid"), ("kml", None)])
+def test_export_keeps_the_part_size(spark, points, tmp_path, monkeypatch, fmt, key):
+    """Every format is cut into files of about the bytes asked for, by the mean of all records."""
+    monkeypatch.setattr(S, "records_per_part", lambda df: 100)
+    S.write_features(points.select("fid", "geom").coalesce(1), str(tmp_path / "out"), fmt, key=key, bounded=True)
+    files = [f for f in (tmp_path / "out").rglob("part-*") if f.is_file() and f.stat().st_size > 200]
+    assert len(files) >= 10 and all(len(f.read_text().splitlines()) <= 100 for f in files)
+
+
 def test_hot_partition_is_written_by_several_tasks(spark, tmp_path):
     """The rebalance hint cuts an oversized part; the rows stay whole."""
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64KB")
