@@ -129,11 +129,12 @@ def _fits(percent: int, x: str, y: str) -> str:
     return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y}) AND px <= {x} - {shared} AND py <= {y} - {shared}"
 
 
-def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of the short lists that share two values, or one where a set has fewer than 20."""
-    x = lists.select("value", F.col("class").alias("a"), F.col("n").alias("na"))
-    y = lists.select("value", F.col("class").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, "value").where("a < b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+def _short_pairs(lists: DataFrame, typical: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of the short lists that share two values, or one where a set has fewer than 20. Two typical classes meet elsewhere."""
+    lists = lists.join(typical.select("class", "own"), "class", "left").withColumn("typical", F.col("own").isNotNull())
+    x = lists.select("value", F.col("class").alias("a"), F.col("n").alias("na"), F.col("typical").alias("ta"))
+    y = lists.select("value", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("typical").alias("tb"))
+    pairs = x.join(y, "value").where("a < b AND NOT (ta AND tb)").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     found = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.least(F.first("na"), F.first("nb")).alias("n"))
     return found.where(F.col("shared") >= F.when(F.col("n") >= 20, 2).otherwise(1)).select("a", "b")
 
@@ -222,7 +223,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
     sets = sets_of(typical.select("class"))
     meet = stored(_first_values(sets, percent), "lists-typical")
-    pairs = _short_pairs(lists.where("NOT common"), percent).unionByName(_star(meet, typical, percent)).distinct()
+    pairs = _short_pairs(lists.where("NOT common"), typical, percent).unionByName(_star(meet, typical, percent)).distinct()
     pairs = stored(_estimated(pairs, classes, k, floor), "pairs")
     others = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(typical, "class", "left_anti")
     links = stored(_verified(pairs, sets.unionByName(sets_of(others)), percent), "links-star")
