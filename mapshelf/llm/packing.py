@@ -83,6 +83,7 @@ def cut(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str |
                     some = ids[4 * a : 4 * z]
                     rows.append((k, v, piece, a, z - a, zlib.crc32(some), some)[: len(schema)])
             yield batch(schema, *(list(c) for c in zip(*rows))) if rows else batch(schema, *([] for _ in schema))
+        encoder(path).forget()
 
     return keyed(docs, id_col, text_col).mapInArrow(split, "k long, v long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

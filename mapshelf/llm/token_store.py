@@ -41,6 +41,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             values = pa.array(np.frombuffer(b"".join(found), "<i4"))
             yield batch(schema, part.column("id"), np.full(len(n), shard, np.int32), before + offsets[:-1], n, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
             before += int(offsets[-1])
+        encoder(source).forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(encode, COLUMNS)

@@ -27,7 +27,7 @@ def default_path() -> str:
 class Encoder:
     """Encodes with the file's tokenizer, without special tokens added. About ``memory`` units and as many pieces are kept."""
 
-    def __init__(self, path: str, memory: int = 900_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,14 +42,18 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [_CUT.split(t) if _ADJACENT.search(t) else t.split(" ") for t in texts]
-        for known in (self.inner, self.leading, self.pieces):
-            if len(known) > self.memory:
-                known.clear()
+        if max(len(self.inner), len(self.leading), len(self.pieces)) > self.memory:
+            self.forget()
         self._learn(self.leading, {c[0] for c in cut}, "")
         self._learn(self.inner, set().union(*(c[1:] for c in cut)), " ")
         leading, inner = self.leading, self.inner.__getitem__
         return [leading[c[0]] + b"".join(map(inner, c[1:])) for c in cut]
 
+    def forget(self) -> None:
+        """Give the memory back; a Python process outlives its task."""
+        for known in (self.inner, self.leading, self.pieces):
+            known.clear()
+
     def _learn(self, known: dict[str, bytes], units: set[str], prefix: str) -> None:
         whole, split, pieces = self.whole.search, self.tokenizer.pre_tokenizer, self.pieces
         for unit in units:
