@@ -42,7 +42,7 @@ def real_id(column: str = "k"):
 @contextmanager
 def shuffle_files_removed(spark: SparkSession):
     """Spark removes the shuffle files of a write inside this block when the write has ended."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
