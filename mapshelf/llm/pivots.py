@@ -2,7 +2,10 @@
 
 A vector is described by its ``near`` nearest of a fixed number of reference vectors, the pivots. Each pivot has an inverted list of the vectors that
 name it. Two vectors are compared if they share at least ``shared`` pivots, and in the list of the smallest pivot they share only, so each
-pair is looked at once; the cosine in double precision decides.
+pair is looked at once; the cosine in double precision decides. As that list is never one of a vector's last ``shared`` - 1, it is not put into those.
+
+Pivots lie apart from one another. Among many pivots inside one dense group its members would find their nearest by noise and share few; with few
+pivots there, the others are far away and rank alike for all members.
 
 A list is cut into blocks of bounded size, and each pair of its blocks is one group of rows. Inside a group similarities are a
 matrix product; what leaves it is a number of links for each vector and a star over each group of linked ones, never the pairs. Equal
@@ -23,6 +26,7 @@ from mapshelf.llm.common import NULL_ID, batch, numbers, real_id, stored
 from mapshelf.llm.graph import components
 
 PIVOTS, NEAR, SHARED, BLOCK = 256, 12, 3, 1500
+CANDIDATES, APART = 16, (0.3, 0.4, 0.5, 0.6, 0.7)  # candidates for one pivot; the cosine below which a candidate is apart, let out step by step
 
 
 def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -48,12 +52,30 @@ def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(unit, "k long, class binary, vector binary")
 
 
-def _pivots(classes: DataFrame, count: int) -> dict[int, np.ndarray]:
-    """By length of a vector: the pivots. They are the vectors of the smallest hashed classes; only this choice is a sample, of a fixed size."""
+def _pivots(classes: DataFrame, count: int, near: int) -> dict[int, np.ndarray]:
+    """By length of a vector: the pivots, those that few vectors name first.
+
+    Candidates are the vectors of the smallest hashed classes; only this choice is a sample, of a fixed size. A candidate becomes a pivot if it is
+    apart from all chosen before. Vectors that all lie close together have fewer than ``count`` pivots, down to a single one, and so longer lists.
+    """
     found: dict[int, list] = {}
-    for r in classes.orderBy(F.xxhash64("class"), "class").limit(count).select("vector").collect():
+    for r in classes.orderBy(F.xxhash64("class"), "class").limit(CANDIDATES * count).select("vector").collect():
         found.setdefault(len(r["vector"]) // 8, []).append(np.frombuffer(r["vector"]))
-    return {n: np.stack(some) for n, some in found.items()}
+    return {n: _spread(np.stack(some), count, near) for n, some in found.items()}
+
+
+def _spread(candidates: np.ndarray, count: int, near: int) -> np.ndarray:
+    chosen: list[int] = []
+    closest = np.full(len(candidates), -2.0)
+    for apart in APART:
+        for i in range(len(candidates)):
+            if closest[i] < apart and len(chosen) < count:
+                chosen.append(i)
+                closest = np.maximum(closest, candidates @ candidates[i])
+                closest[i] = 1  # not less by rounding
+    pivots = candidates[chosen]
+    named = np.bincount(_near(candidates, pivots, near).ravel(), minlength=len(pivots))
+    return pivots[np.argsort(named, kind="stable")]
 
 
 def _near(vectors: np.ndarray, pivots: np.ndarray | None, near: int) -> np.ndarray:
@@ -146,10 +168,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = stored(_rows(vectors, id_col, vector_col), "vectors")
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("k").alias("k"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     classes = stored(classes, "vector-classes")
-    known = _pivots(classes, pivots)
+    known = _pivots(classes, pivots, near)
     described = stored(_described(classes, known, near), "vectors-described")
 
-    lists = described.select("*", F.explode("near").alias("pivot"))
+    listed = F.size("near") - F.least(F.size("near"), F.lit(shared)) + 1
+    lists = described.select("*", F.explode(F.slice(F.array_sort("near"), F.lit(1), listed)).alias("pivot"))
     sizes = {(r["size"], r["pivot"]): r["count"] for r in lists.groupBy("size", "pivot").count().where(F.col("count") > block).collect()}  # lists over one block: fewer than pivots and lengths
     blocks = F.lit(1)
     for (size, pivot), n in sizes.items():

@@ -50,3 +50,18 @@ def test_edges(spark):
     got = sorted(((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01]), (9, [0.0, 1.0])], SCHEMA)).collect()), key=str)
     assert got == sorted([(0, 2, None, True), (4, 2, None, False), (4, 2, None, False), (9, 0, 9, True)], key=str)
     assert pivots.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.33, 0.6, 1.0])
+def test_recall_where_one_noisy_group_is_large(spark, share):
+    rng = np.random.default_rng(1)
+    n, dim = 3000, 64
+    group = int(n * share)
+    x = np.vstack([rng.normal(size=dim) + rng.normal(size=(group, dim)) * 0.2, rng.normal(size=(n - group, dim))]).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), SCHEMA)
+    x = x.astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    there = int((x @ x.T >= 0.95).sum()) - n
+    assert there > 100_000
+    found = sum(r.n_links for r in pivots.near_duplicates(df).collect())
+    assert 0.99 * there <= found <= there
