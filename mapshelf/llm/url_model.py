@@ -5,24 +5,26 @@ chance of a byte after the longest context mixes its count there with the chance
 log-likelihoods per byte, calibrated by a logistic curve, gives the verdict. Curve and models do not see the same URL: the models are counted in two
 halves, and each half is scored by the other.
 
-Contexts are hashed into tables of a fixed size, so the model is at most 2 x 2 x (ORDER + 1) x 2 x SLOTS numbers whatever the corpus.
+The counts are a Spark table with one row for each context, and for each context with a byte, that occurs; it grows with the corpus. To be scored,
+URLs are dealt to groups of bounded size; a group's distinct cells are joined to the table, and the counts found go to the group's URLs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mapshelf.llm.common import batch, numbers, pieces, raw_bytes
-from mapshelf.llm.words import mix
+from mapshelf.llm.common import batch, byte_lengths, numbers, pieces, raw_bytes, stored
 
-ORDER, SLOTS, STRENGTH = 5, 1 << 16, 4.0
+ORDER, STRENGTH = 5, 4.0  # a cell of more than 5 bytes and a byte does not fit 64 bits
 BINS, WIDTH = 400, 0.05
+GROUP = 1 << 19  # bytes of URLs
 
 
 @dataclass(frozen=True)
@@ -69,80 +71,124 @@ def best_rule(rules: Sequence[Rule]) -> Column:
 
 
 class Contexts:
-    """Slots of the bytes of many URLs: for each order, of the context and of the context with the byte."""
+    """Cells of the bytes of many URLs: for each order, of the context and of the context with the byte. Different ones have different numbers."""
 
     def __init__(self, urls: pa.Array):
         data, offsets = raw_bytes(urls)
         self.offsets = offsets
         place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
         self.context, self.byte = [], []
-        key = np.zeros(len(data), np.uint64)
+        key = np.zeros(len(data), np.int64)
         for order in range(ORDER + 1):
             if order:  # a place before the URL's first byte counts as a byte of its own
-                before = np.where(place >= order, np.roll(data, order), 256).astype(np.uint64)
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(order))
-            whole = mix(key + (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            self.context.append((key % np.uint64(SLOTS)).astype(np.int64))
-            self.byte.append((whole % np.uint64(SLOTS)).astype(np.int64))
-
-
-def score(counts: np.ndarray, found: Contexts) -> np.ndarray:
-    """Log-likelihood per byte under ``counts[0]`` less that under ``counts[1]``; 0 for an empty URL."""
-    logs = []
-    for one in counts:
-        chance = np.full(int(found.offsets[-1]), 1 / 256)
-        for order in range(ORDER + 1):
-            chance = (one[order, 1][found.byte[order]] + STRENGTH * chance) / (one[order, 0][found.context[order]] + STRENGTH)
-        logs.append(np.log(np.minimum(chance, 1)))
-    total = np.concatenate([[0], np.cumsum(logs[0] - logs[1])])
+                key = key | np.where(place >= order, np.roll(data, order), 256).astype(np.int64) << 9 * order
+            self.context.append(key << 4 | order << 1)
+            self.byte.append((key | data) << 4 | order << 1 | 1)
+
+    def cells(self) -> np.ndarray:
+        return np.unique(np.concatenate([np.unique(x) for x in (*self.context, *self.byte)]))
+
+
+class Counts:
+    """The counts of some cells; those of all others are 0."""
+
+    def __init__(self, cell: np.ndarray, accepted: np.ndarray, rejected: np.ndarray):
+        self.cell, first = np.unique(np.append(cell, np.iinfo(np.int64).max), return_index=True)
+        self.classes = [np.append(x, 0).astype(np.float64)[first] for x in (accepted, rejected)]
+
+    def at(self, cell: np.ndarray) -> list[np.ndarray]:
+        """Of the accepted and of the rejected."""
+        row = np.searchsorted(self.cell, cell)
+        return [np.where(self.cell[row] == cell, x[row], 0) for x in self.classes]
+
+
+def score(counts: Counts | DataFrame, found: Contexts) -> np.ndarray:
+    """Log-likelihood per byte of the accepted less that of the rejected; 0 for an empty URL. Of a table of counts, the cells of these URLs are fetched."""
+    if isinstance(counts, DataFrame):
+        cells = counts.sparkSession.createDataFrame([(x,) for x in found.cells().tolist()], "cell long")
+        rows = counts.join(cells, "cell").select("cell", "accepted", "rejected").collect()
+        counts = Counts(*np.array(rows, np.int64).reshape(-1, 3).T)
+    chances = [np.full(int(found.offsets[-1]), 1 / 256)] * 2
+    for order in range(ORDER + 1):
+        both = zip(chances, counts.at(found.byte[order]), counts.at(found.context[order]))
+        chances = [(whole + STRENGTH * chance) / (context + STRENGTH) for chance, whole, context in both]
+    total = np.concatenate([[0], np.cumsum(np.log(chances[0]) - np.log(chances[1]))])
     return np.diff(total[found.offsets]) / np.maximum(np.diff(found.offsets), 1)
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """counts[accepted, rejected][order][context, context with byte][slot]; a score s is accepted if slope * s + offset is 0 or more."""
+    """counts: (cell, accepted, rejected); a score s is accepted if slope * s + offset is 0 or more."""
 
-    counts: np.ndarray
+    counts: DataFrame
     slope: float
     offset: float
 
 
-def _count(known: DataFrame) -> np.ndarray:
-    """counts[half][class][order][kind][slot] over all URLs with a rule."""
-    shape = (2, 2, ORDER + 1, 2, SLOTS)
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+def _count(known: DataFrame) -> DataFrame:
+    """(cell, accepted0, rejected0, accepted1, rejected1): the counts of both halves over all URLs with a rule."""
+    schema = pa.schema([("cell", pa.int64()), ("which", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in pieces(b, "url", GROUP)):
+            group = numbers(part.column("half")) * 2 + numbers(part.column("rejected"))
+            for which in np.unique(group).tolist():
+                found = Contexts(part.filter(pa.array(group == which)).column("url"))
+                for cells in (*found.context, *found.byte):
+                    cell, n = np.unique(cells, return_counts=True)
+                    yield batch(schema, cell, np.full(len(cell), which), n)
+
+    names = ("accepted0", "rejected0", "accepted1", "rejected1")
+    sums = [F.sum(F.when(F.col("which") == i, F.col("n")).otherwise(0)).alias(name) for i, name in enumerate(names)]
+    return stored(known.mapInArrow(count, "cell long, which int, n long").groupBy("cell").agg(*sums), "url-counts")
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, apply: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``apply`` makes of each group of the rows and of the counts of its cells."""
+    names = rows.columns
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = TaskContext.get().partitionId() << 32, 0
+        for part in (p for b in batches for p in pieces(b, "url", GROUP // 4)):
+            size = int(byte_lengths(part.column("url")).sum()) + part.num_rows
+            if held and held + size > GROUP:
+                group, held = group + 1, 0
+            held += size
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, group))], names=[*names, "group"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = pa.schema([("group", pa.int64()), ("cell", pa.int64())])
         for part in batches:
-            cells = []
-            for b in pieces(part, "url", 1 << 20):
-                found = Contexts(b.column("url"))
-                group = np.repeat(numbers(b.column("half")) * 2 + numbers(b.column("rejected")), np.diff(found.offsets)).astype(np.int64)
-                for order in range(ORDER + 1):
-                    for kind, slots in enumerate((found.context[order], found.byte[order])):
-                        cells.append(((group * (ORDER + 1) + order) * 2 + kind) * SLOTS + slots)
-                cells = [np.concatenate(cells)]
-            if cells:
-                cell, n = np.unique(cells[0], return_counts=True)
-                yield batch(schema, cell, n)
-
-    out = np.zeros(int(np.prod(shape)), np.float32)
-    found = known.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # no more rows than the model has cells
-    out[found["cell"].to_numpy(np.int64)] = found["n"]
-    return out.reshape(shape)
-
-
-def _calibrate(known: DataFrame, counts: np.ndarray) -> tuple[float, float]:
+            group = numbers(part.column("group"))
+            for one in np.unique(group).tolist():
+                cell = Contexts(part.filter(pa.array(group == one)).column("url")).cells()
+                yield batch(named, np.full(len(cell), one), cell)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    dealt = stored(rows.mapInArrow(deal, f"{kinds}, group long"), "urls-dealt")
+    needed = dealt.select("group", "url").mapInArrow(cells, "group long, cell long").join(counts, "cell")
+    return dealt.groupBy("group").cogroup(needed.groupBy("group")).applyInArrow(apply, schema)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column in one piece."""
+    whole = column.combine_chunks()
+    return pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) and whole.num_chunks else whole
+
+
+def _calibrate(known: DataFrame, counts: DataFrame) -> tuple[float, float]:
     """Slope and offset of a logistic curve over the scores that each half gets from the other, both classes weighing the same."""
     schema = pa.schema([("rejected", pa.int32()), ("bin", pa.int32())])
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in pieces(b, "url", 1 << 20)):
-            found, half = Contexts(part.column("url")), numbers(part.column("half"))
-            s = np.where(half == 0, score(counts[1], found), score(counts[0], found))
-            yield batch(schema, part.column("rejected"), np.clip(np.floor(s / WIDTH), -BINS, BINS - 1).astype(np.int32))
+    def bins(urls: pa.Table, needed: pa.Table) -> pa.Table:
+        urls, half = urls.combine_chunks(), numbers(urls["half"])
+        s = np.zeros(len(half))
+        for one in (0, 1):
+            some = Contexts(_whole(urls.filter(pa.array(half == one))["url"]))
+            s[half == one] = score(Counts(needed["cell"], needed[f"accepted{1 - one}"], needed[f"rejected{1 - one}"]), some)
+        return pa.Table.from_batches([batch(schema, numbers(urls["rejected"]), np.clip(np.floor(s / WIDTH), -BINS, BINS - 1).astype(np.int32))])
 
-    rows = known.mapInArrow(bins, "rejected int, bin int").groupBy("rejected", "bin").count().collect()  # 4 x BINS at most
+    rows = _with_counts(known, counts, bins, "rejected int, bin int").groupBy("rejected", "bin").count().collect()  # 4 x BINS at most
     x = np.array([(r["bin"] + 0.5) * WIDTH for r in rows])
     y = np.array([1.0 - r["rejected"] for r in rows])
     n = np.array([float(r["count"]) for r in rows])
@@ -173,7 +219,8 @@ def fit(parts: DataFrame) -> UrlModel:
     known = parts.where("best IS NOT NULL").select("url", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int").alias("half"), (F.col("best.verdict") == "block").cast("int").alias("rejected"))
     counts = _count(known)
     slope, offset = _calibrate(known, counts)
-    return UrlModel(counts.sum(0).astype(np.float32), slope, offset)
+    both = (F.col("cell"), *((F.col(f"{x}0") + F.col(f"{x}1")).alias(x) for x in ("accepted", "rejected")))
+    return UrlModel(counts.select(*both), slope, offset)
 
 
 def judge(parts: DataFrame, model: UrlModel) -> DataFrame:
@@ -185,13 +232,14 @@ def judge(parts: DataFrame, model: UrlModel) -> DataFrame:
     """
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("ruled", pa.string()), ("score", pa.float64())])
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in pieces(b, "url", 1 << 20)):
-            s = model.slope * score(model.counts, Contexts(part.column("url"))) + model.offset
-            yield batch(schema, part.column("page_id"), part.column("host"), part.column("path"), part.column("rule"), part.column("ruled"), s)
+    slope, offset = model.slope, model.offset
+
+    def apply(urls: pa.Table, needed: pa.Table) -> pa.Table:
+        s = slope * score(Counts(needed["cell"], needed["accepted"], needed["rejected"]), Contexts(_whole(urls["url"]))) + offset
+        return pa.Table.from_batches([batch(schema, *(_whole(urls[name]) for name in ("page_id", "host", "path", "rule", "ruled")), s)])
 
     rows = parts.select(F.col("page_id").cast("long").alias("page_id"), "url", "host", "path", F.col("best.text").alias("rule"), F.col("best.verdict").alias("ruled"))
-    out = rows.mapInArrow(apply, "page_id long, host string, path string, rule string, ruled string, score double")
+    out = _with_counts(rows, model.counts, apply, "page_id long, host string, path string, rule string, ruled string, score double")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0, "allow").otherwise("block")).alias("verdict"), "score")
 
 

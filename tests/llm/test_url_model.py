@@ -94,3 +94,36 @@ def test_without_examples(spark, rows):
     got = url_model.filter_urls(spark.createDataFrame(rows, SCHEMA), RULES).collect()
     assert len(got) == len(rows) and all(r.verdict in ("allow", "block") for r in got)
     assert url_model.filter_urls(spark.createDataFrame(rows, SCHEMA), []).count() == len(rows)
+
+
+def test_counts_stay_exact_as_the_table_grows(spark):
+    """With far more than 65,536 distinct contexts, no two of them share a count."""
+    r = random.Random(4)
+    urls = ["http://" + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789-/.") for _ in range(70)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, u, {"verdict": "block" if i % 2 else "allow"}) for i, u in enumerate(urls)], "page_id long, url string, best struct<verdict:string>")
+    model = url_model.fit(df)
+    counts = [Counter(), Counter()]
+    for i, u in enumerate(urls):
+        u = (-1,) * url_model.ORDER + tuple(u.encode())
+        for at in range(url_model.ORDER, len(u)):
+            for order in range(url_model.ORDER + 1):
+                counts[i % 2][u[at - order : at]] += 1
+                counts[i % 2][u[at - order : at], u[at]] += 1
+    assert len(counts[0]) > 200_000
+
+    def plain(u):
+        total = 0.0
+        u = (-1,) * url_model.ORDER + tuple(u.encode())
+        for at in range(url_model.ORDER, len(u)):
+            chance = [1 / 256, 1 / 256]
+            for order in range(url_model.ORDER + 1):
+                context = u[at - order : at]
+                chance = [(counts[c][context, u[at]] + url_model.STRENGTH * chance[c]) / (counts[c][context] + url_model.STRENGTH) for c in (0, 1)]
+            total += math.log(chance[0]) - math.log(chance[1])
+        return total / (len(u) - url_model.ORDER)
+
+    some = [*urls[:20], "http://abc.def/none"]
+    assert list(url_model.score(model.counts, url_model.Contexts(pa.array(some)))) == pytest.approx([plain(u) for u in some], abs=1e-9)
+    unruled = spark.createDataFrame([(i, u, None) for i, u in enumerate(some)], "page_id long, url string, best struct<text:string,verdict:string>").withColumn("host", F.lit("")).withColumn("path", F.lit(""))
+    got = {x.page_id: x.score for x in url_model.judge(unruled, model).collect()}
+    assert [got[i] for i in range(len(some))] == pytest.approx([model.slope * plain(u) + model.offset for u in some], abs=1e-6)
