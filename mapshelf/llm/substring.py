@@ -25,6 +25,8 @@ from mapshelf.llm.common import batch, key, keyed, numbers, partitions, pieces,
 from mapshelf.llm.words import Words, leftmost_minimum, mix, sequence_hash
 
 GRAM, LONG = 1, 6
+#: Windows of one super-k-mer, whose number is one byte of the packed string; a longer one is cut.
+MOST = 255
 #: Buckets whose sizes are counted, for each shuffle partition; a bucket of more than HOT times the mean, a partition's share, is dealt out.
 CELLS, HOT = 16, 16
 
@@ -48,6 +50,9 @@ def _super_kmers(words: Words, size: int, gram: int):
     best = best[window]
     new = np.ones(len(window), bool)
     new[1:] = (best[1:] != best[:-1]) | (window[1:] != window[:-1] + 1)
+    if size - gram >= MOST:
+        at = np.arange(len(window))
+        new = (at - np.maximum.accumulate(np.where(new, at, 0))) % MOST == 0
     first = np.flatnonzero(new)
     return value[best[first]].view(np.int64), window[first], np.diff(np.append(first, len(window)))
 

@@ -42,3 +42,14 @@ def test_empty_table_and_long_text(spark):
     long = " ".join(f"n{i}" for i in range(400_000))
     got = result(substring.remove_repeats(spark.createDataFrame([(1, long), (2, "x " + long[-5000:])], SCHEMA)))
     assert got[1][:2] == (400_000, 0) and got[2][1] >= got[2][0] - 2
+
+
+def test_windows_of_more_than_255_words(spark):
+    """One long word in a text of short ones is the minimiser of all windows that hold it."""
+    short = lambda d: [f"{d}{i}" for i in range(400)]
+    passage = [*(f"s{i}" for i in range(330)), "a-long-word", *(f"t{i}" for i in range(330))]
+    rows = [(d, " ".join([*short("abc"[d]), *passage, *short("xyz"[d])])) for d in range(3)]
+    for size in (256, 300):
+        got = result(substring.remove_repeats(spark.createDataFrame(rows, SCHEMA), size=size))
+        assert got == brute.substring(rows, size)
+        assert got[1][1] == len(passage)
