@@ -4,7 +4,8 @@ The words of each source stand in one long row, document after document, cut int
 output is a row of slots, dealt over shards. Each shard draws how many of its slots each source gets: a multinomial draw
 given the sources' totals, so the totals come out exactly. The slots of a source are numbered over all shards; a pseudorandom
 permutation of the block numbers (a Feistel network, new for each pass over the source) gives the block of a slot, and slots
-meet blocks in a join on the block number.
+meet blocks in a join on the block number. Another permutation puts the slots of a shard in order. The mix is these rows of (shard, slot); what
+it takes of each document, and the documents' texts, are counted from them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mapshelf.llm.common import WORD, batch, key, real_id, stored
+from mapshelf.llm.common import NULL_ID, WORD, batch, key, real_id, stored
 from mapshelf.llm.words import mix as scramble
 
 #: Rows that one running sum covers, and the most such groups a source is cut into.
@@ -109,6 +110,27 @@ def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     empty plan. Blocks are ``mix.block`` words, so a source is taken to within half a block of its target, the last block's shortness aside.
     Other columns are left out.
     """
+    placed, dealt = _dealt(docs, mix, id_col, text_col, source_col)
+    each = dealt.select("number", F.explode("runs").alias("run")).groupBy("number", "run.k", "run.v", "run.nth", "run.start", "run.stop").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    runs = each.groupBy("number", "k", "v", "nth").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "times"))).alias("runs"), F.sum(F.expr("(stop - start) * times")).alias("taken"))
+    out = placed.join(runs, ["number", "k", "v", "nth"], "left")
+    return out.select(real_id().alias(id_col), "k", "v", "nth", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "runs")
+
+
+def mixed(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix: one row for each slot of the output, in the order of ``shard`` and ``slot``.
+
+    Columns: ``shard``, ``slot`` (from 0 in each shard), ``source``, ``block`` of the source, and ``runs``: the words of the block in their order, as (the
+    id, ``k``, ``v``, ``nth``, start, stop) with the names and numbers of ``plan``.
+    """
+    placed, dealt = _dealt(docs, mix, id_col, text_col, source_col)
+    names = placed.select("number", "source").distinct()
+    run = lambda r: F.struct(F.when(r["k"] != NULL_ID, r["k"]).alias(id_col), *(r[x].alias(x) for x in ("k", "v", "nth", "start", "stop")))
+    return dealt.join(names, "number").select("shard", "slot", "source", "block", F.transform("runs", run).alias("runs"))
+
+
+def _dealt(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places in their sources, and (shard, slot, number, block, runs) of the mix."""
     spark = docs.sparkSession
     rows = _laid_out(docs, source_col, id_col, text_col)
     by_group = rows.groupBy("source", "grp").agg(F.sum("size").alias("words"))
@@ -133,35 +155,42 @@ def plan(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: st
     placed = placed.join(F.broadcast(known).alias("s"), null_safe("r", "s"))
     placed = stored(placed.select("number", "r.source", "k", "v", "nth", "size", "source_size", "target", (F.col("base") + F.col("inside")).alias("start")), "mix-placed")
 
-    taken = _slots(spark, list(draw(slots, mix)), blocks, mix).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
     stop = F.col("start") + F.col("size")
     first, last = F.floor(F.col("start") / mix.block), F.floor((stop - 1) / mix.block)
     cut = placed.where("size > 0").select("number", "k", "v", "nth", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     a = F.greatest(F.lit(0), F.col("block") * mix.block - F.col("start")).cast("long")
     z = F.least(F.col("size"), (F.col("block") + 1) * mix.block - F.col("start")).cast("long")
-    runs = cut.join(taken, ["number", "block"]).select("number", "k", "v", "nth", F.struct(a.alias("start"), z.alias("stop"), F.col("times").cast("int").alias("times")).alias("run"))
-    runs = runs.groupBy("number", "k", "v", "nth").agg(F.sort_array(F.collect_list("run")).alias("runs"), F.sum(F.expr("(run.stop - run.start) * run.times")).alias("taken"))
-    out = placed.join(runs, ["number", "k", "v", "nth"], "left")
-    return out.select(real_id().alias(id_col), "k", "v", "nth", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "runs")
+    run = F.struct(F.col("start").alias("place"), "k", "v", "nth", a.alias("start"), z.alias("stop"))
+    filled = cut.groupBy("number", "block").agg(F.sort_array(F.collect_list(run)).alias("runs"))  # no more runs than words of a block
+    # Spark takes the slots for as few bytes as the draws they are made from, and would broadcast them at any size.
+    return placed, _slots(spark, list(draw(slots, mix)), blocks, mix).hint("merge").join(filled, ["number", "block"])
 
 
 def _slots(spark: SparkSession, shards: list[tuple[int, int, int, int]], blocks: list[int], mix: Mix) -> DataFrame:
-    """(shard, number, block): one row for each slot of the output."""
+    """(shard, slot, number, block): one row for each slot of the output."""
     seed, length = mix.seed, np.array(blocks, np.int64)
+    total: dict[int, int] = {}
+    placed = []
+    for shard, source, first, n in shards:  # before a source come the shard's slots of the sources before it
+        placed.append((shard, source, first, n, total.get(shard, 0)))
+        total[shard] = total.get(shard, 0) + n
+    placed = [(*row, total[row[0]]) for row in placed]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int32()), ("number", pa.int32()), ("block", pa.int64())])
+        schema = pa.schema([("shard", pa.int32()), ("slot", pa.int64()), ("number", pa.int32()), ("block", pa.int64())])
         for part in batches:
-            for shard, source, first, n in zip(*(c.to_pylist() for c in part.columns)):
+            for shard, source, first, n, before, size in zip(*(c.to_pylist() for c in part.columns)):
                 for at in range(first, first + n, 1 << 20):
                     slot = np.arange(at, min(at + (1 << 20), first + n))
                     turn = (slot // length[source]).astype(np.uint64)
                     key = scramble(turn * np.uint64(0x9E3779B97F4A7C15) + np.uint64(source * 2**32 + seed))
-                    yield batch(schema, np.full(len(slot), shard), np.full(len(slot), source), permuted(slot % length[source], int(length[source]), key))
+                    order = np.full(len(slot), scramble(np.array([shard * 2**32 + seed], np.uint64) ^ np.uint64(0xD6E8FEB86659FD93))[0])
+                    inside = permuted(slot - first + before, size, order)
+                    yield batch(schema, np.full(len(slot), shard), inside, np.full(len(slot), source), permuted(slot % length[source], int(length[source]), key))
 
-    rows = spark.createDataFrame(shards, "shard int, number int, first long, n long")
+    rows = spark.createDataFrame(placed, "shard int, number int, first long, n long, before long, size long")
     # A given number of partitions, as Spark would merge these few bytes into one task that makes all slots.
-    return rows.repartition(len({s for s, *_ in shards}) or 1, "shard", "number").mapInArrow(fill, "shard int, number int, block long")
+    return rows.repartition(len(total) or 1, "shard", "number").mapInArrow(fill, "shard int, slot long, number int, block long")
 
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -60,6 +60,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_source_mix_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix itself: the words of each slot, one row for each run."""
+    out = mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("shard", "slot", "source", "block", F.posexplode("runs").alias("nth", "run"))
+    return out.select("shard", "slot", "source", "block", "nth", "run.doc_id", "run.start", "run.stop")
+
+
 #: The rules of the URL query.
 RULES = [
     url_model.Rule("allow", "com/"),
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_examples": op6_chat_examples,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
+    "op8_source_mix_slots": op8_source_mix_slots,
     "op9_url_filter": op9_url_filter,
     "op10_pivot_dedup": op10_pivot_dedup,
 }

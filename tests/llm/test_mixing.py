@@ -85,3 +85,29 @@ def test_empty_and_single(spark):
     assert mixing.mixed_texts(spark.createDataFrame([(1, None, None)], SCHEMA)).count() == 0
     row = mixing.plan(spark.createDataFrame([(1, "a b", None), (2, None, None)], SCHEMA)).orderBy("doc_id").collect()
     assert [(r["size"], r.source_size, r.target) for r in row] == [(2, 2, 3.0), (0, 2, 3.0)] and row[0].taken in (2, 4)
+
+
+def test_the_mix_follows_the_draw(spark):
+    rows, df = table(spark)
+    mix = Mix(block=4, shard=64)
+    got = mixing.mixed(df, mix).collect()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.shard].append(r)
+    assert sorted(shards) == list(range(len(shards))) and len(shards) > 3
+    names = sorted({s for _, _, s in rows}, key=lambda x: (x is None, x or ""))
+    slots = Counter(r.source for r in got)
+    drawn = {(shard, names[s]): n for shard, s, _, n in mixing.draw([slots[n] for n in names], mix)}
+    assert Counter((r.shard, r.source) for r in got) == drawn
+    for some in shards.values():
+        some.sort(key=lambda r: r.slot)
+        assert [r.slot for r in some] == list(range(len(some)))
+    assert [r.source for r in shards[0]] != sorted((r.source for r in shards[0]), key=lambda x: (x is None, x or ""))
+    taken = Counter()
+    for r in got:
+        assert 0 < sum(x.stop - x.start for x in r.runs) <= mix.block
+        for x in r.runs:
+            taken[x.doc_id] += x.stop - x.start
+    assert taken == {r.doc_id: r.taken for r in mixing.plan(df, mix).collect() if r.taken}
+    again = mixing.mixed(df.repartition(7), mix).collect()
+    assert sorted((r.shard, r.slot, r.source or "", r.block) for r in again) == sorted((r.shard, r.slot, r.source or "", r.block) for r in got)
