@@ -30,8 +30,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def key(id_col: str, text_col: str) -> list:
-    """(k, v): the id and a 32-bit hash of the text, which tells apart the few rows that share an id."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.hash(F.col(text_col).cast("string")).cast("long").alias("v")]
+    """(k, v): the id and a 64-bit hash of the text and its length, which tells apart the rows that share an id."""
+    text = F.col(text_col).cast("string")
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text, F.octet_length(text)).alias("v")]
 
 
 def real_id(column: str = "k"):

@@ -33,7 +33,7 @@ CELLS, HOT = 16, 16
 _GRAMS = pa.schema([("key", pa.int32()), ("packed", pa.binary())])
 _FOUND = pa.schema([("k", pa.int64()), ("v", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("key", pa.int32()), ("packed", pa.binary())])
 #: What a packed string begins with: its document, its first window there, its windows, and whether its bucket is dealt out.
-_HEAD = np.dtype([("k", "<i8"), ("v", "<i4"), ("start", "<i4"), ("n", "u1"), ("dealt", "u1")])
+_HEAD = np.dtype([("k", "<i8"), ("v", "<i8"), ("start", "<i4"), ("n", "u1"), ("dealt", "u1")])
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -92,7 +92,7 @@ def _cut(docs: DataFrame, size: int, gram: int, cells: int, shares: dict[int, in
             head["start"], head["n"] = first - words.first[text], n
             many = dealt[_cells(key, cells)]
             head["dealt"] = many > 1
-            share = mix(head["k"].view(np.uint64) ^ head["v"].astype(np.uint64) * _SALT) % many
+            share = mix(head["k"].view(np.uint64) ^ head["v"].view(np.uint64) * _SALT) % many
             bucket = (mix(key.view(np.uint64) + share) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
             joined, starts, ends = words.joined()
             yield batch(_GRAMS, bucket, _packed(head, joined, starts[first].tolist(), ends[first + n + size - 2].tolist()))
@@ -112,7 +112,7 @@ def _repeats(part: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, pa.Record
     key = numbers(part.column("key"))
     order = np.lexsort((head["start"], head["v"], head["k"], key))
     head, key = head[order], key[order]
-    k, v, start, n, dealt = head["k"], head["v"].astype(np.int64), head["start"], head["n"].astype(np.int64), head["dealt"] > 0
+    k, v, start, n, dealt = head["k"], head["v"], head["start"], head["n"].astype(np.int64), head["dealt"] > 0
     words = Words(pa.array([packed[i][_HEAD.itemsize :] for i in order.tolist()], pa.binary()))
     row = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -150,7 +150,7 @@ def _repeats(part: pa.RecordBatch, size: int) -> tuple[pa.RecordBatch, pa.Record
     single["n"], single["dealt"] = 1, 0
     strings = _packed(single, data, a[on].tolist(), b[on].tolist())
     bucket = (whole[on] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-    return runs, batch(_FOUND, single["k"], single["v"].astype(np.int64), single["start"], single["start"] + size, bucket, strings)
+    return runs, batch(_FOUND, single["k"], single["v"], single["start"], single["start"] + size, bucket, strings)
 
 
 def _resolve(grams: DataFrame, size: int, chunk: int = 4 << 20) -> DataFrame:
