@@ -73,17 +73,18 @@ def cut(docs: DataFrame, capacity: int = 2048, end_id: int = 0, tokenizer: str |
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id.to_bytes(4, "little")
-        for part in (p for b in batches for p in pieces(b, "text")):
+        for part in (p for b in batches for p in pieces(b, "text", 1 << 20)):
             rows = []
-            for k, v, ids in zip(numbers(part.column("k")).tolist(), numbers(part.column("v")).tolist(), encoder(path).encode([t or "" for t in part.column("text").to_pylist()])):
-                ids += end
+            found, edge = encoder(path).encode_array(part.column("text"))
+            data, edge = found.astype("<u4").tobytes(), (4 * edge).tolist()
+            for k, v, begin, stop in zip(numbers(part.column("k")).tolist(), numbers(part.column("v")).tolist(), edge, edge[1:]):
+                ids = data[begin:stop] + end
                 n = len(ids) // 4
                 first = (n - 1) % capacity + 1
                 for piece, (a, z) in enumerate(zip([0, *range(first, n, capacity)], range(first, n + 1, capacity))):
                     some = ids[4 * a : 4 * z]
                     rows.append((k, v, piece, a, z - a, zlib.crc32(some), some)[: len(schema)])
             yield batch(schema, *(list(c) for c in zip(*rows))) if rows else batch(schema, *([] for _ in schema))
-        encoder(path).forget()
 
     return keyed(docs, id_col, text_col).mapInArrow(split, "k long, v long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -33,15 +33,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     schema = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, shard, before = end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
-        for part in (p for b in batches for p in pieces(b, "text")):
-            found = [ids + end for ids in encoder(source).encode([t or "" for t in part.column("text").to_pylist()])]
-            n = np.array([len(ids) // 4 for ids in found], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-            yield batch(schema, part.column("id"), np.full(len(n), shard, np.int32), before + offsets[:-1], n, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values))
+        shard, before = TaskContext.get().partitionId(), 0
+        for part in (p for b in batches for p in pieces(b, "text", 1 << 20)):
+            found, edge = encoder(source).encode_array(part.column("text"))
+            offsets = edge + np.arange(len(edge))
+            values = np.insert(found.astype("<i4"), edge[1:], end_id)
+            yield batch(schema, part.column("id"), np.full(part.num_rows, shard, np.int32), before + offsets[:-1], np.diff(offsets), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)))
             before += int(offsets[-1])
-        encoder(source).forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(encode, COLUMNS)

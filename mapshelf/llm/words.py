@@ -24,12 +24,15 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.u
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
+    """Powers of the base and of its inverse, modulo 2**64. Those of a few MB of text are kept, more are made for one call."""
     global _powers
-    if len(_powers[0]) < n:
-        n = max(n, 3 << 20)
-        _powers = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    n = max(n, 1 << 20)
+    found = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, b, np.uint64)])) for b in (_BASE, _INVERSE))
+    if n <= 5 << 19:
+        _powers = found
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,12 +91,12 @@ class Words:
         ends = np.cumsum(length + 1) - 1
         starts = ends - length
         out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
-        at = np.repeat(self.starts - starts, length) + _ranges(starts, length)
+        at = np.repeat(self.starts - starts, length) + ranges(starts, length)
         out[at - np.repeat(self.starts - starts, length)] = self.data[at]
         return out.tobytes(), starts, ends
 
 
-def _ranges(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
     """All numbers of the ranges that begin at ``starts``."""
     base = np.cumsum(length) - length
     return np.arange(int(length.sum())) + np.repeat(starts - base, length)
