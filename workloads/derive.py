@@ -125,6 +125,41 @@ IN_REGION = """(CASE WHEN position % 2 = 0 THEN abs(x - cx) <= 25 AND abs(y - cy
                ELSE abs(x - cx) + abs(y - cy) <= 20.005 END)"""
 
 
+def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box for each order, in a cell of a grid of 0.01 degrees; all lie within 5.5 by 2.8 degrees. No point is on an edge."""
+    at = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS code", "double((o_orderkey * 7919) % 550) / 100D AS x", "double((o_orderkey * 104729 + o_custkey) % 280) / 100D AS y")
+    return at.selectExpr("code", f"{G.box_polygon('x + 0.0015D', 'y + 0.0015D', 'x + 0.0085D', 'y + 0.0085D')} AS geom")
+
+
+PARCELS = """parcels AS (
+  SELECT o_orderkey AS code, (o_orderkey * 7919) % 550 AS gx, (o_orderkey * 104729 + o_custkey) % 280 AS gy,
+         CAST(gx AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0015 AS DOUBLE) AS x0, CAST(gx AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0085 AS DOUBLE) AS x1,
+         CAST(gy AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0015 AS DOUBLE) AS y0, CAST(gy AS DOUBLE) / CAST(100 AS DOUBLE) + CAST(0.0085 AS DOUBLE) AS y1
+  FROM orders)"""
+
+
+def parcel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items at places of a grid of 0.001 degrees over the parcels."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS fid", "l_linenumber AS line", "double((l_partkey * 7919) % 5500) / 1000D AS xmin",
+        "double((l_orderkey * 104729 + l_suppkey) % 2800) / 1000D AS ymin")
+    return _pointed(df, "fid", "line")
+
+
+def parcel_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of two edges from each of these points, up or down by the item's number and back."""
+    tip = G.vertex("xmin + 0.002D", "ymin + double(line) / 1000D")
+    vertices = f"array({G.vertex('xmin', 'ymin')}, {tip}, {G.vertex('xmin + 0.003D', 'ymin')})"
+    return parcel_points(spark, sf_dir).selectExpr("struct(fid, line) AS key", f"{G.line(vertices)} AS geom")
+
+
+PARCEL_POINTS = """parcel_points AS (
+  SELECT l_orderkey AS fid, l_linenumber AS line, (l_partkey * 7919) % 5500 // 10 AS gx, (l_orderkey * 104729 + l_suppkey) % 2800 // 10 AS gy,
+         CAST((l_partkey * 7919) % 5500 AS DOUBLE) / CAST(1000 AS DOUBLE) AS x, CAST((l_orderkey * 104729 + l_suppkey) % 2800 AS DOUBLE) / CAST(1000 AS DOUBLE) AS y
+  FROM lineitem)"""
+
+
 STATUSES = ["created", "downloaded", "decompressed", "summarized", "indexed", "ready", "published"]
 
 
