@@ -1,10 +1,16 @@
-"""Tile pyramid as data: features per tile and per pixel, levels 0 to 19."""
+"""Tile pyramid as data: features per tile and per pixel, levels 0 to 19.
+
+Points are counted at the deepest level and rolled up. Other shapes are followed tile by tile: each segment goes through the columns of
+a level and, in each, through the rows between its heights at the column's sides. That is the outline. A tile that no outline enters lies
+wholly inside a polygon or outside; inside tiles are found next to the outline, as children of the outline tiles of the level above,
+and only those are rows, so a polygon costs its outline on all levels and not its area. All tiles below an inside tile are inside too.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
@@ -26,17 +32,53 @@ def _on_map(df: DataFrame) -> DataFrame:
     return G.with_mbr(df).where(G.boxes_overlap(G.MAP_BOX))
 
 
+def _outline(df: DataFrame, levels: int, first: int, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, z, x, y, turns): the tiles that each segment goes through. ``turns`` is 1 where it is a polygon's and crosses the middle height of the row.
+
+    The heights at a column's sides are computed once for both neighbours, so the crossings along a row of a closed ring are even.
+    """
+    rings = "transform(_op.rings, _or -> struct(_or AS ring, _op.kind = 'Polygon' AS area))"
+    f = _on_map(df).selectExpr(*keep, f"explode(flatten(transform(geom.parts, _op -> {rings}))) AS r")
+    f = f.selectExpr(*keep, "r.area", f"explode({G.segments_of_rings('array(r.ring)')}) AS seg")
+    f = f.selectExpr(*keep, "area", *(f"{fn(f'seg.{a}{i}')} AS {u}{i}" for fn, a, u in ((mercator_x, "x", "u"), (mercator_y, "y", "v")) for i in (1, 2)))
+    f = f.selectExpr("*", f"explode(sequence({first}, {levels - 1})) AS z").withColumn("n", F.expr("double(shiftleft(1L, z))"))
+    f = f.selectExpr(*keep, "area", "z", "n", "u1 * n AS a1", "u2 * n AS a2", "v1 * n AS b1", "v2 * n AS b2",
+                     f"explode(sequence({tile_index('least(u1, u2)', 'z')}, {tile_index('greatest(u1, u2)', 'z')})) AS x")
+    low, high = "least(a1, a2)", "greatest(a1, a2)"
+    f = f.selectExpr("*", f"if(x = 0, {low}, greatest({low}, double(x))) AS xa", f"if(x = n - 1, {high}, least({high}, double(x + 1))) AS xb")
+
+    def height(at: str, else_: str) -> str:
+        return f"case when a1 = a2 then {else_} when {at} = a1 then b1 when {at} = a2 then b2 else b1 + (b2 - b1) * (({at} - a1) / (a2 - a1)) end"
+    f = f.selectExpr("*", f"{height('xa', 'b1')} AS ya", f"{height('xb', 'b2')} AS yb")
+    row = lambda y: f"greatest(0L, least(bigint(n) - 1L, bigint(floor({y}))))"
+    f = f.selectExpr("*", f"explode(sequence({row('least(ya, yb)')}, {row('greatest(ya, yb)')})) AS y")
+    middle = "y + 0.5D"
+    return f.selectExpr(*keep, "z", "x", "y", f"int(area and (ya <= {middle} and {middle} < yb or yb <= {middle} and {middle} < ya)) AS turns")
+
+
 def assign_tiles(df: DataFrame, levels: int = LEVELS, keep: tuple[str, ...] = ("fid",), first: int = 0) -> DataFrame:
-    """(z, x, y) of every tile that the bounding box of a feature meets.
+    """(keep, z, x, y) of every tile that the outline of a shape goes through, each once. ``keep`` tells features apart."""
+    return _outline(df, levels, first, keep).select(*keep, "z", "x", "y").distinct()
 
-    Large features meet very many deep tiles; break them first.
+
+def shape_tiles(df: DataFrame, levels: int = LEVELS, key: str | None = None) -> DataFrame:
+    """(key, z, x, y, inside): the outline's tiles, and those that lie wholly inside a polygon while their parents do not.
+
+    Without a ``key`` the rows of the table are told apart by their position, so it should be a stored one. Parts of a multi-polygon must not overlap.
     """
-    f = _on_map(df).selectExpr(
-        *keep, f"{mercator_x('xmin')} AS u0", f"{mercator_x('xmax')} AS u1", f"{mercator_y('ymax')} AS v0",
-        f"{mercator_y('ymin')} AS v1")
-    f = f.selectExpr("*", f"explode(sequence({first}, {levels - 1})) AS z")
-    f = f.selectExpr(*keep, "z", "v0", "v1", f"explode(sequence({tile_index('u0', 'z')}, {tile_index('u1', 'z')})) AS x")
-    return f.selectExpr(*keep, "z", "x", f"explode(sequence({tile_index('v0', 'z')}, {tile_index('v1', 'z')})) AS y")
+    if key is None:
+        df, key = df.withColumn("_feature", F.monotonically_increasing_id()), "_feature"
+    outline = _outline(df, levels, 0, (key,)).withColumn("met", F.lit(True))
+    # Children of the outline's tiles of polygons; those that no outline enters are inside or outside as a whole.
+    areas = df.where("geom.kind in ('Polygon', 'MultiPolygon', 'GeometryCollection')")
+    above = _outline(areas, levels - 1, 0, (key,)).select(key, "z", "x", "y").distinct() if levels > 1 else None
+    if above is not None:
+        child = "array(struct(2 * x AS x, 2 * y AS y), struct(2 * x + 1 AS x, 2 * y AS y), struct(2 * x AS x, 2 * y + 1 AS y), struct(2 * x + 1 AS x, 2 * y + 1 AS y))"
+        below = above.selectExpr(key, "z + 1 AS z", f"inline({child})").withColumn("turns", F.lit(0)).withColumn("met", F.lit(False))
+        outline = outline.unionByName(below)
+    tiles = outline.groupBy(key, "z", "x", "y").agg(F.sum("turns").alias("turns"), F.max("met").alias("met"))
+    before = F.sum("turns").over(Window.partitionBy(key, "z", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return tiles.withColumn("before", before).where("met or before % 2 = 1").selectExpr(key, "z", "x", "y", "not met AS inside")
 
 
 def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame:
@@ -64,30 +106,47 @@ def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame
 
 
 def point_tiles(df: DataFrame, level: int) -> DataFrame:
-    """Tile of each point at one level."""
-    return _on_map(df).selectExpr(
+    """Tile of each point at one level; other kinds fail."""
+    checked = "if(xmin = xmax and ymin = ymax, xmin, cast(raise_error('Not a point') as double))"
+    return _on_map(df).withColumn("xmin", F.expr(checked)).selectExpr(
         f"{tile_index(mercator_x('xmin'), level)} AS x", f"{tile_index(mercator_y('ymin'), level)} AS y")
 
 
-def tile_counts(df: DataFrame, levels: int = LEVELS, points: bool = False) -> DataFrame:
-    """Features per tile. Points are counted at the deepest level and rolled up; other
-    features may meet two children of one tile and are counted level by level."""
+def tile_counts(df: DataFrame, levels: int = LEVELS, points: bool = False, key: str | None = None) -> DataFrame:
+    """Features per tile. ``points=True`` promises that every geometry is a point: (z, x, y, cnt).
+
+    Other shapes: (z, x, y, cnt, inside), ``cnt`` features whose outline goes through the tile and ``inside`` polygons that hold
+    the tile but not its parent. A tile's features are its ``cnt`` and the ``inside`` of itself and all tiles above: ``tile_lookup``.
+    """
     if points:
         deepest = point_tiles(df, levels - 1).groupBy("x", "y").agg(F.count("*").alias("cnt"))
         return rollup_counts(deepest, levels - 1)
-    return assign_tiles(df, levels, keep=()).groupBy("z", "x", "y").agg(F.count("*").alias("cnt"))
+    spots = tile_counts(df.where("geom.kind = 'Point'"), levels, points=True).withColumn("inside", F.lit(0).cast("long"))
+    shapes = shape_tiles(df.where("geom.kind <> 'Point'"), levels, key).groupBy("z", "x", "y").agg(
+        F.count_if(~F.col("inside")).alias("cnt"), F.count_if("inside").alias("inside"))
+    both = spots.unionByName(shapes)
+    return both.groupBy("z", "x", "y").agg(F.sum("cnt").alias("cnt"), F.sum("inside").alias("inside"))
 
 
-def tile_raster(df: DataFrame, levels: int = LEVELS, px: int = TILE_PIXELS, first: int = 0) -> DataFrame:
-    """Features per pixel: (z, x, y, px, py, cnt), for points.
+def tile_raster(df: DataFrame, levels: int = LEVELS, px: int = TILE_PIXELS, first: int = 0, points: bool = True, key: str | None = None) -> DataFrame:
+    """Features per pixel: (z, x, y, px, py, cnt), for points, or with ``points=False`` for lines.
 
-    Pixels of level z are tiles of level z + log2(px), so the counts come from the roll-up.
+    Pixels of level z are tiles of level z + log2(px), so the counts of points come from the roll-up, and a line has the pixels that it goes
+    through. Other kinds fail: break polygons first, which gives their rings.
     """
     bits = px.bit_length() - 1
     if px != 1 << bits:
         raise ValueError("tile size must be a power of two")
-    deepest = point_tiles(df, levels - 1 + bits).groupBy("x", "y").agg(F.count("*").alias("cnt"))
-    fine = rollup_counts(deepest, levels - 1 + bits).where(F.col("z") >= bits + first)
+    if points:
+        deepest = point_tiles(df, levels - 1 + bits).groupBy("x", "y").agg(F.count("*").alias("cnt"))
+        fine = rollup_counts(deepest, levels - 1 + bits).where(F.col("z") >= bits + first)
+    else:
+        if key is None:
+            df, key = df.withColumn("_feature", F.monotonically_increasing_id()), "_feature"
+        kinds = G.text_list(("Point", "MultiPoint", "LineString", "LinearRing", "MultiLineString"))
+        known = f"if(geom.kind in ({kinds}), geom, cast(raise_error(concat('No raster of a ', geom.kind)) as {G.GEOM}))"
+        walked = assign_tiles(df.withColumn("geom", F.expr(known)), levels + bits, (key,), bits + first)
+        fine = walked.groupBy("z", "x", "y").agg(F.count("*").alias("cnt"))
     return fine.selectExpr(
         f"z - {bits} AS z", f"shiftright(x, {bits}) AS x", f"shiftright(y, {bits}) AS y",
         f"x & {px - 1}L AS px", f"y & {px - 1}L AS py", "cnt")
@@ -101,7 +160,15 @@ def write_pyramid(counts: DataFrame, path: str) -> None:
 
 
 def tile_lookup(pyramid: DataFrame, z: int, x: int, y: int) -> DataFrame:
-    return pyramid.where((F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
+    """(z, x, y, cnt) of one tile; no row where it is empty. Polygons that hold a tile above count too."""
+    own = (F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y)
+    if "inside" not in pyramid.columns:
+        return pyramid.where(own)
+    above = own
+    for up in range(1, z + 1):
+        above |= (F.col("z") == z - up) & (F.col("x") == x >> up) & (F.col("y") == y >> up)
+    total = pyramid.where(above).agg(F.sum(F.when(own, F.col("cnt")).otherwise(0) + F.col("inside")).alias("cnt")).where("cnt > 0")
+    return total.select(F.lit(z).alias("z"), F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"), "cnt")
 
 
 def tile_url(z: Column, x: Column, y: Column, extension: str = ".png") -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
 from mapshelf.functions import textgeom as X
-from mapshelf.functions.cover import base_cell, region_cover
+from mapshelf.functions.cover import point_cells, point_in_piece, region_cover
 from mapshelf.functions.grid import world_column, world_row
 from mapshelf.operators import boxes as B
 from mapshelf.operators import breaking as K
@@ -87,16 +87,29 @@ def region_join_lines(spark, sf):
 @query("region_cover", f"""WITH {D.POINTS}, {D.REGIONS}
 SELECT code, count(*) AS n_points FROM regions, points WHERE {D.IN_REGION} GROUP BY code""")
 def region_cover_query(spark, sf):
-    """Points counted through the cover: inside cells as a whole, the rest by the region's formula."""
+    """Points counted through the cover: inside rows as a whole, the others by their edges."""
     cover = materialize(region_cover(D.regions(spark, sf).select("code", "geom")), "cover")
-    centres = D.table(spark, sf, "nation").selectExpr(
-        "n_name AS code", "n_nationkey AS position", "double((n_nationkey % 5) * 72 - 144) + 0.005D AS cx",
-        "double((n_nationkey div 5) * 30 - 60) + 0.005D AS cy")
     p = D.points(spark, sf).selectExpr("xmin AS x", "ymin AS y", f"{world_column('xmin')} AS fx", f"{world_row('ymin')} AS fy")
-    p = p.selectExpr("*", f"{base_cell('fx', 'fy')} AS f_cell")
-    on = ("f_cell = cell AND fx BETWEEN ix0 AND ix1 AND fy BETWEEN iy0 AND iy1 AND (inside OR if(position % 2 = 0, "
-          "abs(x - cx) <= 25 AND abs(y - cy) <= 10, abs(x - cx) + abs(y - cy) <= 20.005D))")
-    return p.join(cover.join(centres, "code"), F.expr(on)).groupBy("code").agg(F.count("*").alias("n_points"))
+    on = f"f_level = level AND f_cell = cell AND fx BETWEEN ix0 AND ix1 AND fy BETWEEN iy0 AND iy1 AND {point_in_piece('x', 'y')}"
+    return point_cells(p, cover).join(cover, F.expr(on)).groupBy("code").agg(F.count("*").alias("n_points"))
+
+
+@query("region_join_dense", f"""WITH {D.PARCELS}, {D.PARCEL_POINTS}
+SELECT fid, line, code FROM parcel_points JOIN parcels USING (gx, gy) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1""")
+def region_join_dense(spark, sf):
+    """As many small regions as there are orders, all within one base cell."""
+    found = R.join_regions(D.parcel_points(spark, sf).withColumn("key", F.struct("fid", "line")), D.parcels(spark, sf), "key", points=True)
+    return found.select("key.fid", "key.line", "code")
+
+
+@query("region_join_dense_lines", f"""WITH {D.PARCELS}, {D.PARCEL_POINTS}, crossed AS (
+  SELECT p.fid, p.line, r.code FROM parcel_points p, unnest([0, 1, 2, 3]) AS u(i), parcels r
+  WHERE r.gx = p.gx + i AND r.gy = p.gy AND p.y BETWEEN r.y0 AND r.y1 AND p.x <= r.x1 AND p.x + CAST(0.03 AS DOUBLE) >= r.x0)
+SELECT fid, line, code FROM crossed""")
+def region_join_dense_lines(spark, sf):
+    """Level lines of three cells' length that start at these points."""
+    lines = D.parcel_points(spark, sf).selectExpr("struct(fid, line) AS key", f"{G.line('array(' + G.vertex('xmin', 'ymin') + ', ' + G.vertex('xmin + 0.03D', 'ymin') + ')')} AS geom")
+    return R.join_regions(lines, D.parcels(spark, sf), "key").select("key.fid", "key.line", "code")
 
 
 @query("region_list", f"""WITH {D.REGIONS}
@@ -430,22 +443,66 @@ def tile_rollup(spark, sf):
 
 @query("tile_counts", _counts_sql(20))
 def tile_counts(spark, sf):
-    """Without the roll-up: every level counted from the features."""
-    return V.tile_counts(D.points(spark, sf))
-
-
-@query("tile_counts_lines", f"""WITH {D.LINES}, box AS (
-  SELECT fid, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM line_vertices GROUP BY fid), merc AS (
-  SELECT fid, (x0 + 180) / 360 AS u0, (x1 + 180) / 360 AS u1,
-    (1 - ln(tan(y1 * (pi() / 180)) + 1 / cos(y1 * (pi() / 180))) / pi()) / 2 AS v0,
-    (1 - ln(tan(y0 * (pi() / 180)) + 1 / cos(y0 * (pi() / 180))) / pi()) / 2 AS v1 FROM box), wide AS (
-  SELECT CAST(z AS INTEGER) AS z, {_tile('u0', 'CAST(z AS INTEGER)')} AS c0, {_tile('u1', 'CAST(z AS INTEGER)')} AS c1,
-    {_tile('v0', 'CAST(z AS INTEGER)')} AS r0, {_tile('v1', 'CAST(z AS INTEGER)')} AS r1 FROM merc, range(7) t(z)), xs AS (
-  SELECT z, unnest(range(c0, c1 + 1)) AS x, r0, r1 FROM wide), xy AS (
-  SELECT z, x, unnest(range(r0, r1 + 1)) AS y FROM xs)
-SELECT z, x, y, count(*) AS cnt FROM xy GROUP BY z, x, y""")
+    """Points in a table that may have any shapes."""
+    return V.tile_counts(D.points(spark, sf)).drop("inside")
+
+
+def _mercator(x: str, y: str, i: str) -> str:
+    """Place in the unit square; latitudes stop at the map's edge."""
+    phi = f"greatest(CAST(-85.0511287798066 AS DOUBLE), least(CAST(85.0511287798066 AS DOUBLE), {y})) * (pi() / 180)"
+    return f"({x} + 180) / 360 AS u{i}, (1 - ln(tan({phi}) + 1 / cos({phi})) / pi()) / 2 AS v{i}"
+
+
+def _walked(edges: str, levels: str) -> str:
+    """CTE ``walked``: (fid, z, x, y) of all tiles of the levels that the edges (fid, x1, y1, x2, y2) go through."""
+    n = "(1 << CAST(z AS INTEGER))"
+    rise = "CASE WHEN a1 = a2 THEN {0} WHEN {1} = a1 THEN b1 WHEN {1} = a2 THEN b2 ELSE b1 + (b2 - b1) * (({1} - a1) / (a2 - a1)) END"
+    row = f"CAST(greatest(0, least({n} - 1, floor({{0}}(ya, yb)))) AS BIGINT)"
+    return f"""scaled AS (SELECT fid, z, u1 * {n} AS a1, u2 * {n} AS a2, v1 * {n} AS b1, v2 * {n} AS b2 FROM (SELECT fid, {_mercator('x1', 'y1', '1')}, {_mercator('x2', 'y2', '2')} FROM {edges}), {levels} r(z)),
+columns AS (SELECT *, unnest(range(CAST(greatest(0, least({n} - 1, floor(least(a1, a2)))) AS BIGINT), CAST(greatest(0, least({n} - 1, floor(greatest(a1, a2)))) AS BIGINT) + 1)) AS x FROM scaled),
+sides AS (SELECT *, CASE WHEN x = 0 THEN least(a1, a2) ELSE greatest(least(a1, a2), x::DOUBLE) END AS xa, CASE WHEN x = {n} - 1 THEN greatest(a1, a2) ELSE least(greatest(a1, a2), (x + 1)::DOUBLE) END AS xb FROM columns),
+heights AS (SELECT *, {rise.format('b1', 'xa')} AS ya, {rise.format('b2', 'xb')} AS yb FROM sides),
+walked AS (SELECT DISTINCT fid, CAST(z AS INTEGER) AS z, x, unnest(range({row.format('least')}, {row.format('greatest')} + 1)) AS y FROM heights)"""
+
+
+@query("tile_counts_lines", f"""WITH {_EDGES}, {_walked('line_edges', 'range(7)')}
+SELECT z, x, y, count(*) AS cnt, 0 AS inside FROM walked GROUP BY z, x, y""")
 def tile_counts_lines(spark, sf):
-    return V.tile_counts(D.lines(spark, sf), 7)
+    """Lines across the whole map, whose tiles double with each level: 7 levels. Short lines: ``tile_counts_paths``."""
+    return V.tile_counts(D.lines(spark, sf), 7, key="fid")
+
+
+_PATHS = D.PARCEL_POINTS + """,
+path_edges AS (
+  SELECT struct_pack(a := fid, b := line) AS fid, x AS x1, y AS y1, x + CAST(0.002 AS DOUBLE) AS x2, y + CAST(line AS DOUBLE) / CAST(1000 AS DOUBLE) AS y2 FROM parcel_points
+  UNION ALL SELECT struct_pack(a := fid, b := line), x + CAST(0.002 AS DOUBLE), y + CAST(line AS DOUBLE) / CAST(1000 AS DOUBLE), x + CAST(0.003 AS DOUBLE), y FROM parcel_points)"""
+
+
+@query("tile_counts_paths", f"""WITH {_PATHS}, {_walked('path_edges', 'range(20)')}
+SELECT z, x, y, count(*) AS cnt, 0 AS inside FROM walked GROUP BY z, x, y""")
+def tile_counts_paths(spark, sf):
+    """Lines of two edges over all 20 levels."""
+    return V.tile_counts(D.parcel_paths(spark, sf), key="key")
+
+
+@query("tile_raster_paths", f"""WITH {_PATHS}, {_walked('path_edges', 'range(15, 17)')}
+SELECT z - 8 AS z, x >> 8 AS x, y >> 8 AS y, x & 255 AS px, y & 255 AS py, count(*) AS cnt FROM walked GROUP BY ALL""")
+def tile_raster_paths(spark, sf):
+    """Pixels of lines on two levels."""
+    return V.tile_raster(D.parcel_paths(spark, sf), 9, first=7, points=False, key="key")
+
+
+@query("tile_counts_boxes", f"""WITH {D.PARCELS}, boxes AS (SELECT code, {_mercator('x0', 'y1', '0')}, {_mercator('x1', 'y0', '1')} FROM parcels),
+ranges AS (
+  SELECT code, CAST(z AS INTEGER) AS z, {_tile('u0', 'CAST(z AS INTEGER)')} AS c0, {_tile('u1', 'CAST(z AS INTEGER)')} AS c1,
+    {_tile('v0', 'CAST(z AS INTEGER)')} AS r0, {_tile('v1', 'CAST(z AS INTEGER)')} AS r1 FROM boxes, range(20) t(z)),
+tiles AS (SELECT *, unnest(range(r0, r1 + 1)) AS y FROM (SELECT *, unnest(range(c0, c1 + 1)) AS x FROM ranges)),
+told AS (SELECT *, x > c0 AND x < c1 AND y > r0 AND y < r1 AS inside,
+  (x >> 1) > (c0 >> 1) AND (x >> 1) < (c1 >> 1) AND (y >> 1) > (r0 >> 1) AND (y >> 1) < (r1 >> 1) AS parent_inside FROM tiles)
+SELECT z, x, y, count(*) FILTER (WHERE NOT inside) AS cnt, count(*) FILTER (WHERE inside) AS inside FROM told WHERE NOT parent_inside GROUP BY z, x, y""")
+def tile_counts_boxes(spark, sf):
+    """Boxes over all 20 levels: outlines, and inside tiles whose parents are not inside."""
+    return V.tile_counts(D.parcels(spark, sf), key="code")
 
 
 @query("tile_raster", f"""WITH {D.POINTS}, {_MERC}, deep AS (
