@@ -52,8 +52,8 @@ def replace_folder(spark: SparkSession, source: str, target: str, overwrite: boo
         fs.delete(aside, True)
 
 
-def save_index(partitioned: DataFrame, path: str) -> None:
-    """Write rows that have a ``part_id``, then their manifest.
+def save_index(partitioned: DataFrame, path: str, by: str | None = None) -> None:
+    """Write rows that have a ``part_id``, then their manifest. ``by`` names the column of several datasets' names.
 
     The rebalance hint shuffles by ``part_id`` and lets the adaptive plan cut a partition
     that is too large for one task into several and merge small ones. Rows are in Z-order
@@ -65,10 +65,11 @@ def save_index(partitioned: DataFrame, path: str) -> None:
                      f"{world_column('(xmin + xmax) / 2', ZKEY_BITS)} AS _zx",
                      f"{world_row('(ymin + ymax) / 2', ZKEY_BITS)} AS _zy")
     f = f.selectExpr("*", f"{interleave('_zx', '_zy', ZKEY_BITS)} AS zkey").drop("_zx", "_zy")
-    (f.hint("rebalance", "part_id")
-     .sortWithinPartitions("part_id", "zkey")
-     .write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/data"))
-    stats = partition_stats(read_index(partitioned.sparkSession, path))
+    folders = ([by] if by else []) + ["part_id"]
+    (f.hint("rebalance", *folders)
+     .sortWithinPartitions(*folders, "zkey")
+     .write.mode("errorifexists").partitionBy(*folders).parquet(f"{path}/data"))
+    stats = partition_stats(read_index(partitioned.sparkSession, path), by)
     stats.write.mode("errorifexists").parquet(f"{path}/master")
 
 

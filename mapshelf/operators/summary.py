@@ -83,13 +83,14 @@ def attribute_types(features: DataFrame, order: str, by: list[str] | None = None
     return first.where(F.col("first").isNotNull()).select(*by, F.explode(rows).alias("a")).select(*by, "a.name", "a.type")
 
 
-def partition_stats(indexed: DataFrame) -> DataFrame:
-    """The manifest: one row per ``part_id``."""
+def partition_stats(indexed: DataFrame, by: str | None = None) -> DataFrame:
+    """The manifest: one row per ``part_id``, or per ``by`` and ``part_id``."""
+    groups = ([by] if by else []) + ["part_id"]
     f = G.with_mbr(indexed)
     points = "n_points" if "n_points" in f.columns else G.num_points("geom")
     size = "n_bytes" if "n_bytes" in f.columns else feature_bytes(f)
-    shown = f.selectExpr("part_id", f"{points} AS _n", f"{size} AS _b", *G.MBR_COLUMNS)
-    a = shown.groupBy("part_id").agg(*[F.expr(e) for e in (
+    shown = f.selectExpr(*groups, f"{points} AS _n", f"{size} AS _b", *G.MBR_COLUMNS)
+    a = shown.groupBy(*groups).agg(*[F.expr(e) for e in (
         "count(*) AS record_count", "count(xmin) AS nonempty_count", "coalesce(sum(_n), 0) AS num_points",
         "sum(_b) AS data_size", "sum((xmin + xmax) / 2) AS sum_x", "sum((ymin + ymax) / 2) AS sum_y",
         "min(xmin) AS xmin", "min(ymin) AS ymin", "max(xmax) AS xmax", "max(ymax) AS ymax")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mapshelf.functions import geometry as G
 from mapshelf.functions import textgeom as X
 from mapshelf.operators import catalog as C
+from mapshelf.operators import archive_index as V
 from mapshelf.operators import indexing as I
 from mapshelf.operators import partitioning as P
 from mapshelf.operators import regions as R
@@ -461,6 +462,27 @@ def rsgrove_many_parts(spark, sf):
                      (F.max("rows") <= 12 * F.sum("rows") / F.least(F.lit(parts), F.sum("rows")) + 12).alias("balanced"))
 
 
+_ARCHIVE = f"""WITH {D.POINTS_BIG}, named AS (
+  SELECT CASE WHEN l_quantity <= 25 THEN 'half' ELSE 'd' || CAST(l_quantity AS INTEGER) END AS dataset_id, x, y, l_returnflag FROM points_big)"""
+
+
+@query("archive_index", f"""{_ARCHIVE}
+SELECT dataset_id, count(*) AS n, sum(16 + length(dataset_id) + length(l_returnflag)) AS bytes, min(x) AS xmin, max(y) AS ymax, TRUE AS balanced, TRUE AS numbered
+FROM named GROUP BY dataset_id""")
+def archive_index(spark, sf):
+    """All datasets partitioned and written in one job; one of them holds half of the rows."""
+    target = 4096
+    points = D.points_big(spark, sf).selectExpr("if(l_quantity <= 25, 'half', concat('d', int(l_quantity))) AS dataset_id", "l_returnflag", "geom", *G.MBR_COLUMNS)
+    path = f"{scratch_path(spark, 'archive')}/index"
+    V.build_archive_index(points, path, target_size=target)
+    master = I.read_master(spark, path)
+    by_dataset = master.groupBy("dataset_id").agg(
+        F.sum("record_count").alias("n"), F.sum("data_size").alias("bytes"), F.min("xmin").alias("xmin"), F.max("ymax").alias("ymax"),
+        F.max("data_size").alias("largest"), F.count("*").alias("parts"), F.max("part_id").alias("last"))
+    share = F.col("bytes") / F.ceil(F.col("bytes") / target)
+    return by_dataset.select("dataset_id", "n", "bytes", "xmin", "ymax", (F.col("largest") <= 2 * share + 64).alias("balanced"), (F.col("last") + 1 == F.col("parts")).alias("numbered"))
+
+
 @query("download_by_name", f"""WITH {D.POINTS} SELECT CAST(fid AS VARCHAR) AS fid, x, y FROM points WHERE x BETWEEN -20 AND 30 AND y BETWEEN -10 AND 40""")
 def download_by_name(spark, sf):
     """Index, geometry and separator from the catalog row."""
