@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Link patterns, result formats and the characters a file name may hold.
@@ -56,3 +56,20 @@ def filename_of(url: Column, content_disposition: Column | None = None) -> Colum
     return F.struct(
         F.when(known, F.coalesce(header, from_url, made)).alias("filename"),
         F.when(~known, F.concat(F.lit("Unsupported protocol for URL: "), url)).alias("error"))
+
+
+def unique_filenames(df: DataFrame, by: str, url: str = "url", header: str | None = None) -> DataFrame:
+    """Adds ``filename`` and ``error``; no two links of a dataset (``by``) have one name.
+
+    Where a name repeats, the first link in the order of links keeps it; the others get a number and a part of their link's hash before the
+    extension. Rows that repeat a link share its name.
+    """
+    named = df.withColumn("_name", filename_of(F.col(url), F.col(header) if header else None))
+    links = named.where(F.col("_name.filename").isNotNull()).select(by, url, F.col("_name.filename").alias("_plain")).distinct()
+    same = Window.partitionBy(by, "_plain").orderBy(url)
+    tried = links.withColumn("_nth", F.row_number().over(same) - 1)
+    stem, dot = F.regexp_extract("_plain", r"^(.+?)((?:\.[^.]*)?)$", 1), F.regexp_extract("_plain", r"^(.+?)((?:\.[^.]*)?)$", 2)
+    numbered = F.concat(stem, F.lit("-"), F.col("_nth").cast("string"), F.lit("-"), F.substring(F.md5(F.col(url)), 1, 12), dot)
+    made = tried.select(by, url, "_plain", F.when(F.col("_nth") > 0, numbered).otherwise(F.col("_plain")).alias("filename"))
+    out = named.withColumn("_plain", F.col("_name.filename")).join(made, [by, url, "_plain"], "left")
+    return out.select(*df.columns, "filename", F.col("_name.error").alias("error"))

@@ -152,9 +152,16 @@ def remaining_stages(catalog: DataFrame, decompress: bool = True) -> DataFrame:
         F.when(~known, F.concat(F.lit("Cannot process dataset in status '"), "status", F.lit("'"))).alias("error"))
 
 
+#: The order of ``list_datasets`` as an ascending key: most features first, unknown numbers last.
+LIST_ORDER = "struct(-num_features IS NULL AS unknown, -num_features AS fewer, _id)"
+
+
 def to_catalog_json(catalog: DataFrame, single: bool = False, order: str = "_id") -> DataFrame:
-    """Lines of the document ``{"datasets":[...]}`` or ``{"dataset":{...}}``."""
-    body = catalog.select(F.col(order).alias("sort_key"), F.to_json(F.struct(*catalog.columns)).alias("line"))
+    """Lines of the document ``{"datasets":[...]}`` or ``{"dataset":{...}}``.
+
+    ``order`` is SQL text of an ascending key; ``LIST_ORDER`` keeps that of the lists.
+    """
+    body = catalog.select(F.expr(order).alias("sort_key"), F.to_json(F.struct(*catalog.columns)).alias("line"))
     head, tail = ('{"dataset":', "}") if single else ('{"datasets":[', "]}")
     return json_document(body, head, tail)
 

@@ -10,6 +10,10 @@ from mapshelf.functions.textgeom import to_geojson
 from mapshelf.operators.boxes import Box, query_boxes
 
 
+#: Fixed value: the record of a view that found none.
+NOTHING = '{"out_bound":1}'
+
+
 def _any(conditions: list[str]) -> str:
     return "(" + " or ".join(conditions) + ")"
 
@@ -88,4 +92,4 @@ def view_feature(features: DataFrame, order: list[str], mbr: str | Box | None =
     one = hits.orderBy("_box", *order).limit(1)
     text = attributes_json(one, names, extents) if fmt == "json" else feature_json(one, names)
     found = one.agg(F.first(text).alias("record"))
-    return found.select(F.coalesce("record", F.lit('{"out_bound":1}')).alias("record"))
+    return found.select(F.coalesce("record", F.lit(NOTHING)).alias("record"))

@@ -11,7 +11,7 @@ from mapshelf.operators.regions import region_query
 from mapshelf.operators.sinks import write_features
 from mapshelf.operators.boxes import query_boxes
 from mapshelf.operators.catalog import find_by_name
-from mapshelf.operators.spatial_filter import in_partitions, indexed_range_query, prune_partitions, view_feature
+from mapshelf.operators.spatial_filter import NOTHING, in_partitions, indexed_range_query, prune_partitions, view_feature
 
 
 def select_features(spark: SparkSession, index_path: str, mbr: str | None = None,
@@ -64,11 +64,25 @@ def download_by_name(spark: SparkSession, catalog: DataFrame, base: str, name: s
     download(spark, index, target, fmt, sep=sep, points=points, **selection)
 
 
+#: Partitions that a view reads at first, how many times more it reads each time that it finds nothing, and at most.
+VIEW_PARTS, VIEW_GROWTH, VIEW_MOST = 1, 4, 256
+
+
 def view_indexed(spark: SparkSession, index_path: str, order: list[str], mbr: str | None = None, fmt: str = "json", extents: bool = False) -> DataFrame:
-    """The first record of an index by box, partition and ``order``; only partitions whose box meets the query are read."""
-    rows = read_index(spark, index_path)
-    if mbr is not None:
-        rows = in_partitions(rows, prune_partitions(read_master(spark, index_path), query_boxes(mbr, False)))
-    rows = indexed_input(rows)
+    """The first record of an index by box, partition and ``order``.
+
+    Partitions whose box meets the query are read in their order, a growing number at a time, until one has a record, box after box.
+    """
+    rows = indexed_input(read_index(spark, index_path))
     names = [c for c in G.attribute_columns(rows) if c not in ("part_id", *order)]
-    return view_feature(rows, ["part_id", *order], mbr, fmt, extents, attributes=names)
+    master = read_master(spark, index_path)
+    for box in query_boxes(mbr, False) if mbr is not None else [None]:
+        parts = (prune_partitions(master, [box]) if box else master).select("part_id")
+        last, n = -1, VIEW_PARTS
+        while ids := [r["part_id"] for r in parts.where(F.col("part_id") > last).orderBy("part_id").limit(n).collect()]:
+            some = rows.where(F.col("part_id").isin(ids))
+            record = view_feature(some, ["part_id", *order], box, fmt, extents, attributes=names).first()["record"]
+            if record != NOTHING:
+                return spark.createDataFrame([(record,)], "record string")
+            last, n = ids[-1], min(VIEW_GROWTH * n, VIEW_MOST)
+    return spark.createDataFrame([(NOTHING,)], "record string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapshelf.functions import links as L
@@ -101,6 +102,18 @@ def catalog_json(spark, sf):
     return C.to_catalog_json(rows).select("part", "sort_key", "line")
 
 
+@query("catalog_json_listed", _WITH + """, p AS (SELECT *, row_number() OVER (ORDER BY num_features DESC, _id) AS nth FROM catalog WHERE status = 'published')
+SELECT 0 AS part, 0 AS nth, '{"datasets":[' AS line
+UNION ALL SELECT CASE WHEN nth = 1 THEN 1 ELSE 2 END, nth, CASE WHEN nth = 1 THEN '' ELSE ',' END || '{"_id":"' || _id || '","num_features":' || num_features || '}' FROM p
+UNION ALL SELECT 3, (SELECT count(*) FROM p) + 1, ']}'""")
+def catalog_json_listed(spark, sf):
+    """The document in the order of the published list."""
+    rows = C.list_published(D.catalog(spark, sf), ["num_features"]).select("_id", "num_features")
+    lines = C.to_catalog_json(rows, order=C.LIST_ORDER)
+    nth = F.row_number().over(Window.orderBy("part", "sort_key")) - 1
+    return lines.select("part", nth.cast("long").alias("nth"), "line")
+
+
 # ---------------------------------------------------------------- changes
 
 _NOW = "timestamp'2030-01-01 00:00:00'"
@@ -305,6 +318,16 @@ def clean_links(spark, sf):
     return good.unionByName(bad).select("page_id", L.direct_download_url(F.col("link")).alias("d")).select("page_id", "d.*")
 
 
+@query("link_filenames_unique", """WITH d AS (SELECT page_id, page_id % 7 AS dataset, regexp_replace(url, '[?].*', '') AS url, regexp_extract(rtrim(regexp_replace(url, '[?].*', ''), '/'), '[^/]+$') AS plain FROM pages),
+u AS (SELECT *, row_number() OVER (PARTITION BY dataset, plain ORDER BY url) - 1 AS nth FROM (SELECT DISTINCT dataset, url, plain FROM d))
+SELECT page_id, CASE WHEN nth = 0 THEN plain ELSE regexp_extract(plain, '^(.+?)((?:\\.[^.]*)?)$', 1) || '-' || nth || '-' || substr(md5(url), 1, 12) || regexp_extract(plain, '^(.+?)((?:\\.[^.]*)?)$', 2) END AS filename,
+  CAST(NULL AS VARCHAR) AS error FROM d JOIN u USING (dataset, url, plain)""")
+def link_filenames_unique(spark, sf):
+    """No two links of a dataset have one name."""
+    p = D.table(spark, sf, "pages").select("page_id", (F.col("page_id") % 7).alias("dataset"), F.regexp_replace("url", "[?].*", "").alias("url"))
+    return L.unique_filenames(p, "dataset").select("page_id", "filename", "error")
+
+
 @query("link_filenames", """WITH d AS (SELECT page_id, regexp_replace(url, '[?].*', '') AS base FROM pages)
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'data ' || page_id || '.csv' WHEN 3 THEN NULL ELSE regexp_extract(rtrim(base, '/'), '[^/]+$') END AS filename,
   CASE WHEN page_id % 4 = 3 THEN 'Unsupported protocol for URL: s3://b/' || page_id END AS error FROM d""")
