@@ -9,7 +9,10 @@ found through the short lists of rare values, since a partner must share most of
 compared among themselves through their full sets: values are ordered by how few of these classes have them, and two sets that are similar
 enough share one among their first ones, at places that their sizes limit. A copy with more edits than the limit allows has only
 values of its own there. In each such list every member is first compared with one, the most typical. What is linked then is one component
-already, and only pairs of different components are left to compare: those outside a list's largest component, each with all others.
+already, and only pairs of different components are left to compare. Where a few classes of a list are outside its largest component,
+each is paired with all of the list. The other lists with one largest component are a family; classes
+outside the component are dealt over blocks of a bounded number of classes, and a task compares one block with all classes of the family, by the
+inverted list of the block's values, the estimate from both sketches and the full sets. Only links leave it.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from pyspark.sql import functions as F
 
 from mapshelf.llm.common import batch, key, keyed, pieces, real_id, stored
 from mapshelf.llm.graph import components
-from mapshelf.llm.words import Words, sequence_hash
+from mapshelf.llm.words import Words, ranges, sequence_hash
 
-#: Members compared with one partner in one task.
-SHARE = 256
+#: Members compared with one partner in one task; classes outside a list's largest component that are paired with all of the list; classes of
+#: a block that all others of its family are compared with.
+SHARE, FEW, BLOCK = 256, 8, 256
+_FILL = np.uint64(2**64 - 1)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,17 +171,113 @@ def _star(lists: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     return met.where("a <> b").where(_fits(percent, "na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _cross(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a list whose classes are not in one component yet."""
+def _open(lists: DataFrame, label: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists whose classes are in several components: (a, b), the pairs left to compare in those where at most FEW classes are outside the
+    list's largest component, and the rows of the others."""
     rows = lists.join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
     groups = stored(rows.groupBy("value", "root").agg(F.count("*").alias("members")), "lists-groups")
-    main = groups.groupBy("value").agg(F.max(F.struct("members", "root")).alias("main"), F.count("*").alias("groups"))
-    main = stored(main.where("groups > 1").select("value", F.col("main.root").alias("main")), "lists-main")
-    rows = stored(rows.join(main, "value").withColumn("out", F.col("root") != F.col("main")), "lists-open")
-    x = rows.where("out").select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
-    y = rows.select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), "out")
+    main = groups.groupBy("value").agg(F.max(F.struct("members", "root")).alias("main"), F.sum("members").alias("members"), F.count("*").alias("groups"))
+    main = main.where("groups > 1").select("value", F.col("main.root").alias("main"), (F.col("members") - F.col("main.members")).alias("outside"))
+    rows = stored(rows.join(stored(main, "lists-main"), "value").withColumn("out", F.col("root") != F.col("main")), "lists-open")
+    few = F.col("outside") <= FEW
+    x = rows.where(few & F.col("out")).select("value", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
+    y = rows.where(few).select("value", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), "out")
     pairs = x.join(y, "value").where("rx <> ry AND (NOT out OR x < y)").where(_fits(percent, "nx", "ny"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), rows.where(~few).select("value", "class", "n", "place", "root", "main")
+
+
+def _families(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, block, out, class, root, n, set, value, place): what ``_linked`` compares.
+
+    The lists with one largest component are a family, so two classes that share a value are together in one. Those outside that
+    component (``out``) are dealt over blocks, and all classes of the family meet each block.
+    """
+    rows = lists.select(F.col("main").alias("family"), "class", "root").distinct().withColumn("out", F.col("root") != F.col("family"))
+    rows = stored(rows, "families")
+    blocks = F.ceil(F.count_if("out") / BLOCK).cast("int")
+    sizes = rows.groupBy("family").agg(blocks.alias("blocks"))
+    value = F.sort_array(F.collect_list(F.struct("value", "place")))
+    values = lists.groupBy("class").agg(F.first("n").alias("n"), value.alias("met"))
+    values = values.select("class", "n", F.col("met.value").alias("value"), F.col("met.place").alias("place"))
+    rows = stored(rows.join(sizes, "family").join(values, "class").join(sets, "class"), "families-sets")
+    names = ["family", "block", "out", "class", "root", "n", "set", "value", "place"]
+    x = rows.where("out").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    dealt = x.select("side", *names).unionByName(y.select("side", *names))
+    return dealt.repartition("family", "block").sortWithinPartitions("family", "block", "side")
+
+
+def _near_estimates(x: np.ndarray, y: np.ndarray, floor: float, k: int) -> np.ndarray:
+    """Of rows of sketches (filled up with the largest number), which have unions of which at least ``floor`` is shared."""
+    union = np.sort(np.concatenate([x, y], axis=1), axis=1)
+    real = union != _FILL
+    twice = np.zeros_like(real)
+    twice[:, 1:] = (union[:, 1:] == union[:, :-1]) & real[:, 1:]
+    within = np.cumsum(real & ~twice, axis=1) <= k
+    return (twice & within).sum(1) >= floor * (real & ~twice & within).sum(1)
+
+
+def _linked(dealt: DataFrame, percent: int, k: int, floor: float) -> DataFrame:
+    """(a, b): similar classes of different components. A task holds one block and reads the classes that meet it; only links leave it."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def sketches(sets: list[np.ndarray]) -> np.ndarray:
+        out = np.full((len(sets), k), _FILL)
+        for row, s in zip(out, sets):
+            row[: min(k, len(s))] = s[:k]
+        return out
+
+    def opened(rows: list[dict]) -> tuple:
+        """Sets, sketches, sizes, classes, roots, and (value, place, row) of the values by which they meet, sorted."""
+        sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
+        value, place = (np.concatenate([np.array(r[c], np.int64) for r in rows]) for c in ("value", "place"))
+        owner = np.repeat(np.arange(len(rows)), [len(r["value"]) for r in rows])
+        order = np.argsort(value, kind="stable")
+        n = np.array([r["n"] for r in rows], np.int64)
+        return sets, sketches(sets), n, [r["class"] for r in rows], [r["root"] for r in rows], value[order], place[order], owner[order]
+
+    def compare(x: tuple, rows: list[dict]) -> pa.RecordBatch:
+        y = opened(rows)
+        low, high = (np.searchsorted(x[5], y[5], side=side) for side in ("left", "right"))
+        mine = ranges(low, high - low)
+        i, px = x[7][mine], x[6][mine]
+        j, py = (np.repeat(c, high - low) for c in (y[7], y[6]))
+        nx, ny = x[2][i], y[2][j]
+        shared = -(-percent * (nx + ny) // (100 + percent))
+        fits = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (px <= nx - shared) & (py <= ny - shared)
+        pairs = np.unique(i[fits] * len(rows) + j[fits])
+        i, j = pairs // len(rows), pairs % len(rows)
+        # Two classes that are both outside meet in either order; the first of them reports it.
+        apart = np.array([x[4][p] != y[4][q] and not (rows[q]["out"] and x[3][p] > y[3][q]) for p, q in zip(i.tolist(), j.tolist())], bool)
+        i, j = i[apart], j[apart]
+        near = np.concatenate([np.zeros(0, bool), *(_near_estimates(x[1][i[at : at + 4096]], y[1][j[at : at + 4096]], floor, k) for at in range(0, len(i), 4096))])
+        found = []
+        for p, q in zip(i[near].tolist(), j[near].tolist()):
+            both = np.sort(np.concatenate([x[0][p], y[0][q]]))
+            same = np.count_nonzero(both[1:] == both[:-1])
+            if 100 * same >= percent * (len(both) - same):
+                found.append(sorted((x[3][p], y[3][q])))
+        return batch(schema, [a for a, _ in found], [b for _, b in found])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, x = None, [], None
+        for part in (p for b in batches for p in pieces(b, "set")):
+            other: list[dict] = []
+            for row in part.to_pylist():
+                if (row["family"], row["block"]) != here:
+                    if other:
+                        yield compare(x, other)
+                    here, held, x, other = (row["family"], row["block"]), [], None, []
+                if row["side"] == 0:
+                    held.append(row)
+                    continue
+                if held:
+                    x = x or opened(held)
+                    other.append(row)
+            if other:
+                yield compare(x, other)
+
+    return dealt.mapInArrow(blocks, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, k: int = 64, rare: int = 8, floor: float = 0.5) -> DataFrame:
@@ -228,8 +329,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     others = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(typical, "class", "left_anti")
     links = stored(_verified(pairs, sets.unionByName(sets_of(others)), percent), "links-star")
     label = stored(components(links).select(F.col("node").alias("class"), "root"), "labels")
-    more = stored(_estimated(_cross(meet, label, percent), classes, k, floor), "pairs-cross")
-    links = links.unionByName(stored(_verified(more, sets, percent), "links-cross"))
+    pairs, many = _open(meet, label, percent)
+    more = stored(_estimated(pairs, classes, k, floor), "pairs-open")
+    links = links.unionByName(stored(_verified(more, sets, percent), "links-open"))
+    links = links.unionByName(stored(_linked(_families(many, sets), percent, k, floor), "links-families"))
 
     roots = components(links).select(F.col("node").alias("class"), "root")
     by_class = stored(classes.select("class", "rep.k").join(roots, "class", "left").select("class", "k", F.coalesce("root", "class").alias("root")), "class-roots")

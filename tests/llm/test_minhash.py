@@ -44,6 +44,30 @@ def test_large_group_around_a_template(spark):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_duplicates(rows, 4)
 
 
+def test_noisy_group(spark, monkeypatch):
+    """Copies of one text with 1 to 8 % of edits: many stay outside the largest component, and what is compared grows with their number."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(edited(r, base, r.uniform(0.01, 0.08)))) for i in range(160)]
+    dealt = []
+    families = minhash._families
+    monkeypatch.setattr(minhash, "_families", lambda *a: dealt.append(families(*a)) or dealt[-1])
+    for block in (256, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=4).collect()
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_duplicates(rows, 4)
+    assert 0 < dealt[0].count() <= 2 * len(rows)
+
+
+def test_very_long_text(spark):
+    """A text of 200,000 words, an edited copy of it and one of its first half."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(10**5)}" for _ in range(200_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited(r, base, 0.01))), (3, " ".join(base[:100_000]))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), size=4).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_edges(spark):
     rows = [(None, "x y z a b"), (4, "x y z a b"), (4, "x y z a b"), (7, None), (7, " "), (8, "q r s")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("class", F.lit(1)).withColumn("k", F.lit(2))
