@@ -12,7 +12,8 @@ travel as 64-bit hashes.
 A pair belongs to the bucket of its first word, where the word's own counts are too, so that scoring looks up everything of
 a token in one place. A word that stands for more than a part of a bucket is spread over several by the other word of the pair, its own counts
 with it. A bucket to which more than its share of tokens comes (a line that very many texts hold) is given to several tasks. Texts are never shuffled:
-a task sends the pairs of some texts at a time to their buckets, and what comes back is one number for each text and bucket.
+a task sends the pairs of a block of texts at a time to their buckets, what comes back is an array for each block and bucket, and the arrays of
+a block are summed in one place.
 """
 
 from __future__ import annotations
@@ -27,15 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapshelf.llm.common import NULL_ID, batch, keyed, numbers, partitions, pieces, real_id, stored
+from mapshelf.llm.common import batch, keyed, numbers, partitions, pieces, real_id, stored
 from mapshelf.llm.words import Words, mix
 
 #: Counts up to this one are discounted.
 SMALL = 5
 #: Stand-ins for the start and the end of a text, which are no hashes of words.
 START, END = np.uint64(1), np.uint64(2)
+#: Buckets for each shuffle partition: what a task holds is a quarter of a partition's share.
+BUCKETS = 4
 #: Bytes of texts whose pairs travel together, pairs that a task counts before it hands them on.
-_TEXTS, _HELD = 4 << 20, 1 << 20
+_TEXTS, _HELD = 2 << 20, 1 << 19
 _STEP, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,13 +128,13 @@ def _cut(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(bucket[a]), *(c[a:z].tobytes() for c in columns)
 
 
-_ARRAYS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("k", pa.binary()), ("v", pa.binary())])
-_ARRAYS_SQL = "bucket int, kind int, x binary, y binary, n binary, m binary, k binary, v binary"
+_ARRAYS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("k", pa.binary())])
+_ARRAYS_SQL = "bucket int, kind int, x binary, y binary, n binary, m binary, k binary"
 
 
 def _arrays(kind: int, rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of (bucket, x, y, n, m, k, v), shorter ones filled up with nulls."""
-    filled = [(r[0], kind, *r[1:], *[None] * (7 - len(r))) for r in rows]
+    """Rows of (bucket, x, y, n, m, k), shorter ones filled up with nulls."""
+    filled = [(r[0], kind, *r[1:], *[None] * (6 - len(r))) for r in rows]
     return batch(_ARRAYS, *(list(c) for c in zip(*filled))) if filled else batch(_ARRAYS, *([] for _ in _ARRAYS))
 
 
@@ -209,8 +212,10 @@ def _count_pairs(texts: DataFrame, spread: tuple, buckets: int) -> DataFrame:
     return _to_tasks(texts.select("text").mapInArrow(count, _ARRAYS_SQL), buckets).mapInArrow(add, _ARRAYS_SQL)
 
 
-def _spread_rows(rows: DataFrame, spread: tuple, buckets: int, columns: list[str]) -> DataFrame:
-    """Rows of words (first column) as arrays of kind 0, once for each bucket that a word is spread over."""
+def _spread_rows(rows: DataFrame, spread: tuple, buckets: int, columns: list[str], splits: np.ndarray | None = None) -> DataFrame:
+    """Rows of words (first column) as arrays of kind 0, once for each bucket that a word is spread over, and for each task that a bucket is given to."""
+    splits = np.ones(buckets, np.int64) if splits is None else splits
+    offset = np.cumsum(splits) - splits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, parts = spread
@@ -224,7 +229,7 @@ def _spread_rows(rows: DataFrame, spread: tuple, buckets: int, columns: list[str
             row = np.repeat(np.arange(len(w)), salts)
             salt = np.arange(len(row)) - np.repeat(np.cumsum(salts) - salts, salts)
             bucket = (((mix(w[row] * _ODD + salt.astype(np.uint64)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            yield _arrays(0, list(_cut(bucket, w[row], *(o[row] for o in others))))
+            yield _arrays(0, [(offset[r[0]] + i, *r[1:]) for r in _cut(bucket, w[row], *(o[row] for o in others)) for i in range(splits[r[0]])])
 
     return rows.select(*columns).mapInArrow(deal, _ARRAYS_SQL)
 
@@ -245,7 +250,7 @@ def _sorted(held: list[tuple]) -> list[np.ndarray]:
 
 def fit(texts: DataFrame, small: int = SMALL, buckets: int | None = None) -> Model:
     """Count the ``text`` column of a table and normalise. A null text has the end alone; an empty table gives a model that knows nothing."""
-    buckets = buckets or partitions(texts.sparkSession)
+    buckets = buckets or BUCKETS * partitions(texts.sparkSession)
     words = stored(_count_words(texts), "katz-words")
     seen = words.where("n > 0")
     tokens, vocabulary = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -304,6 +309,7 @@ def _seen_shares(model: Model) -> DataFrame:
     """(w, share, total, small): the sum of p over the different words seen after w, from the buckets of these words."""
     schema = pa.schema([("w", pa.int64()), ("share", pa.float64()), ("total", pa.float64()), ("small", pa.int64())])
     spread, buckets, share = model.spread, model.buckets, _shares(model)
+    alone = spread[0][:0], spread[1][:0]
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -311,24 +317,39 @@ def _seen_shares(model: Model) -> DataFrame:
                 b, c = _u8(x), _u8(y)
                 yield _arrays(1, list(_cut(_bucket(c, b, spread, buckets), b, c)))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, (x, y) in _met(batches, ("x", "y")):
+            b, c = _u8(x), _u8(y)
+            p = share(known[1][_lookup(known[0], c)[0]])
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            own = b[edge]
+            yield _arrays(0, list(_cut(_bucket(own, own, alone, buckets), own, np.add.reduceat(p, edge))))
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, here = [], None, None
-        for part in batches:
-            for bucket, kind, x, y in zip(*(part.column(c).to_pylist() for c in ("bucket", "kind", "x", "y"))):
-                if bucket != here:
-                    known, table, here = [], None, bucket
-                if kind == 0:
-                    known.append((_u8(x), _i8(y)))
-                    continue
-                table = table or _sorted(known)
-                b, c = _u8(x), _u8(y)
-                p = share(table[1][_lookup(table[0], c)[0]])
-                edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                yield batch(schema, b[edge].view(np.int64), np.add.reduceat(p, edge), np.zeros(len(edge)), np.zeros(len(edge), np.int64))
+        held = [(_u8(x), _f8(y)) for part in batches for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
+        if held:
+            b, p = _sorted(held)
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            yield batch(schema, b[edge].view(np.int64), np.add.reduceat(p, edge), np.zeros(len(edge)), np.zeros(len(edge), np.int64))
 
     words = _spread_rows(model.words.where("n > 0"), spread, buckets, ["w", "n"])
     pairs = model.pairs.select("x", "y").mapInArrow(turn, _ARRAYS_SQL)
-    return _to_tasks(words.unionByName(pairs), buckets).mapInArrow(add, "w long, share double, total double, small long")
+    looked = _to_tasks(words.unionByName(pairs), buckets).mapInArrow(look, _ARRAYS_SQL)
+    return looked.repartitionById(buckets, "bucket").mapInArrow(add, "w long, share double, total double, small long")
+
+
+def _met(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], tuple]]:
+    """(words and counts of the bucket, these columns) for each row of a bucket that asks about words."""
+    held, known, here = [], None, None
+    for part in batches:
+        for bucket, kind, x, y, *asked in zip(*(part.column(c).to_pylist() for c in ("bucket", "kind", "x", "y", *columns))):
+            if bucket != here:
+                held, known, here = [], None, bucket
+            if kind == 0:
+                held.append((_u8(x), _i8(y)))
+                continue
+            known = known or (_sorted(held) if held else [np.zeros(0, np.uint64), np.zeros(0, np.int64)])
+            yield known, tuple(asked)
 
 
 def _shares(model: Model):
@@ -352,20 +373,21 @@ def _loads(pairs: DataFrame, buckets: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, v, n, n_tokens, n_known, base_score, score) of each different document; ``n`` rows repeat it.
+    """(k, n_tokens, n_known, base_score, score) of each row; k stands for the id.
 
     ``n_known`` are tokens that the training texts hold, ``base_score`` sums log10((count + 1) / (tokens + vocabulary + 1)) over the tokens, ``score``
     is the model's log10 probability of the text with its end.
     """
     spread, buckets, base = model.spread, model.buckets, float(model.tokens + model.vocabulary + 1)
     loads = _loads(model.pairs, buckets)
-    # A bucket of more than twice the mean load is given to several tasks, which are at most buckets in all.
+    # A bucket of more than twice the mean load is given to several tasks; they are twice the buckets at most.
     splits = np.maximum(1, -(-loads // max(1, 2 * int(loads.sum()) // buckets))).astype(np.int64)
     offset = np.cumsum(splits) - splits
-    tasks = int(splits.sum())
+    tasks, d, share = int(splits.sum()), model.pair_discounts, _shares(model)
+    end = math.log10((model.texts + 1) / base)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
+        block = TaskContext.get().partitionId() << 32
         for part in (p for b in batches for p in pieces(b, "text", _TEXTS)):
             text, b, c = _pairs(part.column("text"))
             order = np.lexsort((text, c, b))
@@ -374,13 +396,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             times = np.diff(np.append(edge, len(b))).astype(np.int32)
             text, b, c = text[edge], b[edge], c[edge]
             bucket = _bucket(b, c, spread, buckets)
-            k, v = numbers(part.column("k")), numbers(part.column("v"))
-            rows = []
-            for at, x, y, n, m in _cut(offset[bucket] + turn % splits[bucket], b, c, times, text.astype(np.int32)):
-                some, m = np.unique(np.frombuffer(m, np.int32), return_inverse=True)
-                rows.append((at, x, y, n, m.astype(np.int32).tobytes(), k[some].tobytes(), v[some].tobytes()))
-            yield _arrays(2, rows)
-            turn += 1
+            name = np.int64(block).tobytes()
+            yield _arrays(2, [(*r, name) for r in _cut(offset[bucket] + block % splits[bucket], b, c, times, text.astype(np.int32))])
+            # The block's ids go along to the place where its arrays are summed.
+            yield _arrays(3, [(block % tasks, numbers(part.column("k")).tobytes(), None, None, None, name)])
+            block += 1
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -389,8 +409,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             task = offset[bucket[row]] + np.arange(len(row)) - np.repeat(np.cumsum(splits[bucket]) - splits[bucket], splits[bucket])
             yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), *(part.column(c).take(pa.array(row)) for c in _ARRAYS.names[1:])], schema=_ARRAYS)
 
-    d = model.pair_discounts
-    schema = pa.schema([("k", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("w", pa.int64()), ("m", pa.int64())])
+    def sums(block: bytes, text: np.ndarray, *columns: np.ndarray) -> tuple:
+        """A row of kind 4: the texts of a block that a bucket has something of, and their sums."""
+        some, at = np.unique(text, return_inverse=True)
+        added = [np.bincount(at, c, len(some)) for c in columns]
+        return 0, some.tobytes(), np.concatenate(added).tobytes(), None, None, block
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, contexts, pairs, table, counts = None, [], [], None, None
@@ -403,41 +426,59 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if row["kind"] == 1:
                 pairs.append((_key(_u8(row["x"]), _u8(row["y"])), _i8(row["n"])))
                 continue
+            if row["kind"] == 3:
+                yield _arrays(3, [(0, row["x"], None, None, None, row["k"])])
+                continue
             if table is None:
-                table = _sorted(contexts) if contexts else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.ones(0), np.ones(0)]
-                counts = _sorted(pairs) if pairs else [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+                # A last entry that no lookup gives stands in for empty tables.
+                nothing = np.array([2**64 - 1], np.uint64)
+                table = _sorted([*contexts, (nothing, np.zeros(1, np.int64), np.ones(1), np.ones(1))])
+                counts = _sorted([*pairs, (nothing, np.zeros(1, np.int64))])
+                contexts = pairs = []
             b, c = _u8(row["x"]), _u8(row["y"])
             times, text = np.frombuffer(row["n"], np.int32), np.frombuffer(row["m"], np.int32)
-            k, v = _i8(row["k"]), _i8(row["v"])
             at, used = _lookup(table[0], b)
             pair, seen = _lookup(counts[0], _key(b, c))
-            h = np.where(used, table[1][at], 0) if len(table[0]) else np.zeros(len(b), np.int64)
-            z = np.where(used, table[2][at], 1.0) if len(table[0]) else np.ones(len(b))
-            alpha = np.where(used, table[3][at], 1.0) if len(table[0]) else np.ones(len(b))
-            p = np.where(seen, _discounted(counts[1][pair], d) / z, alpha) if len(counts[0]) else alpha
+            h = np.where(used, table[1][at], 0)
+            p = np.where(seen, _discounted(counts[1][pair], d) / table[2][at], np.where(used, table[3][at], 1.0))
             token = b != START  # each word but the end stands first in one pair
-            add = lambda x: np.bincount(text, x, len(k))
-            yield batch(schema, k, v, add(times * ~token).astype(np.int64), add(times).astype(np.int64), add(times * (token & (h > 0))).astype(np.int64),
-                        add(times * token * np.log10((h + 1) / base)), add(times * np.log10(p)), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()))
+            yield _arrays(4, [sums(row["k"], text, times, times * (token & (h > 0)), times * token * np.log10((h + 1) / base), times * np.log10(p))])
             new = np.flatnonzero(~seen)
-            if len(new):
-                nothing = np.zeros(len(new), np.int64)
-                yield batch(schema, k[text[new]], v[text[new]], nothing, nothing, nothing, np.zeros(len(new)), np.zeros(len(new)), c[new].view(np.int64), times[new].astype(np.int64))
+            yield _arrays(1, [(*r, row["k"]) for r in _cut(_bucket(c[new], b[new], spread, buckets), c[new], times[new], text[new])])
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for known, (x, times, text, block) in _met(batches, ("x", "y", "n", "m")):
+            times, text = np.frombuffer(times, np.int32), np.frombuffer(text, np.int32)
+            at, there = _lookup(known[0], _u8(x))
+            n = np.where(there, known[1][at], 0) if len(known[0]) else np.zeros(len(times), np.int64)
+            none = np.zeros(len(times))
+            yield _arrays(4, [sums(block, text, none, none, none, times * np.log10(share(n)))])
+
+    schema = pa.schema([("k", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    known = _spread_rows(model.contexts, spread, buckets, ["w", "h", "z", "alpha"]).unionByName(model.pairs).mapInArrow(copies, _ARRAYS_SQL)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        for part in batches:
+            for kind, x, y, k in zip(*(part.column(c).to_pylist() for c in ("kind", "x", "y", "k"))):
+                ids, found = held.setdefault(k, [None, []])
+                if kind == 3:
+                    held[k][0] = _i8(x)
+                else:
+                    found.append((np.frombuffer(x, np.int32), _f8(y)))
+        for ids, found in held.values():
+            out = np.zeros((4, len(ids)))
+            for text, values in found:
+                out[:, text] += values.reshape(4, -1)
+            yield batch(schema, ids, out[0].astype(np.int64), out[1].astype(np.int64) + int(model_texts > 0), out[2] + end, out[3])
+
+    model_texts = model.texts
+    known = _spread_rows(model.contexts, spread, buckets, ["w", "h", "z", "alpha"], splits).unionByName(model.pairs.mapInArrow(copies, _ARRAYS_SQL))
     asked = keyed(docs, id_col, text_col).mapInArrow(ask, _ARRAYS_SQL)
-    found = stored(_to_tasks(known.unionByName(asked), tasks).mapInArrow(answer, "k long, v long, n long, n_tokens long, n_known long, base double, score double, w long, m long"), "katz-answers")
-    sums = [F.sum(c).alias(c) for c in ("n", "n_tokens", "n_known", "base", "score")]
-    parts = found.where("w IS NULL").groupBy("k", "v").agg(*sums)
-    few = F.coalesce(*(F.when(F.col("c.n") == r, F.lit(x * r)) for r, x in model.word_discounts.items()), F.col("c.n").cast("double")) if model.word_discounts else F.col("c.n").cast("double")
-    p = F.when(F.col("c.n") > 0, few / model.mass).otherwise(F.lit(model.unknown))
-    new = found.where("w IS NOT NULL").select("k", "v", "w", "m").alias("a").join(model.words.where("n > 0").select("w", "n").alias("c"), F.col("a.w") == F.col("c.w"), "left")
-    new = new.select("k", "v", (F.col("m") * F.log10(p)).alias("less")).groupBy("k", "v").agg(F.sum("less").alias("less"))
-    end = math.log10((model.texts + 1) / base)
-    out = parts.join(new, ["k", "v"], "left")
-    each = lambda c: (F.col(c) / F.col("n"))
-    return out.select("k", "v", "n", each("n_tokens").cast("long").alias("n_tokens"), (each("n_known").cast("long") + F.lit(int(model.texts > 0))).alias("n_known"),
-                      (each("base") + end).alias("base_score"), ((F.col("score") + F.coalesce("less", F.lit(0.0))) / F.col("n")).alias("score"))
+    found = stored(_to_tasks(known.unionByName(asked), tasks).mapInArrow(answer, _ARRAYS_SQL), "katz-answers")
+    words = _spread_rows(model.words.where("n > 0"), spread, buckets, ["w", "n"])
+    backed = _to_tasks(words.unionByName(found.where("kind = 1")), buckets).mapInArrow(back, _ARRAYS_SQL)
+    parts = found.where("kind > 2").unionByName(backed).repartition("k")
+    return parts.mapInArrow(total, "k long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,6 +492,6 @@ def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2, small: int =
     """
     out = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
     model = fit(docs.where(~out).select(F.col(text_col).cast("string").alias("text")), small)
-    rows = score(docs, model, id_col, text_col).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    rows = rows.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias(id_col), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows = score(docs, model, id_col, text_col).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    rows = rows.withColumn(id_col, real_id()).select(id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     return rows.select(id_col, out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
