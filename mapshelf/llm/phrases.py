@@ -27,7 +27,7 @@ from mapshelf.llm.common import batch, partitions, pieces, stored
 from mapshelf.llm.words import Words, mix
 
 #: Words of a shard.
-SHARD = 1 << 20
+SHARD = 1 << 18
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BETWEEN = _BREAKS.copy()
@@ -39,6 +39,18 @@ _COUNTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("keys", pa.
 _FOUND = pa.schema([("shard", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("totals", pa.binary()), ("mine", pa.binary())])
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte of all of them, compressed."""
+    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(ids).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return planes.T.copy().view("<u4").ravel().astype(np.int32)
+
+
 def _transform(ids: np.ndarray, depth: int) -> np.ndarray:
     """What stands before each suffix, in the order of their first ``depth`` symbols or more; the sequence is circular."""
     rank, span = ids.astype(np.int64), 1
@@ -160,7 +172,7 @@ def shards(docs: DataFrame, longest: int = 4, size: int = SHARD, text_col: str =
         hashes, ids = np.unique(sequence, return_inverse=True)  # the smallest is the 0 between pieces
         ids = ids.astype(np.int32)
         words = b" ".join(text[h] for h in hashes[1:].tolist())
-        sides = [_transform(x, longest).tobytes() for x in (ids, ids[::-1])]
+        sides = [_packed(_transform(x, longest)) for x in (ids, ids[::-1])]
         return batch(_SHARDS, [number], [lang], [hashes[1:].tobytes()], [np.bincount(ids)[1:].astype("<i8").tobytes()], [words], [sides[0]], [sides[1]])
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
@@ -213,7 +225,7 @@ def _summed(counts: DataFrame, level: int, least: int, buckets: int) -> DataFram
 
 
 def _opened(row: dict) -> Index:
-    return Index(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["forward"], "<i4"), np.frombuffer(row["reverse"], "<i4"))
+    return Index(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<i8"), _unpacked(row["forward"]), _unpacked(row["reverse"]))
 
 
 def _with_found(indexes: DataFrame, found: list[DataFrame]) -> DataFrame:
@@ -266,7 +278,7 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = 4, size: int = SHA
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            words = Index(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<i8"), np.zeros(0, "<i4"), np.zeros(0, "<i4")).words()
+            words = Index(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<i8"), np.zeros(0, np.int32), np.zeros(0, np.int32)).words()
             yield from _dealt(row["shard"], words, _salt(row["lang"]), buckets)
 
     def longer(level: int):
