@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again
 as the next one's documents. All but the last return the columns of the documents.
+
+An empty table gives no rows at any stage. A null or empty text fails the quality rules, so later stages do not meet one from there; given one all the same, they
+keep it, and it is packed as its end id alone. Rows that repeat an id and a text share their fate up to the mix, which takes words of each by itself. A
+null id counts as the smallest and stays null. Texts of any length are handled whole; other columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
