@@ -4,6 +4,8 @@ Points are counted at the deepest level and rolled up. Other shapes are followed
 a level and, in each, through the rows between its heights at the column's sides. That is the outline. A tile that no outline enters lies
 wholly inside a polygon or outside; inside tiles are found next to the outline, as children of the outline tiles of the level above,
 and only those are rows, so a polygon costs its outline on all levels and not its area. All tiles below an inside tile are inside too.
+
+Counts of small shapes do not send these rows anywhere: shapes that lie near one another come to one task, which follows them and sends counts.
 """
 
 from __future__ import annotations
@@ -14,11 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapshelf.functions import geometry as G
-from mapshelf.functions.grid import mercator_x, mercator_y, tile_index
+from mapshelf.functions.grid import interleave, mercator_x, mercator_y, tile_index
+from mapshelf.operators import tile_walk
+from mapshelf.session import materialize
 
 LEVELS = 20
 TILE_PIXELS = 256
 BAND = 5
+SMALL = 1 << 14         # tiles, by estimate, of the shapes of a key that are followed within a task
+SMALL_ROWS = 64         # rows of such a key
+NEAR_BITS = 20
+_AREAS = "('Polygon', 'MultiPolygon', 'GeometryCollection')"
 
 
 def to_mercator(geom: str) -> str:
@@ -70,7 +78,7 @@ def shape_tiles(df: DataFrame, levels: int = LEVELS, key: str | None = None) ->
         df, key = df.withColumn("_feature", F.monotonically_increasing_id()), "_feature"
     outline = _outline(df, levels, 0, (key,)).withColumn("met", F.lit(True))
     # Children of the outline's tiles of polygons; those that no outline enters are inside or outside as a whole.
-    areas = df.where("geom.kind in ('Polygon', 'MultiPolygon', 'GeometryCollection')")
+    areas = df.where(f"geom.kind in {_AREAS}")
     above = _outline(areas, levels - 1, 0, (key,)).select(key, "z", "x", "y").distinct() if levels > 1 else None
     if above is not None:
         child = "array(struct(2 * x AS x, 2 * y AS y), struct(2 * x + 1 AS x, 2 * y AS y), struct(2 * x AS x, 2 * y + 1 AS y), struct(2 * x + 1 AS x, 2 * y + 1 AS y))"
@@ -81,6 +89,54 @@ def shape_tiles(df: DataFrame, levels: int = LEVELS, key: str | None = None) ->
     return tiles.withColumn("before", before).where("met or before % 2 = 1").selectExpr(key, "z", "x", "y", "not met AS inside")
 
 
+def _with_rings(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, rings): the rings on the unit square, none for a shape off the map."""
+    uv = "flatten(transform(_wr, _wv -> array(_wv.x, _wv.y)))"
+    rings = f"flatten(transform({to_mercator('geom')}.parts, _wp -> transform(_wp.rings, _wr -> struct({uv} AS uv, _wp.kind = 'Polygon' AS area, geom.kind in {_AREAS} AS holds))))"
+    return G.with_mbr(df).selectExpr(*keep, f"if({G.boxes_overlap(G.MAP_BOX)}, {rings}, null) AS rings")
+
+
+def shape_counts(df: DataFrame, levels: int = LEVELS, key: str | None = None) -> DataFrame:
+    """(z, x, y, cnt, inside) in parts that are still to be summed: the tiles of ``shape_tiles``, counted.
+
+    Shapes are sent to tasks by their place and followed there. Rows of lines that share a key are counted each by itself, and what they have in common
+    is found key by key and taken off. Keys of large shapes or very many rows, of polygons on several rows and of
+    missing coordinates go through ``shape_tiles``, so no task holds one whole.
+    """
+    # No segment is longer than the box; only where that says too little are the segments added up.
+    pieces = "aggregate(geom.parts, 0, (_cn, _cp) -> _cn + aggregate(_cp.rings, 0, (_cm, _cr) -> _cm + size(_cr)))"
+    span = f"({mercator_x('xmax')} - {mercator_x('xmin')} + {mercator_y('ymin')} - {mercator_y('ymax')}) * {float(1 << levels)!r}D"
+    way = lambda a: f"abs({a('_cs.$2')} - {a('_cs.$1')})".replace("$", "x" if a is mercator_x else "y")
+    exact = f"aggregate({G.segments('geom')}, 0D, (_cl, _cs) -> _cl + ({way(mercator_x)} + {way(mercator_y)}) * {float(1 << levels)!r}D + {levels})"
+    cost = f"if(exists({G.vertices_of('geom')}, _cv -> _cv.x is null or isnan(_cv.x)), null, if(pieces * ({span} + {levels}) <= 512, pieces * ({span} + {levels}), {exact}))"
+    boxes = [c for c in G.MBR_COLUMNS if c in df.columns]
+    named = F.monotonically_increasing_id() if key is None else F.col(key)
+    everything = df.select(named.alias("_key"), "geom", *boxes)
+    f = _on_map(everything).withColumn("pieces", F.expr(pieces)).where("pieces > 0").withColumn("cost", F.expr(f"coalesce({cost}, double('inf'))"))
+
+    def whole(some: DataFrame) -> DataFrame:
+        return shape_tiles(some, levels, "_key").selectExpr("z", "x", "y", "bigint(not inside) AS cnt", "bigint(inside) AS inside")
+
+    if key is None:
+        parts = [whole(f.where(f"cost > {SMALL}"))]
+        small = f.where(f"cost <= {SMALL}")
+    else:
+        sizes = f.groupBy("_key").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.expr(f"bool_or(geom.kind in {_AREAS})").alias("area"))
+        large = materialize(sizes.where(f"n > {SMALL_ROWS} or cost > {SMALL} or n > 1 and area").select(F.col("_key").alias("_large")), "large-shapes")
+        parts, small, match = [], everything, F.col("_key").eqNullSafe(F.col("_large"))
+        if not large.isEmpty():
+            parts.append(whole(f.join(large, match, "left_semi")))
+            small = small.join(large, match, "left_anti")
+        by_key = Window.partitionBy("_key")
+        shared = small.withColumns({"n": F.count("*").over(by_key), "head": F.row_number().over(by_key.orderBy("_key")) == 1})
+        parts.append(_with_rings(shared.where("n > 1"), "head").mapInArrow(tile_walk.repeats(levels), tile_walk.SCHEMA))
+    corner = [f"coalesce(least({(1 << NEAR_BITS) - 1}D, greatest(0D, (get(get(get(geom.parts, 0).rings, 0), 0).{a} + {half}D) * {(1 << NEAR_BITS) / (2 * half)!r}D)), 0D)"
+              for a, half in (("x", 180.0), ("y", 90.0))]
+    near = small.withColumns({"near": F.expr(interleave(*(f"bigint({c})" for c in corner), NEAR_BITS)), "tie": F.xxhash64("_key")})
+    near = near.repartitionByRange("near", "tie").sortWithinPartitions("near")
+    return reduce(DataFrame.unionByName, [_with_rings(near).mapInArrow(tile_walk.counts(levels), tile_walk.SCHEMA), *parts])
+
+
 def rollup_counts(deepest: DataFrame, level: int, band: int = BAND) -> DataFrame:
     """(z, x, y, cnt) of all levels from counts at ``level``.
 
@@ -122,8 +178,7 @@ def tile_counts(df: DataFrame, levels: int = LEVELS, points: bool = False, key:
         deepest = point_tiles(df, levels - 1).groupBy("x", "y").agg(F.count("*").alias("cnt"))
         return rollup_counts(deepest, levels - 1)
     spots = tile_counts(df.where("geom.kind = 'Point'"), levels, points=True).withColumn("inside", F.lit(0).cast("long"))
-    shapes = shape_tiles(df.where("geom.kind <> 'Point'"), levels, key).groupBy("z", "x", "y").agg(
-        F.count_if(~F.col("inside")).alias("cnt"), F.count_if("inside").alias("inside"))
+    shapes = shape_counts(df.where("geom.kind <> 'Point'"), levels, key)
     both = spots.unionByName(shapes)
     return both.groupBy("z", "x", "y").agg(F.sum("cnt").alias("cnt"), F.sum("inside").alias("inside"))
 

@@ -138,3 +138,38 @@ def test_raster_of_lines(spark, shapes):
         V.tile_raster(frame(spark, shapes[:1]), 2, 16, points=False).collect()
     with pytest.raises(Exception, match="Not a point"):
         V.tile_raster(frame(spark, shapes[:1]), 2, 16).collect()
+
+
+def _summed(df):
+    return {(r.z, r.x, r.y): (r.cnt, r.inside) for r in df.groupBy("z", "x", "y").agg(F.sum("cnt").alias("cnt"), F.sum("inside").alias("inside")).where("cnt <> 0 or inside <> 0").collect()}
+
+
+def _by_rows(df, levels, key):
+    return _summed(V.shape_tiles(df, levels, key).selectExpr("z", "x", "y", "bigint(not inside) AS cnt", "bigint(inside) AS inside"))
+
+
+def test_counts_follow_small_shapes_where_they_lie(spark):
+    """What leaves the tasks are counts of tiles, not the tiles of each shape: shapes of one place are few rows."""
+    boxes = spark.range(400).selectExpr("id AS fid", f"{G.box_polygon('10.001D + id % 20 / 1000D', '50.001D', '10.008D + id % 20 / 1000D', '50.007D')} AS geom")
+    tiles, counted = V.shape_tiles(boxes, 18, "fid"), V.shape_counts(boxes, 18, "fid")
+    assert 10 * counted.count() < tiles.count()
+    assert _summed(counted) == _by_rows(boxes, 18, "fid") == _summed(V.shape_counts(boxes, 18))
+
+
+def test_counts_of_shapes_that_share_a_key(spark):
+    """A key's tiles count once, however many rows it has; missing keys are one; parities add up over the rows of a polygon's key."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        x, y = rng.uniform(5, 5.2), rng.uniform(40, 40.2)
+        path = [tuple(map(float, p)) for p in np.cumsum(rng.normal(0, 0.01, (4, 2)), axis=0) + (x, y)]
+        rows += [(i % 60, "LINESTRING" + text(path))] * (1 + i % 2)
+    rows += [(None, "LINESTRING(5.01 40.01, 5.02 40.03)"), (None, "LINESTRING(5.01 40.01, 5.02 40.02)"), (61, "MULTIPOINT((5.1 40.1),(5.1 40.1),(7 9))")]
+    rows += [(62, "LINESTRING(-170 -80, 5.1 40.1, 170 80)"), (62, "LINESTRING(5.1 40.1, 5.11 40.1)"), (63, "LINESTRING(0 86, 10 88)"), (64, "LINESTRING(5.1 86, 5.1 40.1)")]
+    rows += [(65, "LINESTRING(5.1 40.1, 5.11 40.11)")] * (V.SMALL_ROWS + 1)
+    rows += [(66 + i // 2, "POLYGON" + "(" + text(star(rng, 9, 5.1 + i / 500, 40.1, 0.01)) + ")") for i in range(6)]
+    rows += [(70, "POLYGON" + "(" + text(star(rng, 9, 5.1, 40.1, 0.02)) + "," + text(star(rng, 5, 5.1, 40.1, 0.004)) + ")"), (71, None), (72, "POLYGON((5 40, 5.02 40, 5.02 40.02, 5 40.02, 5 40))")]
+    df = spark.createDataFrame(rows, "fid long, w string").select("fid", F.expr(X.from_wkt("w")).alias("geom")).repartition(5)
+    df = df.cache()
+    assert _summed(V.shape_counts(df, 14, "fid")) == _by_rows(df, 14, "fid")
+    assert _summed(V.shape_counts(df, 14)) == _by_rows(df, 14, None)
