@@ -108,7 +108,7 @@ def shape_counts(df: DataFrame, levels: int = LEVELS, key: str | None = None) ->
     span = f"({mercator_x('xmax')} - {mercator_x('xmin')} + {mercator_y('ymin')} - {mercator_y('ymax')}) * {float(1 << levels)!r}D"
     way = lambda a: f"abs({a('_cs.$2')} - {a('_cs.$1')})".replace("$", "x" if a is mercator_x else "y")
     exact = f"aggregate({G.segments('geom')}, 0D, (_cl, _cs) -> _cl + ({way(mercator_x)} + {way(mercator_y)}) * {float(1 << levels)!r}D + {levels})"
-    cost = f"if(exists({G.vertices_of('geom')}, _cv -> _cv.x is null or isnan(_cv.x)), null, if(pieces * ({span} + {levels}) <= 512, pieces * ({span} + {levels}), {exact}))"
+    cost = f"if(exists({G.vertices_of('geom')}, _cv -> _cv.x is null or _cv.y is null or isnan(_cv.x) or isnan(_cv.y)), null, if(pieces * ({span} + {levels}) <= 512, pieces * ({span} + {levels}), {exact}))"
     boxes = [c for c in G.MBR_COLUMNS if c in df.columns]
     named = F.monotonically_increasing_id() if key is None else F.col(key)
     everything = df.select(named.alias("_key"), "geom", *boxes)
