@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapshelf.llm.common import batch, pieces
+from mapshelf.llm.common import batch, pieces, tidy
 from mapshelf.llm.words import Words, mix, powers, sequence_hash
 
 FEATURES = ("always", "symbols", "upper", "exclaims", "words", "short", "repeated", "duplicate", "sentence", "digits", "long_words")
@@ -209,6 +209,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = 600, lines:
         some = marked.where(F.col("good") == good).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.int64()), ("good", pa.int32()), ("x", pa.binary())])
         for part in (p for b in batches for p in pieces(b, "text")):
@@ -236,6 +237,7 @@ def _verdicts(field: LineField, found: Lines, n: int, min_words: int, most_repea
 def keep_good(docs: DataFrame, field: LineField = UNFITTED, text_col: str = "text", min_words: int = 50, most_repeated: float = 0.5, min_content: float = 0.5) -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns."""
 
+    @tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in pieces(b, "text")):
             keep = _verdicts(field, Lines(part.column("text")), part.num_rows, min_words, most_repeated, min_content)[3]
@@ -262,6 +264,7 @@ def judge(docs: DataFrame, field: LineField = UNFITTED, id_col: str = "doc_id",
     schema = pa.schema(list(zip(names, kinds)))
     letters = np.array([ord("C"), ord("B")], np.uint8)
 
+    @tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in pieces(b, "text")):
             found = Lines(part.column("text"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mapshelf.llm.common import batch, key, keyed, pieces, real_id, stored
+from mapshelf.llm.common import batch, key, keyed, pieces, real_id, stored, tidy
 from mapshelf.llm.graph import components
 from mapshelf.llm.words import Words, ranges, sequence_hash
 
@@ -58,6 +58,7 @@ def _sketched(keys: DataFrame, size: int, k: int) -> DataFrame:
     """(k, v, n, class, sketch) of each document; class null for an empty set."""
     schema = pa.schema([("k", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("class", pa.binary()), ("sketch", pa.binary())])
 
+    @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in pieces(b, "text")):
             value, first = shingle_sets(part.column("text"), size)
@@ -72,6 +73,7 @@ def _lists(classes: DataFrame) -> DataFrame:
     """(value, class, n) for each retained value."""
     schema = pa.schema([("value", pa.int64()), ("class", pa.binary()), ("n", pa.int64())])
 
+    @tidy
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             sketches = part.column("sketch").to_pylist()
@@ -85,6 +87,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, floor: float) -> Da
     """Pairs whose union sketch does not speak against them."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
+    @tidy
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             keep = []
@@ -108,6 +111,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = shares.join(sets, F.col("a") == F.col("class")).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("binary").alias("b"), "set")
     other = pairs.join(shares, "a").join(sets, F.col("b") == F.col("class")).select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "set")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(0, np.uint64)
         for part in batches:
@@ -148,6 +152,7 @@ def _first_values(sets: DataFrame, percent: int) -> DataFrame:
     """(value, class, n, place): the values by which classes of similar sets meet, places from 0 in the order of how few classes have a value."""
     schema = pa.schema([("value", pa.int64()), ("class", pa.binary()), ("n", pa.int64())])
 
+    @tidy
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in pieces(b, "set")):
             some = part.column("set").to_pylist()
@@ -259,6 +264,7 @@ def _linked(dealt: DataFrame, percent: int, k: int, floor: float) -> DataFrame:
                 found.append(sorted((x[3][p], y[3][q])))
         return batch(schema, [a for a, _ in found], [b for _, b in found])
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, x = None, [], None
         for part in (p for b in batches for p in pieces(b, "set")):
@@ -344,6 +350,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("class", pa.binary()), ("set", pa.binary())])
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in pieces(b, "text")):
             value, first = shingle_sets(part.column("text"), size)

@@ -5,7 +5,7 @@ takes one leading space along. Texts are cut before these spaces; a unit is enco
 the batch: joined again, the tokens that begin with a space say where each starts. Cutting, recognising known units and putting
 their ids together are array operations over the bytes of many texts.
 
-Units are known by 128 bits of hashes. The memory is bounded by its bytes and outlives a task; when it is full, the half that was met least goes.
+Units are known by 128 bits of hashes. The memory is bounded by its bytes and outlives a task, until one of another operator begins; when it is full, the half that was met least goes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from mapshelf.llm.common import raw_bytes
+from mapshelf.llm.common import leftovers, raw_bytes
 from mapshelf.llm.words import mix, powers, ranges
 
 #: Units joined for one call of the tokenizer; a space as tokens show it.
@@ -183,3 +183,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a Python process."""
     return Encoder(path)
+
+
+leftovers.append(encoder.cache_clear)
