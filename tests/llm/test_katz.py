@@ -95,6 +95,26 @@ def test_small_pieces_and_hot_words(spark, monkeypatch):
     assert got_of(katz.score_held_out(df)) == brute(rows)[1]
 
 
+def test_rounds(spark, monkeypatch):
+    """Requests of a part of the texts lie on disk at a time, and each text is scored once."""
+    scored = []
+
+    def kept(df, label, stored=katz.stored):
+        out = stored(df, label)
+        scored.extend([out.count()] * (label == "katz-scores"))
+        return out
+
+    monkeypatch.setattr(katz, "stored", kept)
+    rows = [*corpus(6), *[(1, "again and again")] * 3, *[(None, "again")] * 2, *[(i, "the same line") for i in range(2000, 2300)], (5000, None)]
+    assert got_of(katz.score_held_out(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)[1]
+    assert len(scored) == katz.ROUNDS and sum(scored) == len(rows) and max(scored) < len(rows) / 2
+
+
+def test_packed():
+    for values in ([], [0], [3, 2**31 - 1, 0, 70_000, 255]):
+        assert katz._i4(katz._packed(np.array(values, np.int32))).tolist() == values
+
+
 def test_probabilities_sum_to_one():
     model = Plain([t for _, t in corpus(3, 120)])
     for b in ["<s>", "w1", "w2", *list(model.uses)[:20], "never"]:
