@@ -110,6 +110,47 @@ def test_rounds(spark, monkeypatch):
     assert len(scored) == katz.ROUNDS and sum(scored) == len(rows) and max(scored) < len(rows) / 2
 
 
+def test_rows_between_buckets(spark, monkeypatch):
+    """A task sends a row to another bucket for a block of texts or for what it holds, not for each bucket that asked."""
+    sent = []
+
+    def kept(rows, buckets, to_tasks=katz._to_tasks):
+        sent.append((rows, buckets))
+        return to_tasks(rows, buckets)
+
+    monkeypatch.setattr(katz, "BUCKETS", 16)
+    monkeypatch.setattr(katz, "_to_tasks", kept)
+    r = random.Random(7)
+    rows = [(i, " ".join(f"w{r.randrange(300)}" for _ in range(120))) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    model = katz.fit(df.where("doc_id < 40").select("text"), buckets=48)
+    got = {r.k: r.score for r in katz.score(df, model).collect()}
+    plain = Plain([t for _, t in rows[:40]])
+    assert all(abs(got[i] - sum(math.log10(plain.two(b, c)) for b, c in zip(tokens(t), tokens(t)[1:]))) < 1e-6 for i, t in rows)
+    counts = [(rows.where("kind > 0").count(), buckets) for rows, buckets in sent]
+    assert len(counts) == 3 + 2 * katz.ROUNDS
+    # The pairs as they are counted, their second words, requests and answers of two blocks in each round, and words that back off.
+    assert all(n <= 4 * (buckets + 1) for n, buckets in counts[:1] + counts[2:-1])
+    assert counts[1][0] <= spark.sparkContext.defaultParallelism * counts[1][1] and counts[1][1] == 3
+    assert counts[-1][1] == 3 and counts[-1][0] <= 4 * 2 * katz.ROUNDS * 2
+
+
+def test_leads_that_agree():
+    """Pairs whose halves agree with others are counted and found apart."""
+    r = np.random.default_rng(3)
+    b, c = (r.integers(0, 4, 5000).astype(np.uint64) << np.uint64(32) | r.integers(0, 3, 5000).astype(np.uint64) for _ in "bc")
+    plain = Counter(zip(b.tolist(), c.tolist()))
+    x, y, n = katz._summed(b, c, np.ones(len(b), np.int64))
+    assert {(i, j): k for i, j, k in zip(x.tolist(), y.tolist(), n.tolist())} == plain and len(x) == len(plain)
+    known = slice(0, None, 2)
+    x, y, n = x[known], y[known], n[known]
+    at, there = katz._find(katz._lead(x, y), x, y, b, c)
+    own = set(zip(x.tolist(), y.tolist()))
+    assert there.tolist() == [p in own for p in zip(b.tolist(), c.tolist())]
+    assert (x[at[there]] == b[there]).all() and (y[at[there]] == c[there]).all()
+    assert not katz._find(katz._lead(x[:0], y[:0]), x[:0], y[:0], b, c)[1].any()
+
+
 def test_packed():
     for values in ([], [0], [3, 2**31 - 1, 0, 70_000, 255]):
         assert katz._i4(katz._packed(np.array(values, np.int32))).tolist() == values
