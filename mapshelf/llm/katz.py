@@ -538,14 +538,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 contexts = []
             b, c = _u8(row["x"]), _u8(row["y"])
             times, text = _i4(row["n"]), _i4(row["m"])
-            at, used = _lookup(table[0], b)
+            # What belongs to the first word is looked up once for each run of it.
+            edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+            run = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(b))))
+            at, used = _lookup(table[0], b[edge])
+            h, z, alpha = np.where(used, table[1][at], 0), table[2][at], np.where(used, table[3][at], 1.0)
+            token = b[edge] != START  # each word but the end stands first in one pair
             pair, seen = _find(*pairs[:3], b, c)
-            h = np.where(used, table[1][at], 0)
-            p = np.where(seen, _discounted(pairs[3][pair], d) / table[2][at], np.where(used, table[3][at], 1.0))
-            token = b != START  # each word but the end stands first in one pair
+            p = np.where(seen, _discounted(pairs[3][pair], d) / z[run], alpha[run])
             some = np.flatnonzero(~seen)
             new = c[some].tobytes() + _packed(times[some]) + _packed(text[some])
-            yield _arrays(4, [(*sums(block, text, times * np.log10(p), times * (token & (h > 0)), times * token * np.log10((h + 1) / base)), new)])
+            yield _arrays(4, [(*sums(block, text, times * np.log10(p), times * (token & (h > 0))[run], times * (token * np.log10((h + 1) / base))[run]), new)])
 
     found_schema = pa.schema([("k", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("c", pa.binary()), ("times", pa.binary())])
 
