@@ -166,7 +166,8 @@ def _with_counts(rows: DataFrame, counts: DataFrame, apply: Callable[[pa.Table,
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     dealt = stored(rows.mapInArrow(deal, f"{kinds}, group long"), "urls-dealt")
-    needed = dealt.select("group", "url").mapInArrow(cells, "group long, cell long").join(counts, "cell")
+    # Sorted and merged: the planner takes the cells for as small as the written URLs that they come from, hundreds of times too small to broadcast.
+    needed = dealt.select("group", "url").mapInArrow(cells, "group long, cell long").join(counts.hint("merge"), "cell")
     return dealt.groupBy("group").cogroup(needed.groupBy("group")).applyInArrow(apply, schema)
 
 
